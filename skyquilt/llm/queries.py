@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, linededup, mixing, neardup, packing, quality, sharding
+from . import fingerprint, linededup, mixing, neardup, packing, quality, sharding, urlfilter
 
 #: Shards of the sharding query.
 SHARDS = 24
@@ -55,6 +55,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no block list, so a list by rule stands in: the keys whose MD5 begins with 0, about one in 16."""
+    pages = table(spark, sf_dir, "pages")
+    listed = urlfilter.keys_of(pages).where(F.md5("key").startswith("0"))
+    return urlfilter.judge(pages, listed)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neardup": op2_neardup,
     "op4_linededup": op4_linededup,
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fingerprint": op7_fingerprint,
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
+    "op10_urlfilter": op10_urlfilter,
 }
 
 ORACLES: dict[str, str] = {
@@ -102,5 +110,22 @@ SELECT doc_id, size, source_size, target, taken,
   CASE WHEN taken > 0 THEN CASE WHEN b - a = 0 THEN CAST(first_at AS DOUBLE) / CAST(words AS DOUBLE)
     ELSE (sqrt(a * a + 2 * (b - a) * (CAST(first_at AS DOUBLE) / CAST(words AS DOUBLE))) - a) / (b - a) END END AS position
 FROM mixed
+""",
+    "op10_urlfilter": r"""
+WITH parted AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), judged AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parted
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM judged
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN starts_with(md5(host || path), '0') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
 """,
 }
