@@ -1,10 +1,618 @@
-"""The registered queries and their SQL, by name."""
+"""The registered queries over the stand-in views, and their SQL, by name."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skyquilt import views as V
+from skyquilt.functions import scalar as S
+from skyquilt.functions import text as X
+from skyquilt.operators import cluster, filters, merge, raster, series, spatial, vector
+from skyquilt.plans import change, chat, ingest, review, search, status
+from skyquilt.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: The query vector: the embedding's first axes, so that both engines write the same numbers.
+QUERY = [1.0 / (i + 1) if i % 2 == 0 else -1.0 / (i + 1) for i in range(64)]
+QUERY_SQL = "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in QUERY) + "]"
+BOX = (88.0, 21.4, 88.5, 21.6)
+RING = [(88.00003, 21.40007), (88.50011, 21.41003), (88.30017, 21.62009), (87.90013, 21.55003)]
+WORDS = ["construction", "new"]
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(c) -> object:
+    return F.round(c, 6)
+
+
+SIM = f"list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {QUERY_SQL}) / (sqrt(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) * sqrt(list_dot_product({QUERY_SQL}, {QUERY_SQL})))"
+SCORED = f"{V.VECTORS}, scored AS (SELECT *, greatest(least({SIM}, 1e0), -1e0) AS similarity FROM vectors)"
+
+
+@query(f"WITH {SCORED} SELECT tile_id, round(similarity, 6) AS similarity FROM scored ORDER BY scored.similarity DESC, tile_id LIMIT 20")
+def vector_topk(spark, sf):
+    v = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("tile_id"), "embedding")
+    return vector.top_k(v, "embedding", vector.literal(QUERY), 20, "tile_id").select("tile_id", r6("similarity").alias("similarity"))
+
+
+@query(f"WITH {SCORED} SELECT tile_id, round(similarity, 6) AS similarity FROM scored WHERE sensor IN ('MSI', 'msi') AND lon BETWEEN 878e-1 AND 886e-1 AND ts >= TIMESTAMP '1993-01-01' ORDER BY scored.similarity DESC, tile_id LIMIT 15")
+def vector_topk_filtered(spark, sf):
+    keep = filters.by_sensor(F.col("sensor"), "Sentinel-2") & F.col("lon").between(87.8, 88.6) & filters.by_dates(F.col("ts"), "1993-01-01", None)
+    return vector.top_k(V.vectors(spark, sf), "embedding", vector.literal(QUERY), 15, "tile_id", keep).select("tile_id", r6("similarity").alias("similarity"))
+
+
+@query(f"WITH {SCORED} SELECT tile_id, round(similarity, 6) AS similarity FROM scored WHERE similarity >= 5e-2 ORDER BY scored.similarity DESC, tile_id LIMIT 50")
+def vector_threshold(spark, sf):
+    return vector.top_k(V.vectors(spark, sf), "embedding", vector.literal(QUERY), 50, "tile_id", least=0.05).select("tile_id", r6("similarity").alias("similarity"))
+
+
+CAL = "greatest(least({s}, 1e0), 0e0)".format(s="(similarity - 15e-2) / 14e-2")
+
+
+def final_sql(change: str, w: tuple) -> str:
+    q = "CASE WHEN quality IS NULL OR quality = 0 THEN 8e-1 ELSE quality END"
+    cal = CAL
+    return f"round(greatest(least(({cal} * {w[0]} + 1e0 * {w[1]} + 1e0 * {w[2]} + {q} * {w[3]} + greatest(least(coalesce({change}, 0e0), 1e0), 0e0) * {w[4]}) * CASE WHEN {cal} < 15e-2 THEN {cal} / 15e-2 ELSE 1e0 END, 1e0), 0e0), 4)"
+
+
+@query(f"""WITH {SCORED}, {V.FEEDBACK}, {V.SCENES}, hits AS (SELECT * FROM scored ORDER BY similarity DESC, tile_id LIMIT 20),
+said AS (SELECT target_id, count(*) FILTER (verdict = 'confirm') AS c, count(*) FILTER (verdict = 'reject') AS r FROM feedback GROUP BY 1),
+final AS (SELECT hits.*, source_filename, greatest(least({final_sql('NULL', ('45e-2', '15e-2', '1e-1', '15e-2', '15e-2'))} + 8e-2 * coalesce(c, 0) - 8e-2 * coalesce(r, 0), 1e0), 0e0) AS final_score,
+  CASE WHEN hits.sensor = 'SAR-C' THEN 'sar' ELSE 'optical' END AS mode FROM hits LEFT JOIN said ON tile_id = target_id LEFT JOIN scenes USING (scene_id)),
+once AS (SELECT *, row_number() OVER (PARTITION BY round(lon, 4), round(lat, 4), mode ORDER BY final_score DESC, similarity DESC, tile_id) AS rn FROM final)
+SELECT row_number() OVER (ORDER BY final_score DESC, similarity DESC, tile_id) AS rank, tile_id, source_filename, round(similarity, 6) AS similarity, round(final_score, 4) AS final_score FROM once WHERE rn = 1""")
+def hybrid_rank(spark, sf):
+    request = search.Request(vector=QUERY, top_k=20)
+    hits = search.search(request, V.vectors(spark, sf), V.scenes(spark, sf), V.feedback(spark, sf))
+    return hits.select(F.col("rank").cast("long").alias("rank"), "tile_id", "source_filename", r6("similarity").alias("similarity"), F.round("final_score", 4).alias("final_score"))
+
+
+@query(f"""WITH {SCORED}, final AS (SELECT tile_id, {final_sql('change', ('45e-2', '1e-1', '0e0', '1e-1', '35e-2'))} AS final_score, round(change, 4) AS change_score FROM (SELECT *, (tile_id % 89) / 89e0 AS change FROM scored))
+SELECT tile_id, final_score, change_score FROM final ORDER BY change_score DESC, final_score DESC, tile_id LIMIT 25""")
+def temporal_rank(spark, sf):
+    rows = V.vectors(spark, sf).withColumn("similarity", vector.cosine(F.col("embedding"), vector.literal(QUERY))).withColumn("change", (F.col("tile_id") % 89) / F.lit(89.0))
+    final = S.final_score(F.col("similarity"), S.or_default(F.col("quality"), 0.8), S.num(1), S.num(1), F.col("change"), True)
+    rows = rows.select("tile_id", final.alias("final_score"), F.round("change", 4).alias("change_score"))
+    return search.sort_mode(rows.withColumn("rank", F.lit(0)), "change").orderBy(F.col("change_score").desc(), F.col("final_score").desc(), "tile_id").limit(25).drop("rank")
+
+
+@query(f"WITH {V.TILES} SELECT sensor, count(*) AS n FROM tiles WHERE sensor IN ('SAR-C', 'MSI') GROUP BY sensor")
+def sensor_alias_filter(spark, sf):
+    t = V.tiles(spark, sf)
+    return t.where(filters.by_sensor(F.col("sensor"), "sentinel-1") | filters.by_sensor(F.col("sensor"), "S2")).groupBy("sensor").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {V.TILES} SELECT tile_id, ts FROM tiles WHERE ts >= TIMESTAMP '1994-03-01 00:00:00' AND ts <= TIMESTAMP '1994-05-31 23:59:59'")
+def date_window(spark, sf):
+    return V.tiles(spark, sf).where(filters.by_dates(F.col("ts"), "1994-03-01", "1994-05-31")).select("tile_id", "ts")
+
+
+@query(f"WITH {V.TILES} SELECT tile_id FROM tiles WHERE lon BETWEEN 88e0 AND 885e-1 AND lat BETWEEN 214e-1 AND 216e-1")
+def bbox_filter(spark, sf):
+    return V.tiles(spark, sf).where(filters.in_box(F.col("lon"), F.col("lat"), BOX)).select("tile_id")
+
+
+def _half(a, b):
+    return f"((lon - CAST({a[0]} AS DOUBLE)) * CAST({b[1] - a[1]!r} AS DOUBLE) - (lat - CAST({a[1]} AS DOUBLE)) * CAST({b[0] - a[0]!r} AS DOUBLE)) <= 0"
+
+
+@query(f"WITH {V.TILES} SELECT tile_id FROM tiles WHERE " + " AND ".join(_half(a, b) for a, b in zip(RING, RING[1:] + RING[:1])))
+def polygon_filter(spark, sf):
+    return V.tiles(spark, sf).where(filters.in_polygon(F.col("lon"), F.col("lat"), filters.polygon_points({"type": "Polygon", "coordinates": [RING]}))).select("tile_id")
+
+
+@query(f"WITH {V.TILES} SELECT count(*) AS n, count(cloud) AS known FROM tiles WHERE (cloud IS NULL OR cloud <= 3e-1) AND coalesce(quality, 5e-1) >= 4e-1 AND coalesce(cloud, 0e0) <= 85e-2")
+def quality_gate(spark, sf):
+    t = V.tiles(spark, sf).where(filters.cloud_at_most(F.col("cloud"), 0.3) & filters.usable(F.col("quality"), F.col("cloud")))
+    return t.agg(F.count("*").alias("n"), F.count("cloud").alias("known"))
+
+
+@query(f"WITH {V.TILES}, near AS (SELECT * FROM tiles WHERE lon BETWEEN 10e0 AND 11e0 AND lat BETWEEN 214e-1 AND 216e-1) SELECT tile_id FROM tiles WHERE (SELECT count(*) FROM near) < 3 OR tile_id IN (SELECT tile_id FROM near)")
+def broaden(spark, sf):
+    return filters.broadened(V.tiles(spark, sf), filters.in_box(F.col("lon"), F.col("lat"), (10.0, 21.4, 11.0, 21.6))).select("tile_id")
+
+
+@query(f"WITH {V.TILES}, {V.SCENES}, n AS (SELECT scene_id, count(*) AS tile_count FROM tiles GROUP BY 1) SELECT scene_id, source_filename, coalesce(tile_count, 0) AS tile_count FROM scenes LEFT JOIN n USING (scene_id) WHERE status = 'ingested' AND coalesce(tile_count, 0) > 0 AND lower(source_filename) LIKE '%1%'")
+def scene_tile_counts(spark, sf):
+    rows = filters.scenes_listed(status.tile_counts(V.scenes(spark, sf), V.tiles(spark, sf)), "ingested")
+    return rows.where(filters.text_match(F.col("source_filename"), F.lit(""), F.col("sensor"), "1")).select("scene_id", "source_filename", "tile_count")
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS scenes, (SELECT count(*) FROM orders) AS tiles, (SELECT count(*) FROM events) AS feedback, (SELECT count(*) FROM embeddings) AS vectors")
+def catalog_counts(spark, sf):
+    t = lambda n: V.table(spark, sf, n)
+    return status.counts({"scenes": t("customer"), "tiles": t("orders"), "feedback": t("events"), "vectors": t("embeddings")})
+
+
+@query("SELECT string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS versions FROM orders")
+def distinct_versions(spark, sf):
+    return status.versions(V.table(spark, sf, "orders"), "o_orderpriority")
+
+
+@query("SELECT count(*) FILTER (o_orderpriority <> '1-URGENT') > 0 AS stale, count(*) FILTER (o_orderpriority = '1-URGENT') AS current FROM orders")
+def stale_versions(spark, sf):
+    return status.stale(V.table(spark, sf, "orders"), "o_orderpriority", "1-URGENT")
+
+
+@query("SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'low_clear_fraction' WHEN o_orderkey % 5 = 1 THEN 'cloud' ELSE 'speckle' END AS reason, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 'nodata', count(*) FROM orders WHERE o_orderkey % 5 = 2")
+def discard_histogram(spark, sf):
+    k = F.col("o_orderkey") % 5
+    listed = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("cloud"))).when(k == 2, F.array(F.lit("speckle"), F.lit("nodata"))).otherwise(F.array(F.lit("speckle")))
+    return ingest.discard_histogram(V.table(spark, sf, "orders").select(listed.alias("confounds")))
+
+
+@query(f"WITH {V.FEEDBACK} SELECT target_id, round(greatest(least(5e-1 + 8e-2 * count(*) FILTER (verdict = 'confirm') - 8e-2 * count(*) FILTER (verdict = 'reject'), 1e0), 0e0), 6) AS score FROM feedback GROUP BY 1")
+def feedback_adjust(spark, sf):
+    said = search.verdict_counts(V.feedback(spark, sf))
+    return said.select(F.col("_target").alias("target_id"), r6(search.adjusted(S.num(0.5), F.col("confirms"), F.col("rejects"), search.SEARCH_STEP)).alias("score"))
+
+
+@query(f"""WITH {V.TILES}, {V.SCENES}, {V.FEEDBACK}, {V.RESULTS}, newest AS (SELECT *, row_number() OVER (PARTITION BY coalesce(analysis_key, CAST(before_tile_id AS VARCHAR) || ':' || CAST(after_tile_id AS VARCHAR)) ORDER BY created_at DESC NULLS LAST, change_id DESC) AS rn FROM results),
+said AS (SELECT target_id, count(*) FILTER (verdict = 'confirm') AS c, count(*) FILTER (verdict = 'reject') AS r, arg_max(verdict, (created_at, feedback_id)) AS last FROM feedback WHERE target_type = 'change_result' GROUP BY 1),
+judged AS (SELECT n.change_id, sb.source_filename AS before_file, sa.source_filename AS after_file, n.confidence, CASE last WHEN 'confirm' THEN 'confirmed' WHEN 'reject' THEN 'rejected' ELSE 'pending' END AS status,
+  round(greatest(least(coalesce(n.confidence, 0e0) + 5e-2 * coalesce(c, 0) - 5e-2 * coalesce(r, 0), 1e0), 0e0), 4) AS priority
+  FROM newest n JOIN tiles b ON b.tile_id = before_tile_id JOIN tiles a ON a.tile_id = after_tile_id LEFT JOIN scenes sb ON sb.scene_id = b.scene_id LEFT JOIN scenes sa ON sa.scene_id = a.scene_id LEFT JOIN said ON target_id = change_id WHERE rn = 1)
+SELECT change_id, before_file, after_file, status, priority FROM judged ORDER BY status <> 'pending', priority DESC, confidence DESC NULLS LAST, change_id LIMIT 200""")
+def review_queue(spark, sf):
+    rows = review.queue(V.results(spark, sf), V.tiles(spark, sf), V.scenes(spark, sf), V.feedback(spark, sf), limit=200)
+    return rows.select("change_id", "before_file", "after_file", "status", "priority")
+
+
+PEERS = "abs(a.lon - b.lon) <= 6e-3 AND abs(a.lat - b.lat) <= 6e-3"
+
+
+@query(f"WITH {V.TILES} SELECT a.tile_id, count(*) AS peers FROM tiles a JOIN tiles b ON a.scene_id = b.scene_id AND {PEERS} AND (a.sensor = 'SAR-C') = (b.sensor = 'SAR-C') GROUP BY 1")
+def spatial_peers(spark, sf):
+    t = V.tiles(spark, sf).select("tile_id", "lon", "lat", S.modality(F.col("sensor")).alias("mode"))
+    return spatial.band_join(t, t, spatial.PEER, ["mode"]).groupBy("tile_id").agg(F.count("*").alias("peers"))
+
+
+HAV = "6371e0 * 2 * atan2(sqrt({a}), sqrt(1 - {a}))".format(a="(power(sin(radians(lat - glat) / 2), 2) + cos(radians(glat)) * cos(radians(lat)) * power(sin(radians(lon - glon) / 2), 2))")
+BEARING = "floor((((degrees(atan2(sin(radians(lon - glon)) * cos(radians(lat)), cos(radians(glat)) * sin(radians(lat)) - sin(radians(glat)) * cos(radians(lat)) * cos(radians(lon - glon)))) + 360) % 360) + 225e-1) / 45)"
+
+
+@query(f"""WITH {V.TILES}, {V.GAZETTEER}, far AS (SELECT tile_id, name, zone, feature_type, {HAV} AS km, {BEARING} AS b, row_number() OVER (PARTITION BY tile_id ORDER BY {HAV}, ord) AS rn FROM tiles CROSS JOIN gazetteer)
+SELECT tile_id, name, zone, feature_type, round(km, 3) AS distance_km, (['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW', 'N'])[CAST(b AS INTEGER) + 1] AS direction FROM far WHERE rn = 1""")
+def nearest_landmark(spark, sf):
+    rows = spatial.nearest_landmark(V.tiles(spark, sf).select("tile_id", "lon", "lat"), V.gazetteer(spark))
+    return rows.select("tile_id", "name", "zone", "feature_type", F.round("distance_km", 3).alias("distance_km"), "direction")
+
+
+@query(f"WITH {V.TILES} SELECT tile_id FROM tiles ORDER BY (lon - 88e0) * (lon - 88e0) + (lat - 215e-1) * (lat - 215e-1), tile_id LIMIT 1")
+def nearest_seed(spark, sf):
+    return spatial.nearest_to(V.tiles(spark, sf), 88.0, 21.5, "tile_id").select("tile_id")
+
+
+@query(f"WITH {V.TILES}, a AS (SELECT * FROM tiles ORDER BY tile_id LIMIT 1) SELECT b.tile_id FROM tiles b, a WHERE abs(b.lon - a.lon) <= 2e-1 AND abs(b.lat - a.lat) <= 2e-1 AND b.tile_id <> a.tile_id ORDER BY b.tile_id LIMIT 4")
+def neighbors_box(spark, sf):
+    t = V.tiles(spark, sf)
+    anchor = t.orderBy("tile_id").limit(1).select("tile_id", "lon", "lat")
+    return spatial.band_join(anchor, t.select("tile_id", "lon", "lat"), 0.2).where("tile_id <> tile_id_2").orderBy("tile_id_2").limit(4).select(F.col("tile_id_2").alias("tile_id"))
+
+
+@query(f"WITH {V.TILES} SELECT tile_id, round(1e0 * CASE WHEN d <= 2 THEN 1e0 ELSE exp(-5e-1 * power((d - 2) / 25e-1, 2)) END, 6) AS geo FROM (SELECT tile_id, sqrt(power((lon - 88e0) * 1028e-1, 2) + power((lat - 215e-1) * 111e0, 2)) AS d FROM tiles) WHERE d <= 12")
+def geo_relevance(spark, sf):
+    g = S.geo_relevance(F.col("lon") - 88.0, F.col("lat") - 21.5)
+    return V.tiles(spark, sf).select("tile_id", r6(g).alias("geo")).where("geo is not null")
+
+
+@query(f"WITH {V.TILES}, r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, CAST(ts AS DATE), sensor = 'SAR-C' ORDER BY coalesce(quality, 5e-1) DESC, ts, tile_id) AS rn FROM tiles) SELECT tile_id, scene_id FROM r WHERE rn = 1")
+def best_per_day(spark, sf):
+    t = V.tiles(spark, sf).withColumn("mode", S.modality(F.col("sensor")))
+    return series.best_per(t, ["scene_id", F.to_date("ts"), "mode"], [F.coalesce("quality", F.lit(0.5)).desc(), F.col("ts"), F.col("tile_id")]).select("tile_id", "scene_id")
+
+
+@query(f"WITH {V.TILES}, r AS (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE), sensor ORDER BY sqrt(power(lon - 88e0, 2) + power(lat - 215e-1, 2)), tile_id) AS rn FROM tiles) SELECT tile_id, sensor FROM r WHERE rn = 1")
+def nearest_per_day(spark, sf):
+    d = F.sqrt(F.pow(F.col("lon") - 88.0, F.lit(2.0)) + F.pow(F.col("lat") - 21.5, F.lit(2.0)))
+    return series.best_per(V.tiles(spark, sf), [F.to_date("ts"), "sensor"], [d, F.col("tile_id")]).select("tile_id", "sensor")
+
+
+@query(f"WITH {V.TILES}, r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY ts, tile_id) AS a, row_number() OVER (PARTITION BY scene_id ORDER BY ts DESC, tile_id DESC) AS d, count(*) OVER (PARTITION BY scene_id) AS n FROM tiles) SELECT scene_id, tile_id, row_number() OVER (PARTITION BY scene_id ORDER BY ts, tile_id) AS index FROM r WHERE n <= 12 OR a <= 4 OR d <= 8")
+def head_tail_cap(spark, sf):
+    rows = series.head_and_tail(V.tiles(spark, sf), ["scene_id"], ["ts", "tile_id"])
+    return series.numbered(rows, ["scene_id"], ["ts", "tile_id"]).select("scene_id", "tile_id", F.col("index").cast("long").alias("index"))
+
+
+@query(f"WITH {V.TILES}, ref AS (SELECT scene_id, arg_min(row_off, tile_id) AS r, arg_min(col_off, tile_id) AS c FROM tiles GROUP BY 1), m AS (SELECT tiles.*, row_off = r AND col_off = c AS same FROM tiles JOIN ref USING (scene_id)), k AS (SELECT *, count(*) FILTER (same) OVER (PARTITION BY scene_id) AS n FROM m) SELECT scene_id AS area_id, tile_id FROM k WHERE same OR n < 2")
+def cell_match(spark, sf):
+    t = V.tiles(spark, sf).withColumnRenamed("scene_id", "area_id")
+    t = t.withColumn("reference_tile_id", F.min("tile_id").over(Window.partitionBy("area_id")))
+    return change.same_cell(t).select("area_id", "tile_id")
+
+
+@query(f"""WITH {V.TILES}, ref AS (SELECT scene_id, median_id AS ref_id, ts AS ref_ts FROM (SELECT scene_id, max(tile_id) AS median_id FROM tiles GROUP BY 1) JOIN tiles USING (scene_id) WHERE tile_id = median_id),
+p AS (SELECT scene_id, arg_min(tile_id, (ts, tile_id)) FILTER (ts < ref_ts) AS b, arg_max(tile_id, (ts, tile_id)) FILTER (ts > ref_ts) AS a, arg_min(tile_id, (ts, tile_id)) AS f, arg_max(tile_id, (ts, tile_id)) AS l, any_value(ref_id) AS r, count(*) AS n FROM tiles JOIN ref USING (scene_id) GROUP BY 1)
+SELECT scene_id AS area_id, CASE WHEN b IS NOT NULL THEN b WHEN a IS NOT NULL THEN r ELSE f END AS before_tile_id, CASE WHEN b IS NOT NULL THEN r WHEN a IS NOT NULL THEN a ELSE l END AS after_tile_id FROM p WHERE n >= 2""")
+def pair_before_after(spark, sf):
+    t = V.tiles(spark, sf).withColumnRenamed("scene_id", "area_id")
+    ref = t.groupBy("area_id").agg(F.max("tile_id").alias("ref_tile_id"), F.max_by("ts", "tile_id").alias("ref_ts"))
+    return change.pairs(t, ref)
+
+
+CP = f"""WITH {V.PASSES}, v AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn FROM passes WHERE valid),
+s AS (SELECT *, score >= 160 AS over, sum(CASE WHEN score >= 160 THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS isl FROM v WHERE rn > 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY series_id, isl ORDER BY ts) AS nth FROM s WHERE over),
+runs AS (SELECT series_id, isl, count(*) AS len, min(ts) AS onset, min(ts) FILTER (nth = 2) AS confirmed, min(rn) AS st FROM o GROUP BY 1, 2),
+hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY isl) AS k FROM runs WHERE len >= 2) WHERE k = 1),
+clear AS (SELECT s.series_id, max(s.ts) AS clear FROM s JOIN hit USING (series_id) WHERE NOT over AND rn < st GROUP BY 1),
+base AS (SELECT series_id, ts AS base_end FROM v WHERE rn = 3), cnt AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1),
+tr AS (SELECT r.series_id, CAST(sum(r.len) AS BIGINT) AS transients FROM runs r LEFT JOIN hit h ON h.series_id = r.series_id WHERE h.series_id IS NULL OR r.isl < h.isl GROUP BY 1)
+SELECT e.series_id, CASE WHEN base_end IS NULL OR n IS NULL THEN 'insufficient_data' WHEN onset IS NOT NULL THEN 'confirmed' WHEN transients > 0 THEN 'transient_only' ELSE 'no_change' END AS status, onset, confirmed,
+  CASE WHEN onset IS NOT NULL THEN round(date_diff('second', coalesce(clear, base_end), onset) / 86400e0, 3) END AS uncertainty_days, CASE WHEN onset IS NOT NULL THEN round(date_diff('second', onset, confirmed) / 86400e0, 3) END AS lag_days, coalesce(transients, 0) AS transients
+FROM (SELECT DISTINCT series_id FROM passes) e LEFT JOIN base USING (series_id) LEFT JOIN cnt USING (series_id) LEFT JOIN (SELECT series_id, onset, confirmed FROM hit) USING (series_id) LEFT JOIN clear USING (series_id) LEFT JOIN tr USING (series_id)"""
+
+
+@query(CP)
+def change_point(spark, sf):
+    return series.change_points(V.passes(spark, sf), ["series_id"], "ts", 3, 2, 160)
+
+
+@query(f"WITH {V.PASSES}, m AS (SELECT *, sum(CASE WHEN valid THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM passes) SELECT CASE WHEN NOT valid THEN 'invalid_pass_skipped' WHEN c <= 3 THEN 'baseline' WHEN score >= 160 THEN 'over_threshold' ELSE 'below_threshold' END AS event, count(*) AS n FROM m GROUP BY 1")
+def pass_events(spark, sf):
+    return series.pass_log(V.passes(spark, sf), ["series_id"], "ts", 3, 160).groupBy("event").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {V.TILES} SELECT tile_id, round(date_diff('second', lag(ts) OVER (PARTITION BY scene_id, sensor ORDER BY ts, tile_id), ts) / 86400e0, 4) AS gap_days FROM tiles")
+def revisit_gaps(spark, sf):
+    rows = series.gaps(V.tiles(spark, sf), ["scene_id", "sensor"], "ts", ["ts", "tile_id"])
+    return rows.select("tile_id", F.round("gap_days", 4).alias("gap_days"))
+
+
+@query("WITH b AS (SELECT CAST(min(ts) AS DATE) AS f, CAST(max(ts) AS DATE) AS l FROM events) SELECT CAST(CAST(s AS DATE) AS VARCHAR) AS start, CAST(least(CAST(s AS DATE) + 4, l) AS VARCHAR) AS stop FROM b, generate_series(CAST(f AS TIMESTAMP), CAST(l AS TIMESTAMP), INTERVAL 5 DAY) AS g(s)")
+def cadence_windows(spark, sf):
+    b = V.table(spark, sf, "events").agg(F.min("ts").alias("first"), F.max("ts").alias("final"))
+    return series.cadence(b, 5).select(F.col("start").cast("string").alias("start"), F.col("stop").cast("string").alias("stop"))
+
+
+PLAN = """WITH b AS (SELECT CAST(min(o_orderdate) AS DATE) AS f, CAST(max(o_orderdate) AS DATE) AS l FROM orders), w AS (SELECT CAST(s AS DATE) AS start, least(CAST(s AS DATE) + 4, l) AS stop FROM b, generate_series(CAST(f AS TIMESTAMP), CAST(l AS TIMESTAMP), INTERVAL 5 DAY) AS g(s)),
+have AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 97 = 0), need AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM have WHERE d BETWEEN start AND stop)),
+cat AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_orderdate AS dt, CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey % 101) / 100e0 END AS cloud FROM orders WHERE o_orderkey % 7 = 1),
+best AS (SELECT start, id, row_number() OVER (PARTITION BY start ORDER BY coalesce(cloud, 0e0), dt, id) AS rn FROM need JOIN cat ON d BETWEEN start AND stop)
+SELECT CAST(need.start AS VARCHAR) AS start, CAST(need.stop AS VARCHAR) AS stop, CAST(id AS VARCHAR) AS product_id, CASE WHEN id IS NULL THEN 'gap' ELSE 'acquire' END AS state FROM need LEFT JOIN best ON best.start = need.start AND rn = 1"""
+
+
+@query(PLAN)
+def acquisition_plan(spark, sf):
+    o = V.table(spark, sf, "orders")
+    b = o.agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("final"))
+    k = F.col("o_orderkey")
+    cat = o.select(k.alias("product_id"), F.col("o_orderdate").alias("date"), F.when(k % 11 != 0, (k % 101) / F.lit(100.0)).alias("cloud"), (k % 7 == 1).alias("online"))
+    rows = ingest.plan_acquisitions(b, cat, o.where(k % 97 == 0).select(F.col("o_orderdate").alias("date")))
+    return rows.select(F.col("start").cast("string").alias("start"), F.col("stop").cast("string").alias("stop"), F.col("product_id").cast("string").alias("product_id"), "state")
+
+
+DELTA = f"""WITH {V.TILES}, s AS (SELECT scene_id, sensor = 'SAR-C' AS sar, count(*) AS n, arg_min(ndvi, (ts, tile_id)) AS v0, arg_max(ndvi, (ts, tile_id)) AS v1, arg_min(ndbi, (ts, tile_id)) AS b0, arg_max(ndbi, (ts, tile_id)) AS b1, arg_min(brightness, (ts, tile_id)) AS m0, arg_max(brightness, (ts, tile_id)) AS m1 FROM tiles GROUP BY ALL),
+d AS (SELECT *, v1 - v0 AS dv, b1 - b0 AS db, (m1 - m0) / greatest(abs(m0), 1e0) AS rel, least(1e0, 8e-1 + 5e-2 * greatest(0, n - 2)) AS support FROM s)
+SELECT scene_id, CASE WHEN sar THEN 'sar' ELSE 'optical' END AS mode, round(greatest(least(CASE WHEN sar THEN greatest(least(greatest(0e0, rel) / 25e-2, 1e0), 0e0) ELSE 65e-2 * greatest(least(greatest(0e0, db) / 15e-2, 1e0), 0e0) + 35e-2 * greatest(least(greatest(0e0, -dv) / 18e-2, 1e0), 0e0) END * support, 1e0), 0e0), 4) AS score FROM d"""
+
+
+@query(DELTA)
+def spectral_delta(spark, sf):
+    t = V.tiles(spark, sf).withColumn("mode", S.modality(F.col("sensor")))
+    s = series.first_and_last(t, ["scene_id", "mode"], ["ts", "tile_id"], ["ndvi", "ndwi", "ndbi", "brightness"])
+    d = lambda c: F.col(f"last_{c}") - F.col(f"first_{c}")
+    score = S.spectral_delta_score(F.col("mode"), d("ndvi"), d("ndwi"), d("ndbi"), F.col("first_brightness"), F.col("last_brightness"), F.col("n"), WORDS)
+    return s.select("scene_id", "mode", score.alias("score"))
+
+
+@query()
+def change_evidence(spark, sf):
+    t = V.tiles(spark, sf)
+    return search.change_evidence(t.select("tile_id", "lon", "lat", "sensor"), t, V.results(spark, sf), WORDS)
+
+
+SUPPRESS = """WITH t AS (SELECT o_orderkey AS k, (o_orderkey % 89) / 89e0 AS raw, (o_orderkey % 71) / 100e0 AS c1, (o_orderkey % 53) / 100e0 AS c2, (o_orderkey % 61) / 61e0 AS v1, 9e-1 AS v2, (o_orderkey % 97) / 97e0 AS q1, 8e-1 AS q2, (o_orderkey % 37) / 37e0 AS corr, (o_orderkey % 29) / 29e0 AS rad FROM orders),
+p AS (SELECT *, raw * CASE WHEN c1 > 35e-2 OR c2 > 35e-2 THEN 25e-2 ELSE 1e0 END * CASE WHEN v1 < 7e-1 OR v2 < 7e-1 THEN 5e-1 ELSE 1e0 END * (CASE WHEN corr < 5e-1 THEN 3e-1 WHEN corr < 7e-1 THEN 75e-2 ELSE 1e0 END) * CASE WHEN rad > 6e-1 THEN 6e-1 ELSE 1e0 END AS kept,
+  (CASE WHEN raw > 5e-1 THEN 1 ELSE 0 END) + (CASE WHEN q1 > 5e-1 THEN 1 ELSE 0 END) + (CASE WHEN corr > 5e-1 THEN 1 ELSE 0 END) AS per FROM t),
+s AS (SELECT *, greatest(least(CASE WHEN per >= 2 THEN least(1e0, kept + least(25e-2, 6e-2 * per)) WHEN per = 0 THEN kept * 7e-1 ELSE kept END, 1e0), 0e0) AS score FROM p)
+SELECT k AS tile_id, round(score, 4) AS change_score, round(least(q1, q2), 4) AS quality_score, round(greatest(least(6e-1 * score + 4e-1 * least(q1, q2), 1e0), 0e0), 4) AS confidence FROM s"""
+
+
+@query(SUPPRESS)
+def suppression(spark, sf):
+    k = F.col("o_orderkey")
+    sh = lambda m, o: (k % m) / F.lit(float(o))
+    rows = V.table(spark, sf, "orders").select(k.alias("tile_id"), sh(89, 89).alias("raw"), sh(71, 100).alias("c1"), sh(53, 100).alias("c2"), sh(61, 61).alias("v1"), sh(97, 97).alias("q1"), sh(37, 37).alias("corr"), sh(29, 29).alias("rad"))
+    s = S.suppressed(F.col("raw"), F.col("c1"), F.col("c2"), F.col("v1"), S.num(0.9), F.col("q1"), S.num(0.8), F.col("corr"), F.col("rad"), F.array("raw", "q1", "corr"))
+    return rows.withColumn("s", s).select("tile_id", "s.change_score", "s.quality_score", "s.confidence")
+
+
+@query(f"""WITH {V.TILES} SELECT tile_id, CASE WHEN sensor = 'SAR-C' THEN CASE WHEN ndbi > -486e-3 THEN 'RADAR HIGH-SCATTER URBAN STRUCTURE' WHEN ndbi < -49e-2 THEN 'RADAR SMOOTH SURFACE / WATERWAY' ELSE 'RADAR MIXED TERRAIN & BUILT-UP' END
+ WHEN ndwi > 5e-2 OR (ndwi > -15e-2 AND ndvi < -5e-2 AND ndbi < -15e-2) THEN 'HOOGHLY WATERWAY & AQUATIC BASIN' WHEN ndwi > -1e-1 AND ndvi > 5e-2 AND ndbi < -1e-1 THEN 'WETLAND & RIPARIAN SHORELINE' WHEN ndvi > 3e-1 THEN 'DENSE VEGETATED CANOPY / WOODLAND' WHEN ndvi > 15e-2 THEN 'VEGETATED CANOPY & MIXED GREENS'
+ WHEN ndvi > 5e-2 AND ndbi < -1e-1 THEN 'AGRICULTURAL CULTIVATION / AGRO-TERRAIN' WHEN ndbi > 4e-2 OR (brightness > 130 AND ndvi < 0) THEN 'HIGH-DENSITY URBAN BUILT-UP' WHEN ndbi > -8e-2 OR brightness > 85 THEN 'URBAN RESIDENTIAL DEVELOPMENT' WHEN ndbi < -2e-1 AND ndvi < 5e-2 THEN 'OPEN TERRAIN & LOW-REFLECTIVE GROUND' ELSE 'MIXED URBAN & PERI-URBAN TERRAIN' END AS label FROM tiles""")
+def landcover_label(spark, sf):
+    none = F.lit(None).cast("string")
+    return V.tiles(spark, sf).select("tile_id", S.land_cover(F.col("ndvi"), F.col("ndwi"), F.col("ndbi"), F.col("sensor"), F.col("brightness"), none, none).alias("label"))
+
+
+REGION = """WITH r AS (SELECT p_partkey AS id, (p_partkey % 50) / 10e0 AS el, (p_partkey % 17) / 4e0 AS asp, (p_partkey % 11) / 11e0 AS sol, (p_partkey % 41) / 50e0 - 4e-1 AS dv, (p_partkey % 37) / 50e0 - 35e-2 AS dw, (p_partkey % 43) / 60e0 - 35e-2 AS db, (p_partkey % 31) / 50e0 - 3e-1 AS bb, (p_partkey % 29) / 50e0 - 3e-1 AS ab, (p_partkey % 23) / 50e0 - 2e-1 AS aw, (p_partkey % 19) / 30e0 AS av FROM part),
+k AS (SELECT *, CASE WHEN (el > 28e-1 OR (asp > 3 AND sol < 6e-1)) AND (db > -15e-2 OR ab > -1e-1) THEN 1 WHEN db > 1e-1 OR (ab > 0 AND db > 4e-2) THEN 2 WHEN dv < -8e-2 THEN 3 WHEN dv > 12e-2 AND av > 15e-2 THEN 4 WHEN (abs(dw) > 15e-2 OR aw > 1e-1) AND dv < 2e-1 AND ab <= 5e-2 THEN 5 ELSE 6 END AS c FROM r)
+SELECT id AS region_id, (['road_development', 'construction', 'clearance', 'clearance', 'water_extent', 'unclassified'])[c] AS change_type,
+ CASE c WHEN 1 THEN CASE WHEN el > 35e-1 THEN 'appearance' ELSE 'expansion' END WHEN 2 THEN CASE WHEN bb < -5e-2 THEN 'appearance' ELSE 'expansion' END WHEN 3 THEN CASE WHEN dv < -15e-2 THEN 'disappearance' ELSE 'contraction' END WHEN 4 THEN 'expansion' WHEN 5 THEN CASE WHEN dw > 0 THEN 'expansion' ELSE 'contraction' END ELSE CASE WHEN db > 0 THEN 'expansion' ELSE 'contraction' END END AS dynamics,
+ round(CASE c WHEN 1 THEN least(95e-2, 65e-2 + 5e-2 * least(el, 6e0)) WHEN 2 THEN least(95e-2, 65e-2 + 4e-1 * greatest(db, 0e0) + 3e-1 * greatest(-dv, 0e0)) WHEN 3 THEN least(92e-2, 65e-2 + 5e-1 * abs(dv)) WHEN 4 THEN least(92e-2, 65e-2 + 3e-1 * least(dv, 1e0)) WHEN 5 THEN least(95e-2, 7e-1 + abs(dw)) ELSE 6e-1 END, 3) AS confidence FROM k"""
+
+
+@query(REGION)
+def region_type(spark, sf):
+    k = F.col("p_partkey")
+    sh = lambda m, o, less=0.0: (k % m) / F.lit(float(o)) - F.lit(float(less)) if less else (k % m) / F.lit(float(o))
+    kind = S.region_type(sh(50, 10), sh(17, 4), sh(11, 11), sh(41, 50, 0.4), sh(37, 50, 0.35), sh(43, 60, 0.35), sh(31, 50, 0.3), sh(29, 50, 0.3), sh(23, 50, 0.2), sh(19, 30))
+    return V.table(spark, sf, "part").select(k.alias("region_id"), kind.alias("k")).select("region_id", "k.change_type", "k.dynamics", "k.confidence")
+
+
+@query(f"WITH {V.TILES} SELECT tile_id, round(greatest(least(45e-2 * (1e0 - coalesce(cloud, 0e0)) + 35e-2 * coalesce(quality, 5e-1) + 2e-1 * 5e-1, 1e0), 0e0), 6) AS score FROM tiles")
+def quality_score(spark, sf):
+    return V.tiles(spark, sf).select("tile_id", r6(S.quality_score(F.coalesce("cloud", S.num(0)), F.coalesce("quality", S.num(0.5)), S.num(0.5))).alias("score"))
+
+
+@query("WITH s AS (SELECT l_suppkey AS tile_id, l_returnflag AS change_type, sum(l_quantity) AS a, min(l_orderkey) AS f FROM lineitem GROUP BY 1, 2) SELECT tile_id, change_type AS dominant_change_type FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY a DESC, f) AS rn FROM s) WHERE rn = 1")
+def dominant_type(spark, sf):
+    rows = V.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("tile_id"), F.col("l_returnflag").alias("change_type"), F.col("l_quantity").alias("area"), F.col("l_orderkey").alias("region_id"))
+    return change.dominant(rows, ["tile_id"], "change_type")
+
+
+@query(f"""WITH {V.PIXELS}, s AS (SELECT tile_id, band, count(*) AS area, min("row") AS y, min(col) AS x, max("row") - min("row") + 1 AS h, max(col) - min(col) + 1 AS w, var_samp("row") AS a, var_samp(col) AS c, covar_samp("row", col) AS b FROM pixels WHERE "value" > 200 GROUP BY 1, 2)
+SELECT tile_id, band, area, y, x, h, w, round(sqrt(greatest((a + c) / 2 + sqrt(power((a - c) / 2, 2) + b * b), 1e-6) / greatest((a + c) / 2 - sqrt(power((a - c) / 2, 2) + b * b), 1e-6)), 5) AS elongation FROM s WHERE area >= 6""")
+def region_stats(spark, sf):
+    rows = raster.region_stats(V.pixels(spark, sf).where("value > 200"), ["tile_id", "band"], 6)
+    return rows.select("tile_id", "band", "area", "y", "x", "h", "w", F.round("elongation", 5).alias("elongation"))
+
+
+WIDE = f"""{V.PIXELS}, top AS (SELECT tile_id, max("value") AS t FROM pixels GROUP BY 1), scaled AS (SELECT tile_id, "row", col, band, "value" / CASE WHEN t <= 1 THEN 1e0 WHEN t <= 255 THEN 255e0 ELSE 10000e0 END AS v FROM pixels JOIN top USING (tile_id)),
+wide AS (SELECT tile_id, "row", col, max(v) FILTER (band = 'blue') AS blue, max(v) FILTER (band = 'green') AS green, max(v) FILTER (band = 'red') AS red, max(v) FILTER (band = 'nir') AS nir FROM scaled GROUP BY 1, 2, 3)"""
+
+
+def _ratio(a, b):
+    return f"greatest(least(({a}) / CASE WHEN abs({b}) < 1e-6 THEN 1e-6 ELSE {b} END, 1e0), -1e0)"
+
+
+@query(f"WITH {WIDE} SELECT tile_id, round(avg({_ratio('nir - red', 'nir + red')}), 6) AS ndvi, round(avg({_ratio('green - nir', 'green + nir')}), 6) AS ndwi, round(avg({_ratio('red - nir', 'red + nir')}), 6) AS ndbi, round(stddev_pop({_ratio('nir - red', 'nir + red')}), 6) AS ndvi_std FROM wide WHERE red IS NOT NULL AND green IS NOT NULL AND nir IS NOT NULL GROUP BY 1")
+def spectral_indices(spark, sf):
+    w = raster.wide(raster.scaled(V.pixels(spark, sf)), ["blue", "green", "red", "nir"]).where("red is not null and green is not null and nir is not null")
+    i = raster.indices({b: F.col(b) for b in ("green", "red", "nir")})
+    rows = w.select("tile_id", *[c.alias(n) for n, c in i.items()])
+    return rows.groupBy("tile_id").agg(*[r6(F.avg(n)).alias(n) for n in i], r6(F.stddev_pop("ndvi")).alias("ndvi_std"))
+
+
+@query(f'WITH {V.PIXELS} SELECT tile_id % 2 AS series_id, "row", col, band, median("value") AS "value" FROM pixels GROUP BY 1, 2, 3, 4')
+def median_baseline(spark, sf):
+    return raster.median_baseline(V.pixels(spark, sf).withColumn("series_id", F.col("tile_id") % 2))
+
+
+@query(f'WITH {V.PIXELS} SELECT tile_id, band, round(avg("value"), 6) AS mean, round(stddev_pop("value"), 6) AS std, count(*) AS n FROM pixels GROUP BY 1, 2')
+def band_stats(spark, sf):
+    return raster.band_stats(V.pixels(spark, sf), ["tile_id", "band"]).select("tile_id", "band", r6("mean").alias("mean"), r6("std").alias("std"), "n")
+
+
+@query(f"""WITH {V.PIXELS}, p AS (SELECT tile_id, quantile_cont("value", 2e-2) AS lo, quantile_cont("value", 98e-2) AS hi FROM pixels GROUP BY 1) SELECT tile_id, band, round(avg(greatest(least(("value" - lo) / (CASE WHEN hi - lo < 1e-6 THEN 1e0 ELSE hi - lo END), 1e0), 0e0)), 6) AS mean FROM pixels JOIN p USING (tile_id) GROUP BY 1, 2""")
+def stretch(spark, sf):
+    return raster.stretched(V.pixels(spark, sf)).groupBy("tile_id", "band").agg(r6(F.avg("value")).alias("mean"))
+
+
+@query(f"""WITH {V.PIXELS}, src AS (SELECT band, CAST(least(greatest(round("value" / 256e0 * 255), 0), 255) AS INTEGER) AS v, count(*) AS n FROM pixels WHERE tile_id = 0 GROUP BY 1, 2), tgt AS (SELECT band, CAST(least(greatest(round("value" / 256e0 * 255), 0), 255) AS INTEGER) AS v, count(*) AS n FROM pixels WHERE tile_id = 1 GROUP BY 1, 2),
+cs AS (SELECT band, v, sum(n) OVER (PARTITION BY band ORDER BY v) / CAST(sum(n) OVER (PARTITION BY band) AS DOUBLE) AS c FROM src), ct AS (SELECT band, v, sum(n) OVER (PARTITION BY band ORDER BY v) / CAST(sum(n) OVER (PARTITION BY band) AS DOUBLE) AS c FROM tgt),
+spine AS (SELECT b.band, CAST(g.v AS INTEGER) AS v, coalesce((SELECT max(c) FROM ct WHERE ct.band = b.band AND ct.v <= g.v), 0e0) AS c FROM (SELECT DISTINCT band FROM ct) b, generate_series(0, 255) g(v))
+SELECT cs.band, cs.v AS "value", arg_min(spine.v, (abs(spine.c - cs.c), spine.v)) AS matched FROM cs JOIN spine ON spine.band = cs.band GROUP BY 1, 2""")
+def hist_match(spark, sf):
+    p = V.pixels(spark, sf).withColumn("value", F.col("value") / 256.0)
+    return raster.histogram_match(p.where("tile_id = 0"), p.where("tile_id = 1"))
+
+
+@query(f"""WITH {V.PIXELS}, d AS (SELECT *, "row" // 16 AS pi, col // 16 AS pj FROM pixels), e AS (SELECT *, abs("value" - lag("value") OVER (PARTITION BY tile_id, band, pi, pj, "row" ORDER BY col)) AS r, abs("value" - lag("value") OVER (PARTITION BY tile_id, band, pi, pj, col ORDER BY "row")) AS dn FROM d)
+SELECT tile_id, band, CAST(pi AS INTEGER) AS pi, CAST(pj AS INTEGER) AS pj, round(avg("value"), 6) AS mean, round(stddev_pop("value"), 6) AS std, round(coalesce(avg(r), 0) + coalesce(avg(dn), 0), 6) AS edge FROM e GROUP BY 1, 2, 3, 4""")
+def patch_features(spark, sf):
+    rows = raster.patch_features(V.pixels(spark, sf))
+    return rows.select("tile_id", "band", "pi", "pj", r6("mean").alias("mean"), r6("std").alias("std"), r6("edge").alias("edge"))
+
+
+LIST = "list_transform({e}, lambda x: CAST(x AS DOUBLE))"
+
+
+@query("WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT vec_id, v, lead(vec_id) OVER (ORDER BY vec_id) AS n FROM e) SELECT p.vec_id, round(least(sqrt(list_sum(list_transform(list_zip(p.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) / (sqrt(list_dot_product(p.v, p.v)) + sqrt(list_dot_product(e.v, e.v)) + 1e-6), 1e0), 5) AS d FROM p JOIN e ON e.vec_id = n")
+def feature_diff(spark, sf):
+    e = V.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    ids = e.select("vec_id", F.lead("vec_id").over(Window.orderBy("vec_id")).alias("n"))
+    rows = e.join(ids, "vec_id").join(e.select(F.col("vec_id").alias("n"), F.col("v").alias("v2")), "n")
+    return rows.select("vec_id", F.round(raster.feature_difference(F.col("v"), F.col("v2")), 5).alias("d"))
+
+
+MEANS = f"{V.VECTORS}, long AS (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding) AS x FROM vectors), m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM long GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY 1), c AS (SELECT m.label, list(m / n ORDER BY i) AS c FROM m JOIN n USING (label) GROUP BY 1)"
+NEAR = "list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), c) / (sqrt(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) * sqrt(list_dot_product(c, c)))"
+
+
+@query(f"WITH {MEANS} SELECT label, round(c[1], 5) AS c1, round(c[64], 5) AS c64 FROM c")
+def centroid(spark, sf):
+    return vector.centroid(V.vectors(spark, sf), ["label"], "embedding").select("label", F.round(F.col("centroid")[0], 5).alias("c1"), F.round(F.col("centroid")[63], 5).alias("c64"))
+
+
+@query(f"WITH {MEANS} SELECT label, count(*) AS n, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat, min(ts) AS first, max(ts) AS final, round(avg(quality), 6) AS quality, string_agg(DISTINCT sensor, ',' ORDER BY sensor) AS sensors, round(avg({NEAR}), 5) AS cohesion FROM vectors JOIN c USING (label) GROUP BY 1")
+def cluster_summary(spark, sf):
+    rows = cluster.summaries(V.vectors(spark, sf), "label", "embedding")
+    return rows.select("label", "n", r6("lon").alias("lon"), r6("lat").alias("lat"), "first", "final", r6("quality").alias("quality"), "sensors", F.round("cohesion", 5).alias("cohesion"))
+
+
+@query(f"WITH {MEANS}, s AS (SELECT label, tile_id, round({NEAR}, 6) AS similarity FROM vectors JOIN c USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, tile_id) AS place FROM s) SELECT label, tile_id, place FROM r WHERE place <= 5")
+def cluster_topk(spark, sf):
+    return cluster.cluster_top(V.vectors(spark, sf), "label", "embedding", "tile_id", 5).select("label", "tile_id", F.col("place").cast("long").alias("place"))
+
+
+@query()
+def agglomerative(spark, sf):
+    return cluster.agglomerate(V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("tile_id"), "embedding"), "tile_id", "embedding", 10)
+
+
+@query()
+def components(spark, sf):
+    return raster.components(V.pixels(spark, sf).where("band = 'red'").withColumn("value", F.when(F.col("value") > 180, F.col("value")).otherwise(F.lit(0.0))))
+
+
+@query()
+def registration(spark, sf):
+    w = raster.wide(V.pixels(spark, sf), ["red", "nir"]).select("tile_id", "row", "col", F.coalesce("red", F.lit(0.0)).alias("before"), F.coalesce("nir", F.lit(0.0)).alias("after"))
+    return raster.register(w)
+
+
+@query("SELECT doc_id, list_sort(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['new', 'recent', 'constructed', 'construction', 'cleared', 'clearance', 'development', 'developed', 'expanded', 'expansion', 'built', 'changed', 'change'])) = [] AS plain FROM documents")
+def temporal_intent(spark, sf):
+    return V.table(spark, sf, "documents").select("doc_id", (F.size(S.change_words(F.col("text"))) == 0).alias("plain"))
+
+
+@query(r"""WITH q AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'new roads cloud < ' || CAST(event_id % 50 AS VARCHAR) || '% sentinel-2' WHEN 1 THEN 'ponds excluding cloudy imagery from SAR' WHEN 2 THEN 'clear sky only fields landsat 8' WHEN 3 THEN 'river near port' WHEN 4 THEN 'S1 ships' ELSE 'cloud under 20 farms' END AS text FROM events)
+SELECT event_id, CASE WHEN regexp_matches(lower(text), 'cloud(?:y| cover)?\s*(?:<|less than|under|below|max)\s*(\d+)%?') THEN CAST(regexp_extract(lower(text), 'cloud(?:y| cover)?\s*(?:<|less than|under|below|max)\s*(\d+)%?', 1) AS DOUBLE) / 100e0 WHEN regexp_matches(lower(text), '(?:excluding|without|no)\s+cloudy') THEN 15e-2 WHEN regexp_matches(lower(text), 'clear\s+sky') THEN 1e-1 END AS max_cloud,
+  CASE WHEN regexp_matches(lower(text), '\b(sentinel[\s-]?2|s2)\b') THEN 'Sentinel-2' WHEN regexp_matches(lower(text), '\b(sentinel[\s-]?1|s1|sar)\b') THEN 'Sentinel-1' WHEN regexp_matches(lower(text), '\b(landsat[\s-]?8|landsat|l8)\b') THEN 'Landsat-8' END AS sensor FROM q""")
+def nl_parse(spark, sf):
+    k = F.col("event_id") % 6
+    text = (
+        F.when(k == 0, F.concat(F.lit("new roads cloud < "), (F.col("event_id") % 50).cast("string"), F.lit("% sentinel-2"))).when(k == 1, "ponds excluding cloudy imagery from SAR").when(k == 2, "clear sky only fields landsat 8")
+        .when(k == 3, "river near port").when(k == 4, "S1 ships").otherwise("cloud under 20 farms")
+    )
+    q = V.table(spark, sf, "events").select("event_id", text.alias("text"))
+    return q.select("event_id", X.max_cloud(F.col("text")).alias("max_cloud"), X.sensor_of(F.col("text")).alias("sensor"))
+
+
+@query("WITH t AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS tok FROM conversations) SELECT CAST(('0x' || right(sha256(tok), 2))::INTEGER % 64 AS INTEGER) AS bucket, count(*) AS n FROM t GROUP BY 1")
+def text_embed_hash(spark, sf):
+    c = V.table(spark, sf, "conversations").select(F.explode(vector.token_buckets(F.col("text"))).alias("bucket"))
+    return c.groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("""WITH b AS (SELECT o_custkey AS id, 8775e-2 + (o_custkey % 90) * 97e-4 AS w, 214e-1 + floor(o_custkey / 90e0) * 129e-4 AS s FROM (SELECT DISTINCT o_custkey FROM orders)), z AS (SELECT *, unnest([10, 12]) AS z FROM b),
+e AS (SELECT id, z, CAST(floor((w + 180) / 360 * power(2e0, z)) AS INTEGER) AS x0, CAST(floor((w + 5e-2 + 180) / 360 * power(2e0, z)) AS INTEGER) AS x1, CAST(floor((1 - asinh(tan(radians(s + 5e-2))) / pi()) / 2 * power(2e0, z)) AS INTEGER) AS y0, CAST(floor((1 - asinh(tan(radians(s))) / pi()) / 2 * power(2e0, z)) AS INTEGER) AS y1 FROM z)
+SELECT z, CAST(sum((x1 - x0 + 1) * (y1 - y0 + 1)) AS BIGINT) AS tiles FROM e GROUP BY 1""")
+def slippy_tiles(spark, sf):
+    c = V.table(spark, sf, "orders").select("o_custkey").distinct()
+    w, s = F.lit(87.75) + (F.col("o_custkey") % 90) * F.lit(0.0097), F.lit(21.4) + F.floor(F.col("o_custkey") / F.lit(90.0)) * F.lit(0.0129)
+    boxes = c.select(w.alias("west"), s.alias("south"), (w + 0.05).alias("east"), (s + 0.05).alias("north"))
+    return spatial.slippy_tiles(boxes, [10, 12]).groupBy("z").agg(F.count("*").alias("tiles"))
+
+
+@query("""WITH s AS (SELECT c_custkey AS scene_id, CAST(300 + c_custkey % 500 AS INTEGER) AS width, CAST(280 + c_custkey % 300 AS INTEGER) AS height FROM customer), g AS (SELECT scene_id, CAST(r AS INTEGER) AS row_off, CAST(c AS INTEGER) AS col_off, CAST(least(256, height - r) AS INTEGER) AS h, CAST(least(256, width - c) AS INTEGER) AS w FROM s, generate_series(0, height - 1, 256) a(r), generate_series(0, width - 1, 256) b(c))
+SELECT * FROM g WHERE h >= 128 AND w >= 128""")
+def tile_grid(spark, sf):
+    k = F.col("c_custkey")
+    s = V.table(spark, sf, "customer").select(k.alias("scene_id"), (300 + k % 500).cast("int").alias("width"), (280 + k % 300).cast("int").alias("height"))
+    return spatial.tile_grid(s).select("scene_id", "row_off", "col_off", "h", "w")
+
+
+@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 3")
+def last_turns(spark, sf):
+    return series.last_turns(V.table(spark, sf, "conversations"), "conv_id", "turn", 3).select("conv_id", "turn")
+
+
+@query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), -1) AS last_user FROM conversations")
+def last_entity(spark, sf):
+    rows = series.last_known(V.table(spark, sf, "conversations"), "conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")), "last_user")
+    return rows.select("conv_id", "turn", F.coalesce("last_user", F.lit(-1)).alias("last_user"))
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, n DESC) AS rn FROM (SELECT user_id, event_id, value, ts, 0 AS n FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_id, value, ts, 1 FROM events WHERE event_id % 3 = 0)) WHERE rn = 1")
+def dedup_upsert(spark, sf):
+    e = V.table(spark, sf, "events")
+    return merge.upserted(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0"), ["user_id"], "ts").select("user_id", "event_id", "value")
+
+
+@query(f"WITH {V.TILES}, g AS (SELECT scene_id, min(lon) AS lon, min(lat) AS lat, string_agg(CAST(tile_id AS VARCHAR), '|' ORDER BY ts, tile_id) AS ids FROM tiles GROUP BY 1) SELECT scene_id, sha256(concat_ws('|', printf('%.6f', lon), printf('%.6f', lat), '2024-01-01', '2024-12-31', '3', '2', '0.1800', ids)) AS analysis_key FROM g")
+def analysis_key(spark, sf):
+    g = V.tiles(spark, sf).groupBy("scene_id").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"), F.transform(F.array_sort(F.collect_list(F.struct("ts", "tile_id"))), lambda s: s["tile_id"].cast("string")).alias("ids"))
+    return g.select("scene_id", S.analysis_key(F.col("lon"), F.col("lat"), F.lit("2024-01-01"), F.lit("2024-12-31"), F.lit(3), F.lit(2), S.num(0.18), F.col("ids")).alias("analysis_key"))
+
+
+@query("SELECT o_orderkey, CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15)) AS BIGINT) AS point_id FROM orders")
+def point_id(spark, sf):
+    return V.table(spark, sf, "orders").select("o_orderkey", S.point_id(F.col("o_orderkey")).alias("point_id"))
+
+
+@query("SELECT DISTINCT p_brand AS source_hash FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size < 3)")
+def scene_dedup(spark, sf):
+    p = V.table(spark, sf, "part").select(F.col("p_brand").alias("source_hash"), "p_size")
+    return merge.inserted(p.where("p_size < 3"), p, ["source_hash"]).select("source_hash")
+
+
+@query("SELECT event_id, CASE WHEN k IS NULL THEN 'missing resolution_m' WHEN k <= 0 THEN 'bad resolution_m' ELSE '' END AS errors FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) - 5 AS k FROM events)")
+def provenance_validate(spark, sf):
+    rows = V.table(spark, sf, "events").select("event_id", F.from_json("props", "k double")["k"].alias("k"))
+    full = F.struct(
+        F.lit(files.PORTALS[0]).alias("source_portal"), F.lit("d").alias("underlying_dataset"), F.lit("s").alias("satellite"), F.lit("MSI").alias("sensor"), F.lit("2024-01-01").alias("acquisition_date"), (F.col("k") - 5).alias("resolution_m"),
+        F.array(*[F.lit(x) for x in (88.0, 22.0, 88.1, 22.1)]).alias("bounding_box"), F.lit("l").alias("license"), F.lit("2024-01-02").alias("download_date"), F.lit(1.0).alias("cloud_cover_pct"),
+    )
+    return rows.select("event_id", F.array_join(files.provenance_errors(full, strict=True), ";").alias("errors"))
+
+
+@query("SELECT CASE WHEN o_totalprice < 0 THEN 'negative' WHEN o_orderkey % 10 = 0 THEN 'tens' END AS status_reason, count(*) AS n FROM orders WHERE o_totalprice < 0 OR o_orderkey % 10 = 0 GROUP BY 1")
+def quarantine_split(spark, sf):
+    errors = F.filter(F.array(F.when(F.col("o_totalprice") < 0, "negative"), F.when(F.col("o_orderkey") % 10 == 0, "tens")), lambda e: e.isNotNull())
+    return merge.quarantined(V.table(spark, sf, "orders"), errors)[1].groupBy("status_reason").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {V.TILES} SELECT tile_id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || printf('%.6f', lon) || ',' || printf('%.6f', lat) || ']}},"properties":{{"tile_id":' || CAST(tile_id AS VARCHAR) || ',"sensor":"' || sensor || '"}}}}' AS feature FROM tiles""")
+def geojson_rows(spark, sf):
+    return status.geojson(V.tiles(spark, sf))
+
+
+@query(f"WITH {V.TILES} SELECT tile_id, sensor, strftime(ts, '%Y-%m-%d') AS date, CASE WHEN cloud IS NULL THEN 'N/A' ELSE printf('%.1f', round(cloud * 100, 1)) || '%' END AS cloud, CASE WHEN quality IS NULL THEN 'N/A' ELSE printf('%.1f', round(quality * 100, 1)) || '%' END AS quality FROM tiles")
+def csv_rows(spark, sf):
+    return status.csv_rows(V.tiles(spark, sf))
+
+
+@query(f"""WITH {V.SCENES} SELECT '{{"scene_id":' || CAST(scene_id AS VARCHAR) || ',"source_filename":"' || source_filename || '","sensor":"' || sensor || '","status":"' || status || '"}}' AS line FROM scenes""")
+def manifest_rows(spark, sf):
+    return status.manifest(V.scenes(spark, sf))
+
+
+@query(f"""WITH {V.SCENES} SELECT sha256('{{"scene_id":' || CAST(scene_id AS VARCHAR) || ',"source_filename":"' || source_filename || '","sensor":"' || sensor || '","status":"' || status || '"}}') AS sha256 FROM scenes""")
+def evidence_digest(spark, sf):
+    return status.evidence_package(V.scenes(spark, sf)).select("sha256")
+
+
+@query("SELECT conv_id, turn, list_filter([CASE WHEN regexp_matches(lower(text), 'change|changed|construct|clear') THEN 'change' END, CASE WHEN regexp_matches(lower(text), 'quality|cloud|shadow|reliable') THEN 'quality' END, CASE WHEN regexp_matches(lower(text), 'ndvi|ndwi|ndbi|vegetation|water|built') THEN 'spectral' END, CASE WHEN regexp_matches(lower(text), 'near|around|neighbor') THEN 'nearby' END, CASE WHEN regexp_matches(lower(text), 'history|timeline|when|trend') THEN 'series' END, CASE WHEN regexp_matches(lower(text), 'how many|status|indexed') THEN 'system' END], lambda x: x IS NOT NULL) = [] AS unrouted FROM conversations")
+def chat_routes(spark, sf):
+    return V.table(spark, sf, "conversations").select("conv_id", "turn", (F.size(chat.routes(F.col("text"))) == 0).alias("unrouted"))
+
+
+@query(f"WITH {V.TILES} SELECT scene_id, count(*) AS tile_count, round(avg(coalesce(cloud, 0e0)), 6) AS cloud, round(avg(coalesce(quality, 0e0)), 6) AS quality FROM tiles GROUP BY 1")
+def scene_rollup(spark, sf):
+    r = ingest.scene_rollup(V.tiles(spark, sf))
+    return r.select("scene_id", "tile_count", r6("cloud").alias("cloud"), r6("quality").alias("quality"))
+
+
+@query(f"""WITH {WIDE}, j AS (SELECT tile_id, coalesce(red + green + blue > 0, false) AS ok, coalesce((red + green + blue) / 3 > 75e-2 AND (greatest(red, green, blue) - least(red, green, blue)) / (greatest(red, green, blue) + 1e-6) < 15e-2, false) AND red IS NOT NULL AND green IS NOT NULL AND blue IS NOT NULL AS cl FROM wide)
+SELECT tile_id, round(avg(CASE WHEN ok THEN 1e0 ELSE 0e0 END), 6) AS valid_share, round(avg(CASE WHEN cl THEN 1e0 ELSE 0e0 END), 6) AS cloud FROM j GROUP BY 1""")
+def tile_quality(spark, sf):
+    w = raster.wide(raster.scaled(V.pixels(spark, sf)), ["blue", "green", "red", "nir"])
+    return ingest.tile_quality(w.where("true")).select("tile_id", r6("valid_share").alias("valid_share"), r6("cloud").alias("cloud"))
+
+
+@query()
+def observation_stack(spark, sf):
+    t = V.tiles(spark, sf)
+    areas = t.groupBy(F.col("scene_id").alias("area_id")).agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"))
+    return change.candidates(areas, t, 0.004, 0.2).select("area_id", "tile_id", "index")
+
+
+@query()
+def acquisition_list(spark, sf):
+    t = V.tiles(spark, sf)
+    areas = t.groupBy(F.col("scene_id").alias("area_id")).agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"))
+    return change.acquisitions(areas, t, 0.004).select("area_id", "tile_id", "index")
+
+
+@query("SELECT user_id AS area_id, CASE WHEN count(*) FILTER (event_type <> 'error') >= 5 THEN 'dense' WHEN count(*) >= 2 THEN 'bitemporal' ELSE 'listing' END AS strategy FROM events GROUP BY 1")
+def dense_strategy(spark, sf):
+    p = V.passes(spark, sf)
+    s = p.select(F.col("series_id").alias("area_id"), "ts", F.col("event_id").alias("tile_id"), (F.col("score") / 500.0).alias("score"), F.when(F.col("valid"), 0.9).otherwise(0.1).alias("quality"), F.lit(0.1).alias("cloud"), F.lit(0.9).alias("valid_share"))
+    return change.dense(s, 3, 2, 0.32).select("area_id", "strategy")
