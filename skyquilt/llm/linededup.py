@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, n_words, parts_of
 
-#: Words of a run at least for its later copies to be deleted; runs that are broadcast at most.
-LEAST_WORDS, BROADCAST_RUNS = 50, 100_000
+#: Words of a run at least for its later copies to be deleted.
+LEAST_WORDS = 50
 #: A line with a word.
 WORDED = r"[^\x20\x09-\x0D]"
 
@@ -101,8 +101,8 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "
     keep = [c for c in docs.columns if c not in (text_col, *added)]
     put = F.struct(*[F.col(f"`{c}`") for c in keep])
     rows = docs.select(put.alias("_row"), F.col(text_col).cast("string").alias("_text"), F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_body"))
-    few = per.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
-    joined = rows.join(F.broadcast(per) if few else per, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_body") == F.col("body")), "left")
+    # texts are shuffled once, at any size
+    joined = rows.join(per.hint("merge"), F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_body") == F.col("body")), "left")
     joined = joined.select("_row", "_text", F.coalesce("runs", F.array().cast("array<struct<start:int,stop:int>>")).alias("_runs"))
     kind = joined.schema["_row"].dataType.simpleString()
 
