@@ -7,7 +7,6 @@ fail the base rules on length and repetition.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,13 +25,14 @@ PHRASES = (
     "sign in to", "sign up for", "subscribe to our", "terms of service", "terms of use", "click here to", "share this article", "skip to content",
 )
 
-MENU = re.compile(rf"(?:^|\s)[{re.escape(SEPARATORS)}](?=\s|$)")
+BARS = [c.encode() for c in SEPARATORS]
 
 
 def line_fails(line: str, words: list[bytes]) -> str:
     """The rule that a line with words fails: navigation, boilerplate, symbols, shouting, punctuation, or '' for none."""
     n = len(words)
-    if any(c in line for c in SEPARATORS) and len(MENU.findall(line)) >= max(3, 0.2 * n):
+    bars = sum(map(words.count, BARS))
+    if bars >= 3 and 5 * bars >= n:
         return "navigation"
     if n <= 40:
         low = line.lower()

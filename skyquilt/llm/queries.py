@@ -83,7 +83,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_urlfilter": op10_urlfilter,
 }
 
+#: In SQL: what the line rules of the quality operator look for.
+_PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in quality.PHRASES)
+_BARS = ", ".join(f"'{c}'" for c in quality.SEPARATORS)
+_CLOSERS = quality.CLOSERS.replace("'", "''")
+
 ORACLES: dict[str, str] = {
+    "op2_neardup": r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(w) - 2), lambda i: w[i] || chr(32) || w[i + 1] || chr(32) || w[i + 2] || chr(32) || w[i + 3])) AS s FROM worded WHERE len(w) >= 4
+    UNION ALL SELECT doc_id, array_to_string(w, chr(32)) FROM worded WHERE len(w) BETWEEN 1 AND 3)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+), linked AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, linked.b FROM reach JOIN linked ON linked.a = reach.r
+), lowest AS (
+  SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN lowest USING (doc_id) LEFT JOIN sizes USING (doc_id)
+""",
+    "op6_quality": rf"""
+WITH worded AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), each AS (
+  SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM worded
+), windows AS (
+  SELECT *, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM each WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), counted AS (
+  SELECT doc_id, i, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, w2, w3) > 1 AS again FROM windows
+), covered AS (
+  SELECT doc_id, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS inside FROM counted
+), repeats AS (
+  SELECT doc_id, CAST(sum(inside) AS BIGINT) AS n_repeat_words FROM covered GROUP BY 1
+), lines AS (
+  SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM worded)
+), facts AS (
+  SELECT doc_id, line, len(w) AS n, len(list_filter(w, lambda x: x IN ({_BARS}))) AS bars, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
+    length(line) - length(replace(line, '!', '')) AS shouts, right(rtrim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || '{_CLOSERS}'), 1) AS last FROM lines WHERE len(w) > 0
+), failing AS (
+  SELECT *, (bars >= 3 AND 5 * bars >= n) OR (n <= 40 AND ({_PHRASES})) OR 2 * symbols > n OR (shouts > 2 AND 2 * shouts > n) OR last = '' OR NOT contains('{quality.ENDS}', last) AS fails FROM facts
+), by_line AS (
+  SELECT doc_id, CAST(coalesce(sum(CASE WHEN fails THEN n END), 0) AS BIGINT) AS lost_words, count(*) - count(DISTINCT line) AS n_dup_lines FROM failing GROUP BY 1
+), base AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost_words, 0) AS lost_words
+  FROM worded d LEFT JOIN repeats USING (doc_id) LEFT JOIN by_line USING (doc_id)
+), failed AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
+)
+SELECT *, NOT base_failed AND 2 * lost_words <= n_words AS kept FROM failed
+""",
     "op5_mixing": r"""
 WITH base AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
