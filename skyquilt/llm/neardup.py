@@ -10,8 +10,11 @@ with probability 4e-8. Pairs that meet are confirmed on their full sets.
 Equal sets are joined first. Then every member of a key is held against the key's first
 one, and the links so found join most of a dense group without its pairs being made. Only
 where a key still holds several components are its members compared with each other, by
-size class and in blocks, and only pairs of different components whose signatures are near
-go on to the full sets.
+size class and in blocks. Of those, only pairs of different components go on to the full
+sets whose signatures are near and whose prefixes meet: in one order of all shingles, with
+frequent ones last, sets of likeness t share one of their first |x| - t |x| + 1 shingles.
+That drops documents which share a common passage and little else, and loses no link. Each
+pair goes on from the first of the keys that it shares.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ SLOTS = CHUNKS * PER_CHUNK
 FAR = 23
 #: Members of a cell that are compared with each other; ids that are broadcast at most.
 BLOCK, BROADCAST_IDS = 1024, 1_000_000
+#: Documents of the sample that orders shingles by frequency (results do not depend on it), documents of it that make a shingle frequent, and the longest prefix that is kept; sets with a longer one are compared without.
+SAMPLE, FREQUENT, PREFIX = 2000, 8, 512
 
 U = np.uint64
 _draw = np.random.default_rng(20240229)
@@ -118,10 +123,45 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, n (set size), s1 and s2 (a 128-bit hash of the set), sig (null for an empty set)."""
+def frequent_shingles(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many documents of a sample, sorted, and how many hold each; at most SAMPLE / FREQUENT times the mean set of them."""
+    ids = docs.select(F.xxhash64(id_col).alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h").alias("h")).collect()[0]["h"]
+    # equal ids fall in together, so the sample is counted once more
+    few = docs.where(F.xxhash64(id_col) <= F.lit(ids)).limit(2 * SAMPLE).select(F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for part in in_chunks(batch, "text"):
+                    for s in shingle_sets(part.column("text").to_pylist(), width, powers):
+                        yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["s"])
+
+    rows = few.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).toArrow()
+    s, n = rows["s"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def prefix(s: np.ndarray, percent: int, known: np.ndarray, counts: np.ndarray) -> bytes:
+    """The first shingles of a set that a set of enough likeness must meet, in 32 bits each; empty if there are too many."""
+    need = len(s) - -(-percent * len(s) // 100) + 1
+    if need > PREFIX:
+        return b""
+    at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+    often = known[at] == s if len(known) else np.zeros(len(s), bool)
+    first = s[~often][:need]
+    if len(first) < need:
+        rest = s[often]
+        first = np.concatenate([first, rest[np.lexsort((rest, counts[at[often]]))][: need - len(first)]])
+    return (first >> U(32)).astype(np.uint32).tobytes()
+
+
+def sketched(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc, n (set size), s1 and s2 (a 128-bit hash of the set), sig and prefix (null for an empty set)."""
     source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
+    known, counts = frequent_shingles(docs, width, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -134,9 +174,13 @@ def sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                     s1 = [int(mixed(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                     s2 = [int(np.bitwise_xor.reduce(mixed(s * TIMES[0])).view(np.int64)) if len(s) else 0 for s in sets]
                     sig = [next(sigs).tobytes() if len(s) else None for s in sets]
-                    yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sig, pa.binary())], names=["doc", "n", "s1", "s2", "sig"])
+                    first = [prefix(s, percent, known, counts) if len(s) else None for s in sets]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sig, pa.binary()), pa.array(first, pa.binary())],
+                        names=["doc", "n", "s1", "s2", "sig", "prefix"],
+                    )
 
-    return source.mapInArrow(run, f"doc {kind}, n long, s1 long, s2 long, sig binary")
+    return source.mapInArrow(run, f"doc {kind}, n long, s1 long, s2 long, sig binary, prefix binary")
 
 
 def chunk_keys(sigs: np.ndarray) -> np.ndarray:
@@ -240,42 +284,71 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
 
 
-def cross_pairs(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and have near signatures.
+def overlap_bound(x: bytes, n: int, others: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The most that a set's overlap with each other one can be, from their prefixes: what follows their first common shingle, none if there is none."""
+    bound = np.minimum(n, sizes).astype(np.int64)
+    length = np.array([len(o) // 4 for o in others])
+    told = np.flatnonzero(length) if x else np.empty(0, int)
+    if len(told):
+        mine, flat = np.frombuffer(x, np.uint32), np.frombuffer(b"".join(others), np.uint32)
+        order = np.argsort(mine, kind="stable")
+        place = np.minimum(np.searchsorted(mine, flat, sorter=order), len(mine) - 1)
+        place = order[place]
+        starts = np.concatenate([[0], np.cumsum(length[told])[:-1]])
+        index = np.arange(len(flat)) - np.repeat(starts, length[told])
+        none = np.int64(1 << 40)
+        hit = mine[place] == flat
+        # prefixes are in one order, so the first common shingle is the first in both
+        left = np.minimum(n - np.minimum.reduceat(np.where(hit, place, none), starts), sizes[told] - np.minimum.reduceat(np.where(hit, index, none), starts))
+        bound[told] = np.maximum(left, 0)
+    return bound
+
+
+def cross_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a key, have near signatures and meeting prefixes.
 
     members: key, doc, component. Under a key, sets are put by size into classes of ratio
     1.25; a pair that can be alike lies in one class or in neighbouring ones. Each
     (key, class) is a cell; a large one is cut into blocks, and each two blocks make a cell.
     """
     kind = reps.schema["doc"].dataType.simpleString()
-    rows = members.join(reps.select("doc", "n", "sig"), "doc").withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int"))
+    rows = members.join(reps.select("doc", "n", "sig", "prefix"), "doc").withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int"))
     rows = rows.withColumn("cell", F.explode(F.array("size_class", F.col("size_class") + 1)))
     sizes = rows.groupBy("key", "cell").agg(F.count("*").alias("members"), F.min("component").alias("_least"), F.max("component").alias("_most")).where("_least != _most")
     rows = rows.join(sizes.select("key", "cell", "members"), ["key", "cell"])
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "size_class", "n", "sig")
+    rows = rows.select("key", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "size_class", "n", "sig", "prefix")
     group = ["key", "cell", "i", "j"]
     dealt = rows.repartition(parts_of(rows.sparkSession), *group).sortWithinPartitions(*group)
 
     def compare(rows: list[tuple]) -> list[tuple]:
-        block, doc, component, size_class, n, sig, names = zip(*rows)
-        _, cell, i, j = names[0]
-        sigs = np.frombuffer(b"".join(sig), np.uint16).reshape(-1, SLOTS)
-        # labels of components by their first place in the cell
+        block, doc, component, size_class, n, sig, first, names = zip(*rows)
+        key, cell, i, j = names[0]
+        if len(set(component)) == 1:
+            return []
         seen: dict = {}
         label = np.array([seen.setdefault(c, len(seen)) for c in component])
-        block, size_class, n = np.array(block), np.array(size_class), np.array(n)
+        sigs, block, size_class, n = np.frombuffer(b"".join(sig), np.uint16).reshape(-1, SLOTS), np.array(block), np.array(size_class), np.array(n)
         found = []
         for x in range(len(rows) - 1):
             rest = slice(x + 1, None)
-            # a pair is compared in the cell of its larger class, and in the blocks' own cell
-            can = (label[rest] != label[x]) & (np.maximum(size_class[rest], size_class[x]) == cell) & (5 * np.minimum(n[rest], n[x]) >= 3 * np.maximum(n[rest], n[x]))
-            can &= (block[rest] != block[x]) if i != j else True
+            # a pair is compared in the cell of its larger class, and in the cell of its blocks
+            can = (label[rest] != label[x]) & (np.maximum(size_class[rest], size_class[x]) == cell) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))
+            if i != j:
+                can &= block[rest] != block[x]
             at = np.flatnonzero(can) + x + 1
+            if not len(at):
+                continue
+            # and under the first of the keys that it shares
+            differ = (sigs[at] != sigs[x]).reshape(-1, CHUNKS, PER_CHUNK)
+            wrong = differ.sum(axis=2)
+            chunk = (wrong <= 1).argmax(axis=1)
+            within = differ[np.arange(len(at)), chunk]
+            at = at[(chunk * PER_CHUNK + within.argmax(axis=1) == key >> 48) & (wrong.sum(axis=1) < FAR)]
             if len(at):
-                at = at[(sigs[at] != sigs[x]).sum(axis=1) < FAR]
+                at = at[overlap_bound(first[x], n[x], [first[y] for y in at], n[at]) * (100 + percent) >= percent * (n[x] + n[at])]
                 found += [(doc[x], doc[y]) if doc[x] < doc[y] else (doc[y], doc[x]) for y in at.tolist()]
         return found
 
@@ -283,9 +356,9 @@ def cross_pairs(members: DataFrame, reps: DataFrame) -> DataFrame:
         group: list[tuple] = []
         for batch in batches:
             out: list[tuple] = []
-            for key, cell, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "cell", "i", "j", "block", "doc", "component", "size_class", "n", "sig"))):
+            for key, cell, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "cell", "i", "j", "block", "doc", "component", "size_class", "n", "sig", "prefix"))):
                 name = (key, cell, i, j)
-                if group and group[-1][6] != name:
+                if group and group[-1][7] != name:
                     out += compare(group)
                     group = []
                 group.append((*row, name))
@@ -307,21 +380,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     repeat an id with other texts are placed by their own text. An empty table gives an
     empty result; further columns are ignored.
     """
-    rows = cut(sketched(docs, width, id_col, text_col))
-    classes = rows.where("n > 0 and doc is not null").groupBy("s1", "s2").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    rows = cut(sketched(docs, width, percent, id_col, text_col))
+    classes = rows.where("n > 0 and doc is not null").groupBy("s1", "s2").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
     classes = cut(classes)
-    reps = classes.dropDuplicates(["doc"]).select("doc", "n", "sig")
+    reps = cut(classes.dropDuplicates(["doc"]).select("doc", "n", "sig", "prefix"))
     keys = keyed(reps)
     shared = keys.groupBy("key").agg(F.count("*").alias("_c"), F.min("doc").alias("first")).where("_c > 1").select("key", "first")
     members = cut(keys.join(shared, "key"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return cut(confirmed(cut(near(pairs, reps)), docs, width, percent, id_col, text_col))
+        return cut(confirmed(cut(pairs), docs, width, percent, id_col, text_col))
 
-    stars = linked(members.where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct())
+    stars = linked(near(members.where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), reps))
     joined = cut(components(stars))
     placed = members.join(joined, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    rest = linked(cross_pairs(placed, reps))
+    rest = linked(cross_pairs(placed, reps, percent))
     final = components(stars.unionByName(rest))
     known = classes.select("s1", "s2", F.col("doc").alias("rep")).join(final.withColumnRenamed("doc", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = rows.withColumn("_own", (F.col("n") == 0) | F.col("doc").isNull()).join(known, ["s1", "s2"], "left")
