@@ -11,17 +11,23 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, forget: bool = False) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there.
 
     The folder is the one of ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary one is made.
+    one machine) a temporary one is made. A checkpoint keeps the size estimate of its plan,
+    which a loop of joins multiplies round by round until it is too long a number to work
+    with; in loops, `forget` drops it.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if forget:
+        jdf = out._jdf
+        out = DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
+    return out
 
 
 def parts_of(spark: SparkSession) -> int:

@@ -28,7 +28,7 @@ WORDED = r"[^\x20\x09-\x0D]"
 def ranked(blocks: DataFrame, order: list[str]) -> DataFrame:
     """Add `rank`, numbers that rise in `order`: a range sort, then each row's number in it."""
     dealt = blocks.repartitionByRange(parts_of(blocks.sparkSession), *order).sortWithinPartitions(*order)
-    return cut(dealt.withColumn("rank", F.monotonically_increasing_id()))
+    return cut(dealt.withColumn("rank", F.monotonically_increasing_id()), forget=True)
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,7 +42,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = cut(lines.select("doc", "body", "i", F.xxhash64("line").alias("h")).distinct())
     place = F.struct("doc", "body", "i")
     first = ranked(lines.groupBy("h").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1"), ["h"])
-    now = cut(lines.join(first.select("h", "rank", "first"), "h").select("doc", "body", "i", "rank", "first"))
+    now = cut(lines.join(first.select("h", "rank", "first"), "h").select("doc", "body", "i", "rank", "first"), forget=True)
     blocks, k = None, 0
     while True:
         size = 1 << k
@@ -51,11 +51,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # a block twice as long: two of this round's, one behind the other
         behind = now.select(F.col("doc").alias("doc_2"), F.col("body").alias("body_2"), (F.col("i") - size).alias("i_2"), F.col("rank").alias("rank_2"))
         same = F.col("doc").eqNullSafe(F.col("doc_2")) & (F.col("body") == F.col("body_2")) & (F.col("i") == F.col("i_2"))
-        both = cut(now.join(behind, same).select("doc", "body", "i", F.col("rank").alias("rank_1"), "rank_2"))
+        both = cut(now.join(behind, same).select("doc", "body", "i", F.col("rank").alias("rank_1"), "rank_2"), forget=True)
         groups = ranked(both.groupBy("rank_1", "rank_2").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1"), ["rank_1", "rank_2"])
         if groups.isEmpty():
             break
-        now = cut(both.join(groups.select("rank_1", "rank_2", "rank", "first"), ["rank_1", "rank_2"]).select("doc", "body", "i", "rank", "first"))
+        now = cut(both.join(groups.select("rank_1", "rank_2", "rank", "first"), ["rank_1", "rank_2"]).select("doc", "body", "i", "rank", "first"), forget=True)
         k += 1
     diagonal = ["doc", "body", F.col("first.doc"), F.col("first.body"), F.col("first.i") - F.col("i")]
     blocks = blocks.select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(diagonal, ["doc", "body", "from_doc", "from_body", "shift"])], "i", (F.col("i") + F.col("size")).alias("stop"))

@@ -281,7 +281,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         hung = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), forget=True)
 
 
 def overlap_bound(x: bytes, n: int, others: list[bytes], sizes: np.ndarray) -> np.ndarray:

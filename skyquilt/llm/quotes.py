@@ -99,7 +99,7 @@ def roots(parents: DataFrame) -> DataFrame:
     now = cut(parents.select("conv", "turn", F.col("parent").alias("root")))
     while True:
         up = now.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("root").alias("up"))
-        then = cut(now.join(up, F.col("conv").eqNullSafe(F.col("c")) & (F.col("root") == F.col("t")), "left").select("conv", "turn", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("_moved")))
+        then = cut(now.join(up, F.col("conv").eqNullSafe(F.col("c")) & (F.col("root") == F.col("t")), "left").select("conv", "turn", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("_moved")), forget=True)
         if then.where("_moved").isEmpty():
             return then.select("conv", "turn", "root")
         now = then.select("conv", "turn", "root")
