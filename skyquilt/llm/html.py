@@ -179,20 +179,20 @@ def path_key(path: str) -> int:
 
 
 def features(root: Node) -> dict[int, tuple[int, int]]:
-    """For each path of removable nodes: hashes of its presentation (children's labels, repeats once) and of its content (text)."""
+    """For each path of blocks: hashes of its presentation (children's labels, repeats once) and of its content (text)."""
     texts: dict[int, str] = {}
     found: dict[int, tuple[list, list]] = {}
     order: list[Node] = []
     work = [root]
     while work:
         x = work.pop()
-        if x.noise:
+        if x.noise and x.name not in BLOCK:
             continue
         order.append(x)
         work += [c for c in x.children if isinstance(c, Node)]
     for x in reversed(order):  # children before parents
         texts[id(x)] = xxhash.xxh64_hexdigest("".join(c.strip() if isinstance(c, str) else texts.get(id(c), "") for c in x.children))
-        if x.label and removable(x):
+        if x.name in BLOCK and x.name not in ("html", "body", "head"):
             labels = [c.label if isinstance(c, Node) else "#" for c in x.children if isinstance(c, Node) or c.strip()]
             style, content = found.setdefault(path_key(x.path), ([], []))
             style.append(" ".join(n for i, n in enumerate(labels) if not i or labels[i - 1] != n))
