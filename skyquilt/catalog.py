@@ -597,14 +597,21 @@ def tile_quality(spark, sf):
     return ingest.tile_quality(w.where("true")).select("tile_id", r6("valid_share").alias("valid_share"), r6("cloud").alias("cloud"))
 
 
-@query()
+AREAS = f"{V.TILES}, areas AS (SELECT scene_id AS area_id, min(lon) AS lon, min(lat) AS lat FROM tiles GROUP BY 1), near AS (SELECT a.area_id, t.tile_id, t.ts, t.sensor, t.cloud, t.quality, sqrt(power(a.lon - t.lon, 2) + power(a.lat - t.lat, 2)) AS d FROM areas a JOIN tiles t ON abs(a.lon - t.lon) <= 4e-3 AND abs(a.lat - t.lat) <= 4e-3)"
+
+
+@query(f"""WITH {AREAS}, u AS (SELECT *, d <= min(d) OVER (PARTITION BY area_id) + 5e-3 AS cell FROM near WHERE coalesce(quality, 5e-1) >= 2e-1 AND coalesce(cloud, 0e0) <= 85e-2),
+c AS (SELECT *, count(*) FILTER (cell) OVER (PARTITION BY area_id) AS n FROM u), b AS (SELECT *, row_number() OVER (PARTITION BY area_id, CAST(ts AS DATE), sensor = 'SAR-C' ORDER BY coalesce(quality, 5e-1) DESC, ts, tile_id) AS rn FROM c WHERE cell OR n < 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY ts, tile_id) AS a, row_number() OVER (PARTITION BY area_id ORDER BY ts DESC, tile_id DESC) AS z, count(*) OVER (PARTITION BY area_id) AS k FROM b WHERE rn = 1)
+SELECT area_id, tile_id, CAST(row_number() OVER (PARTITION BY area_id ORDER BY ts, tile_id) AS INTEGER) AS index FROM r WHERE k <= 12 OR a <= 4 OR z <= 8""")
 def observation_stack(spark, sf):
     t = V.tiles(spark, sf)
     areas = t.groupBy(F.col("scene_id").alias("area_id")).agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"))
     return change.candidates(areas, t, 0.004, 0.2).select("area_id", "tile_id", "index")
 
 
-@query()
+@query(f"""WITH {AREAS}, b AS (SELECT *, row_number() OVER (PARTITION BY area_id, CAST(ts AS DATE), sensor ORDER BY d, tile_id) AS rn FROM near)
+SELECT area_id, tile_id, CAST(row_number() OVER (PARTITION BY area_id ORDER BY ts, tile_id) AS INTEGER) AS index FROM b WHERE rn = 1""")
 def acquisition_list(spark, sf):
     t = V.tiles(spark, sf)
     areas = t.groupBy(F.col("scene_id").alias("area_id")).agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"))

@@ -167,3 +167,11 @@ def test_merge(spark):
     q = spark.createDataFrame([("a", dt.datetime(2024, 1, 1)), ("b", dt.datetime(2024, 1, 1))], "source_filename string, ingested_at timestamp_ntz")
     done = spark.createDataFrame([("a", dt.datetime(2024, 1, 2))], "source_filename string, ingested_at timestamp_ntz")
     assert [r["source_filename"] for r in merge.current_quarantine(q, done).collect()] == ["b"]
+
+
+def test_image_embedding(spark):
+    rng = np.random.default_rng(2)
+    a = rng.random((8, 6, 3))
+    rows = spark.createDataFrame([(a.ravel().tolist(), 6), (np.clip(a + 0.01, 0, 1).ravel().tolist(), 6), (np.zeros(144).tolist(), 6)], "p array<double>, w int")
+    x, y, z = (np.array(r["embedding"]) for r in vector.with_image_embedding(rows, "p", "w").collect())
+    assert abs(np.linalg.norm(x) - 1) < 1e-5 and x @ y > x @ z

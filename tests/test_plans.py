@@ -104,3 +104,17 @@ def test_change_point_stream_is_the_batch(spark, tmp_path):
     q.awaitTermination()
     batch = series.change_points(views.passes(spark, SF), ["series_id"], "ts", 3, 2, 160).where("status = 'confirmed'")
     assert {r["series_id"] for r in spark.table("cps").collect()} == {r["series_id"] for r in batch.collect()}
+
+
+def test_windows(spark, tmp_path):
+    import numpy as np
+
+    from skyquilt.sources import windows
+
+    a = np.arange(2 * 40 * 50).reshape(2, 40, 50)
+    np.save(tmp_path / "a.npy", a)
+    spark.dataSource.register(windows.SceneWindows)
+    rows = spark.read.format("scene_windows").option("paths", str(tmp_path / "a.npy")).option("size", 32).load().collect()
+    assert len(rows) == 4 and {(r["row_off"], r["col_off"]) for r in rows} == {(0, 0), (0, 32)}
+    r = next(r for r in rows if r["col_off"] == 32 and r["band"] == 1)
+    assert r["pixels"] == a[1, :32, 32:].ravel().astype(float).tolist()
