@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyquilt.ship import ship
+
 #: Some landmarks of the area (order, name, zone, longitude, latitude, kind).
 LANDMARKS = (
     (0, "Esplanade", "Central Kolkata", 88.3526, 22.5645, "commercial_transit"),
@@ -16,6 +18,7 @@ LANDMARKS = (
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
