@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyquilt.ship import ship
+
 from . import fingerprint, html, linededup, mixing, neardup, packing, quality, quotes, sharding, urlfilter
 
 #: Shards of the sharding query.
@@ -20,6 +22,7 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
