@@ -8,20 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skyquilt.llm import linededup, mixing, neardup, packing, quality
 from skyquilt.llm.queries import tokenizer_file
+from skyquilt.ship import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines."""
+    ship(spark)
     return quality.clean(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs; what is left empty goes."""
+    ship(spark)
     return linededup.deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    ship(spark)
     return neardup.deduplicated(docs)
 
 
@@ -32,6 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in token sequences."""
+    ship(spark)
     return packing.pack(docs, tokenizer_file())
 
 
