@@ -3,10 +3,10 @@
 Every line is a symbol. Distributed prefix doubling sorts the suffixes: round k ranks the
 blocks of 2^k lines by the ranks of their halves, and a suffix whose block is unique leaves
 the rounds, so only repeated material is ever sorted again. Suffixes of equal rank in
-round k are an interval of the suffix array whose common prefix has at least 2^k lines. Any
-repeated run is the union of its repeated blocks, so the runs are read off the intervals:
-each block points to its interval's first place in the corpus, and blocks that overlap or
-touch and point along one diagonal make one run.
+round k are an interval of the suffix array whose common prefix has at least 2^k lines. The
+rounds are then taken backwards: each line's longest repeated block is lengthened by halves
+for as long as an earlier line starts alike, which gives for every line the longest run from
+it that has an earlier copy anywhere.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, n_words, parts_of
@@ -31,40 +31,67 @@ def ranked(blocks: DataFrame, order: list[str]) -> DataFrame:
     return cut(dealt.withColumn("rank", F.monotonically_increasing_id()), forget=True)
 
 
+def _place() -> Column:
+    return F.struct("doc", "body", "i")
+
+
+def _lengthened(runs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """Runs that go on for 2^k more lines, if an earlier line has them too; `blocks` are those of round k.
+
+    Runs of a class have the same `size` lines and `first` is the earliest place of these.
+    Of the places that share a longer run the earliest keeps its class, or is its first, so
+    a class always has the earliest place of everything that its runs may go on with.
+    """
+    heads = runs.groupBy("class").agg(F.min("size").alias("size"), F.min("first").alias("first"))
+    heads = heads.select("first.doc", "first.body", "first.i", "size", "class", "first", F.lit(False).alias("own"))
+    behind = blocks.select(F.col("doc").alias("doc_2"), F.col("body").alias("body_2"), F.col("i").alias("i_2"), "rank")
+    same = F.col("doc").eqNullSafe(F.col("doc_2")) & (F.col("body") == F.col("body_2")) & (F.col("i") + F.col("size") == F.col("i_2"))
+    kept = ["doc", "body", "i", "size", "class", "first"]
+    both = cut(runs.withColumn("own", F.lit(True)).unionByName(heads).join(behind, same, "left").select(*kept, "own", "rank"), forget=True)
+    groups = both.where("rank is not null").groupBy("class", "rank").agg(F.count("*").alias("c"), F.min(_place()).alias("head")).where("c > 1").drop("c")
+    going = both.where("own and rank is not null").join(groups, ["class", "rank"], "left")
+    on = F.col("head").isNotNull() & (_place() != F.col("head"))
+    longer = {"size": F.col("size") + (1 << k), "class": F.xxhash64("class", F.lit(k), "rank"), "first": F.col("head")}
+    going = going.select(*[F.when(on, longer[c]).otherwise(F.col(c)).alias(c) if c in longer else F.col(c) for c in kept])
+    return cut(going.unionByName(both.where("own and rank is null").select(*kept)), forget=True)
+
+
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, body, start, stop: runs of lines [start, stop) that have an earlier copy in the corpus.
+    """doc, body, start, stop: the maximal runs of lines [start, stop) that have an earlier copy in the corpus.
 
     Lines with words are counted from 0 in each document; doc and body (a hash of the text)
-    name a document, and the corpus is in the order of (doc, body), null ids first. A run is a
-    maximal union of repeated blocks of 2^k lines whose first copies follow each other.
+    name a document, and the corpus is in the order of (doc, body), null ids first. Any run
+    that starts at an earlier place too lies in one of these; copies may overlap.
     """
     lines = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("body"), F.posexplode(F.filter(F.split(text_col, "\n", -1), lambda x: x.rlike(WORDED))).alias("i", "line"))
     lines = cut(lines.select("doc", "body", "i", F.xxhash64("line").alias("h")).distinct())
-    place = F.struct("doc", "body", "i")
-    first = ranked(lines.groupBy("h").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1"), ["h"])
+    first = ranked(lines.groupBy("h").agg(F.count("*").alias("c"), F.min(_place()).alias("first")).where("c > 1"), ["h"])
     now = cut(lines.join(first.select("h", "rank", "first"), "h").select("doc", "body", "i", "rank", "first"), forget=True)
-    blocks, k = None, 0
+    rounds, blocks = [], None
     while True:
+        k = len(rounds)
         size = 1 << k
-        later = now.select("doc", "body", "i", F.lit(size).alias("size"), "first").where(F.struct("doc", "body", "i") != F.col("first"))
+        rounds.append(now)
+        later = now.select("doc", "body", "i", F.lit(k).alias("k"), "rank", "first").where(_place() != F.col("first"))
         blocks = later if blocks is None else blocks.unionByName(later)
         # a block twice as long: two of this round's, one behind the other
         behind = now.select(F.col("doc").alias("doc_2"), F.col("body").alias("body_2"), (F.col("i") - size).alias("i_2"), F.col("rank").alias("rank_2"))
         same = F.col("doc").eqNullSafe(F.col("doc_2")) & (F.col("body") == F.col("body_2")) & (F.col("i") == F.col("i_2"))
         both = cut(now.join(behind, same).select("doc", "body", "i", F.col("rank").alias("rank_1"), "rank_2"), forget=True)
-        groups = ranked(both.groupBy("rank_1", "rank_2").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1"), ["rank_1", "rank_2"])
+        groups = ranked(both.groupBy("rank_1", "rank_2").agg(F.count("*").alias("c"), F.min(_place()).alias("first")).where("c > 1"), ["rank_1", "rank_2"])
         if groups.isEmpty():
             break
         now = cut(both.join(groups.select("rank_1", "rank_2", "rank", "first"), ["rank_1", "rank_2"]).select("doc", "body", "i", "rank", "first"), forget=True)
-        k += 1
-    diagonal = ["doc", "body", F.col("first.doc"), F.col("first.body"), F.col("first.i") - F.col("i")]
-    blocks = blocks.select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(diagonal, ["doc", "body", "from_doc", "from_body", "shift"])], "i", (F.col("i") + F.col("size")).alias("stop"))
-    along = Window.partitionBy("doc", "body", "from_doc", "from_body", "shift").orderBy("i", "stop")
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    island = F.when(F.col("i") > F.max("stop").over(before), 1).otherwise(0)
-    blocks = blocks.withColumn("island", island).withColumn("island", F.sum("island").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = blocks.groupBy("doc", "body", "from_doc", "from_body", "shift", "island").agg(F.min("i").alias("start"), F.max("stop").alias("stop"))
-    return runs.select("doc", "body", "start", "stop").distinct()
+    # each line's longest block with an earlier copy
+    longest = blocks.groupBy("doc", "body", "i").agg(F.max("k").alias("k"), F.max_by("rank", "k").alias("rank"), F.max_by("first", "k").alias("first"))
+    longest = cut(longest.select("doc", "body", "i", "k", F.expr("shiftleft(1, k)").alias("size"), F.xxhash64("k", "rank").alias("class"), "first"), forget=True)
+    runs = longest.where("k < 0").drop("k")
+    for k in range(len(rounds) - 1, 0, -1):
+        runs = _lengthened(runs.unionByName(longest.where(F.col("k") == k).drop("k")), rounds[k - 1], k - 1)
+    runs = runs.unionByName(longest.where("k = 0").drop("k")).select("doc", "body", F.col("i").alias("start"), (F.col("i") + F.col("size")).alias("stop"))
+    # a run from the next line goes at least as far; one that ends alike lies in the one before
+    before = F.lag("stop").over(Window.partitionBy("doc", "body").orderBy("start"))
+    return runs.withColumn("before", before).where("before is null or stop > before").drop("before")
 
 
 def without(text: str, runs: list[dict], least_words: int) -> tuple[str, int, int, int]:
@@ -88,8 +115,9 @@ def without(text: str, runs: list[dict], least_words: int) -> tuple[str, int, in
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs` with the text less its repeated runs, then n_lines, n_removed, removed_words.
 
-    Of a run of lines with `least_words` words or more, the first copy in the order of the
-    id stays and later ones go, in whole documents too (whose text is then empty). Lines are
+    Of any run of lines with `least_words` words or more, the first copy in the order of the
+    id stays and later ones go, whatever they stand in and wherever parts of them were seen
+    before, in whole documents too (whose text is then empty). Lines are
     equal if their characters are; lines without words neither match nor part a run. A null
     text stays null and has no lines; a null id comes first; rows with the same id and text
     count as one document, so they get equal results. A column of `docs` named like an added one is

@@ -85,3 +85,43 @@ def test_odd_rows(spark):
     assert by[6]["n_removed"] == 0 and by[7]["text"] == ""
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert L.dedup_lines(empty).collect() == [] and L.deduplicated(empty).collect() == []
+
+
+def by_definition(rows, least):
+    """Lines left of each text: those in no run of `least` words that starts at an earlier place too."""
+    lines = {i: [x for x in t.split("\n") if WORDS.search(x)] for i, t in rows}
+    seen, left = set(), {}
+    for i in sorted(lines):
+        own, gone = lines[i], set()
+        for s in range(len(own)):
+            n = 0
+            while s + n < len(own) and tuple(own[s : s + n + 1]) in seen:
+                n += 1
+            if sum(len(WORDS.findall(x)) for x in own[s : s + n]) >= least:
+                gone.update(range(s, s + n))
+            seen.update(tuple(own[s:e]) for e in range(s + 1, len(own) + 1))
+        left[i] = [x for n, x in enumerate(own) if n not in gone]
+    return left
+
+
+def test_parts_with_other_first_copies(spark):
+    a, b, c = (" ".join(f"{x}{j}" for j in range(20)) for x in "abc")
+    rows = [(1, f"{a}\n{b}"), (2, f"{a}\n{b}\n{c}"), (3, f"{a}\n{b}\n{c}")]
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: ""}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_same_as_definition(spark, seed):
+    rng = random.Random(seed)
+    stock = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.randint(1, 9))) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        text = []
+        while len(text) < rng.randint(1, 40):
+            a = rng.choice(rows)[1].split("\n") if rows and rng.random() < 0.5 else [rng.choice(stock)]
+            s = rng.randrange(len(a))
+            text += a[s : s + rng.randint(1, 25)]
+        rows.append((i, "\n".join(text)))
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 25).collect()
+    assert {r["doc_id"]: [x for x in r["text"].split("\n") if x] for r in got} == by_definition(rows, 25)
