@@ -1,7 +1,7 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree of element paths. Each node has the
-distribution, over the host's pages, of its presentation (the sequence of its children's
+distribution, over the host's distinct pages, of its presentation (the sequence of its children's
 labels) and of its content (the text of its branch). A node whose presentation varies is
 important by its presentation; one whose content differs from page to page is important by
 its content; a branch that is alike on many pages is neither, and is removed. Elements that
@@ -14,7 +14,6 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +28,7 @@ from .urlfilter import host_and_path
 LEAST_IMPORTANCE, LEAST_PAGES, CONTENT_WEIGHT = 0.2, 8, 0.8
 #: Rows of the table of unimportant nodes that are broadcast at most, and shares that a host's pages are dealt in beyond it.
 BROADCAST_NODES, SHARES = 100_000, 32
-#: Partial counts that a task holds before it sends them on.
+#: Pages that a task holds in mind, so as to send on a copy once.
 HELD = 100_000
 
 #: Elements without content, elements whose content is no markup, elements that end a block, elements that are no part of an article.
@@ -201,29 +200,34 @@ def features(root: Node) -> dict[int, tuple[int, int]]:
 
 
 def style_counts(rows: DataFrame) -> DataFrame:
-    """host, path, kind (0 presentation, 1 content), feature, n: over the pages, counted within each task first."""
+    """host, path, kind (0 presentation, 1 content), feature, n: over the distinct pages of each host.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def send() -> pa.RecordBatch:
-            cols = list(zip(*((*k, n) for k, n in counts.items())))
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()])], names=["host", "path", "kind", "feature", "n"])
+    Copies of a page are one page: they tell nothing of what its host's pages share. Only a
+    page's features are shuffled, once for each task that has a copy.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str | None, int]] = set()
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.struct([("path", pa.int64()), ("style", pa.int64()), ("content", pa.int64())]))]
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
+                out = []
                 for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                    for path, (style, content) in features(tree(source)).items():
-                        counts[host, path, 0, style] += 1
-                        counts[host, path, 1, content] += 1
-                if len(counts) > HELD:
-                    yield send()
-        if counts:
-            yield send()
-
-    return rows.select("host", "html").mapInArrow(run, "host string, path long, kind int, feature long, n long")
+                    page = path_key(source)
+                    if (host, page) in seen:
+                        continue
+                    if len(seen) >= HELD:
+                        seen.clear()
+                    seen.add((host, page))
+                    out.append((host, page, [{"path": p, "style": s, "content": c} for p, (s, c) in features(tree(source)).items()]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["host", "page", "nodes"])
+
+    pages = rows.select("host", "html").mapInArrow(run, "host string, page long, nodes array<struct<path:long,style:long,content:long>>").dropDuplicates(["host", "page"])
+    nodes = pages.select("host", F.explode("nodes").alias("x"))
+    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("x.style").alias("feature")), F.struct(F.lit(1).alias("kind"), F.col("x.content").alias("feature")))
+    return nodes.select("host", F.col("x.path").alias("path"), F.explode(both).alias("y")).groupBy("host", "path", "y.kind", "y.feature").agg(F.count("*").alias("n"))
 
 
 def unimportant_nodes(counts: DataFrame) -> DataFrame:
@@ -251,7 +255,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Text is that of the blocks left, in page order, joined by line feeds; within a block
     character references are decoded and white space is one space. A null or empty page
-    has an empty text, a null URL an empty host; pages of hosts with few pages, or whose
+    has an empty text, a null URL an empty host; pages of hosts with few distinct pages, or whose
     branches differ from page to page, lose only what is noise by its kind. Repeated pages
     get equal texts, an empty table gives an empty result, further columns are ignored. A
     host's tree is merged from counts, so its size is that of its distinct paths and

@@ -95,6 +95,15 @@ def test_pages_alike_keep_their_articles(spark):
     assert {r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"T\nSame"}
 
 
+def test_copies_are_no_template(spark):
+    page = lambda i: f"<body><div class=top>Best site</div><div class=story><p>Story {i} tells of {i * 7}.</p></div></body>"
+    rows = [(i, "http://a.example/x", page(0)) for i in range(12)]
+    rows += [(100 + i, "http://b.example/x", page(i if i < 20 else 0)) for i in range(100)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert {got[i] for i in range(12)} == {"Best site\nStory 0 tells of 0."}
+    assert all(got[100 + i] == f"Story {i if i < 20 else 0} tells of {i * 7 if i < 20 else 0}." for i in range(100))
+
+
 def test_salted_join_is_the_broadcast_one(spark, monkeypatch):
     rows = [(i, "http://a.example/x", f"<body><div class=top>Site</div><p>Text {i}</p></body>") for i in range(12)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
