@@ -79,6 +79,25 @@ def test_cells_in_blocks_lose_nothing(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 4)
 
 
+def test_hot_cells_by_prefix_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 4)
+    monkeypatch.setattr(N, "BLOCKS", 1)
+    monkeypatch.setattr(N, "PAIRS", 3)
+    rows = made(4, 150)
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 4)
+
+
+def test_repeated_ids_keep_their_texts(spark):
+    a, a2, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"a{i}" for i in range(59)), " ".join(f"b{i}" for i in range(60))
+    left = lambda rows: sorted(map(tuple, N.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, _h int")).collect()))
+    assert left([(3, a, 0), (5, a, 0), (5, b, 0)]) == [(3, a, 0), (5, b, 0)]
+    assert left([(3, a, 0), (3, a, 0), (3, a2, 0), (4, b, 0), (4, b, 0)]) in ([(3, a, 0), (4, b, 0)], [(3, a2, 0), (4, b, 0)])
+    assert left([(3, a, 1), (3, a, 2)])[0][:2] == (3, a) and len(left([(3, a, 1), (3, a, 2)])) == 1
+    placed = N.near_duplicates(spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in placed) == [(3, 3, True), (5, 3, False), (5, 5, True)]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 9), (2, "", 9), (3, " \n ", 9), (4, "one two", 9), (5, "ONE two", 9), (5, "ONE two", 9), (None, "one two", 9), (7, "x " * 50000, 9), (8, "x", 9), (9, "x " * 49999, 9)]
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n_shingles long"), 4).collect()
@@ -105,5 +124,5 @@ def test_keys_meet_within_the_distance():
 
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(40)]
-    got = {r["doc"]: r["component"] for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["rep"]: r["component"] for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 141))
