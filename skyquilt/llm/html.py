@@ -1,18 +1,22 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree of element paths. Each node has the
-distribution, over the host's distinct pages, of its presentation (the sequence of its children's
-labels) and of its content (the text of its branch). A node whose presentation varies is
-important by its presentation; one whose content differs from page to page is important by
-its content; a branch that is alike on many pages is neither, and is removed. Elements that
-are by their kind no part of an article (menus, headers, adverts, forms, scripts and so
-on) have importance 0; an article's own headings and paragraphs have importance 1.
+distribution, over the host's distinct pages, of its presentation (the sequence of its
+children's labels) and of its content (the text of its branch), and its share of a page's
+text. A node whose presentation varies is important by its presentation, one whose content
+differs from page to page by its content; a branch that is alike on many pages is neither.
+
+Entropy tells templates from articles, not articles from adverts, whose words also change
+from page to page. So what kind of element a node is weighs in: elements that are by their
+kind no part of an article (menus, headers, forms, scripts and so on) have importance 0,
+and of those whose class says advert or promotion, importance is multiplied by their share
+of the host's text, so that they stay only where they are most of what a site has. Branches
+of low importance are removed from each page.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
 
@@ -21,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, parts_of
 from .urlfilter import host_and_path
 
-#: Importance below which a branch goes, pages of a host from which its tree is used, and the weight of content against presentation.
-LEAST_IMPORTANCE, LEAST_PAGES, CONTENT_WEIGHT = 0.2, 8, 0.8
-#: Rows of the table of unimportant nodes that are broadcast at most, and shares that a host's pages are dealt in beyond it.
+#: Importance below which a branch goes, the weight of content against presentation, and the pages, all different, that a node is taken to be on besides those seen: a node alike on all of its m pages goes from m = 9.
+LEAST_IMPORTANCE, CONTENT_WEIGHT, UNSEEN = 0.2, 0.8, 2
+#: Unimportant nodes that are broadcast at most, and shares that a host's pages are dealt in beyond it.
 BROADCAST_NODES, SHARES = 100_000, 32
 #: Pages that a task holds in mind, so as to send on a copy once.
 HELD = 100_000
@@ -38,105 +42,198 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 NOISE = frozenset("aside button canvas datalist dialog fieldset footer form head iframe input label menu nav noembed noframes noscript object option script select style svg template textarea title xmp".split())
-#: Words in a class or id, and roles, that mark what is no part of an article.
-NOISE_WORDS = frozenset(
-    "ad ads adsbygoogle advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related respond share sharebar sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
-)
+#: Words in a class or id that mark what is no part of an article, those that mark what the tree is to judge by its share, and roles.
+NOISE_WORDS = frozenset("breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation notice notices pagination respond sidebar toolbar".split())
+DOUBTED_WORDS = frozenset("ad ads adsbygoogle advert advertisement advertising adverts banner newsletter popup promo promoted promotion related share sharebar sharing signup social sponsor sponsored subscribe widget".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: What an open element of the first kind is ended by, as far as an element of the second kind.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
-#: Blocks that stay inside an article whatever their importance.
-PROSE = frozenset("article blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup li main ol p pre table tbody td tfoot th thead tr ul".split())
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</\s*([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+#: A tag's name, and its attributes as far as the next > outside quotes; nothing is tried twice.
+NAME = re.compile(r"/?\s*+[a-zA-Z][^\s/>]*+")
+INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[^a-z0-9]+")
+COMMENTS = (("<!--", "-->"), ("<![CDATA[", "]]>"))
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 class Node:
-    """An element: its label (name and first class), its path of labels, children in order (nodes and strings), and whether it is noise by its kind."""
+    """An element: its label (name and first class), the hash of its path of labels, children in order (nodes and strings), whether it is noise or doubted by its kind, and whether it is in an article."""
 
-    __slots__ = ("name", "label", "path", "children", "noise", "inside")
+    __slots__ = ("name", "label", "path", "children", "noise", "doubted", "inside")
 
-    def __init__(self, name: str, label: str, parent: Node | None, noise: bool) -> None:
-        self.name, self.label, self.noise = name, label, noise
-        self.path = f"{parent.path}/{label}" if parent else label
+    def __init__(self, name: str, label: str, parent: Node | None, noise: bool = False, doubted: bool = False) -> None:
+        self.name, self.label, self.noise, self.doubted = name, label, noise, doubted
+        self.path = path_key(f"{parent.path}/{label}") if parent else 0
         self.inside = name in ("article", "main") or bool(parent and parent.inside)
         self.children: list[Node | str] = []
 
 
-def _kind(name: str, attributes: str, parent: Node) -> tuple[str, bool]:
-    """An element's label, and whether it is noise by its name or attributes."""
-    label, noise = name, name in NOISE or name == "header" and not parent.inside
+def path_key(path: str) -> int:
+    return xxhash.xxh64_intdigest(path) - (1 << 63)
+
+
+def _kind(name: str, attributes: str, parent: Node) -> tuple[str, bool, bool]:
+    """An element's label, and whether it is noise, or doubted, by its name or attributes."""
+    label, noise, doubted = name, name in NOISE or name == "header" and not parent.inside, False
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "class" or key == "id":
                 if key == "class" and value.split():
                     label = f"{name}.{value.split()[0].lower()}"
-                noise = noise or name not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(WORDS.split(value.lower()))
+                if name not in ("html", "body", "article", "main"):
+                    words = WORDS.split(value.lower())
+                    noise, doubted = noise or not NOISE_WORDS.isdisjoint(words), doubted or not DOUBTED_WORDS.isdisjoint(words)
             elif key == "role":
                 noise = noise or value.strip().lower() in NOISE_ROLES
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):
                 noise = True
-    return label, noise
+    return label, noise, doubted
+
+
+def _element(name: str, attributes: str, parent: Node) -> Node:
+    label, noise, doubted = _kind(name, attributes, parent)
+    return Node(name, label, parent, noise, doubted)
+
+
+class Open:
+    """The open elements, with the places of each name and of the blocks, so that no search walks them."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.blocks = [root], [0]
+        self.at: dict[str, list[int]] = {}
+
+    def last(self, name: str) -> int:
+        return self.at[name][-1] if self.at.get(name) else 0
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.name, []).append(len(self.nodes))
+        if node.name in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def end(self, place: int) -> None:
+        """Close all elements from a place on."""
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.at[node.name].pop()
+            if self.blocks[-1] == len(self.nodes):
+                self.blocks.pop()
 
 
 def tree(source: str) -> Node:
-    """The element tree of a page, with missing end tags supplied."""
-    root = Node("", "", None, False)
-    stack, at = [root], 0
+    """The element tree of a page, with missing end tags supplied.
+
+    A tag ends at the first > outside quotes; from a tag on whose quotes never close, tags
+    end at their first > whatever the quotes. What is behind a < that starts a tag without
+    any > is part of that tag and so no text.
+    """
+    root = Node("", "", None)
+    stack, at, quotes = Open(root), 0, True
     while at < len(source):
-        m = TOKEN.search(source, at)
-        if not m:
-            stack[-1].children.append(source[at:])
+        found = source.find("<", at)
+        if found < 0 or found + 1 == len(source):
+            stack.nodes[-1].children.append(source[at:])
             break
-        if m.start() > at:
-            stack[-1].children.append(source[at : m.start()])
-        at = m.end()
-        if m[1]:
-            name = m[1].lower()
+        after = source[found + 1]
+        named = NAME.match(source, found + 1) if after.isascii() and (after.isalpha() or after == "/") else None
+        if not named and after not in "!?/":
+            stack.nodes[-1].children.append(source[at : found + 1])
+            at = found + 1
+            continue
+        if found > at:
+            stack.nodes[-1].children.append(source[at:found])
+        if not named:
+            opens, closes = next((p for p in COMMENTS if source.startswith(p[0], found)), ("", ">"))
+            end = source.find(closes, found + len(opens))
+            at = end + len(closes) if end >= 0 else len(source)
+            continue
+        inside = quotes and INSIDE.match(source, named.end())
+        end = inside.end() if inside else source.find(">", named.end()) + 1
+        quotes = quotes and bool(inside)
+        if not end:
+            break
+        attributes, at = source[named.end() : end - 1], end
+        if after == "/":
+            name = named[0][1:].strip().lower()
             if name == "br":
-                stack[-1].children.append(" ")
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-                # an end tag of a phrase ends nothing outside its block
-                if name not in BLOCK and stack[i].name in BLOCK:
-                    break
-        elif m[2]:
-            name = m[2].lower()
-            if name in BLOCK:
-                # a block ends an open paragraph, with the phrases that were left open in it
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name == "p":
-                        del stack[i:]
-                        break
-                    if stack[i].name in BLOCK:
-                        break
-            if name in CLOSES:
-                ends, within = CLOSES[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name in within:
-                        break
-                    if stack[i].name in ends:
-                        del stack[i:]
-                        break
-            label, noise = _kind(name, m[3], stack[-1])
-            node = Node(name, label, stack[-1], noise)
-            stack[-1].children.append(node)
-            if name in RAW:
-                end = re.compile(rf"</\s*{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
-                node.children.append(source[at : end.start() if end else len(source)])
-                at = end.end() if end else len(source)
-            elif name not in VOID and not m[3].rstrip().endswith("/") or name in BLOCK and name not in VOID:
-                stack.append(node)
+                stack.nodes[-1].children.append(" ")
+            # an end tag of a phrase ends nothing outside its block
+            elif (place := stack.last(name)) and (name in BLOCK or place > stack.blocks[-1]):
+                stack.end(place)
+            continue
+        name = named[0].lower()
+        if name in BLOCK and stack.blocks[-1] and stack.nodes[stack.blocks[-1]].name == "p":
+            # a block ends an open paragraph, with the phrases that were left open in it
+            stack.end(stack.blocks[-1])
+        if name in CLOSES:
+            ends, within = CLOSES[name]
+            outer = max(map(stack.last, within))
+            if places := [p for n in ends if (p := stack.last(n)) > outer]:
+                stack.end(max(places))
+        node = _element(name, attributes, stack.nodes[-1])
+        stack.nodes[-1].children.append(node)
+        if name in RAW:
+            close = re.compile(rf"</\s*{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
+            node.children.append(source[at : close.start() if close else len(source)])
+            at = close.end() if close else len(source)
+        elif name not in VOID and (name in BLOCK or not attributes.rstrip().endswith("/")):
+            stack.push(node)
     return root
 
 
-def blocks(root: Node, unimportant: frozenset[int] | set[int] = frozenset()) -> list[str]:
+def judged(x: Node) -> bool:
+    """Whether the tree judges an element: blocks do, but for the whole page, and what is doubted."""
+    return x.doubted or x.name in BLOCK and x.name not in ("html", "body", "article", "main")
+
+
+def walk(x: Node, gone: set[int]) -> Iterator[Node]:
+    """The elements of a branch in page order, without what is below noise and below elements in `gone` (their id())."""
+    work = [x]
+    while work:
+        x = work.pop()
+        yield x
+        if not x.noise and id(x) not in gone:
+            work += [c for c in reversed(x.children) if isinstance(c, Node)]
+
+
+def sizes(root: Node) -> dict[int, int]:
+    """By id(): the words of each branch, without those of noise in it."""
+    out: dict[int, int] = {}
+    for x in reversed(list(walk(root, set()))):  # children before parents
+        out[id(x)] = 0 if x.noise else sum(len(c.split()) if isinstance(c, str) else out.get(id(c), 0) for c in x.children)
+    return out
+
+
+def removed(root: Node, unimportant: frozenset[int] | set[int]) -> set[int]:
+    """By id(): the elements that the tree removes from a page.
+
+    Article and main elements are what a page is for. If the nodes to go from inside one
+    hold half of its words or more, its text is like that of other pages (as copies under
+    other menus are) and it keeps all of them; so does a page that would be left without a
+    word.
+    """
+    if not unimportant:
+        return set()
+    low = {id(x): x for x in walk(root, set()) if judged(x) and x.path in unimportant}
+    if not low:
+        return set()
+    size = sizes(root)
+
+    def lost(top: Node, gone: set[int]) -> int:
+        return sum(size[id(x)] for x in walk(top, gone) if id(x) in gone)
+
+    gone = set(low)
+    for top in walk(root, set()):
+        if top.name in ("article", "main"):
+            plain = {i for i in gone if low[i].inside and not low[i].doubted}
+            if plain and 2 * lost(top, plain) >= size[id(top)]:
+                gone -= {id(x) for x in walk(top, set()) if id(x) in plain}
+    return gone if lost(root, gone) < size[id(root)] else {i for i in gone if low[i].doubted}
+
+
+def blocks(root: Node, gone: set[int] = frozenset()) -> list[str]:
     """The text blocks of what is left of a tree, in page order."""
     out: list[str] = []
     run: list[str] = []
@@ -156,7 +253,7 @@ def blocks(root: Node, unimportant: frozenset[int] | set[int] = frozenset()) ->
             run.append(x)
         elif x.name == "br":
             run.append(" ")
-        elif x.noise or x.label and unimportant and removable(x) and path_key(x.path) in unimportant:
+        elif x.noise or id(x) in gone:
             run.append(" ")
             if x.name in BLOCK:
                 end()
@@ -169,38 +266,33 @@ def blocks(root: Node, unimportant: frozenset[int] | set[int] = frozenset()) ->
     return out
 
 
-def removable(x: Node) -> bool:
-    return x.name in BLOCK and x.name not in ("html", "body") and not (x.inside and x.name in PROSE)
-
-
-def path_key(path: str) -> int:
-    return xxhash.xxh64_intdigest(path) - (1 << 63)
-
-
-def features(root: Node) -> dict[int, tuple[int, int]]:
-    """For each path of blocks: hashes of its presentation (children's labels, repeats once) and of its content (text)."""
+def features(root: Node) -> dict[int, tuple[int, int, bool, float]]:
+    """For each path of judged elements: hashes of its presentation (children's labels, repeats once) and of its content (text), whether it is doubted, and its share of the page's words."""
     texts: dict[int, str] = {}
     found: dict[int, tuple[list, list]] = {}
-    order: list[Node] = []
-    work = [root]
-    while work:
-        x = work.pop()
-        if x.noise and x.name not in BLOCK:
+    doubted: dict[int, bool] = {}
+    words: dict[int, int] = {}
+    size = sizes(root)
+    for x in reversed(list(walk(root, set()))):  # children before parents
+        if x.noise:
             continue
-        order.append(x)
-        work += [c for c in x.children if isinstance(c, Node)]
-    for x in reversed(order):  # children before parents
         texts[id(x)] = xxhash.xxh64_hexdigest("".join(c.strip() if isinstance(c, str) else texts.get(id(c), "") for c in x.children))
-        if x.name in BLOCK and x.name not in ("html", "body", "head"):
+        if judged(x):
             labels = [c.label if isinstance(c, Node) else "#" for c in x.children if isinstance(c, Node) or c.strip()]
-            style, content = found.setdefault(path_key(x.path), ([], []))
+            style, content = found.setdefault(x.path, ([], []))
             style.append(" ".join(n for i, n in enumerate(labels) if not i or labels[i - 1] != n))
             content.append(texts[id(x)])
-    return {p: (path_key("\n".join(s)), path_key("\n".join(c))) for p, (s, c) in found.items()}
+            doubted[x.path] = doubted.get(x.path, False) or x.doubted
+            words[x.path] = words.get(x.path, 0) + size[id(x)]
+    every = max(1, size[id(root)])
+    return {p: (path_key("\n".join(s)), path_key("\n".join(c)), doubted[p], min(1.0, words[p] / every)) for p, (s, c) in found.items()}
+
+
+NODES = "array<struct<path:long,style:long,content:long,doubted:boolean,share:double>>"
 
 
 def style_counts(rows: DataFrame) -> DataFrame:
-    """host, path, kind (0 presentation, 1 content), feature, n: over the distinct pages of each host.
+    """host, path, kind (0 presentation, 1 content), feature, n, doubted, share (a sum): over the distinct pages of each host.
 
     Copies of a page are one page: they tell nothing of what its host's pages share. Only a
     page's features are shuffled, once for each task that has a copy.
@@ -208,7 +300,8 @@ def style_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str | None, int]] = set()
-        kinds = [pa.string(), pa.int64(), pa.list_(pa.struct([("path", pa.int64()), ("style", pa.int64()), ("content", pa.int64())]))]
+        node = pa.struct([("path", pa.int64()), ("style", pa.int64()), ("content", pa.int64()), ("doubted", pa.bool_()), ("share", pa.float64())])
+        kinds = [pa.string(), pa.int64(), pa.list_(node)]
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -220,34 +313,38 @@ def style_counts(rows: DataFrame) -> DataFrame:
                     if len(seen) >= HELD:
                         seen.clear()
                     seen.add((host, page))
-                    out.append((host, page, [{"path": p, "style": s, "content": c} for p, (s, c) in features(tree(source)).items()]))
+                    out.append((host, page, [dict(zip(("path", "style", "content", "doubted", "share"), (p, *f))) for p, f in features(tree(source)).items()]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["host", "page", "nodes"])
 
-    pages = rows.select("host", "html").mapInArrow(run, "host string, page long, nodes array<struct<path:long,style:long,content:long>>").dropDuplicates(["host", "page"])
+    pages = rows.select("host", "html").mapInArrow(run, f"host string, page long, nodes {NODES}").dropDuplicates(["host", "page"])
     nodes = pages.select("host", F.explode("nodes").alias("x"))
     both = F.array(F.struct(F.lit(0).alias("kind"), F.col("x.style").alias("feature")), F.struct(F.lit(1).alias("kind"), F.col("x.content").alias("feature")))
-    return nodes.select("host", F.col("x.path").alias("path"), F.explode(both).alias("y")).groupBy("host", "path", "y.kind", "y.feature").agg(F.count("*").alias("n"))
+    return nodes.select("host", "x.path", "x.doubted", "x.share", F.explode(both).alias("y")).groupBy("host", "path", "y.kind", "y.feature").agg(F.count("*").alias("n"), F.max("doubted").alias("doubted"), F.sum("share").alias("share"))
 
 
 def unimportant_nodes(counts: DataFrame) -> DataFrame:
-    """host, paths: the nodes of each host's tree whose importance is low.
+    """host, path: the nodes of each host's tree whose importance is low.
 
-    With m pages that have the node and a feature on n of them: presentation is the
-    entropy -sum(n/m log n/m) over log m, content is 1 - sum(n/m log n) / log m, which is 1
-    if all pages differ and 0 if all are alike.
+    A feature that n of the m pages with the node have gives it n/m log n: presentation and
+    content are 1 - sum(n log n) / (m log m), the entropy over its most, which is 1 if all
+    pages differ and 0 if all are alike; a node of one page has 1. UNSEEN pages are taken in
+    with the m, on which it differs and has no share. Importance is the weighted mean of both,
+    times the node's mean share of a page's words if it is doubted.
     """
-    per = counts.groupBy("host", "path", "kind", "feature").agg(F.sum("n").cast("double").alias("n"))
-    sums = per.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    # both come to 1 - sum(n log n) / (m log m)
-    varied = sums.where(F.col("m") >= LEAST_PAGES).withColumn("v", 1 - F.col("s") / (F.col("m") * F.log("m")))
-    both = varied.groupBy("host", "path").agg(F.max(F.when(F.col("kind") == 0, F.col("v"))).alias("presentation"), F.max(F.when(F.col("kind") == 1, F.col("v"))).alias("content"))
-    low = both.where(CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.col("presentation") < LEAST_IMPORTANCE)
-    return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    n = F.col("n").cast("double")
+    sums = counts.groupBy("host", "path", "kind").agg(F.sum(n).alias("m"), F.sum(n * F.log(n)).alias("s"), F.max("doubted").alias("doubted"), F.sum("share").alias("share"))
+    v = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0)
+    weight = F.when(F.col("kind") == 1, CONTENT_WEIGHT).otherwise(1 - CONTENT_WEIGHT)
+    sums = sums.withColumn("part", weight * (F.col("m") * v + UNSEEN) / (F.col("m") + UNSEEN))
+    nodes = sums.groupBy("host", "path").agg(F.sum("part").alias("importance"), F.max("doubted").alias("doubted"), (F.max("share") / (F.max("m") + UNSEEN)).alias("share"))
+    importance = F.col("importance") * F.when(F.col("doubted"), F.col("share")).otherwise(1.0)
+    return nodes.where(importance < LEAST_IMPORTANCE).select("host", "path")
 
 
 def main_text(source: str | None, unimportant: frozenset[int] | set[int] = frozenset()) -> str:
-    return "\n".join(blocks(tree(source or ""), unimportant))
+    root = tree(source or "")
+    return "\n".join(blocks(root, removed(root, unimportant)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -255,30 +352,49 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Text is that of the blocks left, in page order, joined by line feeds; within a block
     character references are decoded and white space is one space. A null or empty page
-    has an empty text, a null URL an empty host; pages of hosts with few distinct pages, or whose
-    branches differ from page to page, lose only what is noise by its kind. Repeated pages
+    has an empty text, a null URL an empty host; hosts of few pages go by the same formula
+    as others, with little weight on what their pages share. Repeated pages
     get equal texts, an empty table gives an empty result, further columns are ignored. A
     host's tree is merged from counts, so its size is that of its distinct paths and
-    features, and no task gathers a host's pages.
+    features, and no task gathers a host's pages. Time is linear in a page's length.
     """
     host, _ = host_and_path(F.col("_url"))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("host", host)
     nodes = cut(unimportant_nodes(style_counts(rows)))
-    size = nodes.limit(BROADCAST_NODES + 1).agg(F.sum(F.size("paths")).alias("n")).collect()[0]["n"] or 0
-    if size <= BROADCAST_NODES:
-        joined = rows.join(F.broadcast(nodes), "host", "left")
+    kind = rows.schema["_id"].dataType.simpleString()
+    few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    if few:
+        by_host: dict[str, set[int]] = {}
+        for r in nodes.collect():  # BROADCAST_NODES at most
+            by_host.setdefault(r["host"], set()).add(r["path"])
+        known = pages.sparkSession.sparkContext.broadcast(by_host)
+        dealt = rows.select("_id", "_url", "html", "host", F.lit(None).cast("int").alias("_share"), F.lit(None).cast("long").alias("path"))
     else:
-        dealt = nodes.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-        joined = rows.withColumn("_share", F.pmod(F.xxhash64("_id", "_url"), F.lit(SHARES)).cast("int")).join(dealt, ["host", "_share"], "left")
-    joined = joined.select("_id", F.col("_url"), "html", F.coalesce("paths", F.array().cast("array<bigint>")).alias("paths"))
-    kind = joined.schema["_id"].dataType.simpleString()
+        known = None
+        shared = nodes.select(F.lit(None).cast(kind).alias("_id"), F.lit(None).cast("string").alias("_url"), F.lit(None).cast("string").alias("html"), "host", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share"), "path")
+        own = rows.select("_id", "_url", "html", "host", F.pmod(F.xxhash64("_id", "_url"), F.lit(SHARES)).cast("int").alias("_share"), F.lit(None).cast("long").alias("path"))
+        # each share of a host has its nodes first, then its pages
+        dealt = own.unionByName(shared).repartition(parts_of(pages.sparkSession), "host", "_share").sortWithinPartitions("host", "_share", F.col("path").asc_nulls_last())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none: set[int] = set()
+        now, own = None, none
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = [main_text(h, frozenset(p)) for h, p in zip(part.column("html").to_pylist(), part.column("paths").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["_id", "_url", "text", "n_chars"])
+                part, out = batch.slice(at, 64), []
+                for own_id, url, source, name, share, path in zip(*(part.column(c).to_pylist() for c in ("_id", "_url", "html", "host", "_share", "path"))):
+                    if known is not None:
+                        own = known.value.get(name, none)
+                    elif now != (name, share):
+                        now, own = (name, share), set()
+                    if path is not None:
+                        own.add(path)
+                    else:
+                        text = main_text(source, own)
+                        out.append((own_id, url, text, len(text)))
+                if out:
+                    kinds = [part.schema.field("_id").type, pa.string(), pa.string(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["_id", "_url", "text", "n_chars"])
 
-    out = joined.mapInArrow(run, f"_id {kind}, _url string, text string, n_chars long")
+    out = dealt.mapInArrow(run, f"_id {kind}, _url string, text string, n_chars long")
     return out.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", "n_chars")

@@ -1,5 +1,9 @@
 import hashlib
+import math
+import os
 import random
+import time
+from collections import Counter
 
 import pytest
 
@@ -74,7 +78,8 @@ def test_levels(line, level):
     ("<body><header>Site</header><nav>m</nav><main><h1>T</h1><p>x</p><div class='comments'>c</div><form>f</form></main><aside>s</aside><footer>f</footer>", "T\nx"),
     ("<article><header><h1>T</h1></header><ul><li>1<li>2</ul><table><tr><td>a<td>b</table></article>", "T\n1\n2\na\nb"),
     ("<script>var a='</p>';</script><style>p{}</style><!-- no --><p title='a>b'>x&nbsp;y &lt;z&gt;</p>", "x y <z>"),
-    ("<div id='cookie-banner'>no</div><div class=\"ad\">no</div><div role=navigation>no</div><div hidden>no</div><p>yes</p>", "yes"),
+    ("<div id='cookie-banner'>no</div><div role=navigation>no</div><div hidden>no</div><p>yes</p>", "yes"),
+    ('<p>Hello <a href="foo>text</a>', "Hello text"), ("<p title='a\">b</p><p id=\"x>c", "b\nc"), ("a <b", "a"), ("a < b <", "a < b <"), ("x</ p>y", "xy"), ("<!-- open", ""), ("<li>1<ul><li>2</ul><li>3", "1\n2\n3"),
     ("<p>a<p>b<div>c<p>d</div>e", "a\nb\nc\nd\ne"), ("<p>unclosed <b>bold<p>next", "unclosed bold\nnext"), ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
     ("<div class='article-header-shadow'>kept? no</div><p class='lead'>lead</p>", "lead"),
 ])
@@ -91,7 +96,8 @@ def test_site_style_tree(spark):
 
 
 def test_pages_alike_keep_their_articles(spark):
-    rows = [(i, "http://a.example/x", "<body><div class=top>Site</div><article><h1>T</h1><p>Same</p></article></body>") for i in range(12)]
+    # alike, but not copies of one page
+    rows = [(i, "http://a.example/x", f"<body><!-- {i} --><div class=top>Site</div><article><h1>T</h1><p>Same</p></article></body>") for i in range(12)]
     assert {r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"T\nSame"}
 
 
@@ -104,6 +110,114 @@ def test_copies_are_no_template(spark):
     assert all(got[100 + i] == f"Story {i if i < 20 else 0} tells of {i * 7 if i < 20 else 0}." for i in range(100))
 
 
+def plain_tree(rows):
+    """{host: {path of labels}} of low importance, from the definition: entropies over distinct pages."""
+    pages = {}
+    for _, url, source in rows:
+        pages.setdefault(split(url)[0], {})[source or ""] = H.tree(source or "")
+    out = {}
+    for host, roots in pages.items():
+        seen = {}
+        for root in roots.values():
+            own, whole = {}, len(words_left(root))
+            stack = [(root, ())]
+            while stack:
+                x, path = stack.pop()
+                if x.noise:
+                    continue
+                if x.doubted or x.name in H.BLOCK and x.name not in ("html", "body", "article", "main"):
+                    kids = [c.label if isinstance(c, H.Node) else "#" for c in x.children if isinstance(c, H.Node) or c.strip()]
+                    style, content, n = own.setdefault(path, ([], [], 0))
+                    own[path] = (style + [tuple(k for i, k in enumerate(kids) if i == 0 or kids[i - 1] != k)], content + [inner(x)], n + len(words_left(x)))
+                stack += [(c, (*path, c.label)) for c in reversed(x.children) if isinstance(c, H.Node)]
+            for path, (style, content, n) in own.items():
+                seen.setdefault(path, []).append((tuple(style), tuple(content), n / max(1, whole)))
+        for path, found in seen.items():
+            m, v = len(found), []
+            for k in (0, 1):
+                count = Counter(f[k] for f in found)
+                v.append(1.0 if m == 1 else sum(-n / m * math.log(n / m) for n in count.values()) / math.log(m))
+            v = [(m * x + 2) / (m + 2) for x in v]
+            importance = 0.2 * v[0] + 0.8 * v[1]
+            if any(H.DOUBTED_WORDS & set(part.split(".")[-1].split("-")) for part in path[-1:]):
+                importance *= sum(f[2] for f in found) / (m + 2)
+            if importance < 0.2:
+                out.setdefault(host, set()).add(path)
+    return out
+
+
+def inner(x):
+    return tuple(c.strip() if isinstance(c, str) else inner(c) if not c.noise else "" for c in x.children)
+
+
+def words_left(x):
+    return [] if x.noise else [w for c in x.children for w in (c.split() if isinstance(c, str) else words_left(c))]
+
+
+def test_site_style_tree_against_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split())
+    rows, want = [], {}
+    for i in range(160):
+        host = rng.choice(["a.x", "b.x", "b.x", "c.x", f"one{i}.x"])
+        ad = f'<div class="{rng.choice(["ad", "promo"])}">{word()} {word()} {i}</div>' if rng.random() < 0.8 else ""
+        story = "".join(f"<p>{word()} {word()} {i} {n} {word()}</p>" for n in range(rng.randint(1, 6)))
+        legal = f"<div class=legal>{rng.choice(['all rights', 'all rights', 'all rights', 'some rights'])}</div>"
+        body = f"<article><h1>{word()} {i}</h1>{story}<p class=tail>read on</p></article>" if host != "b.x" else f"<div class=story>{story}</div>"
+        rows.append((i, f"http://{host}/{i}", f"<body><div class=top>{host}</div>{ad}{body}{legal}<div class=box><h2>{rng.choice('AB')}</h2><ul><li>x<li>y</ul></div></body>"))
+    rows += [(1000 + i, *rng.choice(rows)[1:]) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    low = plain_tree(rows)
+
+    def key(path):
+        k = 0
+        for label in path:
+            k = H.path_key(f"{k}/{label}")
+        return k
+
+    nodes = H.unimportant_nodes(H.style_counts(df.selectExpr("regexp_extract(url, '//([^/]*)', 1) AS host", "html"))).collect()
+    assert {(r["host"], r["path"]) for r in nodes} == {(h, key(p)) for h, paths in low.items() for p in paths}
+    got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    for i, url, source in rows:
+        left = []
+
+        def go(x, path, gone):
+            if x.noise or path in gone:
+                return
+            left.extend(c if isinstance(c, str) else go(c, (*path, c.label), gone) or "" for c in x.children)
+
+        go(H.tree(source), (), low.get(split(url)[0], set()))
+        want[i] = " ".join(" ".join(left).split())
+    assert {i: " ".join(t.split()) for i, t in got.items()} == want
+    assert not any("rights" in t or "read on" in t for i, t in got.items() if i < 1000 and rows[i][1].startswith("http://a.x"))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_the_tree_decides_on_the_tables(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    changed = 0
+    for r in pages.collect():
+        changed += got[r["page_id"]] != H.main_text(r["html"])
+        article = r["html"][r["html"].index("<article>") : r["html"].index("</article>")]
+        assert got[r["page_id"]] == H.main_text(article)
+    assert changed == len(got)
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a href='x", "<a '\">", "<", "</", "<!--", "<script>", "<b>", "<div>", "<li>", "</p>", "<td><tr>", "&amp"])
+def test_hostile_pages_take_linear_time(part):
+    began = time.process_time()
+    H.main_text(part * (300_000 // len(part)))
+    assert time.process_time() - began < 5
+
+
+def test_copies_under_other_menus_keep_their_article(spark):
+    page = lambda i, text: f"<body><div class=top>Menu {i}</div><article><h1>T{i}</h1><p>{text}</p></article></body>"
+    rows = [(i, f"http://a.example/{i}", page(i, "The same long text." if i % 5 else f"Own text {i}.")) for i in range(50)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(("The same long text." if i % 5 else f"Own text {i}.") in t for i, t in got.items())
+
+
 def test_salted_join_is_the_broadcast_one(spark, monkeypatch):
     rows = [(i, "http://a.example/x", f"<body><div class=top>Site</div><p>Text {i}</p></body>") for i in range(12)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
