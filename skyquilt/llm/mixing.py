@@ -54,26 +54,25 @@ def position(share: Column, start: Column, end: Column) -> Column:
     return F.when(slope == 0, share).otherwise(root)
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: `id_col`, size, source, source_size, target, taken, first_at, position.
+def _placed(docs: DataFrame, weights: tuple, most: int, id_col: str, text_col: str, source_col: str, whole: bool) -> DataFrame:
+    """A row for each of `docs`: _id, source, size, source_size, target, at, first_at, _words, taken, and with `whole` _row, the row itself.
 
-    size is the words of the text. A source's documents stand in the order of the id's
-    hash; the mix takes the stream from its start, over and over, for round(target) words,
-    so `taken` is size times the full passes plus what the last pass reaches: one document
-    of a source may be taken in part. position is the training time of its first word,
-    null if nothing of it is taken; the same rows give the same result. A null text has
-    size 0, a null source is a source of its own that comes last, repeated ids are
-    separate documents, an empty table gives an empty result; further columns are ignored.
+    Rows are placed as they are and never matched by id, so ids may be repeated.
     """
-    base = docs.select(F.col(id_col), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
-    base = cut(base.withColumn("_h", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))).withColumn("_b", F.substring("_h", 1, 3)))
-    goal = targets(base.select("source", "size"), weights, most)
-    starts = bucket_totals(base, ["source"], "_b", F.col("size"), "_start")
+
+    def sized(whole: bool) -> DataFrame:
+        row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []
+        out = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), F.xxhash64(F.col(text_col)).alias("_text"), *row)
+        return out.withColumn("_h", F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))).withColumn("_b", F.substring("_h", 1, 3))
+
+    narrow = cut(sized(False))
+    goal = targets(narrow.select("source", "size"), weights, most)
+    starts = bucket_totals(narrow, ["source"], "_b", F.col("size"), "_start")
     # per source and bucket; nulls match nulls
     levels = starts.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select(F.col("s.source").alias("_source"), F.col("_b").alias("_bucket"), "_start", "source_size", "at", "target")
     levels = cut(levels)
-    order = Window.partitionBy("source", "_b").orderBy("_h", F.col(id_col).asc_nulls_first(), "size")
-    rows = base.withColumn("_in", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    order = Window.partitionBy("source", "_b").orderBy("_h", F.col("_id").asc_nulls_first(), "size", "_text")
+    rows = (sized(True) if whole else narrow).withColumn("_in", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     rows = rows.join(levels, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_b") == F.col("_bucket")))
     words, size = F.round("target").cast("long"), F.col("source_size")
     rows = rows.withColumn("first_at", F.col("_in") + F.col("_start")).withColumn("_words", words)
@@ -81,9 +80,28 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, id_col: str
     rows = rows.withColumn("_full", full).withColumn("_rest", F.col("_words") - F.col("_full") * size)
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("first_at")))
     rows = rows.withColumn("taken", (F.col("_full") * F.col("size") + part).cast("long"))
-    share = F.col("first_at") / F.col("_words")
-    at = F.when(F.col("taken") > 0, position(share, _in_turn(tuple(s[0] for s in SCHEDULES), F.col("at")), _in_turn(tuple(s[1] for s in SCHEDULES), F.col("at"))))
-    return rows.select(id_col, "size", "source", "source_size", "target", "taken", "first_at", "at", "_words", at.alias("position"))
+    return rows.select("_id", "source", "size", "source_size", "target", "at", "first_at", "_words", "taken", *(["_row"] if whole else []))
+
+
+def _time(share: Column) -> Column:
+    """The training time at which a row's source has used `share` of its words."""
+    return position(share, *[_in_turn(tuple(s[k] for s in SCHEDULES), F.col("at")) for k in (0, 1)])
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: `id_col`, size, source, source_size, target, taken, first_at, position.
+
+    size is the words of the text. A source's documents stand in the order of the id's
+    hash; the mix takes the stream from its start, over and over, for round(target) words,
+    so `taken` is size times the full passes plus what the last pass reaches: one document
+    of a source may be taken in part. position is the training time of its first word,
+    null if nothing of it is taken; the same rows give the same result. A null text has
+    size 0, a null source is a source of its own that comes last, repeated ids are
+    separate documents, an empty table gives an empty result; further columns are ignored.
+    """
+    rows = _placed(docs, weights, most, id_col, text_col, source_col, False)
+    at = F.when(F.col("taken") > 0, _time(F.col("first_at") / F.col("_words")))
+    return rows.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", "taken", "first_at", at.alias("position"))
 
 
 def by_position(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -95,26 +113,26 @@ def by_position(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def training_rows(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as documents: a row for each time one is taken, range-sorted by position.
 
-    Columns are those of `docs`; a document taken in part on its last time is cut after
-    the last word taken (with n_chars, if there is such a column, set anew). Documents
-    without words are never taken. Ids must be unique here; rows whose id is null or
-    repeated are matched by id and may be repeated by the product.
+    Columns are those of `docs`, whatever their names; a document taken in part on its last
+    time is cut after the last word taken (with n_chars, if there is such a column, set
+    anew). Documents without words are never taken. Rows that share an id, and equal rows,
+    are documents of their own: none is taken more than `most` times.
     """
-    mixed = mix(docs, weights, most, id_col, text_col, source_col).where("taken > 0")
-    turns = mixed.select(F.col(id_col).alias("_id"), "size", "source_size", "first_at", "at", "_words", F.col("taken").alias("_taken"), F.explode(F.sequence(F.lit(0), F.expr("(taken - 1) div size").cast("int"))).alias("_turn"))
-    turns = turns.withColumn("_left", F.least(F.col("size"), F.col("_taken") - F.col("_turn") * F.col("size")))
-    share = (F.col("first_at") + F.col("_turn") * F.col("source_size")) / F.col("_words")
-    turns = turns.withColumn("_position", position(share, _in_turn(tuple(s[0] for s in SCHEDULES), F.col("at")), _in_turn(tuple(s[1] for s in SCHEDULES), F.col("at"))))
-    turns = turns.select("_id", "_turn", "_position", F.when(F.col("_left") < F.col("size"), F.col("_left")).alias("_left"))
-    rows = docs.join(turns, F.col(id_col).eqNullSafe(F.col("_id")))
+    rows = _placed(docs, weights, most, id_col, text_col, source_col, True).where("taken > 0")
+    turns = rows.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.expr("(taken - 1) div size").cast("int"))))
+    turns = turns.withColumn("_time", _time((F.col("first_at") + F.col("_turn") * F.col("source_size")) / F.col("_words")))
+    left = F.least(F.col("size"), F.col("taken") - F.col("_turn") * F.col("size")).cast("int")
+    turns = turns.select("_row", "_id", "_turn", "_time", F.when(left < F.col("size"), left).alias("_left"))
+    order = [F.col("_time"), F.col("_id").asc_nulls_last(), F.col("_turn")]
+    dealt = turns.repartitionByRange(*order).sortWithinPartitions(*order)
+    text = F.col(f"_row.`{text_col}`")
     # pieces that each end with a word; together they are the text
-    pieces = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut_text = F.when(F.col("_left").isNull(), F.col(text_col)).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.coalesce(F.col("_left"), F.lit(1)).cast("int")), ""))
-    rows = rows.withColumn(text_col, cut_text)
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut_text = F.when(F.col("_left").isNull(), text).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.coalesce(F.col("_left"), F.lit(1))), ""))
+    made = {text_col: cut_text}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_left").isNull(), F.col("n_chars")).otherwise(F.char_length(F.col(text_col)).cast("long")))
-    order = [F.col("_position"), F.col(id_col).asc_nulls_last(), F.col("_turn")]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+        made["n_chars"] = F.when(F.col("_left").isNull(), F.col("_row.n_chars")).otherwise(F.char_length(cut_text).cast("long"))
+    return dealt.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 __all__ = ["MOST", "SCHEDULES", "WEIGHTS", "WORD", "by_position", "mix", "position", "targets", "training_rows"]

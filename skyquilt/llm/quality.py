@@ -23,6 +23,9 @@ SEPARATORS = "|›»•·"
 PHRASES = (
     "accept cookies", "all rights reserved", "cookie policy", "cookies to", "enable javascript", "javascript is disabled", "lorem ipsum", "powered by", "privacy policy",
     "sign in to", "sign up for", "subscribe to our", "terms of service", "terms of use", "click here to", "share this article", "skip to content",
+    "accepter les cookies", "politique de confidentialité", "tous droits réservés", "mentions légales", "partager cet article",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen", "artikel teilen",
+    "aceptar las cookies", "política de privacidad", "política de cookies", "todos los derechos reservados", "compartir este artículo",
 )
 
 BARS = [c.encode() for c in SEPARATORS]
@@ -95,17 +98,11 @@ FIELDS = [
 DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lost_words long, kept boolean, cleaned string"
 
 
-def assess(docs: DataFrame, text_col: str = "text", cleaned: bool = True) -> DataFrame:
-    """All columns of `docs` but the text, then the verdict's columns (see `judge`).
-
-    A null or empty text has no words and fails; whole texts are read, each on its own, so
-    ties, repeated rows, ids and further columns make no difference, and an empty table
-    gives an empty result. A column of `docs` with the name of one of the verdict's is
-    left out in favour of the verdict's.
-    """
+def _judged(docs: DataFrame, text_col: str, cleaned: bool) -> DataFrame:
+    """_row, the columns of `docs` but the text as one struct, then the verdict's columns (see `judge`)."""
     fields = FIELDS if cleaned else FIELDS[:-1]
     names = [f[0] for f in fields]
-    keep = [c for c in docs.columns if c != text_col and c not in names]
+    keep = [c for c in docs.columns if c != text_col]
     put = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("_none"))
     source = docs.select(put.alias("_row"), F.col(text_col).cast("string").alias("_text"))
 
@@ -118,16 +115,28 @@ def assess(docs: DataFrame, text_col: str = "text", cleaned: bool = True) -> Dat
                     yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, t) for v, (_, t) in zip(rows, fields)]], names=["_row", *names])
 
     ddl = DDL if cleaned else DDL.removesuffix(", cleaned string")
-    schema = f"_row {source.schema['_row'].dataType.simpleString()}, {ddl}"
-    out = source.mapInArrow(run, schema)
-    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], *names)
+    return source.mapInArrow(run, f"_row {source.schema['_row'].dataType.simpleString()}, {ddl}")
+
+
+def assess(docs: DataFrame, text_col: str = "text", cleaned: bool = True) -> DataFrame:
+    """All columns of `docs` but the text, then the verdict's columns (see `judge`).
+
+    A null or empty text has no words and fails; whole texts are read, each on its own, so
+    ties, repeated rows, ids and further columns make no difference, and an empty table
+    gives an empty result. A column of `docs` with the name of one of the verdict's is
+    left out in favour of the verdict's.
+    """
+    names = [f[0] for f in (FIELDS if cleaned else FIELDS[:-1])]
+    keep = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != text_col and c not in names]
+    return _judged(docs, text_col, cleaned).select(*keep, *names)
 
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that pass, without their failing lines; columns as in `docs` (n_chars, if present, set anew)."""
-    plain = docs.withColumn("_text", F.col(text_col))
-    judged = assess(plain, "_text").where("kept")
-    out = judged.withColumn(text_col, F.col("cleaned"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("cleaned").cast("long"))
-    return out.select(*docs.columns)
+    """The documents that pass, without their failing lines.
+
+    Columns are those of `docs` with their values, whatever their names, but for the text
+    and n_chars, which is set anew if there is such a column. Null and empty texts go.
+    """
+    made = {text_col: F.col("cleaned"), "n_chars": F.char_length("cleaned").cast("long")}
+    out = _judged(docs, text_col, True).where("kept")
+    return out.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

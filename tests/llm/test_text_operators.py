@@ -63,6 +63,12 @@ def test_quality_rows(spark):
     assert Q.clean(docs(spark, rows)).columns == docs(spark).columns and Q.clean(empty(spark)).collect() == []
 
 
+def test_clean_keeps_columns_of_other_meaning(spark):
+    good = " ".join(f"word{i}" for i in range(60)) + "."
+    df = spark.createDataFrame([(1, good, "mine", -5, "t", "c", 7)], "doc_id long, text string, kept string, n_words int, _text string, cleaned string, _row int")
+    assert Q.clean(df).columns == df.columns and tuple(Q.clean(df).collect()[0]) == (1, good, "mine", -5, "t", "c", 7)
+
+
 # fingerprints
 
 
@@ -181,6 +187,20 @@ def test_mix(spark):
     assert {s: n for s, n in words.items() if n} == {s: n for s, n in taken.items() if n}
 
 
+def test_training_rows_of_repeated_ids_and_odd_columns(spark):
+    rows = [(1, f"a{i} " * 10, "s", i, i, i, i, 3) for i in range(20)] + [(None, "n n", None, 1, 1, 1, 1, 3)] * 3
+    df = spark.createDataFrame(rows, DDL + ", _left int, _id int, _turn int, _position int, _row int")
+    got = M.training_rows(df).collect()
+    assert M.training_rows(df).columns == df.columns
+    times = Counter(r["text"].split()[0] for r in got)
+    assert len(times) <= 21 and all(n <= (9 if w == "n" else 3) for w, n in times.items())
+    assert all(r["_row"] == 3 and r["_left"] == (1 if r["source"] is None else int(r["text"].split()[0][1:])) for r in got)
+    words = Counter()
+    for r in got:
+        words[r["source"]] += len(r["text"].split())
+    assert words == Counter({s: round(t) for s, t in fair({"s": 200, None: 6}).items()})
+
+
 def test_mix_odd_rows(spark):
     assert len(M.mix(docs(spark)).collect()) == len(ODD) and M.mix(empty(spark)).collect() == []
     assert M.training_rows(empty(spark)).collect() == []
