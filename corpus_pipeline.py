@@ -7,37 +7,58 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skyquilt.llm import linededup, mixing, neardup, packing, quality
+from skyquilt.llm.common import cut
 from skyquilt.llm.queries import tokenizer_file
 from skyquilt.ship import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without their failing lines."""
+    """Documents that pass, without their failing lines.
+
+    Null and empty texts go; equal rows are judged alike and all stay; ids may be null or
+    repeated; columns keep their values whatever their names; an empty table stays empty.
+    """
     ship(spark)
     return quality.clean(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of line runs; what is left empty goes."""
+    """Documents without later copies of line runs; what is left empty goes.
+
+    Null ids come first in the order of copies; rows with the same id and text are one
+    document here and all stay; null texts stay null; an empty table stays empty.
+    """
     ship(spark)
     return linededup.deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates.
+
+    Of rows with the same id and text one stays; other texts under the same id are
+    documents of their own; null ids and texts without words stay; an empty table stays empty.
+    """
     ship(spark)
     return neardup.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, in training order."""
+    """The documents as often as the mix takes them, in training order.
+
+    Texts without words are never taken; a null source is one of its own; rows that share
+    an id are documents of their own; an empty table stays empty.
+    """
     return mixing.training_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in token sequences."""
+    """Pieces of documents in token sequences, with their token ids, in windows of the training order.
+
+    The order is that of the table's files and rows. A null text is its end id alone; rows that share an
+    id, as turns of one document do, are documents of their own; an empty table stays empty.
+    """
     ship(spark)
-    return packing.pack(docs, tokenizer_file())
+    return packing.pack(docs, tokenizer_file(), window=packing.WINDOW, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -53,8 +74,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder; what a stage returns is written once, as the next one reads it several times."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,7 +3,8 @@
 A document's token ids are hashed into a vector, the vector is projected to three
 dimensions, and its place on a Hilbert curve is the sort key. Documents are laid end to
 end in that order and the stream is cut into sequences, so that neighbours on the curve
-share sequences.
+share sequences. Where the rows' own order matters, as after a curriculum, it is cut into
+windows, and the curve orders only the documents of a window.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import cut, running_total
 
 #: Tokens of a sequence and the id that ends a document.
 LENGTH, END_ID = 4096, 2
+#: Tokens of a window at most, and windows at least, where the order of the rows is kept.
+WINDOW, WINDOWS = 1 << 20, 16
 #: Hash dimensions, projected dimensions, bits of each on the curve, and words whose ids a worker remembers.
 HASHED, DIMS, BITS, REMEMBERED = 256, 3, 10, 600_000
 
@@ -116,19 +119,31 @@ def tail_sizes(rest: int) -> list[int]:
     return [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece of a document in a sequence: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, curve_key.
+def in_windows(held: DataFrame, window: int) -> DataFrame:
+    """_row, _window of the rows of `held`: windows of equal token counts, `window` at most, in the order of (_file, _block, _row)."""
+    total = held.agg(F.sum("_n")).collect()[0][0] or 1
+    windows = max(WINDOWS, -(-total // window))
+    at = running_total(held.select("_row", "_file", "_block", "_n"), [F.col("_file"), F.col("_block"), F.col("_row")], F.col("_n"), "_at")
+    return at.select("_row", F.floor(F.col("_at") * windows / total).cast("long").alias("_window"))
+
+
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", window: int | None = None, with_ids: bool = False) -> DataFrame:
+    """A row for each piece of a document in a sequence: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, curve_key, and with `with_ids` token_ids.
 
     Each document's ids, ended by `end_id`, lie in the stream in order of (curve key, id);
     sequence n holds ids n * length to (n + 1) * length - 1 of the stream, and the rest of
     the stream after the last full sequence is cut into sequences whose sizes are powers
-    of two, so nothing is padded. A null text is empty and has the end id alone; null
+    of two, so nothing is padded. With `window`, the rows as they come (of a table in files,
+    in the order of files' names) are cut into WINDOWS windows or more of at most so many
+    tokens, which stand one behind the other, and the curve orders each of them. `docs` must then be one
+    table, read or checkpointed. A null text is empty and has the end id alone; null
     ids come first among equal keys; repeated ids or rows are separate documents; an
     empty table gives an empty result; further columns are ignored. `tokenizer` is a file
     that every worker has, with ids under 65,536.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    place = [F.input_file_name(), F.input_file_block_start()] if window else [F.lit(""), F.lit(0).cast("long")]
+    source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), place[0].alias("_file"), place[1].alias("_block"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, curve, end = words_of(tokenizer), Curve(), array("H", [end_id]).tobytes()
@@ -137,24 +152,26 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
                 part = batch.slice(at, 256)
                 ids = [words.ids(t) + end for t in part.column(1).to_pylist()]
                 keys = curve.keys([np.frombuffer(x, np.uint16) for x in ids])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["_id", "_key", "_n", "_ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(keys), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["_id", "_file", "_block", "_key", "_n", "_ids"])
 
-    held = cut(source.mapInArrow(tokens, f"_id {kind}, _key long, _n long, _ids binary").withColumn("_row", F.monotonically_increasing_id()))
-    order = [F.col("_key"), F.col("_id").asc_nulls_first(), F.col("_row")]
-    starts = running_total(held.select("_row", "_key", "_id", "_n"), order, F.col("_n"), "_start").select("_row", "_start")
+    held = cut(source.mapInArrow(tokens, f"_id {kind}, _file string, _block long, _key long, _n long, _ids binary").withColumn("_row", F.monotonically_increasing_id()))
+    narrow = held.select("_row", "_key", "_id", "_n")
+    narrow = narrow.join(in_windows(held, window), "_row") if window else narrow.withColumn("_window", F.lit(0).cast("long"))
+    order = [F.col("_window"), F.col("_key"), F.col("_id").asc_nulls_first(), F.col("_row")]
+    starts = running_total(narrow, order, F.col("_n"), "_start").select("_row", "_start")
     total = held.agg(F.sum("_n")).collect()[0][0] or 0
     whole = total // length
     sizes = tail_sizes(total % length)
     bounds = np.array([whole * length, *(whole * length + np.cumsum(sizes)).tolist()], dtype=np.int64)
     full_until = whole * length
+    names = ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key"]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, out = batch.slice(at, 256), []
+                part, out, flat = batch.slice(at, 256), [], []
                 for own, key, n, ids, first in zip(*(part.column(c).to_pylist() for c in ("_id", "_key", "_n", "_ids", "_start"))):
-                    wide, done = np.frombuffer(ids, np.uint16).astype("<u4").tobytes(), 0
+                    wide, done = np.frombuffer(ids, np.uint16).astype("<u4"), 0
                     while done < n:
                         here = first + done
                         if here < full_until:
@@ -163,12 +180,17 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
                             k = int(np.searchsorted(bounds, here, side="right")) - 1
                             sequence, offset, size = whole + k, here - int(bounds[k]), sizes[k]
                         take = min(n - done, size - offset)
-                        out.append((own, done, take, zlib.crc32(wide[4 * done : 4 * (done + take)]), n, sequence, offset, key))
+                        out.append((own, done, take, zlib.crc32(wide[done : done + take].tobytes()), n, sequence, offset, key))
                         done += take
-                kinds = [part.schema.field("_id").type] + [pa.int64()] * 7
+                    flat.append(wide)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                    kinds = [part.schema.field("_id").type] + [pa.int64()] * 7
+                    columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+                    if with_ids:
+                        ends = np.cumsum([0, *(row[2] for row in out)]).astype(np.int32)
+                        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat).astype(np.int32))))
+                    yield pa.RecordBatch.from_arrays(columns, names=names + ["token_ids"] * with_ids)
 
     placed = held.join(starts, "_row").select("_id", "_key", "_n", "_ids", "_start")
-    out = placed.mapInArrow(pieces, f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long")
+    out = placed.mapInArrow(pieces, f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long" + ", token_ids array<int>" * with_ids)
     return out.withColumnRenamed("_id", id_col)

@@ -1,6 +1,5 @@
 import random
 import re
-from collections import defaultdict
 
 import pytest
 
@@ -9,39 +8,34 @@ from skyquilt.llm import linededup as L
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows, least):
-    """Texts left: blocks of 2^k lines that are found earlier, joined along the diagonal of their first copy."""
-    lines = {i: [x for x in t.split("\n") if WORDS.search(x)] for i, t in rows}
-    spans, size = defaultdict(list), 1
-    while size <= max(map(len, lines.values()), default=0):
-        first = {}
-        for i in sorted(lines):
-            for s in range(len(lines[i]) - size + 1):
-                block = tuple(lines[i][s : s + size])
-                if block in first:
-                    spans[i, first[block][0], first[block][1] - s].append((s, s + size))
-                else:
-                    first[block] = (i, s)
-        size *= 2
-    gone = defaultdict(set)
-    for (i, _, _), found in spans.items():
-        runs = []
-        for s, e in sorted(found):
-            if runs and s <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], e)
-            else:
-                runs.append([s, e])
-        for s, e in runs:
-            if sum(len(WORDS.findall(x)) for x in lines[i][s:e]) >= least:
-                gone[i].update(range(s, e))
-    out = {}
+def gone_lines(rows, least):
+    """For each text its lines with words, and the numbers of those in a run of `least` words that starts at an earlier place too."""
+    lines = {i: [x for x in (t or "").split("\n") if WORDS.search(x)] for i, t in rows}
+    seen, out = set(), {}
+    for i in sorted(lines):
+        own, gone = lines[i], set()
+        for s in range(len(own)):
+            n = 0
+            while s + n < len(own) and tuple(own[s : s + n + 1]) in seen:
+                n += 1
+            if sum(len(WORDS.findall(x)) for x in own[s : s + n]) >= least:
+                gone.update(range(s, s + n))
+            seen.update(tuple(own[s:e]) for e in range(s + 1, len(own) + 1))
+        out[i] = own, gone
+    return out
+
+
+def texts_left(rows, least):
+    """The texts without those lines; empty if no line with words is left."""
+    found, out = gone_lines(rows, least), {}
     for i, t in rows:
+        own, gone = found[i]
         n, kept = -1, []
         for x in t.split("\n"):
             n += bool(WORDS.search(x))
-            if not (WORDS.search(x) and n in gone[i]):
+            if not (WORDS.search(x) and n in gone):
                 kept.append(x)
-        out[i] = "" if gone[i] and len(gone[i]) == len(lines[i]) else "\n".join(kept)
+        out[i] = "" if gone and len(gone) == len(own) else "\n".join(kept)
     return out
 
 
@@ -59,7 +53,7 @@ def test_same_as_brute_force(spark, seed):
             text = [rng.choice(stock) if rng.random() < 0.5 else f"own {i} {n} " + " ".join(rng.choice(stock).split()) for n in range(rng.randint(1, 20))]
         rows.append((i, "\n".join(x if rng.random() > 0.05 else "" for x in text)))
     got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 15).collect()
-    assert {r["doc_id"]: r["text"] for r in got} == brute(rows, 15)
+    assert {r["doc_id"]: r["text"] for r in got} == texts_left(rows, 15)
 
 
 def test_passages_stay_once(spark):
@@ -87,28 +81,15 @@ def test_odd_rows(spark):
     assert L.dedup_lines(empty).collect() == [] and L.deduplicated(empty).collect() == []
 
 
-def by_definition(rows, least):
-    """Lines left of each text: those in no run of `least` words that starts at an earlier place too."""
-    lines = {i: [x for x in t.split("\n") if WORDS.search(x)] for i, t in rows}
-    seen, left = set(), {}
-    for i in sorted(lines):
-        own, gone = lines[i], set()
-        for s in range(len(own)):
-            n = 0
-            while s + n < len(own) and tuple(own[s : s + n + 1]) in seen:
-                n += 1
-            if sum(len(WORDS.findall(x)) for x in own[s : s + n]) >= least:
-                gone.update(range(s, s + n))
-            seen.update(tuple(own[s:e]) for e in range(s + 1, len(own) + 1))
-        left[i] = [x for n, x in enumerate(own) if n not in gone]
-    return left
-
-
 def test_parts_with_other_first_copies(spark):
     a, b, c = (" ".join(f"{x}{j}" for j in range(20)) for x in "abc")
     rows = [(1, f"{a}\n{b}"), (2, f"{a}\n{b}\n{c}"), (3, f"{a}\n{b}\n{c}")]
     got = {r["doc_id"]: r["text"] for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: rows[1][1], 3: ""}
+    x, y, z = (" ".join(f"{x}{j}" for j in range(20)) for x in "xyz")
+    rows = [(0, f"{y}\n{z}"), (1, f"{x}\n{y}"), (2, f"{x}\n{y}\n{z}"), (3, f"own before\n{x}\n{y}\n{z}\nown behind")]
+    got = {r["doc_id"]: r for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["n_removed"] for i in range(4)] == [0, 0, 0, 3] and got[3]["text"] == "own before\nown behind"
 
 
 @pytest.mark.parametrize("seed", [3, 4])
@@ -124,4 +105,4 @@ def test_same_as_definition(spark, seed):
             text += a[s : s + rng.randint(1, 25)]
         rows.append((i, "\n".join(text)))
     got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 25).collect()
-    assert {r["doc_id"]: [x for x in r["text"].split("\n") if x] for r in got} == by_definition(rows, 25)
+    assert {r["doc_id"]: r["text"] for r in got} == texts_left(rows, 25)

@@ -1,13 +1,12 @@
 import random
 from collections import Counter, defaultdict
 
-import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from skyquilt.llm import quality, queries
 
-from .test_linededup import brute as lines_left
+from .test_linededup import texts_left as lines_left
 from .test_neardup import brute as components
 from .test_text_operators import WORDS, fair
 
@@ -66,12 +65,47 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert taken == Counter({s: round(x) for s, x in fair(sizes).items()}) and max(mine.values()) <= 3
 
     t = Tokenizer.from_file(queries.tokenizer_file())
-    want = Counter(np.array(t.encode(r["text"], add_special_tokens=False).ids + [2], "<u4").tobytes() for r in out["mix_sources"])
-    assert sum(r["length"] for r in out["pack_sequences"]) == sum(len(b) // 4 * n for b, n in want.items())
+    want = Counter(tuple(t.encode(r["text"], add_special_tokens=False).ids + [2]) for r in out["mix_sources"])
+    ids = [x for r in sorted(out["pack_sequences"], key=lambda r: (r["sequence_id"], r["offset"])) for x in r["token_ids"]]
+    ends = [-1, *(i for i, x in enumerate(ids) if x == 2)]
+    assert Counter(tuple(ids[a + 1 : b + 1]) for a, b in zip(ends, ends[1:])) == want
     fill = Counter()
     for r in out["pack_sequences"]:
         fill[r["sequence_id"]] += r["length"]
     assert all(n == 4096 or n & (n - 1) == 0 for n in fill.values())
+    # the stream follows the curriculum: the order of the rows is that of the positions
+    order = {r["doc_id"]: [] for r in out["mix_sources"]}
+    for at, r in enumerate(spark.read.parquet(str(tmp_path / "3")).selectExpr("*", "_metadata.file_path AS f", "_metadata.row_index AS i").orderBy("f", "i").collect()):
+        order[r["doc_id"]].append(at)
+    seen, places, rows_in = Counter(), [], len(out["mix_sources"])
+    for r in sorted(out["pack_sequences"], key=lambda r: (r["sequence_id"], r["offset"])):
+        if r["start"] == 0:
+            places.append(sorted(order[r["doc_id"]])[seen[r["doc_id"]]])
+            seen[r["doc_id"]] += 1
+    assert len(places) == rows_in and max(abs(i - p) for i, p in enumerate(places)) < rows_in / 5
+    # turns of a document stand apart
+    last = {}
+    for at, r in enumerate(sorted((r for r in out["pack_sequences"] if r["start"] == 0), key=lambda r: (r["sequence_id"], r["offset"]))):
+        assert at - last.get(r["doc_id"], -rows_in) > rows_in / 10
+        last[r["doc_id"]] = at
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    good = lambda i: "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(12)) + "." for j in range(6))
+    long = " ".join(f"long{i}" for i in range(40_000)) + "."
+    rows = [(1, None, "en", "a", None, "k"), (2, "", None, None, 0, "k"), (3, good(3), "en", "a", 9, "k"), (3, good(3), "en", "a", 9, "k"), (3, good(4), "en", None, 9, "k"), (None, good(5), "en", "b", 9, None), (None, good(5), "en", "b", 9, None), (8, long, "en", "b", 9, "k"), (9, good(3), "fr", "c", 9, "k")]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+    for name, table in (("rows", rows), ("none", [])):
+        docs = spark.createDataFrame(table, ddl)
+        for k, (stage, run) in enumerate(corpus_pipeline.STAGES):
+            run(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{name}{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            if stage != "pack_sequences":
+                assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept"]
+            if stage == "near_dedup" and table:
+                left = sorted(((r["doc_id"] or 0), r["text"] == long, r["n_chars"]) for r in docs.collect())
+                assert [x[0] for x in left if x[0]] == [3, 3, 8] and all(r["kept"] == ("k" if r["doc_id"] else None) for r in docs.collect())
+        assert bool(docs.count()) == bool(table)
 
 
 def test_run_is_the_stages(spark, tmp_path):
