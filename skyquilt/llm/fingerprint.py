@@ -10,6 +10,7 @@ sets, which follows how well one text compresses the other.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -112,10 +113,11 @@ def edit(text: str, following: str) -> str:
 
 
 def in_parts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Rows with _part, a range of the id counted in descending order, and _also, the parts that this row follows as the next one.
+    """Rows with _part, a range of the id counted in descending order, and _also, the part that this row follows as the next one, or null.
 
     There are as many parts as shuffle partitions at most, so their bounds and first ids are
-    that few numbers. The first row of all follows the last part.
+    that few numbers, in one constant array each; a row's part is found in it by halving. The
+    first row of all follows the last part.
     """
     spark = docs.sparkSession
     n = parts_of(spark)
@@ -123,17 +125,21 @@ def in_parts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
     narrow = docs.select(ids.alias("_id"))
     bounds = narrow.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 10 * n).alias("b")).collect()[0]["b"] if n > 1 else []
     bounds = sorted(set(bounds or []), reverse=True)
-    part = F.lit(len(bounds)) if not bounds else F.when(F.col("_id").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b > F.col("_id"))))
+    numbers = lambda values: F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+    # how many bounds are over the id
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    over = lambda at, step: F.when((at + step <= len(bounds)) & (F.try_element_at(numbers(bounds), (at + step).cast("int")) > F.col("_id")), at + step).otherwise(at)
+    part = F.aggregate(numbers(steps), F.lit(0).cast("long"), over) if bounds else F.lit(0)
+    part = F.when(F.col("_id").isNull(), F.lit(len(bounds))).otherwise(part).cast("int")
     # at most one row for each part
     firsts = narrow.withColumn("_part", part).groupBy("_part").agg(F.max("_id").alias("_first")).collect()
     firsts = sorted((r["_part"], r["_first"]) for r in firsts)
+    first, before = [None] * (len(bounds) + 1), [None] * (len(bounds) + 1)
+    for i, (p, at) in enumerate(firsts):
+        first[p], before[p] = at, firsts[i - 1][0]
     rows = docs.select(F.col(id_col).alias("_own"), ids.alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_part", part)
-    before = {}
-    for i, (_, first) in enumerate(firsts):
-        before.setdefault(first, []).append(firsts[i - 1][0])
-    also = F.array().cast("array<int>")
-    for first, parts in before.items():
-        also = F.when(F.col("_id").eqNullSafe(F.lit(first)), F.array(*[F.lit(p) for p in parts])).otherwise(also)
+    place = F.col("_part") + 1
+    also = F.when(F.col("_id").eqNullSafe(F.element_at(numbers(first), place)), F.element_at(numbers(before), place).cast("int"))
     return rows.withColumn("_also", also), n
 
 
@@ -151,7 +157,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     own = rows.select("_own", "_id", "_text", "_part", F.lit(False).alias("_extra"))
     # of rows with the first id of a part only the first in order may follow the part before; the others are dropped below
-    extra = rows.where(F.size("_also") > 0).select("_own", "_id", "_text", F.explode("_also").alias("_part"), F.lit(True).alias("_extra"))
+    extra = rows.where("_also is not null").select("_own", "_id", "_text", F.col("_also").alias("_part"), F.lit(True).alias("_extra"))
     order = [F.col("_part"), F.col("_extra"), F.col("_id").desc_nulls_last(), F.col("_text")]
     dealt = own.unionByName(extra).repartitionById(max(1, n), F.col("_part").cast("int")).sortWithinPartitions(*order)
 

@@ -3,8 +3,10 @@
 Level 1 encodes the listed keys. Keys of the corpus that are not listed and yet pass go
 into level 2, listed keys that pass level 2 go into level 3, and so on, until nothing
 passes wrongly. Over the complete key universe of the corpus the first level that a key
-fails tells exactly whether it is listed, so pages are judged by bit tests alone. Only
-DataFrame functions are used.
+fails tells exactly whether it is listed, so pages are judged by bit tests alone. A list
+whose filter is too large for one row has its keys parted by hash into segments, each with
+filters of its own, and a key is tested in those of its segment. Only DataFrame functions
+are used.
 """
 
 from __future__ import annotations
@@ -15,12 +17,12 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, parts_of
 
 #: Rules by host suffix and path prefix.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Bits for a key and hash functions; bits of a level at most, beyond which keys are joined instead.
-BITS, HASHES, MOST_BITS = 10, 7, 1 << 26
+#: Bits for a key and hash functions; bits of a segment of a level at most; bits of all segments together that are broadcast at most.
+BITS, HASHES, MOST_BITS, BROADCAST_BITS = 10, 7, 1 << 26, 1 << 28
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -48,13 +50,14 @@ def _places(key: Column, level: int, bits: int) -> list[Column]:
     return [F.pmod(start + i * step, F.lit(bits)) for i in range(HASHES)]
 
 
-def encoded(keys: DataFrame, level: int, bits: int) -> DataFrame:
-    """One row with `words`: the level's bits over the column key, as longs."""
-    at = keys.select(F.explode(F.array(*_places(F.col("key"), level, bits))).alias("at"))
-    words = at.groupBy(F.expr("at div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    every = keys.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+def encoded(keys: DataFrame, level: int, bits: int, segments: int) -> DataFrame:
+    """segment, words: the level's bits over the keys (segment, key) of each segment, as longs."""
+    at = keys.select("segment", F.explode(F.array(*_places(F.col("key"), level, bits))).alias("at"))
+    words = at.groupBy("segment", F.expr("at div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    each = bits // 64
+    every = keys.sparkSession.range(segments * each).select(F.expr(f"id div {each}").cast("int").alias("segment"), (F.col("id") % each).cast("int").alias("word")).join(words, ["segment", "word"], "left")
     inside = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-    return every.agg(F.transform(inside, lambda x: x["bits"]).alias("words"))
+    return every.groupBy("segment").agg(F.transform(inside, lambda x: x["bits"]).alias("words"))
 
 
 def passes(key: Column, words: Column, level: int, bits: int) -> Column:
@@ -62,30 +65,65 @@ def passes(key: Column, words: Column, level: int, bits: int) -> Column:
     return reduce(and_, tests)
 
 
-def cascade(universe: DataFrame, most_bits: int = MOST_BITS) -> list[tuple[DataFrame, int]] | None:
-    """The levels, each as a one-row table of words and its number of bits; None if a level would be too large.
-
-    universe: key, listed - every key once.
-    """
-    inside, outside = universe.where("listed").select("key"), universe.where("not listed").select("key")
-    levels: list[tuple[DataFrame, int]] = []
-    while n := inside.count():
-        bits = -(-n * BITS // 64) * 64
-        if bits > most_bits:
-            return None
-        words = cut(encoded(inside, len(levels), bits))
-        levels.append((words, bits))
-        wrong = cut(outside.where(passes(F.col("key"), words.scalar(), len(levels) - 1, bits)))
-        inside, outside = wrong, inside
-    return levels
-
-
-def listed_in(key: Column, levels: list[tuple[DataFrame, int]]) -> Column:
-    """Whether a key of the universe is listed: the first level that it fails is an even one, counted from 1."""
-    out = F.lit(len(levels) % 2 == 1)
-    for level in range(len(levels) - 1, -1, -1):
-        words, bits = levels[level]
-        out = F.when(~passes(key, words.scalar(), level, bits), F.lit(level % 2 == 1)).otherwise(out)
+def segment_of(key: Column, segments: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(segments)).cast("int")
+
+
+class Cascade:
+    """The levels of a filter: a table (segment, words) and a number of bits for each."""
+
+    def __init__(self, segments: int) -> None:
+        self.segments, self.tables, self.bits = segments, [], []  # type: ignore[var-annotated]
+
+    def add(self, inside: DataFrame) -> None:
+        """Encode keys (segment, key) as the next level; its segments are of one size, that of the fullest."""
+        fullest = inside.groupBy("segment").count().agg(F.max("count")).collect()[0][0]
+        bits = -(-fullest * BITS // 64) * 64
+        self.tables.append(cut(encoded(inside, len(self.tables), bits, self.segments)))
+        self.bits.append(bits)
+
+    def with_words(self, rows: DataFrame, levels: list[int]) -> tuple[DataFrame, list[Column]]:
+        """Rows (with `segment`) and each level's words in their segment: constants where there is one segment, else a column."""
+        if self.segments == 1:
+            return rows, [self.tables[k].select("words").scalar() for k in levels]
+        words = reduce(lambda a, b: a.join(b, "segment"), [self.tables[k].withColumnRenamed("words", f"_words_{k}") for k in levels])
+        if self.segments * sum(self.bits[k] for k in levels) <= BROADCAST_BITS:
+            rows = rows.join(F.broadcast(words), "segment")
+        else:
+            # rows go to the words of their segment, which have a copy for each share of it
+            shares = -(-parts_of(rows.sparkSession) // self.segments)
+            copies = words.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+            dealt = rows.withColumn("_share", F.pmod(F.xxhash64("_key", F.monotonically_increasing_id()), F.lit(shares)).cast("int"))
+            rows = dealt.join(copies.hint("shuffle_hash"), ["segment", "_share"])
+        return rows, [F.col(f"_words_{k}") for k in levels]
+
+    def passing(self, keys: DataFrame) -> DataFrame:
+        """Of the keys (segment, key), those that pass the last level."""
+        level = len(self.tables) - 1
+        rows, words = self.with_words(keys.withColumn("_key", F.col("key")), [level])
+        return rows.where(passes(F.col("_key"), words[0], level, self.bits[level])).select("segment", "key")
+
+    def listed(self, rows: DataFrame) -> DataFrame:
+        """Rows with `_key` and `_listed`: the first level that a key of the universe fails is an even one, counted from 1."""
+        levels = list(range(len(self.tables)))
+        if not levels:
+            return rows.withColumn("_listed", F.lit(False))
+        rows, words = self.with_words(rows.withColumn("segment", segment_of(F.col("_key"), self.segments)), levels)
+        out = F.lit(len(levels) % 2 == 1)
+        for level in reversed(levels):
+            out = F.when(~passes(F.col("_key"), words[level], level, self.bits[level]), F.lit(level % 2 == 1)).otherwise(out)
+        return rows.withColumn("_listed", out)
+
+
+def cascade(universe: DataFrame, most_bits: int = MOST_BITS) -> Cascade:
+    """The cascade of a universe (key, listed), every key once."""
+    segments = max(1, -(-universe.where("listed").count() * BITS // most_bits))
+    keys = cut(universe.select(segment_of(F.col("key"), segments).alias("segment"), "key", "listed"))
+    inside, outside = keys.where("listed").select("segment", "key"), keys.where("not listed").select("segment", "key")
+    out = Cascade(segments)
+    while not inside.isEmpty():
+        out.add(inside)
+        inside, outside = cut(out.passing(outside)), inside
     return out
 
 
@@ -97,21 +135,17 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple = RULES, most_bits:
     or one without :// has an empty host and path, and so the empty key. Repeated pages
     get equal verdicts, repeated or null listed keys count once or not at all, empty tables give
     empty results, and further columns are ignored. A list that needs more than
-    `most_bits` bits in a level is joined by key instead.
+    `most_bits` bits in a level has as many segments as it takes.
     """
     host, path = host_and_path(F.col("_url"))
-    rows = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("_url")).select(id_col, host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url")).select("_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_key", F.concat("host", "path"))
     marked = listed.select("key").where("key is not null").distinct().withColumn("_in", F.lit(True))
     universe = cut(rows.select(F.col("_key").alias("key")).distinct().join(marked, "key", "left").select("key", F.coalesce("_in", F.lit(False)).alias("listed")))
-    levels = cascade(universe, most_bits)
-    if levels is None:
-        rows = rows.join(marked.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_listed", F.coalesce("_in", F.lit(False)))
-    else:
-        rows = rows.withColumn("_listed", listed_in(F.col("_key"), levels))
+    rows = cascade(universe, most_bits).listed(rows)
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("_listed"), "block").otherwise("allow")
-    return rows.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
+    return rows.select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
 
 
 def keys_of(pages: DataFrame, url_col: str = "url") -> DataFrame:

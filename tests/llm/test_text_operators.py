@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -92,6 +93,39 @@ def test_phrases_are_those_of_a_plain_parse():
         assert (p.hashes == want(text)).all() and (p.edited(changed) == want(changed)).all()
 
 
+def plain_likeness(a, b, kept=128):
+    """The share of the smallest hashes of both phrase sets together that both have."""
+    x, y = ({xxhash.xxh32_intdigest(p) for p in (phrases(t) or ([""] if t else []))} for t in (a, b))
+    first = sorted(x | y)[:kept]
+    return sum(h in x and h in y for h in first) / len(first) if first else 1.0
+
+
+def test_many_parts(spark):
+    rows = [(i * 7 % 3001, f"text {i} of {i % 9}") for i in range(3001)] + [(None, "no id"), (5, "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few = sorted(map(str, FP.fingerprints(df).collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        rows, n = FP.in_parts(df, "doc_id", "text")
+        made = rows.select("_id", "_part", "_also").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert n == 2000 and len({r["_part"] for r in made}) > 1500
+    by = sorted(made, key=lambda r: (r["_part"], r["_id"] is None, -(r["_id"] or 0)))
+    assert [r["_id"] for r in by if r["_id"] is not None] == sorted((r["_id"] for r in made if r["_id"] is not None), reverse=True)
+    firsts = {}
+    for r in by:
+        firsts.setdefault(r["_part"], r["_id"])
+    parts = sorted(firsts)
+    assert all(r["_also"] == (parts[parts.index(r["_part"]) - 1] if r["_id"] == firsts[r["_part"]] else None) for r in made)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert sorted(map(str, FP.fingerprints(df).collect())) == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_fingerprint_rows(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randint(0, 300)))) for i in range(200)]
@@ -102,7 +136,7 @@ def test_fingerprint_rows(spark):
         edited = FP.edit(texts[i], texts[n])
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert got[i]["fingerprint"] == FP.fingerprint(texts[i]) and got[i]["edited_fingerprint"] == FP.fingerprint(edited)
-        assert 0 <= got[i]["near_next"] <= 1 and 0 <= got[i]["near_edited"] <= 1
+        assert got[i]["near_next"] == plain_likeness(texts[i], texts[n]) and got[i]["near_edited"] == plain_likeness(texts[i], edited)
     odd = FP.fingerprints(docs(spark)).collect()
     assert len(odd) == len(ODD) and {r["n_chars"] for r in odd if r["doc_id"] in (1, 2)} == {0}
     assert FP.fingerprints(empty(spark)).collect() == []

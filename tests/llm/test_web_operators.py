@@ -260,8 +260,9 @@ def verdict(url, listed):
 URLS = [None, "", "no scheme", "http://", "http://A.Example.ORG/es/1", "https://example.org/en/12?x=/de/#y", "http://www.x.com/fr/1", "http://x.com/de/", "http://com/de/x", "http://xcom/de/x", "http://a.net?q=1", "http://a.net#t", "ftp://org/", "http://org", "http://É.net/a", "http://a.net/b?c://d/e"]
 
 
-@pytest.mark.parametrize("most_bits", [U.MOST_BITS, 64])
-def test_urls_against_brute_force(spark, most_bits):
+@pytest.mark.parametrize("most_bits,broadcast", [(U.MOST_BITS, 1 << 28), (512, 1 << 28), (2048, 0)])
+def test_urls_against_brute_force(spark, monkeypatch, most_bits, broadcast):
+    monkeypatch.setattr(U, "BROADCAST_BITS", broadcast)
     rng = random.Random(3)
     urls = URLS + [f"http://h{rng.randrange(40)}.net/p/{rng.randrange(60)}" for _ in range(2500)]
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, host int")
