@@ -14,15 +14,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 def cut(df: DataFrame, forget: bool = False) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there.
 
-    The folder is the one of ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary one is made. A checkpoint keeps the size estimate of its plan,
+    The folder is the one of ``spark.checkpoint.dir``. Where that is unset a temporary one
+    is made if all runs on one machine; on a cluster that is an error. A checkpoint keeps the size estimate of its plan,
     which a loop of joins multiplies round by round until it is too long a number to work
     with; in loops, `forget` drops it.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
     out = df.checkpoint(eager=True)
     if forget:
         jdf = out._jdf

@@ -64,9 +64,10 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that starts at an earlier place too lies in one of these; copies may overlap.
     """
     lines = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("body"), F.posexplode(F.filter(F.split(text_col, "\n", -1), lambda x: x.rlike(WORDED))).alias("i", "line"))
-    lines = cut(lines.select("doc", "body", "i", F.xxhash64("line").alias("h")).distinct())
-    first = ranked(lines.groupBy("h").agg(F.count("*").alias("c"), F.min(_place()).alias("first")).where("c > 1"), ["h"])
-    now = cut(lines.join(first.select("h", "rank", "first"), "h").select("doc", "body", "i", "rank", "first"), forget=True)
+    # 128 bits tell lines apart
+    lines = cut(lines.select("doc", "body", "i", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2")).distinct())
+    first = ranked(lines.groupBy("h", "h2").agg(F.count("*").alias("c"), F.min(_place()).alias("first")).where("c > 1"), ["h", "h2"])
+    now = cut(lines.join(first.select("h", "h2", "rank", "first"), ["h", "h2"]).select("doc", "body", "i", "rank", "first"), forget=True)
     rounds, blocks = [], None
     while True:
         k = len(rounds)
@@ -118,7 +119,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "
     Of any run of lines with `least_words` words or more, the first copy in the order of the
     id stays and later ones go, whatever they stand in and wherever parts of them were seen
     before, in whole documents too (whose text is then empty). Lines are
-    equal if their characters are; lines without words neither match nor part a run. A null
+    equal if their characters are (told by 128-bit hashes); lines without words neither match nor part a run. A null
     text stays null and has no lines; a null id comes first; rows with the same id and text
     count as one document, so they get equal results. A column of `docs` named like an added one is
     replaced. An empty table gives an empty result.
