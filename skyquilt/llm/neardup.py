@@ -414,7 +414,9 @@ def placed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     kin = rows.where("n > 0 and doc is not null")
     # an id may be repeated with other texts, so sets have numbers of their own
     classes = kin.groupBy("s1", "s2").agg(F.min(F.struct("doc", "h")).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
-    reps = cut(classes.withColumn("doc", F.col("least.doc")).withColumn("rep", F.monotonically_increasing_id()))
+    # numbered in the order of their documents, so that a key's first member is the earliest, often what the others were made from
+    dealt = classes.repartitionByRange(parts_of(docs.sparkSession), "least").sortWithinPartitions("least")
+    reps = cut(dealt.withColumn("doc", F.col("least.doc")).withColumn("rep", F.monotonically_increasing_id()))
     keys = keyed(reps)
     shared = keys.groupBy("key").agg(F.count("*").alias("_c"), F.min("rep").alias("first")).where("_c > 1").select("key", "first")
     members = cut(keys.join(shared, "key"))
