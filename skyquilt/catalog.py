@@ -96,9 +96,9 @@ def sensor_alias_filter(spark, sf):
     return t.where(filters.by_sensor(F.col("sensor"), "sentinel-1") | filters.by_sensor(F.col("sensor"), "S2")).groupBy("sensor").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {V.TILES} SELECT tile_id, ts FROM tiles WHERE ts >= TIMESTAMP '1994-03-01 00:00:00' AND ts <= TIMESTAMP '1994-05-31 23:59:59'")
+@query(f"WITH {V.TILES} SELECT tile_id, ts FROM tiles WHERE ts >= TIMESTAMP '1996-03-01 00:00:00' AND ts <= TIMESTAMP '1996-05-31 23:59:59'")
 def date_window(spark, sf):
-    return V.tiles(spark, sf).where(filters.by_dates(F.col("ts"), "1994-03-01", "1994-05-31")).select("tile_id", "ts")
+    return V.tiles(spark, sf).where(filters.by_dates(F.col("ts"), "1996-03-01", "1996-05-31")).select("tile_id", "ts")
 
 
 @query(f"WITH {V.TILES} SELECT tile_id FROM tiles WHERE lon BETWEEN 88e0 AND 885e-1 AND lat BETWEEN 214e-1 AND 216e-1")
@@ -310,7 +310,13 @@ def spectral_delta(spark, sf):
     return s.select("scene_id", "mode", score.alias("score"))
 
 
-@query()
+@query(f"""WITH {V.TILES}, {V.RESULTS}, p AS (SELECT a.tile_id, a.sensor = 'SAR-C' AS sar, b.tile_id AS m, b.ts, b.ndvi, b.ndbi, b.brightness, row_number() OVER (PARTITION BY a.tile_id, CAST(b.ts AS DATE) ORDER BY (a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat), b.tile_id) AS rn FROM tiles a JOIN tiles b ON a.scene_id = b.scene_id AND {PEERS} AND (a.sensor = 'SAR-C') = (b.sensor = 'SAR-C')),
+q AS (SELECT * FROM p WHERE rn = 1), s AS (SELECT tile_id, sar, count(*) AS n, arg_min(ndvi, (ts, m)) AS v0, arg_max(ndvi, (ts, m)) AS v1, arg_min(ndbi, (ts, m)) AS b0, arg_max(ndbi, (ts, m)) AS b1, arg_min(brightness, (ts, m)) AS m0, arg_max(brightness, (ts, m)) AS m1 FROM q GROUP BY 1, 2),
+d AS (SELECT *, round(greatest(least(CASE WHEN sar THEN greatest(least(greatest(0e0, (m1 - m0) / greatest(abs(m0), 1e0)) / 25e-2, 1e0), 0e0) ELSE 65e-2 * greatest(least(greatest(0e0, b1 - b0) / 15e-2, 1e0), 0e0) + 35e-2 * greatest(least(greatest(0e0, v0 - v1) / 18e-2, 1e0), 0e0) END * least(1e0, 8e-1 + 5e-2 * greatest(0, n - 2)), 1e0), 0e0), 4) AS proxy FROM s),
+x AS (SELECT f.tile_id, results.*, method = '{search.DENSE}' AS dense FROM results JOIN q f ON before_tile_id = f.m JOIN q l ON after_tile_id = l.m AND l.tile_id = f.tile_id),
+b AS (SELECT tile_id, max(CASE WHEN dense AND persistence_status IN ('no_change', 'transient_only', 'insufficient_data') THEN 1 END) AS rejected, max(CASE WHEN dense AND persistence_status = 'confirmed' THEN change_score END) AS sure, max(change_score) AS best, arg_max(method, (change_score, change_id)) AS how FROM x GROUP BY 1)
+SELECT tile_id, round(CASE WHEN n < 2 OR rejected = 1 THEN 0e0 WHEN sure IS NOT NULL THEN sure WHEN n < 5 AND best IS NOT NULL THEN best ELSE proxy END, 4) AS change_score,
+  CASE WHEN n < 2 THEN 'insufficient-temporal-evidence' WHEN rejected = 1 OR sure IS NOT NULL THEN '{search.DENSE}' WHEN n < 5 AND best IS NOT NULL THEN how WHEN sar THEN 'sar-feature-delta-proxy' ELSE 'spectral-delta-proxy' END AS change_method, n AS observations FROM d LEFT JOIN b USING (tile_id)""")
 def change_evidence(spark, sf):
     t = V.tiles(spark, sf)
     return search.change_evidence(t.select("tile_id", "lon", "lat", "sensor"), t, V.results(spark, sf), WORDS)
@@ -404,13 +410,15 @@ def stretch(spark, sf):
     return raster.stretched(V.pixels(spark, sf)).groupBy("tile_id", "band").agg(r6(F.avg("value")).alias("mean"))
 
 
-@query(f"""WITH {V.PIXELS}, src AS (SELECT band, CAST(least(greatest(round("value" / 256e0 * 255), 0), 255) AS INTEGER) AS v, count(*) AS n FROM pixels WHERE tile_id = 0 GROUP BY 1, 2), tgt AS (SELECT band, CAST(least(greatest(round("value" / 256e0 * 255), 0), 255) AS INTEGER) AS v, count(*) AS n FROM pixels WHERE tile_id = 1 GROUP BY 1, 2),
-cs AS (SELECT band, v, sum(n) OVER (PARTITION BY band ORDER BY v) / CAST(sum(n) OVER (PARTITION BY band) AS DOUBLE) AS c FROM src), ct AS (SELECT band, v, sum(n) OVER (PARTITION BY band ORDER BY v) / CAST(sum(n) OVER (PARTITION BY band) AS DOUBLE) AS c FROM tgt),
-spine AS (SELECT b.band, CAST(g.v AS INTEGER) AS v, coalesce((SELECT max(c) FROM ct WHERE ct.band = b.band AND ct.v <= g.v), 0e0) AS c FROM (SELECT DISTINCT band FROM ct) b, generate_series(0, 255) g(v))
-SELECT cs.band, cs.v AS "value", arg_min(spine.v, (abs(spine.c - cs.c), spine.v)) AS matched FROM cs JOIN spine ON spine.band = cs.band GROUP BY 1, 2""")
+def _levels(tag: str, shift: int) -> str:
+    return f"{tag}_n AS (SELECT tile_id - {shift} AS pair, band, CAST(least(greatest(round(\"value\" / 256e0 * 255), 0), 255) AS INTEGER) AS v, count(*) AS n FROM pixels GROUP BY 1, 2, 3), {tag} AS (SELECT pair, band, v, sum(n) OVER (PARTITION BY pair, band ORDER BY v) / CAST(sum(n) OVER (PARTITION BY pair, band) AS DOUBLE) AS c FROM {tag}_n)"
+
+
+@query(f"""WITH {V.PIXELS}, {_levels('cs', 0)}, {_levels('ct', 1)}, goal AS (SELECT * FROM ct UNION ALL SELECT pair, band, 0, 0e0 FROM ct GROUP BY 1, 2 HAVING min(v) > 0)
+SELECT cs.pair, cs.band, cs.v AS "value", arg_min(goal.v, (abs(goal.c - cs.c), goal.v)) AS matched FROM cs JOIN goal USING (pair, band) GROUP BY 1, 2, 3""")
 def hist_match(spark, sf):
     p = V.pixels(spark, sf).withColumn("value", F.col("value") / 256.0)
-    return raster.histogram_match(p.where("tile_id = 0"), p.where("tile_id = 1"))
+    return raster.histogram_match(p.withColumn("pair", F.col("tile_id")), p.withColumn("pair", F.col("tile_id") - 1), ("pair",))
 
 
 @query(f"""WITH {V.PIXELS}, d AS (SELECT *, "row" // 16 AS pi, col // 16 AS pj FROM pixels), e AS (SELECT *, abs("value" - lag("value") OVER (PARTITION BY tile_id, band, pi, pj, "row" ORDER BY col)) AS r, abs("value" - lag("value") OVER (PARTITION BY tile_id, band, pi, pj, col ORDER BY "row")) AS dn FROM d)
@@ -426,7 +434,7 @@ LIST = "list_transform({e}, lambda x: CAST(x AS DOUBLE))"
 @query("WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT vec_id, v, lead(vec_id) OVER (ORDER BY vec_id) AS n FROM e) SELECT p.vec_id, round(least(sqrt(list_sum(list_transform(list_zip(p.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) / (sqrt(list_dot_product(p.v, p.v)) + sqrt(list_dot_product(e.v, e.v)) + 1e-6), 1e0), 5) AS d FROM p JOIN e ON e.vec_id = n")
 def feature_diff(spark, sf):
     e = V.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    ids = e.select("vec_id", F.lead("vec_id").over(Window.orderBy("vec_id")).alias("n"))
+    ids = series.following(e.select("vec_id"), "vec_id", "n")
     rows = e.join(ids, "vec_id").join(e.select(F.col("vec_id").alias("n"), F.col("v").alias("v2")), "n")
     return rows.select("vec_id", F.round(raster.feature_difference(F.col("v"), F.col("v2")), 5).alias("d"))
 
@@ -456,20 +464,58 @@ def agglomerative(spark, sf):
     return cluster.agglomerate(V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("tile_id"), "embedding"), "tile_id", "embedding", 10)
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.PIXELS}, p AS (SELECT tile_id, "row" AS y, col AS x FROM pixels WHERE band = 'red' AND "value" > 180), e AS (SELECT a.tile_id, a.y, a.x, b.y AS y2, b.x AS x2 FROM p a JOIN p b ON a.tile_id = b.tile_id AND b.y IN (a.y - 1, a.y, a.y + 1) AND b.x BETWEEN a.x - 1 AND a.x + 1),
+r AS (SELECT tile_id, y, x, y AS y2, x AS x2 FROM p UNION SELECT r.tile_id, r.y, r.x, e.y2, e.x2 FROM r JOIN e ON e.tile_id = r.tile_id AND e.y = r.y2 AND e.x = r.x2), m AS (SELECT tile_id, y, x, min(y2 * 32 + x2) AS root FROM r GROUP BY 1, 2, 3)
+SELECT tile_id, y AS "row", x AS col, CAST(dense_rank() OVER (PARTITION BY tile_id ORDER BY root) AS INTEGER) AS label FROM m""")
 def components(spark, sf):
     return raster.components(V.pixels(spark, sf).where("band = 'red'").withColumn("value", F.when(F.col("value") > 180, F.col("value")).otherwise(F.lit(0.0))))
 
 
+def image_pixels(spark, sf):
+    return V.pixels(spark, sf).withColumn("value", F.col("value") / 256.0)
+
+
+@query()
+def bitemporal_change(spark, sf):
+    """Each odd tile of the pixel view against the next one."""
+    t = V.image_tiles(spark, sf)
+    pairs = t.where("tile_id % 2 = 1").select(F.col("tile_id").alias("area_id"), F.col("tile_id").alias("before_tile_id"), (F.col("tile_id") + 1).alias("after_tile_id"))
+    pairs = pairs.join(t.select(F.col("tile_id").alias("after_tile_id")), "after_tile_id", "left_semi")
+    rows, _ = change.bitemporal(pairs, image_pixels(spark, sf), t)
+    return rows.select("area_id", "before_tile_id", "after_tile_id", "change_score", "quality_score", "confidence", "dominant_change_type", "dominant_dynamics", "area_ha", "d_ndvi", "d_ndwi", "d_ndbi", "correlation", "radiometric", "passed")
+
+
+@query()
+def dense_change(spark, sf):
+    """The passes of each of twelve areas of the pixel view, or, at larger scales, of one area for every nine tiles."""
+    t = V.image_tiles(spark, sf)
+    areas = V.table(spark, sf, "supplier").agg(F.greatest(F.lit(12), (F.count("*") / 9).cast("int"))).scalar()
+    stack = t.withColumn("area_id", F.col("tile_id") % areas)
+    rows, _ = change.analyse(stack, image_pixels(spark, sf))
+    return rows.drop("log")
+
+
+@query()
+def discovery_clusters(spark, sf):
+    from skyquilt.plans import discovery
+
+    return discovery.discover(V.vectors(spark, sf), lon=88.0, lat=21.5)[0].select("label", "n", r6("lon").alias("lon"), r6("lat").alias("lat"), "sensors", r6("cohesion").alias("cohesion"))
+
+
 @query()
 def registration(spark, sf):
     w = raster.wide(V.pixels(spark, sf), ["red", "nir"]).select("tile_id", "row", "col", F.coalesce("red", F.lit(0.0)).alias("before"), F.coalesce("nir", F.lit(0.0)).alias("after"))
     return raster.register(w)
 
 
-@query("SELECT doc_id, list_sort(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['new', 'recent', 'constructed', 'construction', 'cleared', 'clearance', 'development', 'developed', 'expanded', 'expansion', 'built', 'changed', 'change'])) = [] AS plain FROM documents")
+ASKED = ("new roads", "Cleared land, then BUILT", "renewed interest", "what changed? recent change", "old town", "construction/expansion")
+
+
+@query("WITH q AS (SELECT event_id, (" + repr(list(ASKED)) + """)[event_id % 6 + 1] AS text FROM events)
+SELECT event_id, array_to_string(list_sort(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['new', 'recent', 'constructed', 'construction', 'cleared', 'clearance', 'development', 'developed', 'expanded', 'expansion', 'built', 'changed', 'change'])), ',') AS words FROM q""")
 def temporal_intent(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", (F.size(S.change_words(F.col("text"))) == 0).alias("plain"))
+    text = F.element_at(F.array(*[F.lit(t) for t in ASKED]), (F.col("event_id") % 6 + 1).cast("int"))
+    return V.table(spark, sf, "events").select("event_id", F.array_join(F.array_sort(S.change_words(text)), ",").alias("words"))
 
 
 @query(r"""WITH q AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'new roads cloud < ' || CAST(event_id % 50 AS VARCHAR) || '% sentinel-2' WHEN 1 THEN 'ponds excluding cloudy imagery from SAR' WHEN 2 THEN 'clear sky only fields landsat 8' WHEN 3 THEN 'river near port' WHEN 4 THEN 'S1 ships' ELSE 'cloud under 20 farms' END AS text FROM events)
@@ -537,36 +583,62 @@ def point_id(spark, sf):
     return V.table(spark, sf, "orders").select("o_orderkey", S.point_id(F.col("o_orderkey")).alias("point_id"))
 
 
-@query("SELECT DISTINCT p_brand AS source_hash FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size < 3)")
+@query("WITH p AS (SELECT p_brand || '-' || CAST(p_size % 10 AS VARCHAR) AS source_hash, p_size FROM part) SELECT DISTINCT source_hash FROM p WHERE source_hash NOT IN (SELECT source_hash FROM p WHERE p_size < 6)")
 def scene_dedup(spark, sf):
-    p = V.table(spark, sf, "part").select(F.col("p_brand").alias("source_hash"), "p_size")
-    return merge.inserted(p.where("p_size < 3"), p, ["source_hash"]).select("source_hash")
+    p = V.table(spark, sf, "part").select(F.concat_ws("-", "p_brand", (F.col("p_size") % 10).cast("string")).alias("source_hash"), "p_size")
+    return merge.inserted(p.where("p_size < 6"), p, ["source_hash"]).select("source_hash")
 
 
-@query("SELECT event_id, CASE WHEN k IS NULL THEN 'missing resolution_m' WHEN k <= 0 THEN 'bad resolution_m' ELSE '' END AS errors FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) - 5 AS k FROM events)")
+@query("""WITH e AS (SELECT event_id AS id, CAST(json_extract(props, '$.k') AS DOUBLE) - 5 AS k FROM events)
+SELECT id AS event_id, concat_ws(';', CASE WHEN id % 7 = 3 THEN 'missing satellite' END, CASE WHEN k IS NULL THEN 'missing resolution_m' END, CASE WHEN id % 7 = 4 THEN 'missing ps_named_source' END, CASE WHEN id % 7 = 0 THEN 'unknown source_portal' END, CASE WHEN id % 7 = 1 THEN 'unknown underlying_dataset' END,
+  CASE WHEN id % 7 = 2 THEN 'acquisition_date is not a day' END, CASE WHEN id % 5 = 1 THEN 'download_date is not a day' END, CASE WHEN k <= 0 THEN 'bad resolution_m' END, CASE WHEN id % 7 = 5 THEN 'bad bounding_box' END) AS errors FROM e""")
 def provenance_validate(spark, sf):
     rows = V.table(spark, sf, "events").select("event_id", F.from_json("props", "k double")["k"].alias("k"))
+    none, at = F.lit(None).cast("string"), lambda n, bad, good: F.when(F.col("event_id") % 7 == n, bad).otherwise(F.lit(good))
+    box = lambda *xs: F.array(*[F.lit(x) for x in xs])
     full = F.struct(
-        F.lit(files.PORTALS[0]).alias("source_portal"), F.lit("d").alias("underlying_dataset"), F.lit("s").alias("satellite"), F.lit("MSI").alias("sensor"), F.lit("2024-01-01").alias("acquisition_date"), (F.col("k") - 5).alias("resolution_m"),
-        F.array(*[F.lit(x) for x in (88.0, 22.0, 88.1, 22.1)]).alias("bounding_box"), F.lit("l").alias("license"), F.lit("2024-01-02").alias("download_date"), F.lit(1.0).alias("cloud_cover_pct"),
+        at(0, "Elsewhere", "Bhuvan").alias("source_portal"), at(1, "LISS-V", "LISS-IV").alias("underlying_dataset"), at(3, none, "s").alias("satellite"), F.lit("MSI").alias("sensor"), at(2, "2024-13-01", "2024-01-01").alias("acquisition_date"), (F.col("k") - 5).alias("resolution_m"),
+        F.when(F.col("event_id") % 7 == 5, box(88.0, 22.0)).otherwise(box(88.0, 22.0, 88.1, 22.1)).alias("bounding_box"), F.lit("l").alias("license"), F.when(F.col("event_id") % 5 == 1, "1 May 2024").otherwise("2024-1-2").alias("download_date"), F.lit(1.0).alias("cloud_cover_pct"), at(4, none, "p").alias("ps_named_source"),
     )
     return rows.select("event_id", F.array_join(files.provenance_errors(full, strict=True), ";").alias("errors"))
 
 
+BAND_CASES = (("Red, nir ,GREEN", "x", 3), ("", "Sentinel 2 MSI", 7), ("", "sentinel-2", 6), ("", "Landsat_8", 7), ("", "LANDSAT", 5), ("", "SAR-C", 2), ("", "MSI", 4), ("", "pan", 1), ("", "BGR camera", 3))
+BAND_MAPS = ("green=3,nir=2,red=1", "blue=1,green=2,nir=4,red=3,scl=7,swir1=5,swir2=6", "blue=1,green=2,nir=4,red=3,swir1=5,swir2=6", "blue=2,green=3,nir=5,red=4,swir1=6", "blue=1,green=2,nir=4,red=3", "blue=2,green=2,red=1", "blue=1,green=2,nir=4,red=3", "blue=1,green=1,red=1", "blue=1,green=2,red=3")
+
+
+@query(f"SELECT event_id, ({list(BAND_MAPS)!r})[event_id % {len(BAND_CASES)} + 1] AS bands FROM events")
+def band_maps(spark, sf):
+    pick = lambda n: F.element_at(F.array(*[F.lit(c[n]) for c in BAND_CASES]), (F.col("event_id") % len(BAND_CASES) + 1).cast("int"))
+    entries = F.array_sort(F.map_entries(files.band_map(pick(0), pick(1), pick(2))))
+    return V.table(spark, sf, "events").select("event_id", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("bands"))
+
+
+@query(f"""WITH {V.TILES}, h AS (SELECT tile_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(CAST(scene_id AS VARCHAR) || '|' || CAST(row_off AS VARCHAR) || '|' || CAST(col_off AS VARCHAR) || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S'))) AS h FROM tiles)
+SELECT tile_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ('89ab89ab89ab89ab')[CAST(('0x' || h[17:17]) AS INTEGER) + 1] || h[18:20] || '-' || h[21:32] AS tile_uuid FROM h""")
+def tile_uuids(spark, sf):
+    return merge.tile_ids(V.tiles(spark, sf)).select("tile_id", "tile_uuid")
+
+
 @query("SELECT CASE WHEN o_totalprice < 0 THEN 'negative' WHEN o_orderkey % 10 = 0 THEN 'tens' END AS status_reason, count(*) AS n FROM orders WHERE o_totalprice < 0 OR o_orderkey % 10 = 0 GROUP BY 1")
 def quarantine_split(spark, sf):
     errors = F.filter(F.array(F.when(F.col("o_totalprice") < 0, "negative"), F.when(F.col("o_orderkey") % 10 == 0, "tens")), lambda e: e.isNotNull())
     return merge.quarantined(V.table(spark, sf, "orders"), errors)[1].groupBy("status_reason").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {V.TILES} SELECT tile_id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || printf('%.6f', lon) || ',' || printf('%.6f', lat) || ']}},"properties":{{"tile_id":' || CAST(tile_id AS VARCHAR) || ',"sensor":"' || sensor || '"}}}}' AS feature FROM tiles""")
+@query(f"""WITH {V.TILES} SELECT tile_id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || CAST(round(lon, 4) AS VARCHAR) || ',' || CAST(round(lat, 4) AS VARCHAR) || ']}},"properties":{{"id":' || CAST(tile_id AS VARCHAR) || ',"similarity":null,"sensor":"' || sensor || '","acquisition_date":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
+  || '","change_type":null,"cloud_fraction":' || coalesce(CAST(cloud AS VARCHAR), 'null') || ',"source_portal":null,"underlying_dataset":null,"license":null,"provenance":null}}}}' AS feature FROM tiles""")
 def geojson_rows(spark, sf):
-    return status.geojson(V.tiles(spark, sf))
+    return status.geojson(V.tiles(spark, sf).withColumns({"lon": F.round("lon", 4), "lat": F.round("lat", 4)}))
 
 
-@query(f"WITH {V.TILES} SELECT tile_id, sensor, strftime(ts, '%Y-%m-%d') AS date, CASE WHEN cloud IS NULL THEN 'N/A' ELSE printf('%.1f', round(cloud * 100, 1)) || '%' END AS cloud, CASE WHEN quality IS NULL THEN 'N/A' ELSE printf('%.1f', round(quality * 100, 1)) || '%' END AS quality FROM tiles")
+@query(f"""WITH {V.TILES}, {V.RESULTS}, {V.SCENES} SELECT CAST(tile_id AS VARCHAR) AS "Target ID", CAST(round(lon, 4) AS VARCHAR) AS "Longitude", CAST(round(lat, 4) AS VARCHAR) AS "Latitude", tiles.sensor AS "Sensor", strftime(ts, '%Y-%m-%d') AS "Acquisition Date", CASE WHEN confidence IS NULL THEN 'N/A' ELSE printf('%.1f', round(confidence * 100, 1)) || '%' END AS "Score / Confidence",
+  coalesce(persistence_status, 'N/A') AS "Change Type", CASE WHEN cloud IS NULL THEN 'N/A' ELSE printf('%.1f', round(cloud * 100, 1)) || '%' END AS "Cloud Cover %", coalesce(source_filename, '') AS "Source Portal", '' AS "Dataset", '' AS "License" FROM tiles LEFT JOIN results ON change_id = tile_id LEFT JOIN scenes USING (scene_id)""")
 def csv_rows(spark, sf):
-    return status.csv_rows(V.tiles(spark, sf))
+    r = V.results(spark, sf).select(F.col("change_id").alias("tile_id"), "confidence", F.col("persistence_status").alias("change_type"))
+    scenes = V.scenes(spark, sf).select("scene_id", F.col("source_filename").alias("source_portal"))
+    rows = V.tiles(spark, sf).join(r, "tile_id", "left").join(scenes, "scene_id", "left")
+    return status.csv_rows(rows.withColumns({"lon": F.round("lon", 4), "lat": F.round("lat", 4)}))
 
 
 @query(f"""WITH {V.SCENES} SELECT '{{"scene_id":' || CAST(scene_id AS VARCHAR) || ',"source_filename":"' || source_filename || '","sensor":"' || sensor || '","status":"' || status || '"}}' AS line FROM scenes""")
@@ -579,9 +651,41 @@ def evidence_digest(spark, sf):
     return status.evidence_package(V.scenes(spark, sf)).select("sha256")
 
 
-@query("SELECT conv_id, turn, list_filter([CASE WHEN regexp_matches(lower(text), 'change|changed|construct|clear') THEN 'change' END, CASE WHEN regexp_matches(lower(text), 'quality|cloud|shadow|reliable') THEN 'quality' END, CASE WHEN regexp_matches(lower(text), 'ndvi|ndwi|ndbi|vegetation|water|built') THEN 'spectral' END, CASE WHEN regexp_matches(lower(text), 'near|around|neighbor') THEN 'nearby' END, CASE WHEN regexp_matches(lower(text), 'history|timeline|when|trend') THEN 'series' END, CASE WHEN regexp_matches(lower(text), 'how many|status|indexed') THEN 'system' END], lambda x: x IS NOT NULL) = [] AS unrouted FROM conversations")
+ASKS = ("What CHANGED here, before and after?", "ndvi of the tile", "similar tiles nearby", "any review verdict", "how big is the catalog", "hello there", "confirm the area")
+
+
+def messages(spark, sf):
+    """Messages about some tile, change, both or neither."""
+    k = F.col("event_id")
+    text = F.element_at(F.array(*[F.lit(t) for t in ASKS]), (k % 7 + 1).cast("int"))
+    return V.table(spark, sf, "events").select("event_id", text.alias("text"), F.when(k % 3 == 1, k % 20).alias("tile_id"), F.when(k % 5 == 2, k % 40).alias("change_id"))
+
+
+MESSAGES = f"messages AS (SELECT event_id, ({list(ASKS)!r})[event_id % 7 + 1] AS text, CASE WHEN event_id % 3 = 1 THEN event_id % 20 END AS tid, CASE WHEN event_id % 5 = 2 THEN event_id % 40 END AS cid FROM events), routed AS (SELECT *, " + ", ".join(f"regexp_matches(lower(text), '{'|'.join(w)}') AS {n}_" for n, w in chat.ROUTES.items()) + " FROM messages)"
+
+
+@query(f"WITH {MESSAGES} SELECT event_id, concat_ws(',', " + ", ".join(f"CASE WHEN {n}_ THEN '{n}' END" for n in chat.ROUTES) + ") AS routes FROM routed")
 def chat_routes(spark, sf):
-    return V.table(spark, sf, "conversations").select("conv_id", "turn", (F.size(chat.routes(F.col("text"))) == 0).alias("unrouted"))
+    return messages(spark, sf).select("event_id", F.array_join(chat.routes(F.col("text")), ",").alias("routes"))
+
+
+@query(f"""WITH {V.TILES}, {V.SCENES}, {V.RESULTS}, {V.FEEDBACK}, {MESSAGES},
+found AS (SELECT change_id, before_tile_id, confidence, strftime(b.ts, '%Y-%m-%d') AS b, strftime(a.ts, '%Y-%m-%d') AS a, coalesce(abs(coalesce(a.cloud, 0) - coalesce(b.cloud, 0)), 0) > 15e-2 AS shadow FROM results LEFT JOIN tiles b ON b.tile_id = before_tile_id LEFT JOIN tiles a ON a.tile_id = after_tile_id),
+c AS (SELECT routed.*, found.* FROM routed LEFT JOIN found ON change_id = CASE WHEN cid IS NOT NULL OR change_ THEN coalesce(cid, (SELECT change_id FROM results ORDER BY created_at DESC NULLS LAST, change_id DESC LIMIT 1)) END),
+t AS (SELECT c.*, tiles.* FROM c LEFT JOIN tiles ON tile_id = CASE WHEN tid IS NOT NULL OR tile_ THEN coalesce(tid, before_tile_id, (SELECT tile_id FROM tiles ORDER BY ts DESC NULLS LAST, tile_id DESC LIMIT 1)) END),
+near AS (SELECT x.tile_id AS spot, least(count(y.tile_id), 4) AS n FROM tiles x JOIN (SELECT DISTINCT coalesce(tid, tile_id) AS spot FROM t WHERE cluster_) ON spot = x.tile_id LEFT JOIN tiles y ON abs(x.lon - y.lon) <= 2e-1 AND abs(x.lat - y.lat) <= 2e-1 AND x.tile_id <> y.tile_id GROUP BY 1),
+said AS (SELECT target_id, count(*) AS n, arg_max(verdict, (created_at, feedback_id)) AS verdict FROM feedback GROUP BY 1)
+SELECT event_id, coalesce(nullif(concat_ws(' ',
+  CASE WHEN change_id IS NOT NULL THEN 'The detected change has a ' || CASE WHEN confidence IS NULL THEN 'None%' ELSE printf('%.1f', round(confidence * 100, 1)) || '%' END || ' confidence score with an estimated footprint of Calculated. Baseline observation: ' || coalesce(b, 'N/A') || ' vs Target observation: ' || coalesce(a, 'N/A') || '. False alarm risk is ' || CASE WHEN shadow THEN 'MEDIUM' ELSE 'LOW' END || ' (Cloud Shadow Risk: ' || CASE WHEN shadow THEN 'HIGH' ELSE 'LOW' END || '). Factors: Multi-spectral anomaly detected.' END,
+  CASE WHEN tile_id IS NOT NULL THEN 'Tile ' || CAST(tile_id AS VARCHAR) || ' was acquired on ' || strftime(ts, '%Y-%m-%d') || ' by ' || sensor || ' at 10.0m GSD. Quality score: ' || printf('%.1f', round(coalesce(nullif(quality, 0), 85e-2) * 100, 1)) || '%, cloud cover: ' || printf('%.1f', round(coalesce(cloud, 0) * 100, 1)) || '%. Spectral indices: NDVI ' || CAST(round(ndvi, 3) AS VARCHAR) || ' (' || CASE WHEN ndvi > 4e-1 THEN 'Dense Healthy Vegetation' WHEN ndvi > 15e-2 THEN 'Moderate Canopy / Shrub' ELSE 'Low Vegetation / Barren' END
+    || '), NDWI ' || CAST(round(ndwi, 3) AS VARCHAR) || ' (' || CASE WHEN ndwi > 1e-1 THEN 'Open Water Surface' WHEN ndwi > -1e-1 THEN 'Moist Soil / Wetland' ELSE 'Dry Surface' END || '), NDBI ' || CAST(round(ndbi, 3) AS VARCHAR) || ' (' || CASE WHEN ndbi > 0 THEN 'High-Density Built Structure' WHEN ndbi > -15e-2 THEN 'Urban / Semi-Urban' ELSE 'Non-Urban' END || '). Source: Copernicus Open Access.' END,
+  CASE WHEN cluster_ AND coalesce(tid, tile_id) IS NOT NULL THEN 'Discovered ' || CAST(coalesce(near.n, 0) AS VARCHAR) || ' similar cluster neighbors in localized geographic proximity.' END,
+  CASE WHEN review_ AND coalesce(cid, tid) IS NOT NULL THEN CASE WHEN said.n > 0 THEN 'Analyst audit trail: latest verdict is ' || upper(verdict) || ' by Human-in-the-Loop Analyst.' ELSE 'This target is currently pending human analyst verification.' END END,
+  CASE WHEN catalog_ THEN 'Catalog inventory: ' || CAST((SELECT count(*) FROM scenes) AS VARCHAR) || ' scenes, ' || format('{{:,}}', (SELECT count(*) FROM tiles)) || ' tiles, ' || format('{{:,}}', (SELECT count(*) FROM embeddings)) || ' vector points across active modalities ({chat.SENSORS}).' END), ''), '{chat.NOTHING}') AS summary
+FROM t LEFT JOIN near ON near.spot = coalesce(tid, tile_id) LEFT JOIN said ON target_id = coalesce(cid, tid)""")
+def chat_summary(spark, sf):
+    rows = chat.gathered(messages(spark, sf), V.results(spark, sf), V.tiles(spark, sf), V.scenes(spark, sf), V.feedback(spark, sf), V.table(spark, sf, "embeddings"))
+    return chat.summary(rows).select("event_id", "summary")
 
 
 @query(f"WITH {V.TILES} SELECT scene_id, count(*) AS tile_count, round(avg(coalesce(cloud, 0e0)), 6) AS cloud, round(avg(coalesce(quality, 0e0)), 6) AS quality FROM tiles GROUP BY 1")
@@ -618,8 +722,18 @@ def acquisition_list(spark, sf):
     return change.acquisitions(areas, t, 0.004).select("area_id", "tile_id", "index")
 
 
-@query("SELECT user_id AS area_id, CASE WHEN count(*) FILTER (event_type <> 'error') >= 5 THEN 'dense' WHEN count(*) >= 2 THEN 'bitemporal' ELSE 'listing' END AS strategy FROM events GROUP BY 1")
+@query(CP.replace("score >= 160", "score / 500e0 >= 32e-2").replace("SELECT e.series_id, ", "SELECT e.series_id AS area_id, CASE WHEN usable >= 5 THEN 'dense' WHEN passed >= 2 THEN 'bitemporal' ELSE 'listing' END AS strategy, CASE WHEN usable >= 5 THEN CASE ", 1).replace("CASE WHEN base_end IS NULL", "WHEN base_end IS NULL", 1).replace("ELSE 'no_change' END AS status", "ELSE 'no_change' END END AS status", 1).replace(" onset, confirmed,", " CASE WHEN usable >= 5 THEN onset END AS onset, CASE WHEN usable >= 5 THEN confirmed END AS confirmed,", 1).split("\n  CASE WHEN onset IS NOT NULL THEN round(date_diff")[0].rstrip(",") + " FROM (SELECT series_id, count(*) AS passed, count(*) FILTER (valid) AS usable FROM passes GROUP BY 1) e LEFT JOIN base USING (series_id) LEFT JOIN cnt USING (series_id) LEFT JOIN (SELECT series_id, onset, confirmed FROM hit) USING (series_id) LEFT JOIN tr USING (series_id)")
 def dense_strategy(spark, sf):
     p = V.passes(spark, sf)
     s = p.select(F.col("series_id").alias("area_id"), "ts", F.col("event_id").alias("tile_id"), (F.col("score") / 500.0).alias("score"), F.when(F.col("valid"), 0.9).otherwise(0.1).alias("quality"), F.lit(0.1).alias("cloud"), F.lit(0.9).alias("valid_share"))
-    return change.dense(s, 3, 2, 0.32).select("area_id", "strategy")
+    return change.dense(s, 3, 2, 0.32).select("area_id", "strategy", "status", "onset", "confirmed")
+
+
+@query(f"""WITH {SCORED}, {V.FEEDBACK}, {V.SCENES}, boxed AS (SELECT * FROM scored WHERE similarity >= 2e-1 AND lon BETWEEN 88e0 AND 882e-1 AND lat BETWEEN 214e-1 AND 216e-1 ORDER BY similarity DESC, tile_id LIMIT 12), open AS (SELECT * FROM scored WHERE similarity >= 2e-1 ORDER BY similarity DESC, tile_id LIMIT 12),
+hits AS (SELECT * FROM boxed WHERE (SELECT count(*) FROM boxed) >= 3 UNION ALL SELECT * FROM open WHERE (SELECT count(*) FROM boxed) < 3), once AS (SELECT *, row_number() OVER (PARTITION BY round(lon, 4), round(lat, 4), sensor = 'SAR-C' ORDER BY similarity DESC, tile_id) AS rn FROM hits WHERE cloud IS NULL OR cloud <= 9e-1)
+SELECT tile_id, round(similarity, 6) AS similarity FROM once WHERE rn = 1""")
+def boxed_search(spark, sf):
+    request = search.Request(vector=QUERY, top_k=12, box=(88.0, 21.4, 88.2, 21.6), least_similarity=0.2, max_cloud=0.9)
+    tiles = V.vectors(spark, sf)
+    hits = search.search(request, tiles, V.scenes(spark, sf), V.feedback(spark, sf).where("false"))
+    return hits.select("tile_id", r6("similarity").alias("similarity"))

@@ -28,9 +28,12 @@ def present(keys: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
     return keys.join(stored.select(*key).distinct(), key, "left_semi")
 
 
-def tile_ids(tiles: DataFrame) -> DataFrame:
-    """tile_uuid from scene, window and date, and the point number from it."""
-    name = F.concat_ws(":", F.col("scene_id").cast("string"), F.col("row_off").cast("string"), F.col("col_off").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+def tile_ids(tiles: DataFrame, scene_key: str = "scene_id") -> DataFrame:
+    """tile_uuid from scene (its source hash, where it has one), window and date, and the point number from it."""
+    scene = F.coalesce(F.col("source_hash"), F.col(scene_key).cast("string")) if "source_hash" in tiles.columns else F.col(scene_key).cast("string")
+    micros = F.date_format("ts", ".SSSSSS")
+    date = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros == ".000000", "").otherwise(micros))
+    name = F.concat_ws("|", scene, F.col("row_off").cast("string"), F.col("col_off").cast("string"), F.coalesce(date, F.lit("")))
     return tiles.withColumn("tile_uuid", uuid5(name)).withColumn("point_id", point_id(F.col("tile_uuid")))
 
 

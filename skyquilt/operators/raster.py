@@ -88,26 +88,30 @@ def mask_valid(value: Column, nodata: float = 0.0, scene_class: Column | None =
     return ok if scene_class is None else ok & scene_class.isin(*CLEAR_CLASSES)
 
 
-def histogram_match(source: DataFrame, target: DataFrame) -> DataFrame:
-    """band, value, matched: for each 8-bit value of the source the first target value whose share of smaller-or-equal pixels is nearest.
+def histogram_match(source: DataFrame, target: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, band, value, matched: for each 8-bit value of the source the first target value whose share of smaller-or-equal pixels is nearest.
 
-    Both sides are counts of at most 256 values a band, so the look-up pairs 65,536 rows a
-    band at most, whatever the images' size.
+    Both sides are counts of at most 256 values a band (of each pair of images, if `keys`
+    tell several); source shares find the target shares below and above by one sort.
     """
+    by = [*keys, "band"]
 
-    def share(pixels: DataFrame, tag: str) -> DataFrame:
+    def share(pixels: DataFrame) -> DataFrame:
         level = F.least(F.greatest(F.round(F.col("value") * 255), F.lit(0)), F.lit(255)).cast("int")
-        counts = pixels.groupBy("band", level.alias(f"v_{tag}")).agg(F.count("*").alias("n"))
-        w = Window.partitionBy("band")
-        return counts.withColumn(f"cdf_{tag}", F.sum("n").over(w.orderBy(f"v_{tag}").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(w)).drop("n")
-
-    # every level of 0..255 has a share: the one of the last level that occurs
-    levels = source.sparkSession.range(256).select(F.col("id").cast("int").alias("v_t"))
-    known = share(target, "t")
-    spine = known.select("band").distinct().join(F.broadcast(levels)).join(known, ["band", "v_t"], "left")
-    spine = spine.withColumn("cdf_t", F.coalesce(F.last("cdf_t", True).over(Window.partitionBy("band").orderBy("v_t")), F.lit(0.0)))
-    pairs = share(source, "s").join(spine, "band")
-    return pairs.groupBy("band", F.col("v_s").alias("value")).agg(F.min_by("v_t", F.struct(F.abs(F.col("cdf_t") - F.col("cdf_s")), F.col("v_t"))).alias("matched"))
+        counts = pixels.groupBy(*by, level.alias("v")).agg(F.count("*").alias("n"))
+        w = Window.partitionBy(*by)
+        return counts.withColumn("c", F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(w)).drop("n")
+
+    goal = share(target)
+    # below the first level that occurs the share is 0, from level 0 on
+    start = goal.groupBy(*by).agg(F.min("v").alias("_least")).where("_least > 0").select(*by, F.lit(0).alias("v"), F.lit(0.0).alias("c"))
+    points = goal.unionByName(start).select(*by, "c", F.lit(0).alias("_side"), F.lit(None).cast("int").alias("value"), F.struct("c", "v").alias("_t"))
+    asked = share(source).join(goal.select(*by).distinct(), by, "left_semi").select(*by, "c", F.lit(1).alias("_side"), F.col("v").alias("value"), F.lit(None).cast("struct<c:double,v:int>").alias("_t"))
+    w = Window.partitionBy(*by).orderBy("c", "_side", "value")
+    rows = points.unionByName(asked)
+    rows = rows.withColumn("_low", F.last("_t", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_high", F.first("_t", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    nearer = F.col("_high.c").isNull() | (F.abs(F.col("_low.c") - F.col("c")) <= F.abs(F.col("_high.c") - F.col("c")))
+    return rows.where("_side = 1").select(*by, "value", F.when(F.col("_low.c").isNotNull() & nearer, F.col("_low.v")).otherwise(F.col("_high.v")).alias("matched"))
 
 
 def patch_features(pixels: DataFrame, patch: int = PATCH) -> DataFrame:
@@ -250,6 +254,20 @@ def resample(pixels: DataFrame, height: int, width: int) -> DataFrame:
     return pixels.select("tile_id", "row", "col", "value").groupBy("tile_id").applyInPandas(run, f"tile_id {kind}, row int, col int, value double")
 
 
+def upsampled(patches: DataFrame) -> DataFrame:
+    """pair_id, row, col, value: a map of patches (pair_id, pi, pj, d, _h, _w) at its image's size, bilinear; a group is one image."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((int(pdf["pi"].max()) + 1, int(pdf["pj"].max()) + 1))
+        grid[pdf["pi"], pdf["pj"]] = pdf["d"]
+        out = resized(grid, int(pdf["_h"].iloc[0]), int(pdf["_w"].iloc[0]))
+        r, c = np.indices(out.shape)
+        return pd.DataFrame({"pair_id": pdf["pair_id"].iloc[0], "row": r.ravel(), "col": c.ravel(), "value": out.ravel()})
+
+    kind = patches.schema["pair_id"].dataType.simpleString()
+    return patches.groupBy("pair_id").applyInPandas(run, f"pair_id {kind}, row int, col int, value double")
+
+
 def best_shift(pairs: DataFrame, reach: int = 8, step: int = 2) -> DataFrame:
     """tile_id, dy, dx, correlation of the integer shift within the reach at which after fits before best, by a shifted join."""
     steps = F.array(*[F.lit(d) for d in range(-reach, reach + 1, step)])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyquilt.lineage import cut
+
 
 def best_per(rows: DataFrame, key: list[str | Column], order: list[Column]) -> DataFrame:
     """The first row of each key; `order` ends in a unique column."""
@@ -109,3 +111,13 @@ def pass_log(rows: DataFrame, key: list[str], ts: str, baseline: int = 3, thresh
     marked = baseline_marked(rows, key, [ts], baseline)
     event = F.when(~F.col("valid"), "invalid_pass_skipped").when(F.col("in_baseline"), "baseline").when(F.col("score") >= threshold, "over_threshold").otherwise("below_threshold")
     return marked.select(*key, ts, event.alias("event"))
+
+
+def following(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Add `name`: the next larger value of a unique key over all rows, null for the last; no task sees more than a range of them."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.repartitionByRange(parts, key).withColumn("_range", F.spark_partition_id()))
+    # one row for each range
+    firsts = dealt.groupBy("_range").agg(F.min(key).alias("_first")).select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_after"))
+    within = F.lead(key).over(Window.partitionBy("_range").orderBy(key))
+    return dealt.withColumn("_next", within).join(F.broadcast(firsts), "_range").select(*rows.columns, F.coalesce("_next", "_after").alias(name))

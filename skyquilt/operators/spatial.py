@@ -11,6 +11,8 @@ from skyquilt.functions.scalar import compass, haversine_km, place_line, slippy_
 
 #: Fixed value: how far peers may lie apart in degrees of longitude and of latitude.
 PEER = 0.006
+#: Arrays of landmarks that are broadcast at most.
+BROADCAST_ARRAYS = 16
 
 
 def band_join(left: DataFrame, right: DataFrame, tolerance: float, keys: list[str] | None = None, suffix: str = "_2") -> DataFrame:
@@ -34,19 +36,21 @@ def band_join(left: DataFrame, right: DataFrame, tolerance: float, keys: list[st
     return a.join(b, on).where(near).drop(a["_cx"], a["_cy"], b["_cx"], b["_cy"])
 
 
-def nearest_landmark(points: DataFrame, gazetteer: DataFrame, most: int = 10_000) -> DataFrame:
+def nearest_landmark(points: DataFrame, gazetteer: DataFrame, key: str = "tile_id", block: int = 4096) -> DataFrame:
     """Add name, zone, feature_type, distance_km, direction and subtitle of the nearest landmark; the first listed wins ties.
 
-    gazetteer: ord, name, zone, lon, lat, feature_type; a list of up to `most` landmarks,
-    which is checked, as it is carried to every row in one array.
+    gazetteer: ord, name, zone, lon, lat, feature_type. Landmarks are put into arrays of
+    `block`; each point meets each array and keeps the nearest of it, and of several arrays
+    the nearest in all.
     """
-    n = gazetteer.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"a gazetteer of more than {most} landmarks needs a band join")
-    marks = gazetteer.agg(F.array_sort(F.collect_list(F.struct("ord", "name", "zone", "lon", "lat", "feature_type"))).alias("_marks"))
-    rows = points.join(F.broadcast(marks))
+    marks = gazetteer.withColumn("_b", (F.col("ord") / block).cast("int")).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "zone", "lon", "lat", "feature_type"))).alias("_marks"))
+    arrays = marks.count()
+    small = arrays <= BROADCAST_ARRAYS
+    rows = points.join(F.broadcast(marks) if small else marks)
     far = F.transform("_marks", lambda g: F.struct(haversine_km(g["lon"], g["lat"], F.col("lon"), F.col("lat")).alias("km"), g["ord"].alias("ord"), g.alias("g")))
-    rows = rows.withColumn("_best", F.array_min(far)).drop("_marks")
+    rows = rows.withColumn("_best", F.array_min(far)).drop("_marks", "_b")
+    if arrays > 1:
+        rows = rows.groupBy(key).agg(F.min_by(F.struct(*points.columns), "_best").alias("_p"), F.min("_best").alias("_best")).select("_p.*", "_best")
     g = F.col("_best.g")
     rows = rows.withColumns({"name": g["name"], "zone": g["zone"], "feature_type": g["feature_type"], "distance_km": F.col("_best.km"), "direction": compass(g["lon"], g["lat"], F.col("lon"), F.col("lat"))})
     return rows.withColumn("subtitle", place_line(F.col("name"), F.col("zone"), F.col("distance_km"), F.col("direction"))).drop("_best")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquilt.functions import scalar as S
+from skyquilt.lineage import cut
 from skyquilt.operators import filters, raster, series, spatial
 
 #: Reach of the candidate search in degrees and of its second try, and the slack of the nearest cell.
@@ -86,12 +87,129 @@ def regions(deltas: DataFrame, mask: DataFrame, least: int = 9) -> DataFrame:
     return rows.withColumn("_k", kind).select("tile_id", "label", "area", "elongation", "aspect", "d_ndvi", "d_ndwi", "d_ndbi", "_k.change_type", "_k.dynamics", "_k.confidence")
 
 
-def bitemporal(pair_rows: DataFrame, features: DataFrame, threshold: float = 0.20) -> DataFrame:
-    """Per pair: mean and share over the threshold of the patch distances. features: tile_id, pi, pj, features."""
-    b = features.select(F.col("tile_id").alias("before_tile_id"), "pi", "pj", F.col("features").alias("_b"))
-    a = features.select(F.col("tile_id").alias("after_tile_id"), "pi", "pj", F.col("features").alias("_a"))
-    each = pair_rows.join(b, "before_tile_id").join(a, ["after_tile_id", "pi", "pj"]).withColumn("d", raster.feature_difference(F.col("_b"), F.col("_a")))
-    return each.groupBy("area_id", "before_tile_id", "after_tile_id").agg(F.avg("d").alias("change_score"), F.avg((F.col("d") > threshold).cast("double")).alias("changed_share"), F.max("d").alias("peak"))
+def compared(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Registration, patch distances and aligned pixels of many image pairs in one plan.
+
+    before, after: pair_id, row, col, band, value in 0..1. The after image is moved by its
+    phase shift against the before one and its bands matched to the before ones' histograms.
+    Returns (pair_id, dy, dx, correlation, is_aligned), (pair_id, pi, pj, d) and
+    (pair_id, row, col, band, before, after).
+    """
+    grey = lambda df, name: df.groupBy("pair_id", "row", "col").agg(F.avg("value").alias(name))
+    both = grey(before, "before").join(grey(after, "after"), ["pair_id", "row", "col"], "full").select(F.col("pair_id").alias("tile_id"), "row", "col", F.coalesce("before", S.num(0)).alias("before"), F.coalesce("after", S.num(0)).alias("after"))
+    shifts = cut(raster.register(both).withColumnRenamed("tile_id", "pair_id"))
+    size = both.groupBy(F.col("tile_id").alias("pair_id")).agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
+    moved = after.join(shifts.select("pair_id", "dy", "dx"), "pair_id").join(size, "pair_id")
+    moved = moved.select("pair_id", F.pmod(F.col("row") - F.col("dy"), F.col("_h")).alias("row"), F.pmod(F.col("col") - F.col("dx"), F.col("_w")).alias("col"), "band", "value")
+    level = F.least(F.greatest(F.round(F.col("value") * 255), F.lit(0)), F.lit(255)).cast("int")
+    levels = raster.histogram_match(moved, before, ("pair_id",)).withColumnRenamed("value", "_level")
+    normal = cut(moved.withColumn("_level", level).join(levels, ["pair_id", "band", "_level"], "left").select("pair_id", "row", "col", "band", F.coalesce(F.col("matched") / 255.0, F.col("value")).alias("value")))
+
+    def vectors(pixels: DataFrame, name: str) -> DataFrame:
+        one = raster.patch_features(pixels.withColumnRenamed("pair_id", "tile_id"))
+        listed = F.array_sort(F.collect_list(F.struct("band", "mean", "std", "edge")))
+        return one.groupBy(F.col("tile_id").alias("pair_id"), "pi", "pj").agg(F.flatten(F.transform(listed, lambda x: F.array(x["mean"], x["std"], x["edge"]))).alias(name), F.transform(listed, lambda x: x["band"]).alias(f"{name}_bands"))
+
+    # a patch whose bands are not the same in both images has no distance
+    met = vectors(before, "_x").join(vectors(normal, "_y"), ["pair_id", "pi", "pj"]).where(F.col("_x_bands") == F.col("_y_bands"))
+    distances = cut(met.select("pair_id", "pi", "pj", raster.feature_difference(F.col("_x"), F.col("_y")).alias("d")))
+    aligned = before.withColumnRenamed("value", "before").join(normal.withColumnRenamed("value", "after"), ["pair_id", "row", "col", "band"])
+    return shifts, distances, aligned
+
+
+def index_deltas(aligned: DataFrame) -> DataFrame:
+    """A row per pixel of `compared`: the indices before and after, and their differences."""
+    bands = [b for b in raster.MODEL_BANDS]
+    grid = aligned.groupBy("pair_id", "row", "col").agg(*[F.max(F.when(F.col("band") == b, F.col(side))).alias(f"{side}_{b}") for b in bands for side in ("before", "after")])
+    grid = grid.where(F.col("before_red").isNotNull() & F.col("before_green").isNotNull() & F.col("before_nir").isNotNull())
+    for side in ("before", "after"):
+        with_swir = raster.indices({b: F.col(f"{side}_{b}") for b in ("green", "red", "nir", "swir1")})
+        without = raster.indices({b: F.col(f"{side}_{b}") for b in ("green", "red", "nir")})
+        grid = grid.withColumns({f"{side}_{n}": F.coalesce(with_swir[n], without[n]) for n in with_swir})
+    return grid.withColumns({f"d_{n}": F.col(f"after_{n}") - F.col(f"before_{n}") for n in ("ndvi", "ndwi", "ndbi")})
+
+
+def bitemporal(pair_rows: DataFrame, pixels: DataFrame, tiles: DataFrame, series: DataFrame | None = None, prob_threshold: float = 0.5, map_threshold: float = 0.20, least: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Change between two dates for many areas: one row per pair, and its typed regions.
+
+    pair_rows: area_id, before_tile_id, after_tile_id; pixels: tile_id, row, col, band,
+    value in 0..1; tiles: tile_id, ts, quality, and resolution_m if known; series: area_id,
+    scores (other dates' distances), if there are any. Registration, radiometric matching, patch
+    distances, masks, quality, false-alarm penalties, regions and the check list, in that order.
+    """
+    pair_rows = cut(pair_rows)
+    of = lambda column: pair_rows.select(F.col("area_id").alias("pair_id"), F.col(column).alias("tile_id")).join(pixels, "tile_id").drop("tile_id")
+    before = cut(of("before_tile_id"))
+    shifts, distances, aligned = compared(before, of("after_tile_id"))
+    aligned = cut(aligned)
+    deltas = cut(index_deltas(aligned))
+    # the patch map at the size of the image, and what is over the threshold
+    size = aligned.groupBy("pair_id").agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
+    whole = raster.upsampled(distances.join(size, "pair_id"))
+    mask = cut(whole.select(F.col("pair_id").alias("tile_id"), "row", "col", (F.col("value") > map_threshold).cast("double").alias("value")))
+
+    def quality(side: str, tag: str) -> DataFrame:
+        rgb = aligned.groupBy("pair_id", "row", "col").agg(*[F.max(F.when(F.col("band") == b, F.col(side))).alias(b) for b in ("red", "green", "blue")])
+        known = F.col("red").isNotNull() & F.col("green").isNotNull() & F.col("blue").isNotNull()
+        cloud = F.coalesce(raster.cloud_like(F.col("red"), F.col("green"), F.col("blue")), F.lit(False))
+        return rgb.groupBy("pair_id").agg(raster.fraction(known & (F.col("red") + F.col("green") + F.col("blue") > 0)).alias(f"valid_{tag}"), raster.fraction(cloud).alias(f"cloud_{tag}"), F.avg((F.col("red") + F.col("green") + F.col("blue")) / 3).alias(f"mean_{tag}"))
+
+    score = distances.groupBy("pair_id").agg(F.avg("d").alias("raw"))
+    shares = mask.groupBy(F.col("tile_id").alias("pair_id")).agg(F.sum("value").alias("changed"))
+    means = deltas.groupBy("pair_id").agg(*[F.round(F.avg(f"d_{n}"), 4).alias(f"d_{n}") for n in ("ndvi", "ndwi", "ndbi")])
+    out = pair_rows.withColumnRenamed("area_id", "pair_id")
+    for side, column in (("b", "before_tile_id"), ("a", "after_tile_id")):
+        out = out.join(tiles.select(F.col("tile_id").alias(column), F.col("ts").alias(f"_ts_{side}"), S.or_default(F.col("quality"), 0.5).alias(f"_q_{side}"), (F.col("resolution_m") if "resolution_m" in tiles.columns else S.num(10)).alias(f"_res_{side}")), column, "left")
+    for part in (score, shares, means, shifts, quality("before", "b"), quality("after", "a")):
+        out = out.join(part, "pair_id", "left")
+    out = out.join(series.select(F.col("area_id").alias("pair_id"), "scores"), "pair_id", "left") if series is not None else out.withColumn("scores", F.lit(None).cast("array<double>"))
+    radiometric = F.abs(F.col("mean_b") - F.col("mean_a"))
+    judged = S.suppressed(F.coalesce("raw", S.num(0)), F.col("cloud_b"), F.col("cloud_a"), F.col("valid_b"), F.col("valid_a"), F.col("_q_b"), F.col("_q_a"), F.col("correlation"), radiometric, F.col("scores"), threshold=prob_threshold)
+    out = out.withColumn("_s", judged).withColumn("radiometric", radiometric)
+    found = cut(regions(deltas.withColumnRenamed("pair_id", "tile_id"), mask.where("value > 0"), least).withColumnsRenamed({"tile_id": "pair_id", "label": "region_id"}))
+    for kind, none in (("change_type", "no_significant_change"), ("dynamics", "stable")):
+        out = out.join(dominant(found, ["pair_id"], kind), "pair_id", "left").withColumn(f"dominant_{kind}", F.coalesce(f"dominant_{kind}", F.lit(none)))
+    over = F.size(F.filter(F.coalesce("scores", F.array().cast("array<double>")), lambda v: v > prob_threshold))
+    out = evidence(out.withColumn("persistent", over).withColumn("observed", F.coalesce(F.size("scores"), F.lit(0))).withColumn("cloud", F.greatest("cloud_b", "cloud_a")))
+    rows = out.select(
+        F.col("pair_id").alias("area_id"), "before_tile_id", "after_tile_id", "_s.change_score", "_s.quality_score", "_s.confidence", "_s.confounds", "dominant_change_type", "dominant_dynamics", S.area_hectares(F.coalesce("changed", S.num(0)), F.col("_res_b")).alias("area_ha"),
+        "d_ndvi", "d_ndwi", "d_ndbi", "dy", "dx", "correlation", "is_aligned", F.round("radiometric", 4).alias("radiometric"), "checks", "passed",
+    )
+    return rows, found.withColumnRenamed("pair_id", "area_id")
+
+
+def signals(stack: DataFrame, pixels: DataFrame, baseline: int = 3) -> DataFrame:
+    """area_id, ts, tile_id, mode, score, quality, cloud, valid_share, is_aligned, d_ndvi, d_ndwi, d_ndbi: each pass of a stack against its area's baseline.
+
+    stack: area_id, tile_id, ts, mode, quality, cloud, valid_share. The baseline of a modality
+    is the median of its usable passes among the first `baseline` usable ones of the area, or
+    its first usable one. Baseline passes have signal 0; what cannot be aligned is not usable.
+    """
+    usable = filters.dense_usable(F.col("quality"), F.col("cloud"), F.col("valid_share"))
+    rows = cut(stack.withColumn("usable", usable))
+    by_area, by_mode = Window.partitionBy("area_id").orderBy(~F.col("usable"), "ts", "tile_id"), Window.partitionBy("area_id", "mode").orderBy(~F.col("usable"), "ts", "tile_id")
+    ranks = rows.withColumn("_n", F.row_number().over(by_area)).withColumn("_m", F.row_number().over(by_mode))
+    first = F.col("usable") & (F.col("_n") <= baseline)
+    some = F.max(first.cast("int")).over(Window.partitionBy("area_id", "mode")) == 1
+    ranks = cut(ranks.withColumn("is_baseline", first | (F.col("usable") & ~some & (F.col("_m") == 1))).drop("_n", "_m"))
+    series_of = lambda part: part.select("tile_id", F.struct("area_id", "mode").alias("series_id")).join(pixels, "tile_id")
+    base = cut(raster.median_baseline(series_of(ranks.where("is_baseline"))).where("value is not null"))
+    later = ranks.where("not is_baseline").select(F.col("tile_id").alias("pair_id"), F.struct("area_id", "mode").alias("series_id"))
+    before = cut(later.join(base, "series_id").select("pair_id", "row", "col", "band", "value"))
+    after = later.select("pair_id").join(pixels.withColumnRenamed("tile_id", "pair_id"), "pair_id")
+    shifts, distances, aligned = compared(before, after)
+    feature = distances.groupBy("pair_id").agg(F.avg("d").alias("feature"))
+    p = F.percentile("before", F.array(F.lit(0.05), F.lit(0.95)))
+    pixel = aligned.groupBy("pair_id").agg(F.least(S.num(1), F.median(F.abs(F.col("after") - F.col("before"))) / F.greatest(p[1] - p[0], S.num(1e-6))).alias("pixel"))
+    deltas = index_deltas(aligned).groupBy("pair_id").agg(*[F.avg(f"d_{n}").alias(f"d_{n}") for n in ("ndvi", "ndwi", "ndbi")])
+    out = ranks.join(shifts.select(F.col("pair_id").alias("tile_id"), "is_aligned"), "tile_id", "left")
+    for part in (feature, pixel, deltas):
+        out = out.join(part.withColumnRenamed("pair_id", "tile_id"), "tile_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), S.num(0))
+    spectral = F.least(S.num(1), (F.abs(zero("d_ndvi")) + F.abs(zero("d_ndwi")) + F.abs(zero("d_ndbi"))) * S.num(2 / 3))
+    score = F.when(F.col("is_baseline"), S.num(0)).otherwise(S.dense_signal(F.col("mode"), zero("feature"), spectral, zero("pixel")))
+    lost = F.coalesce(~F.col("is_aligned"), F.lit(False))
+    return out.select("area_id", "ts", "tile_id", "mode", score.alias("score"), F.when(lost, S.num(0)).otherwise(F.col("quality")).alias("quality"), "cloud", "valid_share", "is_baseline", "is_aligned", "d_ndvi", "d_ndwi", "d_ndbi")
 
 
 def dense(signals: DataFrame, baseline: int = 3, persistence: int = 2, threshold: float = 0.18) -> DataFrame:
@@ -109,14 +227,25 @@ def dense(signals: DataFrame, baseline: int = 3, persistence: int = 2, threshold
     return chosen.join(points, "area_id", "left")
 
 
+def analyse(stack: DataFrame, pixels: DataFrame, baseline: int = 3, persistence: int = 2, threshold: float = 0.18) -> tuple[DataFrame, DataFrame]:
+    """Dense change detection of stacks (as `signals` takes them): one row per area with its strategy and change point, and the two-date analysis of the areas that lack the passes."""
+    rows = cut(signals(stack, pixels, baseline))
+    chosen = cut(dense(rows, baseline, persistence, threshold))
+    short = stack.join(chosen.where("strategy = 'bitemporal'").select("area_id"), "area_id", "left_semi")
+    at = F.struct("ts", "tile_id")
+    ends = short.groupBy("area_id").agg(F.min_by("tile_id", at).alias("before_tile_id"), F.max_by("tile_id", at).alias("after_tile_id"))
+    fallback, _ = bitemporal(ends, pixels, stack.select("tile_id", "ts", "quality").dropDuplicates(["tile_id"]))
+    return chosen, fallback
+
+
 def evidence(rows: DataFrame) -> DataFrame:
-    """Add checks, an array of (item, status), and passed. rows: d_ndvi, d_ndbi, d_ndwi, persistent, correlation, radiometric."""
+    """Add checks, an array of (item, status), and passed. rows: d_ndvi, d_ndbi, d_ndwi, observed (other dates), correlation, cloud (the worse of both)."""
 
-    def item(name: str, ok) -> object:
-        return F.struct(F.lit(name).alias("item"), F.when(ok.isNull(), "info").when(ok, "pass").otherwise("fail").alias("status"))
+    def item(name: str, ok: Column, otherwise: str = "info") -> Column:
+        return F.struct(F.lit(name).alias("item"), F.when(F.coalesce(ok, F.lit(False)), "pass").otherwise(otherwise).alias("status"))
 
     checks = F.array(
-        item("vegetation", F.abs("d_ndvi") > 0.05), item("built_up", F.abs("d_ndbi") > 0.05), item("water", F.abs("d_ndwi") > 0.05),
-        item("persistence", F.col("persistent") >= 2), item("registration", F.col("correlation") >= 0.7), item("radiometry", F.col("radiometric") <= 0.20),
+        item("built_up", F.abs("d_ndbi") > 0.05), item("vegetation", F.abs("d_ndvi") > 0.05), item("water", F.abs("d_ndwi") > 0.05),
+        item("persistence", F.col("observed") >= 2), item("registration", F.col("correlation") >= 0.7, "fail"), item("clouds", F.col("cloud") < 0.20, "fail"),
     )
     return rows.withColumn("checks", checks).withColumn("passed", F.size(F.filter("checks", lambda c: c["status"] == "pass")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,21 +29,42 @@ def tile_counts(scenes: DataFrame, tiles: DataFrame) -> DataFrame:
     return scenes.join(n, "scene_id", "left").withColumn("tile_count", F.coalesce("tile_count", F.lit(0)).cast("long"))
 
 
-def geojson(rows: DataFrame) -> DataFrame:
-    """feature: one GeoJSON point a row; rows with missing or infinite coordinates are refused."""
-    finite = F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat") & (F.abs("lon") <= 180) & (F.abs("lat") <= 90)
-    number = lambda c: F.format_string("%.6f", c)
-    text = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":['), number("lon"), F.lit(","), number("lat"), F.lit(']},"properties":{"tile_id":'), F.col("tile_id").cast("string"), F.lit(',"sensor":"'), "sensor", F.lit('"}}'))
-    return rows.where(finite).select("tile_id", text.alias("feature"))
+def _or_null(rows: DataFrame, *names: str) -> Column:
+    """The first of the columns that `rows` has with a value."""
+    there = [F.col(n) for n in names if n in rows.columns]
+    return F.coalesce(*there) if there else F.lit(None).cast("string")
 
 
-def percent(column: str):
+def geojson(rows: DataFrame) -> DataFrame:
+    """tile_id, feature: one GeoJSON point a row, with what the row has of the properties; missing or infinite coordinates are an error."""
+    finite = F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat") & (F.abs("lon") < float("inf")) & (F.abs("lat") < float("inf"))
+    refused = F.raise_error(F.concat(F.lit("coordinates are unavailable: "), F.coalesce(F.col("tile_id").cast("string"), F.lit("null"))))
+    properties = F.struct(
+        F.col("tile_id").alias("id"), _or_null(rows, "similarity", "confidence").alias("similarity"), _or_null(rows, "sensor").alias("sensor"), _or_null(rows, "acquisition_date", "ts").alias("acquisition_date"), _or_null(rows, "change_type").alias("change_type"),
+        _or_null(rows, "cloud").alias("cloud_fraction"), *[_or_null(rows, n).alias(n) for n in ("source_portal", "underlying_dataset", "license", "provenance")],
+    )
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), properties.alias("properties"))
+    text = F.to_json(feature, {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"})
+    return rows.select("tile_id", F.when(finite, text).otherwise(refused.cast("string")).alias("feature"))
+
+
+def percent(value: Column) -> Column:
     """x.x% or N/A."""
-    return F.when(F.col(column).isNull(), "N/A").otherwise(F.concat(F.format_string("%.1f", F.round(F.col(column) * 100, 1)), F.lit("%")))
+    return F.when(value.isNull(), "N/A").otherwise(F.concat(F.format_string("%.1f", F.round(value * 100, 1)), F.lit("%")))
+
+
+#: The columns of the tabular export.
+CSV_COLUMNS = ("Target ID", "Longitude", "Latitude", "Sensor", "Acquisition Date", "Score / Confidence", "Change Type", "Cloud Cover %", "Source Portal", "Dataset", "License")
 
 
 def csv_rows(rows: DataFrame) -> DataFrame:
-    return rows.select("tile_id", "sensor", F.date_format("ts", "yyyy-MM-dd").alias("date"), percent("cloud").alias("cloud"), percent("quality").alias("quality"))
+    """The tabular export, all as text; what is missing is N/A, or empty in the columns on the source."""
+    text = lambda c, none="N/A": F.coalesce(c.cast("string"), F.lit(none))
+    cells = [
+        text(_or_null(rows, "tile_id")), text(_or_null(rows, "lon")), text(_or_null(rows, "lat")), text(_or_null(rows, "sensor")), text(F.date_format(_or_null(rows, "ts"), "yyyy-MM-dd")), percent(_or_null(rows, "final_score", "confidence")),
+        text(_or_null(rows, "change_type")), percent(_or_null(rows, "cloud")), text(_or_null(rows, "source_portal"), ""), text(_or_null(rows, "underlying_dataset"), ""), text(_or_null(rows, "license"), ""),
+    ]
+    return rows.select(*[c.alias(n) for c, n in zip(cells, CSV_COLUMNS)])
 
 
 def manifest(scenes: DataFrame) -> DataFrame:

@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The keys of a provenance record, its portals, and band orders by sensor.
-REQUIRED = ("source_portal", "underlying_dataset", "satellite", "sensor", "acquisition_date", "resolution_m", "bounding_box", "license", "download_date", "cloud_cover_pct")
-PORTALS = ("Copernicus Data Space Ecosystem", "USGS EarthExplorer", "ISRO Bhoonidhi", "Microsoft Planetary Computer")
-BANDS = {
-    "sentinel-2": ("blue", "green", "red", "nir", "swir1", "swir2"),
-    "landsat": ("blue", "green", "red", "nir", "swir1", "swir2"),
-    "liss": ("green", "red", "nir", "swir1"),
-    "sar": ("vv", "vh"),
-}
-
-PROVENANCE = T.StructType([T.StructField(n, T.StringType()) for n in ("source_portal", "underlying_dataset", "satellite", "sensor", "acquisition_date", "license", "download_date", "notes")] + [T.StructField("resolution_m", T.DoubleType()), T.StructField("cloud_cover_pct", T.DoubleType()), T.StructField("bounding_box", T.ArrayType(T.DoubleType()))])
+#: The keys of a provenance record, its portals and its datasets.
+REQUIRED = ("source_portal", "underlying_dataset", "satellite", "sensor", "acquisition_date", "resolution_m", "bounding_box", "license", "download_date", "ps_named_source")
+PORTALS = ("Bhoonidhi", "Bhuvan", "Copernicus Data Space Ecosystem", "Google Earth Engine", "USGS EarthExplorer")
+DATASETS = ("Sentinel-2 L2A", "Sentinel-1 GRD", "Landsat 8/9 C2L2", "AWiFS", "LISS-III", "LISS-IV", "Cartosat-2S")
+#: Band numbers (from 1) by what a sensor's name holds, in order of trial; those by the count of bands; the bands that descriptions may name.
+SENTINEL = {"blue": 1, "green": 2, "red": 3, "nir": 4, "swir1": 5, "swir2": 6, "scl": 7}
+LANDSAT = {"blue": 2, "green": 3, "red": 4, "nir": 5, "swir1": 6}
+BANDS = (("sentinel-2", SENTINEL), ("sentinel2", SENTINEL), ("landsat-8", LANDSAT), ("landsat", LANDSAT), ("rgb", {"red": 1, "green": 2, "blue": 3}), ("bgr", {"blue": 1, "green": 2, "red": 3}))
+BY_COUNT = {7: SENTINEL, 6: {"blue": 1, "green": 2, "red": 3, "nir": 4, "swir1": 5, "swir2": 6}, 4: {"blue": 1, "green": 2, "red": 3, "nir": 4}, 3: {"red": 1, "green": 2, "blue": 3}, 2: {"red": 1, "green": 2, "blue": 2}, 1: {"red": 1, "green": 1, "blue": 1}}
+DESCRIBED = ("blue", "green", "red", "nir", "swir1", "swir2", "scl")
+#: Tags that name a scene's sensor and its date, in order of trial, and the forms of the date.
+SENSOR_TAGS, DATE_TAGS = ("SENSOR", "SATELLITE", "PLATFORM"), ("ACQUISITION_DATE", "TIFFTAG_DATETIME", "DATETIME")
+DATE_FORMS = ((r"\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"), (r"\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}", "yyyy:MM:dd HH:mm:ss"), (r"\d{8}", "yyyyMMdd"), (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", "yyyy-MM-dd'T'HH:mm:ss"))
+
+PROVENANCE = T.StructType([T.StructField(n, T.StringType()) for n in ("source_portal", "underlying_dataset", "satellite", "sensor", "acquisition_date", "license", "download_date", "ps_named_source", "notes")] + [T.StructField("resolution_m", T.DoubleType()), T.StructField("cloud_cover_pct", T.DoubleType()), T.StructField("bounding_box", T.ArrayType(T.DoubleType()))])
 
 
 def scene_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,33 +28,53 @@ def scene_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{tif,tiff}").load(folder)
 
 
-def band_map(tag: Column, sensor: Column, bands: Column) -> Column:
-    """Band name to index: from a BAND_NAMES tag, else the sensor's order, else the count of bands."""
-    def mapped(names: tuple[str, ...]) -> Column:
-        return F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+def band_map(tag: Column, sensor: Column, bands: Column, descriptions: Column | None = None) -> Column:
+    """Band name to number, from 1: from a BAND_NAMES tag, else from three or more bands that their descriptions name, else the sensor's if the scene has as many bands, else by their count."""
+
+    def mapped(numbers: dict[str, int]) -> Column:
+        return F.create_map(*[x for n, i in numbers.items() for x in (F.lit(n), F.lit(i))])
+
+    # of a repeated name the last band counts
+    def last_of(pairs: Column) -> Column:
+        names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.array_max(F.transform(F.filter(pairs, lambda p: p["name"] == n), lambda p: p["at"]))))
 
-    tagged = F.transform(F.split(F.lower(tag), r"\s*,\s*"), lambda n: n)
-    by_tag = F.map_from_entries(F.transform(tagged, lambda n, i: F.struct(n, i)))
-    out = F.when(F.coalesce(tag, F.lit("")) != "", by_tag)
-    for key, names in BANDS.items():
-        out = out.when(F.lower(sensor).contains(key), mapped(names))
-    return out.when(bands >= 5, mapped(("blue", "green", "red", "nir", "swir1"))).when(bands == 4, mapped(("blue", "green", "red", "nir"))).otherwise(mapped(("red", "green", "blue")))
+    number = lambda parts: F.transform(parts, lambda n, i: F.struct(F.lower(F.trim(n)).alias("name"), (i + 1).alias("at")))
+    out = F.when(F.coalesce(tag, F.lit("")) != "", last_of(number(F.split(tag, ","))))
+    if descriptions is not None:
+        found = F.flatten(F.transform(number(descriptions), lambda d: F.transform(F.filter(F.array(*[F.lit(k) for k in DESCRIBED]), lambda k: F.contains(d["name"], k)), lambda k: F.struct(k.alias("name"), d["at"].alias("at")))))
+        out = out.when(F.size(F.array_distinct(F.transform(found, lambda p: p["name"]))) >= 3, last_of(found))
+    plain = F.regexp_replace(F.regexp_replace(F.lower(sensor), " ", ""), "_", "-")
+    for key, numbers in BANDS:
+        out = out.when(plain.contains(key) & (bands >= max(numbers.values())), mapped(numbers))
+    for least, numbers in BY_COUNT.items():
+        out = out.when(bands >= least, mapped(numbers))
+    return out
 
 
-def name_parts(name: Column) -> tuple[Column, Column]:
-    """Sensor and date from a file name's parts between underscores: the first part, and the first of eight digits."""
+def name_parts(name: Column, tags: Column | None = None) -> tuple[Column, Column]:
+    """Sensor and date: from a map of tags, else the file name's part before the first underscore and its first part that is a date of eight digits."""
     parts = F.split(F.regexp_replace(name, r"\.[^.]*$", ""), "_")
-    day = F.get(F.filter(parts, lambda p: p.rlike(r"^\d{8}$")), F.lit(0))
-    return parts[0], F.try_to_timestamp(day, F.lit("yyyyMMdd")).cast("timestamp_ntz")
+    days = F.transform(F.filter(parts, lambda p: p.rlike(r"^\d{8}$")), lambda p: F.try_to_timestamp(p, F.lit("yyyyMMdd")).cast("timestamp_ntz"))
+    sensor, day = parts[0], F.get(F.filter(days, lambda d: d.isNotNull()), F.lit(0))
+    if tags is not None:
+        of = lambda names: F.coalesce(*[F.nullif(F.try_element_at(tags, F.lit(n)), F.lit("")) for n in names])
+        text = F.substring(of(DATE_TAGS), 1, 19)
+        dated = F.coalesce(*[F.when(text.rlike(f"^{pattern}$"), F.try_to_timestamp(text, F.lit(form))) for pattern, form in DATE_FORMS])
+        sensor, day = F.coalesce(of(SENSOR_TAGS), sensor), F.coalesce(dated.cast("timestamp_ntz"), day)
+    return F.coalesce(sensor, F.lit("unknown")), day
 
 
-def provenance_errors(record: Column, strict: bool = False, portals: tuple[str, ...] = PORTALS) -> Column:
+def provenance_errors(record: Column, strict: bool = False, portals: tuple[str, ...] = PORTALS, datasets: tuple[str, ...] = DATASETS) -> Column:
     """What is wrong with a provenance record, as an array of texts; none if it is valid."""
     f = lambda n: record[n]
-    checks = [F.when(f(n).isNull(), F.lit(f"missing {n}")) for n in REQUIRED]
-    checks += [
+    day = lambda n: F.when(f(n).isNotNull() & (~f(n).rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") | F.try_to_timestamp(f(n), F.lit("yyyy-M-d")).isNull()), F.lit(f"{n} is not a day"))
+    checks = [
+        *[F.when(f(n).isNull(), F.lit(f"missing {n}")) for n in REQUIRED],
         F.when(~f("source_portal").isin(*portals), F.lit("unknown source_portal")),
-        F.when(f("acquisition_date").isNotNull() & F.try_to_timestamp(F.substring(f("acquisition_date"), 1, 10), F.lit("yyyy-MM-dd")).isNull(), F.lit("bad acquisition_date")),
+        F.when(~f("underlying_dataset").isin(*datasets), F.lit("unknown underlying_dataset")),
+        day("acquisition_date"),
+        day("download_date"),
         F.when(f("resolution_m") <= 0, F.lit("bad resolution_m")),
         F.when(F.size(f("bounding_box")) != 4, F.lit("bad bounding_box")),
     ]

@@ -110,14 +110,23 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
     """Long-form pixels: a 32 x 32 tile for each supplier of the line items, four bands by line number, means where items meet."""
     li = table(spark, sf, "lineitem")
     band = F.element_at(F.array(*[F.lit(b) for b in ("blue", "green", "red", "nir")]), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    rows = li.select((F.col("l_suppkey") % 8).alias("tile_id"), (F.col("l_partkey") % 32).cast("int").alias("row"), (F.col("l_orderkey") % 32).cast("int").alias("col"), band.alias("band"), ((F.col("l_quantity") * 5) % 256).alias("value"))
+    rows = li.select(F.col("l_suppkey").alias("tile_id"), (F.col("l_partkey") % 32).cast("int").alias("row"), (F.col("l_orderkey") % 32).cast("int").alias("col"), band.alias("band"), ((F.col("l_quantity") * 5) % 256).alias("value"))
     return rows.groupBy("tile_id", "row", "col", "band").agg(F.max("value").alias("value"))
 
 
-PIXELS = """pixels AS (SELECT l_suppkey % 8 AS tile_id, CAST(l_partkey % 32 AS INTEGER) AS "row", CAST(l_orderkey % 32 AS INTEGER) AS col,
+PIXELS = """pixels AS (SELECT l_suppkey AS tile_id, CAST(l_partkey % 32 AS INTEGER) AS "row", CAST(l_orderkey % 32 AS INTEGER) AS col,
     CASE l_linenumber % 4 WHEN 0 THEN 'blue' WHEN 1 THEN 'green' WHEN 2 THEN 'red' ELSE 'nir' END AS band, max((l_quantity * 5) % 256) AS "value" FROM lineitem GROUP BY ALL)"""
 
 
+def image_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The tiles of the pixel view, a pass every day."""
+    k = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(
+        k.alias("tile_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(k.cast("int"))).alias("ts"), F.when(k % 7 == 0, "sar").otherwise("optical").alias("mode"),
+        (F.lit(0.3) + _share(k, 60, 100.0)).alias("quality"), _share(k, 30, 100.0).alias("cloud"), (F.lit(0.7) + _share(k, 25, 100.0)).alias("valid_share"),
+    )
+
+
 def gazetteer(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LANDMARKS), "ord int, name string, zone string, lon double, lat double, feature_type string")
 
