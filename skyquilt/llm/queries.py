@@ -180,6 +180,32 @@ SELECT doc_id, size, source_size, target, taken,
   CASE WHEN taken > 0 THEN CASE WHEN b - a = 0 THEN CAST(first_at AS DOUBLE) / CAST(words AS DOUBLE)
     ELSE (sqrt(a * a + 2 * (b - a) * (CAST(first_at AS DOUBLE) / CAST(words AS DOUBLE))) - a) / (b - a) END END AS position
 FROM mixed
+""",
+    # CRC-32 from its rule, then the draws of each level of the tree
+    "op8_sharding": r"""
+WITH RECURSIVE step AS (
+  SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM step WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS by_byte FROM step WHERE k = 8
+), base AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, octet_length(encode(coalesce(text, ''))) + 8 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
+), summed AS (
+  SELECT doc_id, k, CAST(size AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: CAST(('0x' || h[i:i + 1]) AS BIGINT))), lambda c, b: xor(c >> 8, by_byte[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM base, crc
+), leaves AS (
+  SELECT CAST(s AS INTEGER) AS shard, s // 8 AS r, s // 4 AS q FROM range(25) t(s)
+), drawn AS (
+  SELECT k, n, node, p, -ln((CAST(('0x' || md5(k || '|' || path)[1:13]) AS BIGINT) + 5e-1) / 4503599627370496e0) / w AS d FROM (SELECT DISTINCT k FROM base), (
+    SELECT n, '/r' || CAST(r AS VARCHAR) AS path, CAST(count(*) AS DOUBLE) AS w, 'r' || CAST(r AS VARCHAR) AS node, '' AS p FROM leaves, (VALUES (24), (25)) v(n) WHERE shard < n GROUP BY n, r
+    UNION ALL SELECT n, '/r' || CAST(r AS VARCHAR) || '/k' || CAST(q AS VARCHAR), CAST(count(*) AS DOUBLE), 'k' || CAST(q AS VARCHAR), 'r' || CAST(r AS VARCHAR) FROM leaves, (VALUES (24), (25)) v(n) WHERE shard < n GROUP BY n, r, q
+    UNION ALL SELECT n, '/r' || CAST(r AS VARCHAR) || '/k' || CAST(q AS VARCHAR) || '/s' || CAST(shard AS VARCHAR), 1e0, CAST(shard AS VARCHAR), 'k' || CAST(q AS VARCHAR) FROM leaves, (VALUES (24), (25)) v(n) WHERE shard < n)
+), won AS (
+  SELECT k, n, p, arg_min(node, d) AS node FROM drawn GROUP BY k, n, p
+), placed AS (
+  SELECT a.k, a.n, CAST(c.node AS INTEGER) AS shard FROM won a JOIN won b ON b.k = a.k AND b.n = a.n AND b.p = a.node JOIN won c ON c.k = a.k AND c.n = a.n AND c.p = b.node WHERE a.p = ''
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, x.shard, row_number() OVER (PARTITION BY x.shard ORDER BY md5(k), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, y.shard AS grown_shard
+FROM summed JOIN placed x USING (k) JOIN placed y USING (k) WHERE x.n = 24 AND y.n = 25
 """,
     "op10_urlfilter": r"""
 WITH parted AS (
