@@ -257,9 +257,10 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, pe
                     s1, s2 = zip(*map(set_hash, found))
                     yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc", "s1", "s2", "set"])
 
-    # an id may be repeated with the same set, or stand for other ones too
-    known = source.mapInArrow(sets, f"doc {kind}, s1 long, s2 long, set binary").dropDuplicates(["doc", "s1", "s2"])
-    known = cut(known.join(wanted, ["doc", "s1", "s2"]).select("rep", "set"))
+    # an id may be repeated with the same set, or stand for other ones too; both uses below share one shuffle of the sets
+    found = source.mapInArrow(sets, f"doc {kind}, s1 long, s2 long, set binary")
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    known = found.join(F.broadcast(wanted) if few else wanted, ["doc", "s1", "s2"]).select("rep", "set").dropDuplicates(["rep"])
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("shares"))
     dealt = cut(pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share"), "b"))
     heads = dealt.select("a", "share").distinct().join(known.withColumnRenamed("rep", "a"), "a").select("a", "share", F.lit(None).cast("long").alias("b"), "set")
