@@ -34,8 +34,10 @@ CHUNKS, PER_CHUNK = 10, 4
 SLOTS = CHUNKS * PER_CHUNK
 #: Differing slots from which a pair is not held against its full sets; above what the keys guarantee.
 FAR = 23
-#: Members of a cell that are compared with each other; blocks of a cell beyond which it is dealt by prefix shingles; ids that are broadcast at most.
-BLOCK, BLOCKS, BROADCAST_IDS = 1024, 16, 1_000_000
+#: Members of a cell that are compared with each other; ids that are broadcast at most.
+BLOCK, BROADCAST_IDS = 1024, 1_000_000
+#: Blocks of a cell beyond which it is dealt by prefix shingles. Blocks copy a member once each; shingles copy it through three shuffles for each of a fifth of its words, which is less from about a hundred blocks on. Both compare all that can be alike.
+BLOCKS = 128
 #: Pairs of one class that a task holds against its set, which is sent once for so many.
 PAIRS = 512
 #: Documents of the sample that orders shingles by frequency (results do not depend on it), and documents of it that make a shingle frequent.
