@@ -38,8 +38,6 @@ FAR = 23
 BLOCK, BROADCAST_IDS = 1024, 1_000_000
 #: Blocks of a cell beyond which it is dealt by prefix shingles. Blocks copy a member once each; shingles copy it through three shuffles for each of a fifth of its words, which is less from about a hundred blocks on. Both compare all that can be alike.
 BLOCKS = 128
-#: Pairs of one class that a task holds against its set, which is sent once for so many.
-PAIRS = 512
 #: Documents of the sample that orders shingles by frequency (results do not depend on it), and documents of it that make a shingle frequent.
 SAMPLE, FREQUENT = 2000, 8
 
@@ -242,10 +240,7 @@ def with_ids(rows: DataFrame, ids: DataFrame, on: str | list[str], how: str) ->
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Of the pairs (a, b) of classes, those with 100 * intersection >= percent * union of their full sets.
-
-    A class with many pairs sends its set once for PAIRS of them, ahead of the other ones'.
-    """
+    """Of the pairs (a, b) of classes, those with 100 * intersection >= percent * union of their full sets."""
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "doc", "s1", "s2"), "rep"))
     source = with_ids(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")), wanted.select("doc").distinct(), "doc", "left_semi")
@@ -263,27 +258,18 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, pe
     found = source.mapInArrow(sets, f"doc {kind}, s1 long, s2 long, set binary")
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     known = found.join(F.broadcast(wanted) if few else wanted, ["doc", "s1", "s2"]).select("rep", "set").dropDuplicates(["rep"])
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("shares"))
-    dealt = cut(pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share"), "b"))
-    heads = dealt.select("a", "share").distinct().join(known.withColumnRenamed("rep", "a"), "a").select("a", "share", F.lit(None).cast("long").alias("b"), "set")
-    others = dealt.join(known.withColumnRenamed("rep", "b"), "b").select("a", "share", "b", "set")
-    rows = heads.unionByName(others).repartition(parts_of(docs.sparkSession), "a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = np.empty(0, np.uint64)
         for batch in batches:
             linked = []
-            for b, raw in zip(batch.column("b").to_pylist(), batch.column("set")):
-                y = np.frombuffer(raw.as_buffer(), np.uint64)
-                if b is None:
-                    x = y.copy()
-                    linked.append(False)
-                    continue
+            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return rows.select("a", "b", "set").mapInArrow(run, "a long, b long")
+    both = pairs.join(known.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a").join(known.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

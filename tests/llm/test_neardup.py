@@ -82,7 +82,6 @@ def test_cells_in_blocks_lose_nothing(spark, monkeypatch):
 def test_hot_cells_by_prefix_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 4)
     monkeypatch.setattr(N, "BLOCKS", 1)
-    monkeypatch.setattr(N, "PAIRS", 3)
     rows = made(4, 150)
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 4)
