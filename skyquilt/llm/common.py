@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,3 +67,42 @@ def bucket_totals(df: DataFrame, group: list[str], bucket: str, value: Column, n
     per = df.groupBy(*group, bucket).agg(F.sum(value).cast("long").alias("_t"))
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
     return per.select(*group, bucket, (F.sum("_t").over(before) - F.col("_t")).alias(name))
+
+
+#: Keys with more than this share of all rows are joined by broadcast; there are at most its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def attach(rows: DataFrame, per: DataFrame, keys: list[str], values: list[str], count: str) -> DataFrame:
+    """Left join of `rows` with `per`, which has one row for each of `keys` (nulls are equal) and the number of its rows, `count`.
+
+    Keys with over a thousandth of the counted rows, at most 1,000, are broadcast; their rows
+    are spread over the shuffle that joins the rest, where they meet nothing.
+    `per` is read three times.
+    """
+    total = per.agg(F.sum(count)).first()[0] or 0
+    named = per.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*values).alias("_v"), F.col(count).alias("_n"))
+
+    def same(prefix: str) -> Column:
+        out = F.lit(True)
+        for k in keys:
+            out = out & F.col(k).eqNullSafe(F.col(prefix + k))
+        return out
+
+    hot = named.where(F.col("_n") > total * HOT_SHARE).select(*[f"_{k}" for k in keys], F.col("_v").alias("_hot"))
+    cold = named.where(F.col("_n") <= total * HOT_SHARE).select(*[F.col(f"_{k}").alias(f"__{k}") for k in keys], "_v", F.lit(-1).cast("long").alias("__salt"))
+    out = rows.join(F.broadcast(hot), same("_"), "left").drop(*[f"_{k}" for k in keys])
+    out = out.withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
+    out = out.join(cold, same("__") & (F.col("_salt") == F.col("__salt")), "left")
+    got = F.coalesce("_hot", "_v")
+    return out.select(*rows.columns, *[got[v].alias(v) for v in values])
+
+
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """`df` as a table in the shared checkpoint folder, in one folder for each value of `by`; its size is known to the planner."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        cut(spark.range(0))
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

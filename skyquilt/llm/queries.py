@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyquilt.ship import ship
 
-from . import fingerprint, html, linededup, mixing, neardup, packing, quality, quotes, sharding, urlfilter
+from . import divergence, fingerprint, html, linededup, mixing, neardup, packing, quality, quotes, sharding, substring, urlfilter, vectorcodes
 
 #: Shards of the sharding query.
 SHARDS = 24
@@ -73,6 +73,19 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, listed)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return cleaned.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quotes": op1_quotes,
     "op2_neardup": op2_neardup,
@@ -84,8 +97,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_urlfilter": op10_urlfilter,
+    "op11_divergence": op11_divergence,
+    "op12_substrings": op12_substrings,
+    "op13_vectorcodes": op13_vectorcodes,
 }
 
+
+
+def vectorcodes_sql() -> str:
+    """Rounds of assigning and averaging over the parts' components, one row each."""
+    near = """n{r} AS MATERIALIZED (
+  SELECT vec_id, p, min(d * 256 + e) % 256 AS e, min(d * 256 + e) // 256 AS d FROM (
+    SELECT vec_id, x.p, e, CAST(sum((x.v - y.v) * (x.v - y.v)) AS BIGINT) AS d FROM parts x JOIN b{r} y ON x.p = y.p AND x.i = y.i GROUP BY vec_id, x.p, e) GROUP BY vec_id, p
+)"""
+    mean = """m{s} AS (
+  SELECT p, e, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS c FROM n{r} JOIN parts USING (vec_id, p) GROUP BY p, e, i
+), b{s} AS MATERIALIZED (
+  SELECT p, e, i, coalesce((s - ((s % c) + c) % c) // c, b.v) AS v FROM b{r} b LEFT JOIN m{s} USING (p, e, i)
+)"""
+    rounds = ", ".join(near.format(r=r) + (", " + mean.format(r=r, s=r + 1) if r < vectorcodes.ROUNDS else "") for r in range(vectorcodes.ROUNDS + 1))
+    last = vectorcodes.ROUNDS
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, embedding AS x, len(embedding) // 4 AS d FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // d AS p, (i - 1) % d AS i, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM (SELECT vec_id, d, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM kept)
+), b0 AS MATERIALIZED (
+  SELECT p, CAST(n AS BIGINT) AS e, i, v FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM kept) USING (vec_id) WHERE n < 256
+), {rounds}, coded AS (
+  SELECT vec_id, string_agg(lower(right('0' || hex(e), 2)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM n{last} GROUP BY vec_id
+), books AS (
+  SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, i)) AS h FROM b{last}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM coded JOIN kept USING (vec_id), books
+"""
+
+
 #: In SQL: what the line rules of the quality operator look for.
 _PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in quality.PHRASES)
 _BARS = ", ".join(f"'{c}'" for c in quality.SEPARATORS)
@@ -224,4 +271,51 @@ WITH parted AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN starts_with(md5(host || path), '0') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """,
+    "op11_divergence": r"""
+WITH base AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), groups AS MATERIALIZED (
+  SELECT DISTINCT lang, source FROM base
+), each AS (
+  SELECT d, lang, source, unnest(w) AS term FROM base
+), counted AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT d) AS docs FROM each GROUP BY 1, 2, 3
+), kept AS MATERIALIZED (
+  SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM counted GROUP BY 1, 2 HAVING sum(docs) >= 3
+), langs AS (
+  SELECT lang, sum(n) AS total, count(*) AS v FROM kept GROUP BY 1
+), filled AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n, k.n AS lang_n FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sizes AS (
+  SELECT lang, source, sum(n) AS total FROM filled GROUP BY 1, 2
+), shares AS MATERIALIZED (
+  SELECT lang, source, term, f.n, 1 + 1000000000 * (f.n + 1) // (s.total + v) AS p, 1 + 1000000000 * (f.lang_n + 1) // (l.total + v) AS q FROM filled f JOIN sizes s USING (lang, source) JOIN langs l USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM parts
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+""",
+    "op12_substrings": r"""
+WITH base AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), each AS MATERIALIZED (
+  SELECT d, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM base
+), windows AS (
+  SELECT d, i, w, count(*) OVER (o ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS c, string_agg(w, ' ') OVER (o ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS s FROM each WINDOW o AS (PARTITION BY d ORDER BY i)
+), judged AS MATERIALIZED (
+  SELECT d, i, w, CASE WHEN c = 35 AND count(*) OVER (PARTITION BY c, s) > 1 THEN 1 ELSE 0 END AS again FROM (SELECT d, i, w, c, md5(s) AS s FROM windows)
+), covered AS (
+  SELECT d, i, w, max(again) OVER (PARTITION BY d ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM judged
+), per AS (
+  SELECT d, sum(gone) AS n_removed, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM covered GROUP BY d
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM base LEFT JOIN per USING (d)
+""",
+    "op13_vectorcodes": vectorcodes_sql(),
 }
