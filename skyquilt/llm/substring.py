@@ -28,24 +28,11 @@ WINDOW, ANCHOR = 35, 8
 SHARD_WORDS = 150_000
 #: An anchor with more runs is dealt by window.
 HOT_RUNS = 5_000
-#: Windows of a run at most, and owners of a run that one copy of its result serves.
-LONGEST, OWNERS = 1024, 2_000
+#: Owners of a run that one copy of its result serves.
+OWNERS = 2_000
 _TEXT = ["t1", "t2"]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, each computed once while it is held."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        out = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -64,44 +51,74 @@ def _reduced(x: np.ndarray, width: int, join: Callable) -> np.ndarray:
     return join(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def runs_of(sizes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """document, first word, words, anchor of each run of the documents whose word hashes follow one another in `h`."""
+_INSIDE = np.array([b not in (32, *range(9, 14)) for b in range(256)])
+#: A factor for each place in a word.
+_FACTORS = mixed(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+
+def hashed_words(texts: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and the number of words of each text.
+
+    A word's hash is the sum of its bytes, each times a factor for its place, mixed.
+    """
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    values = texts.buffers()[2]
+    data = np.frombuffer(values, np.uint8)[offsets[0] : offsets[-1]] if values is not None else np.zeros(0, np.uint8)
+    offsets -= offsets[0]
+    inside = _INSIDE[data]
+    goes_on = np.r_[False, inside[:-1]][: len(data)]
+    goes_on[offsets[:-1][offsets[:-1] < len(data)]] = False
+    first = np.flatnonzero(inside & ~goes_on)
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+    place = np.arange(first[0], len(data)) - np.repeat(first, np.diff(np.r_[first, len(data)]))
+    inside, data = inside[first[0] :], data[first[0] :]
+    longest = int(place[inside].max()) + 1
+    factors = _FACTORS if longest <= len(_FACTORS) else mixed(np.arange(1, longest + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    parts = (data.astype(np.uint64) + np.uint64(1)) * factors[np.minimum(place, len(factors) - 1)] * inside
+    return mixed(np.add.reduceat(parts, first - first[0])), np.diff(np.searchsorted(first, offsets))
+
+
+def runs_of(sizes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """document, first word, words, anchor and hash of each run of the documents whose word hashes follow one another in `h`.
+
+    A run's windows hold one place, so it has at most 2 * WINDOW - ANCHOR words, which two blocks of 32 cover.
+    """
     if len(h) < WINDOW:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    grams = _reduced(mixed(h), ANCHOR, _joined)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    grams = _reduced(h, ANCHOR, _joined)
     least = _reduced(grams, WINDOW - ANCHOR + 1, np.minimum)
     doc = np.repeat(np.arange(len(sizes)), sizes)[: len(least)]
     own = np.arange(len(least)) - (np.cumsum(sizes) - sizes)[doc]
     inside = own + WINDOW <= sizes[doc]
     # an anchor is a place: where the leftmost smallest one falls out, another run begins, though its hash be the same
     left = grams[: len(least) - 1] == least[:-1]
-    new = np.r_[True, left | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])] | (own % LONGEST == 0)
-    at = np.flatnonzero(new & inside)
-    run = np.cumsum(new & inside)[inside] - 1
-    n = np.bincount(run, minlength=len(at))
-    return doc[at], own[at], n + WINDOW - 1, least[at]
+    new = np.r_[True, left | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])] & inside
+    at = np.flatnonzero(new)
+    n = np.bincount(np.cumsum(new)[inside] - 1, minlength=len(at)) + WINDOW - 1
+    blocks = _joined(_joined(grams[:-8], grams[8:])[:-16], _joined(grams[:-8], grams[8:])[16:])
+    s = _joined(_joined(blocks[at], blocks[at + n - 32]), n.astype(np.uint64))
+    return doc[at], own[at], n, least[at], s
 
 
-def _runs(docs: DataFrame) -> DataFrame:
-    """key, s, t1, t2, at, size of the runs of texts (t1, t2, text); s is a hash of the run's words."""
+def _runs(docs: DataFrame, anchors_only: bool = False) -> DataFrame:
+    """key, s, t1, t2, at, size of the runs of texts (t1, t2, text), or their keys; s is a hash of the run's words."""
+    names = ["key"] if anchors_only else ["key", "s", *_TEXT, "at", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                each = [hashes.of(t.split()) for t in part.column(2).to_pylist()]
-                h, sizes = np.concatenate(each), np.array([len(x) for x in each])
-                doc, at, size, key = runs_of(sizes, h)
-                first = (np.cumsum(sizes) - sizes)[doc] + at
-                words = h.tobytes()
-                s = [int.from_bytes(hashlib.blake2b(words[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True) for a, b in zip(first.tolist(), (first + size).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(s, pa.int64()), part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array(at, pa.int32()), pa.array(size, pa.int32())], names=["key", "s", "t1", "t2", "at", "size"])
-
-    return docs.mapInArrow(run, "key long, s long, t1 long, t2 long, at int, size int")
-
+                h, sizes = hashed_words(part.column(2))
+                doc, at, size, key, s = runs_of(sizes, h)
+                columns = [pa.array(key.view(np.int64))]
+                if not anchors_only:
+                    owner = pa.array(doc)
+                    columns += [pa.array(s.view(np.int64)), part.column(0).take(owner), part.column(1).take(owner), pa.array(at, pa.int32()), pa.array(size, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-_LIST = "array<struct<key:bigint,s:bigint,at:int,size:int,weight:bigint>>"
+    return docs.mapInArrow(run, "key long" if anchors_only else "key long, s long, t1 long, t2 long, at int, size int")
 
 
 def _shipped(texts: DataFrame, wanted: DataFrame, by_window: bool) -> DataFrame:
@@ -110,11 +127,10 @@ def _shipped(texts: DataFrame, wanted: DataFrame, by_window: bool) -> DataFrame:
     names = ["key", "s", "off", "weight", "words"] + (["w"] if by_window else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             out: list[tuple] = []
-            for text, runs in zip(batch.column(3), batch.column(4)):
-                words = hashes.of(text.as_py().split()).tobytes()
+            for n in range(batch.num_rows):
+                words, runs = hashed_words(batch.column(3).slice(n, 1))[0].tobytes(), batch.column(4)[n]
                 for r in runs.as_py():
                     starts = range(r["size"] - WINDOW + 1) if by_window else (0,)
                     for off in starts:
@@ -166,7 +182,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     hashed = hashed.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.col("text").cast("binary").alias("text"))
     texts = hashed.groupBy(*_TEXT).agg(F.count("*").alias("rows"), F.first("text").alias("text"))
     runs = _runs(hashed)
-    anchors = cut(runs.groupBy("key").agg(F.count("*").alias("of_key")).where("of_key > 1"))
+    anchors = cut(_runs(hashed, True).groupBy("key").agg(F.count("*").alias("of_key")).where("of_key > 1"))
     found = attach(runs, anchors, ["key"], ["of_key"], "of_key").where("of_key is not null")
     owners = stored(found.groupBy("key", "s", *_TEXT, "at", "size", "of_key").agg(F.count("*").alias("rows")))
     distinct = owners.groupBy("key", "s").agg(F.sum("rows").alias("weight"), F.count("*").alias("n_owners"), F.min(F.struct(*_TEXT, "at", "size")).alias("one"), F.max("of_key").alias("of_key"))
