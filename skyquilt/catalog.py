@@ -11,6 +11,7 @@ from skyquilt import views as V
 from skyquilt.functions import scalar as S
 from skyquilt.functions import text as X
 from skyquilt.operators import cluster, filters, merge, raster, series, spatial, vector
+from skyquilt.operators import registration as R
 from skyquilt.plans import change, chat, ingest, review, search, status
 from skyquilt.sources import files
 
@@ -471,28 +472,22 @@ def components(spark, sf):
     return raster.components(V.pixels(spark, sf).where("band = 'red'").withColumn("value", F.when(F.col("value") > 180, F.col("value")).otherwise(F.lit(0.0))))
 
 
-def image_pixels(spark, sf):
-    return V.pixels(spark, sf).withColumn("value", F.col("value") / 256.0)
-
-
 @query()
 def bitemporal_change(spark, sf):
-    """Each odd tile of the pixel view against the next one."""
-    t = V.image_tiles(spark, sf)
-    pairs = t.where("tile_id % 2 = 1").select(F.col("tile_id").alias("area_id"), F.col("tile_id").alias("before_tile_id"), (F.col("tile_id") + 1).alias("after_tile_id"))
-    pairs = pairs.join(t.select(F.col("tile_id").alias("after_tile_id")), "after_tile_id", "left_semi")
-    rows, _ = change.bitemporal(pairs, image_pixels(spark, sf), t)
-    return rows.select("area_id", "before_tile_id", "after_tile_id", "change_score", "quality_score", "confidence", "dominant_change_type", "dominant_dynamics", "area_ha", "d_ndvi", "d_ndwi", "d_ndbi", "correlation", "radiometric", "passed")
+    """The first and the last pass of each area of the scene view, dated by those between."""
+    t = V.scene_tiles(spark, sf)
+    at = F.struct("ts", "tile_id")
+    ends = t.groupBy("area_id").agg(F.min_by("tile_id", at).alias("before_tile_id"), F.max_by("tile_id", at).alias("after_tile_id")).where("before_tile_id <> after_tile_id")
+    rows, _ = change.bitemporal(ends, V.scene_pixels(spark, sf), t, t)
+    return rows.select("area_id", "before_tile_id", "after_tile_id", "change_score", "quality_score", "confidence", "dominant_change_type", "dominant_dynamics", "area_ha", "d_ndvi", "d_ndwi", "d_ndbi", "correlation", "inliers", "is_aligned", "radiometric", "passed", "compared", "earliest")
 
 
 @query()
 def dense_change(spark, sf):
-    """The passes of each of twelve areas of the pixel view, or, at larger scales, of one area for every nine tiles."""
-    t = V.image_tiles(spark, sf)
-    areas = V.table(spark, sf, "supplier").agg(F.greatest(F.lit(12), (F.count("*") / 9).cast("int"))).scalar()
-    stack = t.withColumn("area_id", F.col("tile_id") % areas)
-    rows, _ = change.analyse(stack, image_pixels(spark, sf))
-    return rows.drop("log")
+    """The passes of each area of the scene view: dense ones with their change point, those with too few passes by their two ends, single ones listed."""
+    rows, fallback = change.analyse(V.scene_tiles(spark, sf).drop("pass", "nation"), V.scene_pixels(spark, sf))
+    two = fallback.select("area_id", F.col("change_score").alias("two_date_score"), F.col("dominant_change_type").alias("two_date_type"), F.col("area_ha").alias("two_date_area_ha"), F.col("earliest").alias("two_date_earliest"))
+    return rows.drop("log").join(two, "area_id", "left")
 
 
 @query()
@@ -504,8 +499,13 @@ def discovery_clusters(spark, sf):
 
 @query()
 def registration(spark, sf):
-    w = raster.wide(V.pixels(spark, sf), ["red", "nir"]).select("tile_id", "row", "col", F.coalesce("red", F.lit(0.0)).alias("before"), F.coalesce("nir", F.lit(0.0)).alias("after"))
-    return raster.register(w)
+    """Each pass of an area of the scene view against the first one, in grey."""
+    t, grey = V.scene_tiles(spark, sf), V.scene_pixels(spark, sf).groupBy("tile_id", "row", "col").agg(F.avg("value").alias("value"))
+    first = t.groupBy("area_id").agg(F.min_by("tile_id", F.struct("ts", "tile_id")).alias("_first"))
+    pairs = t.join(first, "area_id").where("tile_id <> _first").select(F.col("tile_id").alias("pair_id"), "_first")
+    before = pairs.join(grey.withColumnRenamed("tile_id", "_first"), "_first").select("pair_id", "row", "col", F.col("value").alias("before"))
+    after = grey.select(F.col("tile_id").alias("pair_id"), "row", "col", F.col("value").alias("after"))
+    return R.register(before.join(after, ["pair_id", "row", "col"])).select("pair_id", "inliers", r6("correlation_before").alias("correlation_before"), r6("correlation").alias("correlation"), "is_aligned", r6("dy").alias("dy"), r6("dx").alias("dx"))
 
 
 ASKED = ("new roads", "Cleared land, then BUILT", "renewed interest", "what changed? recent change", "old town", "construction/expansion")

@@ -195,28 +195,6 @@ def components(pixels: DataFrame) -> DataFrame:
     return pixels.select("tile_id", "row", "col", "value").groupBy("tile_id").applyInPandas(run, f"tile_id {kind}, row int, col int, label int")
 
 
-def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
-    """dy, dx by which b is moved against a, and the correlation after moving it back."""
-    fa, fb = np.fft.fft2(a - a.mean()), np.fft.fft2(b - b.mean())
-    cross = fb * np.conj(fa)
-    peak = np.abs(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)))
-    dy, dx = np.unravel_index(int(peak.argmax()), peak.shape)
-    dy, dx = (int(d) - n if d > n // 2 else int(d) for d, n in zip((dy, dx), a.shape))
-    back = np.roll(b, (-dy, -dx), (0, 1))
-    return dy, dx, float(np.mean((a - a.mean()) * (back - back.mean())) / ((a.std() + 1e-6) * (back.std() + 1e-6)))
-
-
-def register(pairs: DataFrame, most_shift: int = 32, least_correlation: float = 0.3) -> DataFrame:
-    """tile_id, dy, dx, correlation, is_aligned by phase correlation of (before, after) pixels; a group is one tile."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        dy, dx, c = phase_shift(_grid(pdf, "before"), _grid(pdf, "after"))
-        return pd.DataFrame({"tile_id": [pdf["tile_id"].iloc[0]], "dy": [dy], "dx": [dx], "correlation": [round(c, 6)], "is_aligned": [abs(dy) <= most_shift and abs(dx) <= most_shift and c >= least_correlation]})
-
-    kind = pairs.schema["tile_id"].dataType.simpleString()
-    return pairs.select("tile_id", "row", "col", "before", "after").groupBy("tile_id").applyInPandas(run, f"tile_id {kind}, dy int, dx int, correlation double, is_aligned boolean")
-
-
 def sharpness(pixels: DataFrame) -> DataFrame:
     """tile_id, sharpness: variance of the second gradient over 0.02, at most 1."""
 

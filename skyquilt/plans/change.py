@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyquilt.functions import scalar as S
 from skyquilt.lineage import cut
-from skyquilt.operators import filters, raster, series, spatial
+from skyquilt.operators import filters, raster, registration, series, spatial
 
 #: Reach of the candidate search in degrees and of its second try, and the slack of the nearest cell.
 REACH, SECOND_REACH, CELL_SLACK = 0.08, 0.15, 0.005
@@ -87,36 +87,50 @@ def regions(deltas: DataFrame, mask: DataFrame, least: int = 9) -> DataFrame:
     return rows.withColumn("_k", kind).select("tile_id", "label", "area", "elongation", "aspect", "d_ndvi", "d_ndwi", "d_ndbi", "_k.change_type", "_k.dynamics", "_k.confidence")
 
 
+def patch_vectors(pixels: DataFrame, key: str, name: str) -> DataFrame:
+    """key, pi, pj, `name` (mean, spread and edge of each band, bands in order) and `name`_bands of each patch."""
+    one = raster.patch_features(pixels.withColumnRenamed(key, "tile_id") if key != "tile_id" else pixels)
+    listed = F.array_sort(F.collect_list(F.struct("band", "mean", "std", "edge")))
+    return one.groupBy(F.col("tile_id").alias(key), "pi", "pj").agg(F.flatten(F.transform(listed, lambda x: F.array(x["mean"], x["std"], x["edge"]))).alias(name), F.transform(listed, lambda x: x["band"]).alias(f"{name}_bands"))
+
+
 def compared(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Registration, patch distances and aligned pixels of many image pairs in one plan.
 
-    before, after: pair_id, row, col, band, value in 0..1. The after image is moved by its
-    phase shift against the before one and its bands matched to the before ones' histograms.
-    Returns (pair_id, dy, dx, correlation, is_aligned), (pair_id, pi, pj, d) and
-    (pair_id, row, col, band, before, after).
+    before, after: pair_id, row, col, band, value in 0..1. The after image is moved by what
+    registers it with the before one, if anything does, and its bands are matched to the before ones' histograms.
+    Returns (pair_id, matrix, inliers, correlation_before, correlation, is_aligned, dy, dx),
+    (pair_id, pi, pj, d) and (pair_id, row, col, band, before, after).
     """
     grey = lambda df, name: df.groupBy("pair_id", "row", "col").agg(F.avg("value").alias(name))
-    both = grey(before, "before").join(grey(after, "after"), ["pair_id", "row", "col"], "full").select(F.col("pair_id").alias("tile_id"), "row", "col", F.coalesce("before", S.num(0)).alias("before"), F.coalesce("after", S.num(0)).alias("after"))
-    shifts = cut(raster.register(both).withColumnRenamed("tile_id", "pair_id"))
-    size = both.groupBy(F.col("tile_id").alias("pair_id")).agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
-    moved = after.join(shifts.select("pair_id", "dy", "dx"), "pair_id").join(size, "pair_id")
-    moved = moved.select("pair_id", F.pmod(F.col("row") - F.col("dy"), F.col("_h")).alias("row"), F.pmod(F.col("col") - F.col("dx"), F.col("_w")).alias("col"), "band", "value")
+    both = grey(before, "before").join(grey(after, "after"), ["pair_id", "row", "col"], "full")
+    shifts = cut(registration.register(both))
+    moved = cut(registration.moved(after, shifts))
     level = F.least(F.greatest(F.round(F.col("value") * 255), F.lit(0)), F.lit(255)).cast("int")
     levels = raster.histogram_match(moved, before, ("pair_id",)).withColumnRenamed("value", "_level")
     normal = cut(moved.withColumn("_level", level).join(levels, ["pair_id", "band", "_level"], "left").select("pair_id", "row", "col", "band", F.coalesce(F.col("matched") / 255.0, F.col("value")).alias("value")))
-
-    def vectors(pixels: DataFrame, name: str) -> DataFrame:
-        one = raster.patch_features(pixels.withColumnRenamed("pair_id", "tile_id"))
-        listed = F.array_sort(F.collect_list(F.struct("band", "mean", "std", "edge")))
-        return one.groupBy(F.col("tile_id").alias("pair_id"), "pi", "pj").agg(F.flatten(F.transform(listed, lambda x: F.array(x["mean"], x["std"], x["edge"]))).alias(name), F.transform(listed, lambda x: x["band"]).alias(f"{name}_bands"))
-
     # a patch whose bands are not the same in both images has no distance
-    met = vectors(before, "_x").join(vectors(normal, "_y"), ["pair_id", "pi", "pj"]).where(F.col("_x_bands") == F.col("_y_bands"))
+    met = patch_vectors(before, "pair_id", "_x").join(patch_vectors(normal, "pair_id", "_y"), ["pair_id", "pi", "pj"]).where(F.col("_x_bands") == F.col("_y_bands"))
     distances = cut(met.select("pair_id", "pi", "pj", raster.feature_difference(F.col("_x"), F.col("_y")).alias("d")))
     aligned = before.withColumnRenamed("value", "before").join(normal.withColumnRenamed("value", "after"), ["pair_id", "row", "col", "band"])
     return shifts, distances, aligned
 
 
+def observation_distances(pair_rows: DataFrame, stack: DataFrame, pixels: DataFrame) -> DataFrame:
+    """area_id, ts, tile_id, distance: how far each later pass of a stack (area_id, tile_id, ts) is from the area's before image, patch by patch.
+
+    The first pass of an area is what the others are dated from and has no row; a pass without a patch in common has none either.
+    """
+    numbered = series.numbered(stack.select("area_id", "tile_id", "ts"), ["area_id"], ["ts", "tile_id"])
+    first = numbered.groupBy("area_id").agg(F.min("index").alias("_first"))
+    later = numbered.join(first, "area_id").where("index > _first").select("area_id", "tile_id", "ts")
+    wanted = later.select("tile_id").unionByName(pair_rows.select(F.col("before_tile_id").alias("tile_id"))).distinct()
+    vectors = cut(patch_vectors(pixels.join(wanted, "tile_id", "left_semi"), "tile_id", "_x"))
+    base = pair_rows.select("area_id", F.col("before_tile_id").alias("tile_id")).join(vectors, "tile_id").select("area_id", "pi", "pj", F.col("_x").alias("_y"), F.col("_x_bands").alias("_y_bands"))
+    met = later.join(vectors, "tile_id").join(base, ["area_id", "pi", "pj"]).where(F.col("_x_bands") == F.col("_y_bands"))
+    return met.groupBy("area_id", "ts", "tile_id").agg(F.avg(raster.feature_difference(F.col("_y"), F.col("_x"))).alias("distance"))
+
+
 def index_deltas(aligned: DataFrame) -> DataFrame:
     """A row per pixel of `compared`: the indices before and after, and their differences."""
     bands = [b for b in raster.MODEL_BANDS]
@@ -129,15 +143,22 @@ def index_deltas(aligned: DataFrame) -> DataFrame:
     return grid.withColumns({f"d_{n}": F.col(f"after_{n}") - F.col(f"before_{n}") for n in ("ndvi", "ndwi", "ndbi")})
 
 
-def bitemporal(pair_rows: DataFrame, pixels: DataFrame, tiles: DataFrame, series: DataFrame | None = None, prob_threshold: float = 0.5, map_threshold: float = 0.20, least: int = 8) -> tuple[DataFrame, DataFrame]:
+#: Share of the before image's pixels that must be compared for a score.
+LEAST_COMPARED = 0.1
+
+
+def bitemporal(pair_rows: DataFrame, pixels: DataFrame, tiles: DataFrame, stack: DataFrame | None = None, prob_threshold: float = 0.5, map_threshold: float = 0.20, least: int = 8) -> tuple[DataFrame, DataFrame]:
     """Change between two dates for many areas: one row per pair, and its typed regions.
 
     pair_rows: area_id, before_tile_id, after_tile_id; pixels: tile_id, row, col, band,
-    value in 0..1; tiles: tile_id, ts, quality, and resolution_m if known; series: area_id,
-    scores (other dates' distances), if there are any. Registration, radiometric matching, patch
+    value in 0..1; tiles: tile_id, ts, quality, and resolution_m if known; stack: area_id,
+    tile_id, ts of the areas' other passes, if there are any: their distances from the before image
+    are the area's series, and `earliest` is the first date over the threshold, the after date if none is.
+    `compared` is the share of the before image's pixels that were compared; under LEAST_COMPARED there is no score. Registration, radiometric matching, patch
     distances, masks, quality, false-alarm penalties, regions and the check list, in that order.
     """
     pair_rows = cut(pair_rows)
+    observed = cut(observation_distances(pair_rows, stack, pixels)) if stack is not None else None
     of = lambda column: pair_rows.select(F.col("area_id").alias("pair_id"), F.col(column).alias("tile_id")).join(pixels, "tile_id").drop("tile_id")
     before = cut(of("before_tile_id"))
     shifts, distances, aligned = compared(before, of("after_tile_id"))
@@ -162,7 +183,16 @@ def bitemporal(pair_rows: DataFrame, pixels: DataFrame, tiles: DataFrame, series
         out = out.join(tiles.select(F.col("tile_id").alias(column), F.col("ts").alias(f"_ts_{side}"), S.or_default(F.col("quality"), 0.5).alias(f"_q_{side}"), (F.col("resolution_m") if "resolution_m" in tiles.columns else S.num(10)).alias(f"_res_{side}")), column, "left")
     for part in (score, shares, means, shifts, quality("before", "b"), quality("after", "a")):
         out = out.join(part, "pair_id", "left")
-    out = out.join(series.select(F.col("area_id").alias("pair_id"), "scores"), "pair_id", "left") if series is not None else out.withColumn("scores", F.lit(None).cast("array<double>"))
+    if observed is not None:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("ts", "tile_id", "distance"))), lambda x: x["distance"])
+        out = out.join(observed.groupBy(F.col("area_id").alias("pair_id")).agg(listed.alias("scores")), "pair_id", "left")
+        dated = observed.join(out.select(F.col("pair_id").alias("area_id"), F.col("_ts_a").alias("after_ts")), "area_id")
+        out = out.join(earliest_change(dated, prob_threshold).withColumnRenamed("area_id", "pair_id"), "pair_id", "left")
+        out = out.withColumn("earliest", F.least(F.coalesce("earliest", "_ts_a"), "_ts_a"))
+    else:
+        out = out.withColumn("scores", F.lit(None).cast("array<double>")).withColumn("earliest", F.col("_ts_a"))
+    counted = before.groupBy("pair_id").agg(F.count("*").alias("_all")).join(aligned.groupBy("pair_id").agg(F.count("*").alias("_met")), "pair_id", "left")
+    out = out.join(counted.select("pair_id", F.round(F.coalesce("_met", F.lit(0)) / F.col("_all"), 4).alias("compared")), "pair_id", "left").withColumn("compared", F.coalesce("compared", S.num(0)))
     radiometric = F.abs(F.col("mean_b") - F.col("mean_a"))
     judged = S.suppressed(F.coalesce("raw", S.num(0)), F.col("cloud_b"), F.col("cloud_a"), F.col("valid_b"), F.col("valid_a"), F.col("_q_b"), F.col("_q_a"), F.col("correlation"), radiometric, F.col("scores"), threshold=prob_threshold)
     out = out.withColumn("_s", judged).withColumn("radiometric", radiometric)
@@ -172,8 +202,8 @@ def bitemporal(pair_rows: DataFrame, pixels: DataFrame, tiles: DataFrame, series
     over = F.size(F.filter(F.coalesce("scores", F.array().cast("array<double>")), lambda v: v > prob_threshold))
     out = evidence(out.withColumn("persistent", over).withColumn("observed", F.coalesce(F.size("scores"), F.lit(0))).withColumn("cloud", F.greatest("cloud_b", "cloud_a")))
     rows = out.select(
-        F.col("pair_id").alias("area_id"), "before_tile_id", "after_tile_id", "_s.change_score", "_s.quality_score", "_s.confidence", "_s.confounds", "dominant_change_type", "dominant_dynamics", S.area_hectares(F.coalesce("changed", S.num(0)), F.col("_res_b")).alias("area_ha"),
-        "d_ndvi", "d_ndwi", "d_ndbi", "dy", "dx", "correlation", "is_aligned", F.round("radiometric", 4).alias("radiometric"), "checks", "passed",
+        F.col("pair_id").alias("area_id"), "before_tile_id", "after_tile_id", F.when(F.col("compared") >= LEAST_COMPARED, F.col("_s.change_score")).alias("change_score"), "_s.quality_score", "_s.confidence", "_s.confounds", "dominant_change_type", "dominant_dynamics", S.area_hectares(F.coalesce("changed", S.num(0)), F.col("_res_b")).alias("area_ha"),
+        "d_ndvi", "d_ndwi", "d_ndbi", "dy", "dx", "inliers", "correlation", "is_aligned", F.round("radiometric", 4).alias("radiometric"), "checks", "passed", "compared", "earliest",
     )
     return rows, found.withColumnRenamed("pair_id", "area_id")
 
@@ -231,10 +261,10 @@ def analyse(stack: DataFrame, pixels: DataFrame, baseline: int = 3, persistence:
     """Dense change detection of stacks (as `signals` takes them): one row per area with its strategy and change point, and the two-date analysis of the areas that lack the passes."""
     rows = cut(signals(stack, pixels, baseline))
     chosen = cut(dense(rows, baseline, persistence, threshold))
-    short = stack.join(chosen.where("strategy = 'bitemporal'").select("area_id"), "area_id", "left_semi")
+    short = cut(stack.join(chosen.where("strategy = 'bitemporal'").select("area_id"), "area_id", "left_semi"))
     at = F.struct("ts", "tile_id")
     ends = short.groupBy("area_id").agg(F.min_by("tile_id", at).alias("before_tile_id"), F.max_by("tile_id", at).alias("after_tile_id"))
-    fallback, _ = bitemporal(ends, pixels, stack.select("tile_id", "ts", "quality").dropDuplicates(["tile_id"]))
+    fallback, _ = bitemporal(ends, pixels, stack.select("tile_id", "ts", "quality").dropDuplicates(["tile_id"]), short)
     return chosen, fallback
 
 

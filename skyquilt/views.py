@@ -127,6 +127,40 @@ def image_tiles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def scene_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """A pass every 16 days over each of the areas that eight suppliers share; every 25th supplier is an area of its own with a single pass."""
+    k = F.col("s_suppkey")
+    single = k % 25 == 0
+    area = F.when(single, 1_000_000_000 + k).otherwise(F.floor(k / 8))
+    return table(spark, sf, "supplier").select(
+        k.alias("tile_id"), area.cast("long").alias("area_id"), F.when(single, 0).otherwise(k % 8).cast("int").alias("pass"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((k % 8 * 16).cast("int"))).alias("ts"), F.lit("optical").alias("mode"),
+        F.when((area % 4 == 3) & (k % 8 > 1), 0.2).otherwise(F.lit(0.6) + _share(k, 30, 100.0)).alias("quality"), _share(k, 20, 100.0).alias("cloud"), (F.lit(0.9) + _share(k, 10, 100.0)).alias("valid_share"),
+        F.col("s_nationkey").alias("nation"),
+    )
+
+
+def scene_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense 48 x 48 images of `scene_tiles`, four bands in 0..1: fields of an area's own levels, seen a pixel further down in every fifth pass.
+
+    From pass 5 on, the right half of two areas in three is another surface: built ground, or water.
+    """
+    side = 48
+    t = scene_tiles(spark, sf).select("tile_id", "area_id", "pass", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("_i"))
+    t = t.withColumn("row", F.floor(F.col("_i") / side).cast("int")).withColumn("col", (F.col("_i") % side).cast("int"))
+    seen = F.col("row") + F.when(F.col("tile_id") % 5 == 0, 1).otherwise(0)
+    share = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1000)) / 1000
+    level = F.when(share("area_id", F.floor(seen / 16), F.floor(F.col("col") / 16)) < 0.5, 0.05).otherwise(0.85)
+    field = level + 0.15 * share("area_id", F.lit(1), F.floor(seen / 7), F.floor((F.col("col") + seen % 7 / 3) / 6))
+    noise = (share("tile_id", "row", "col") - 0.5) * 0.02
+    turned = (F.col("pass") >= 5) & (F.col("area_id") % 3 > 0) & (F.col("col") >= 24)
+    # least and span of each band over growing fields, built ground and water
+    green, built, water = {"blue": (0.04, 0.06), "green": (0.06, 0.14), "red": (0.04, 0.16), "nir": (0.25, 0.60)}, {"blue": (0.02, 0.08), "green": (0.04, 0.16), "red": (0.05, 0.20), "nir": (0.20, 0.10)}, {"blue": (0.08, 0.02), "green": (0.16, 0.04), "red": (0.03, 0.01), "nir": (0.01, 0.01)}
+    value = lambda b: F.when(turned & (F.col("area_id") % 3 == 1), built[b][0] + (1 - field) * built[b][1]).when(turned, water[b][0] + (1 - field) * water[b][1]).otherwise(green[b][0] + field * green[b][1]) + noise
+    bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), value(b).alias("value")) for b in green]))
+    return t.select("tile_id", "row", "col", bands.alias("_b")).select("tile_id", "row", "col", "_b.band", "_b.value")
+
+
 def gazetteer(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LANDMARKS), "ord int, name string, zone string, lon double, lat double, feature_type string")
 
