@@ -228,6 +228,7 @@ def suppressed(raw: Column, cloud_before: Column, cloud_after: Column, valid_bef
 
 def haversine_km(lon: Column, lat: Column, lon2: Column, lat2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat) / 2), num(2)) + F.cos(F.radians(lat)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon) / 2), num(2))
+    a = F.least(a, num(1))
     return num(6371) * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 

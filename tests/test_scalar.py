@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyquilt.functions import scalar as S
-from skyquilt.functions import text as X
 
 
 def one(spark, column):
@@ -80,24 +79,3 @@ def test_times(spark):
     assert str(one(spark, S.parsed_time(F.lit("2024-01-05T10:00:00Z")))) == "2024-01-05 10:00:00"
     assert str(one(spark, S.parsed_time(F.lit("20240105")))) == "2024-01-05 00:00:00"
     assert one(spark, S.parsed_time(F.lit("no"))) is None
-
-
-def test_queries():
-    f = X.parse_query("ponds within 5km of river, after January 2024 excluding cloudy imagery")
-    assert (f.relation, f.distance_km, f.target, f.date_from, f.max_cloud) == ("within", 5.0, "river", "2024-01-01", 0.15)
-    f = X.parse_query("Sentinel-2 images of bridges after 2023")
-    assert (f.sensor, f.date_from) == ("Sentinel-2", "2023-01-01")
-    assert X.parse_query("settlements near hooghly river").target == "hooghly river"
-    assert X.parse_query("clear sky only farms").max_cloud == 0.10
-    assert X.parse_query("roads until March 2024").date_to == "2024-03-28"
-    assert X.parse_query("huts within 500 m of canal", units=True).distance_km == 0.5
-    assert X.relative_dates("last 2 months", "2024-01-15") == ("2023-11-15", "2024-01-15")
-    assert X.normal_sensor("S2 MSI") == "Sentinel-2"
-
-
-def test_geocode():
-    marks = [{"name": "Salt Lake Sector 5", "lon": 88.43, "lat": 22.57, "keywords": ["sector v"]}, {"name": "Esplanade", "lon": 88.35, "lat": 22.56, "keywords": ["dharmatala"]}]
-    assert X.geocode("esplanad", marks)["name"] == "Esplanade"
-    assert X.geocode("near dharmatala", marks)["name"] == "Esplanade"
-    assert X.geocode("sector5", marks, {"sector5": "Salt Lake Sector 5"})["name"] == "Salt Lake Sector 5"
-    assert X.geocode("zzzz", marks) is None
