@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder of ``spark.checkpoint.dir`` and read it from there; only a local session may leave it unset.
-
-    A table's size is known, where a checkpoint keeps the estimate of its plan, which joins in a loop multiply.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; only a local session may leave it unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it from there.
+
+    A table's size is known, where a checkpoint keeps the estimate of its plan, which joins in a loop multiply.
+    """
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
