@@ -7,11 +7,13 @@ text. A node whose presentation varies is important by its presentation, one who
 differs from page to page by its content; a branch that is alike on many pages is neither.
 
 Entropy tells templates from articles, not articles from adverts, whose words also change
-from page to page. So what kind of element a node is weighs in: elements that are by their
-kind no part of an article (menus, headers, forms, scripts and so on) have importance 0,
-and of those whose class says advert or promotion, importance is multiplied by their share
-of the host's text, so that they stay only where they are most of what a site has. Branches
-of low importance are removed from each page.
+from page to page. So a node's place weighs in: where pages have an article or main element, the
+importance of what stands beside it is multiplied by its share of the host's text, whatever it
+is called, so that it stays only where it is much of what a site has. The same holds for
+blocks whose class says advert or promotion on pages without such an element, and for boxes of that
+kind within one; paragraphs and other parts of an article are never judged by their class. Elements that
+are by their kind no part of an article (menus, headers, forms, scripts and so on) have
+importance 0. Branches of low importance are removed from each page.
 """
 
 from __future__ import annotations
@@ -46,6 +48,9 @@ NOISE = frozenset("aside button canvas datalist dialog fieldset footer form head
 NOISE_WORDS = frozenset("breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation notice notices pagination respond sidebar toolbar".split())
 DOUBTED_WORDS = frozenset("ad ads adsbygoogle advert advertisement advertising adverts banner newsletter popup promo promoted promotion related share sharebar sharing signup social sponsor sponsored subscribe widget".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+#: Elements that hold the article, and boxes that may hold an advert inside it.
+ARTICLE = frozenset("article main".split())
+BOXES = frozenset("center details div dl figure ins ol section span table ul".split())
 #: What an open element of the first kind is ended by, as far as an element of the second kind.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
 #: A tag's name, and its attributes as far as the next > outside quotes; nothing is tried twice.
@@ -65,7 +70,7 @@ class Node:
     def __init__(self, name: str, label: str, parent: Node | None, noise: bool = False, doubted: bool = False) -> None:
         self.name, self.label, self.noise, self.doubted = name, label, noise, doubted
         self.path = path_key(f"{parent.path}/{label}") if parent else 0
-        self.inside = name in ("article", "main") or bool(parent and parent.inside)
+        self.inside = name in ARTICLE or bool(parent and parent.inside)
         self.children: list[Node | str] = []
 
 
@@ -82,9 +87,10 @@ def _kind(name: str, attributes: str, parent: Node) -> tuple[str, bool, bool]:
             if key == "class" or key == "id":
                 if key == "class" and value.split():
                     label = f"{name}.{value.split()[0].lower()}"
-                if name not in ("html", "body", "article", "main"):
+                if name not in ("html", "body") and name not in ARTICLE:
                     words = WORDS.split(value.lower())
-                    noise, doubted = noise or not NOISE_WORDS.isdisjoint(words), doubted or not DOUBTED_WORDS.isdisjoint(words)
+                    noise = noise or not NOISE_WORDS.isdisjoint(words)
+                    doubted = doubted or (not parent.inside or name in BOXES) and not DOUBTED_WORDS.isdisjoint(words)
             elif key == "role":
                 noise = noise or value.strip().lower() in NOISE_ROLES
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):
@@ -180,12 +186,26 @@ def tree(source: str) -> Node:
             at = close.end() if close else len(source)
         elif name not in VOID and (name in BLOCK or not attributes.rstrip().endswith("/")):
             stack.push(node)
+    doubt_beside(root)
     return root
 
 
+def doubt_beside(root: Node) -> None:
+    """Doubt the blocks that stand beside the article of a page that has one; a main heading may stand there."""
+    every = list(walk(root, set()))
+    if not any(x.name in ARTICLE and not x.noise for x in every):
+        return
+    around: set[int] = set()
+    for x in reversed(every):  # children before parents
+        if x.name in ARTICLE or any(isinstance(c, Node) and id(c) in around for c in x.children):
+            around.add(id(x))
+        elif not x.inside and x.name in BLOCK and x.name not in ("html", "body", "h1"):
+            x.doubted = True
+
+
 def judged(x: Node) -> bool:
     """Whether the tree judges an element: blocks do, but for the whole page, and what is doubted."""
-    return x.doubted or x.name in BLOCK and x.name not in ("html", "body", "article", "main")
+    return x.doubted or x.name in BLOCK and x.name not in ("html", "body") and x.name not in ARTICLE
 
 
 def walk(x: Node, gone: set[int]) -> Iterator[Node]:
@@ -226,7 +246,7 @@ def removed(root: Node, unimportant: frozenset[int] | set[int]) -> set[int]:
 
     gone = set(low)
     for top in walk(root, set()):
-        if top.name in ("article", "main"):
+        if top.name in ARTICLE:
             plain = {i for i in gone if low[i].inside and not low[i].doubted}
             if plain and 2 * lost(top, plain) >= size[id(top)]:
                 gone -= {id(x) for x in walk(top, set()) if id(x) in plain}
