@@ -35,6 +35,11 @@ def _place() -> Column:
     return F.struct("doc", "body", "i")
 
 
+def _class(*of: Column | str) -> Column:
+    """The number, of 128 bits, of the runs that are alike in `of`."""
+    return F.struct(F.xxhash64(*of).alias("a"), F.xxhash64(F.lit(1), *of).alias("b"))
+
+
 def _lengthened(runs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """Runs that go on for 2^k more lines, if an earlier line has them too; `blocks` are those of round k.
 
@@ -51,7 +56,7 @@ def _lengthened(runs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     groups = both.where("rank is not null").groupBy("class", "rank").agg(F.count("*").alias("c"), F.min(_place()).alias("head")).where("c > 1").drop("c")
     going = both.where("own and rank is not null").join(groups, ["class", "rank"], "left")
     on = F.col("head").isNotNull() & (_place() != F.col("head"))
-    longer = {"size": F.col("size") + (1 << k), "class": F.xxhash64("class", F.lit(k), "rank"), "first": F.col("head")}
+    longer = {"size": F.col("size") + (1 << k), "class": _class("class", F.lit(k), "rank"), "first": F.col("head")}
     going = going.select(*[F.when(on, longer[c]).otherwise(F.col(c)).alias(c) if c in longer else F.col(c) for c in kept])
     return cut(going.unionByName(both.where("own and rank is null").select(*kept)), forget=True)
 
@@ -85,7 +90,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         now = cut(both.join(groups.select("rank_1", "rank_2", "rank", "first"), ["rank_1", "rank_2"]).select("doc", "body", "i", "rank", "first"), forget=True)
     # each line's longest block with an earlier copy
     longest = blocks.groupBy("doc", "body", "i").agg(F.max("k").alias("k"), F.max_by("rank", "k").alias("rank"), F.max_by("first", "k").alias("first"))
-    longest = cut(longest.select("doc", "body", "i", "k", F.expr("shiftleft(1, k)").alias("size"), F.xxhash64("k", "rank").alias("class"), "first"), forget=True)
+    longest = cut(longest.select("doc", "body", "i", "k", F.expr("shiftleft(1, k)").alias("size"), _class("k", "rank").alias("class"), "first"), forget=True)
     runs = longest.where("k < 0").drop("k")
     for k in range(len(rounds) - 1, 0, -1):
         runs = _lengthened(runs.unionByName(longest.where(F.col("k") == k).drop("k")), rounds[k - 1], k - 1)
