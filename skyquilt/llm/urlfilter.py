@@ -115,12 +115,23 @@ class Cascade:
         return rows.withColumn("_listed", out)
 
 
-def cascade(universe: DataFrame, most_bits: int = MOST_BITS) -> Cascade:
-    """The cascade of a universe (key, listed), every key once."""
-    segments = max(1, -(-universe.where("listed").count() * BITS // most_bits))
-    keys = cut(universe.select(segment_of(F.col("key"), segments).alias("segment"), "key", "listed"))
-    inside, outside = keys.where("listed").select("segment", "key"), keys.where("not listed").select("segment", "key")
+def cascade(listed: DataFrame, universe: DataFrame, most_bits: int = MOST_BITS) -> Cascade:
+    """The cascade of a list (key, every key once) over a universe of keys (key, repeats allowed).
+
+    The first level encodes the list alone. Only the keys of the universe that pass it are
+    compared with the list, to tell which of them are not in it; further levels encode, in
+    turn, what passes wrongly.
+    """
+    segments = max(1, -(-listed.count() * BITS // most_bits))
+    dealt = lambda df: df.select(segment_of(F.col("key"), segments).alias("segment"), "key")
+    inside = cut(dealt(listed))
     out = Cascade(segments)
+    if inside.isEmpty():
+        return out
+    out.add(inside)
+    # a small part of the universe: the listed keys that occur, and one in 2^HASHES others
+    passing = out.passing(dealt(universe)).distinct()
+    inside, outside = cut(passing.join(inside, ["segment", "key"], "left_anti")), inside
     while not inside.isEmpty():
         out.add(inside)
         inside, outside = cut(out.passing(outside)), inside
@@ -140,9 +151,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple = RULES, most_bits:
     host, path = host_and_path(F.col("_url"))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url")).select("_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_key", F.concat("host", "path"))
-    marked = listed.select("key").where("key is not null").distinct().withColumn("_in", F.lit(True))
-    universe = cut(rows.select(F.col("_key").alias("key")).distinct().join(marked, "key", "left").select("key", F.coalesce("_in", F.lit(False)).alias("listed")))
-    rows = cascade(universe, most_bits).listed(rows)
+    marked = listed.select("key").where("key is not null").distinct()
+    rows = cascade(marked, rows.select(F.col("_key").alias("key")), most_bits).listed(rows)
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("_listed"), "block").otherwise("allow")
     return rows.select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
