@@ -119,27 +119,36 @@ def in_parts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
     that few numbers, in one constant array each; a row's part is found in it by halving. The
     first row of all follows the last part.
     """
-    spark = docs.sparkSession
-    n = parts_of(spark)
-    ids = F.col(id_col).cast("long")
+    n = parts_of(docs.sparkSession)
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    ids = F.col(id_col).cast("long" if whole else "string")
     narrow = docs.select(ids.alias("_id"))
-    bounds = narrow.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 10 * n).alias("b")).collect()[0]["b"] if n > 1 else []
-    bounds = sorted(set(bounds or []), reverse=True)
-    numbers = lambda values: F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+    if n < 2:
+        bounds = []
+    elif whole:
+        bounds = narrow.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 10 * n).alias("b")).collect()[0]["b"] or []
+    else:
+        # strings have no percentiles: those of the 50 n ids with the smallest hashes
+        some = [r[0] for r in narrow.where("_id is not null").orderBy(F.xxhash64("_id")).limit(50 * n).collect()]
+        some.sort(key=lambda s: s.encode("utf-8", "surrogatepass"))
+        bounds = [some[len(some) * i // n] for i in range(1, n)] if some else []
+    bounds = sorted(set(bounds), key=lambda v: v if whole else v.encode("utf-8", "surrogatepass"), reverse=True)
+    listed = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+    kind = "bigint" if whole else "string"
     # how many bounds are over the id
     steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
-    over = lambda at, step: F.when((at + step <= len(bounds)) & (F.try_element_at(numbers(bounds), (at + step).cast("int")) > F.col("_id")), at + step).otherwise(at)
-    part = F.aggregate(numbers(steps), F.lit(0).cast("long"), over) if bounds else F.lit(0)
+    over = lambda at, step: F.when((at + step <= len(bounds)) & (F.try_element_at(listed(bounds, kind), (at + step).cast("int")) > F.col("_id")), at + step).otherwise(at)
+    part = F.aggregate(listed(steps, "bigint"), F.lit(0).cast("long"), over) if bounds else F.lit(0)
     part = F.when(F.col("_id").isNull(), F.lit(len(bounds))).otherwise(part).cast("int")
     # at most one row for each part
     firsts = narrow.withColumn("_part", part).groupBy("_part").agg(F.max("_id").alias("_first")).collect()
-    firsts = sorted((r["_part"], r["_first"]) for r in firsts)
+    firsts = sorted(((r["_part"], r["_first"]) for r in firsts), key=lambda r: r[0])
     first, before = [None] * (len(bounds) + 1), [None] * (len(bounds) + 1)
     for i, (p, at) in enumerate(firsts):
         first[p], before[p] = at, firsts[i - 1][0]
     rows = docs.select(F.col(id_col).alias("_own"), ids.alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_part", part)
     place = F.col("_part") + 1
-    also = F.when(F.col("_id").eqNullSafe(F.element_at(numbers(first), place)), F.element_at(numbers(before), place).cast("int"))
+    also = F.when(F.col("_id").eqNullSafe(F.element_at(listed(first, kind), place)), F.element_at(listed(before, "int"), place).cast("int"))
     return rows.withColumn("_also", also), n
 
 
@@ -149,7 +158,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The next document is the one after this in descending order of the id, and the first
     one for the last; the edited text is this text with its last n_chars // 2 code points
     replaced by the first as many (or all) of the next one's. A null text counts as
-    empty; a null id comes last; repeated ids stand in the order of their texts; a single
+    empty; ids that are no integers are ordered as strings, by bytes; a null id comes last, and rows of null ids are one part; repeated ids stand in the order of their texts; a single
     document is its own next one. An empty table gives an empty result; further columns
     are ignored. A task holds two texts at a time and the phrases of one.
     """
