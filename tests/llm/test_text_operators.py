@@ -300,3 +300,16 @@ def test_word_memory_gives_the_tokenizers_ids():
     words, t = K.Words(path), Tokenizer.from_file(path)
     for text in ["", " ", "A<|endoftext|>b c.", "don't I'LL   x\x1cy\x85z İ ΣΑΣ e\u0301 \u0301x K Å", "a\u200bb,c. ﬁne Word, WORD. word", "日本語。 テスト", "3.14, 2.5."]:
         assert np.frombuffer(words.ids(text), np.uint16).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_fingerprints_of_ids_of_any_kind(spark):
+    rng = random.Random(8)
+    ids = sorted({"".join(rng.choice("abäz09-") for _ in range(rng.randint(1, 4))) for _ in range(40)}, key=lambda s: s.encode())
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))) for i in ids] + [(None, "no id")]
+    got = {r["doc_id"]: r for r in FP.fingerprints(spark.createDataFrame(rows, "doc_id string, text string").repartition(5)).collect()}
+    ring = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0].encode(), reverse=True) + [rows[-1]]
+    for (i, text), (_, after) in zip(ring, ring[1:] + ring[:1]):
+        changed = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        assert got[i]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+    dates = spark.sql("SELECT DATE '2024-01-01' + CAST(id AS INT) AS doc_id, concat('t ', id) AS text FROM range(9)")
+    assert len(FP.fingerprints(dates).collect()) == 9
