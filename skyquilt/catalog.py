@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skyquilt import views as V
 from skyquilt.functions import scalar as S
 from skyquilt.functions import text as X
-from skyquilt.operators import cluster, filters, merge, raster, series, spatial, vector
+from skyquilt.operators import cluster, filters, gazetteer, index, merge, raster, series, shapes, spatial, vector
 from skyquilt.operators import registration as R
 from skyquilt.plans import change, chat, ingest, review, search, status
 from skyquilt.sources import files
@@ -193,6 +193,52 @@ def nearest_landmark(spark, sf):
     return rows.select("tile_id", "name", "zone", "feature_type", F.round("distance_km", 3).alias("distance_km"), "direction")
 
 
+MARKS = "marks AS (SELECT c_custkey AS ord, c_name AS name, c_mktsegment AS zone, 8775e-2 + (c_custkey * 7919 % 8731) * 1e-4 AS glon, 214e-1 + (c_custkey * 104729 % 2153) * 1e-4 AS glat FROM customer)"
+
+
+@query(f"""WITH {V.TILES}, {MARKS}, places AS (SELECT DISTINCT lon, lat FROM tiles), far AS (SELECT lon, lat, ord, {HAV} AS km FROM places CROSS JOIN marks), near AS (SELECT lon, lat, min(km) AS km, arg_min(ord, struct_pack(k := km, o := ord)) AS ord FROM far GROUP BY 1, 2)
+SELECT tile_id, ord, round(km, 6) AS distance_km FROM tiles JOIN near USING (lon, lat)""")
+def nearest_of_many(spark, sf):
+    """The nearest of as many landmarks as there are customers."""
+    k = F.col("c_custkey")
+    marks = V.table(spark, sf, "customer").select(
+        k.alias("ord"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("zone"), (F.lit(87.75) + (k * 7919 % 8731) * F.lit(0.0001)).alias("lon"), (F.lit(21.4) + (k * 104729 % 2153) * F.lit(0.0001)).alias("lat"), F.lit("customer").alias("feature_type")
+    )
+    rows = spatial.nearest_landmark(V.tiles(spark, sf).select("tile_id", "lon", "lat"), marks)
+    return rows.select("tile_id", F.regexp_extract("name", r"(\d+)$", 1).cast("long").alias("ord"), r6("distance_km").alias("distance_km"))
+
+
+#: Corners of the shapes of a nation: an outline, a hole in it, and a second part; offsets from its middle.
+CORNERS = ((0, -0.06, -0.05), (0, 0.07, -0.04), (0, 0.05, 0.06), (0, -0.01, 0.02), (0, -0.05, 0.05), (1, -0.02, -0.02), (1, 0.02, -0.021), (1, 0.019, 0.005), (2, 0.10, 0.01), (2, 0.13, 0.02), (2, 0.11, 0.05))
+SHAPES_SQL = f"""at AS (SELECT CAST(n_nationkey AS BIGINT) AS shape_id, 878137e-4 + n_nationkey * 301e-4 AS mx, 214519e-4 + (n_nationkey % 5) * 207e-4 AS my FROM nation),
+corners(ring, i, dx, dy) AS (VALUES {", ".join(f"({r}, {i}, CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))" for i, (r, x, y) in enumerate(CORNERS))}),
+vertices AS (SELECT shape_id, ring, i, mx + dx AS x, my + dy AS y FROM at, corners),
+edges AS (SELECT shape_id, x AS x1, y AS y1, coalesce(lead(x) OVER o, first_value(x) OVER o) AS x2, coalesce(lead(y) OVER o, first_value(y) OVER o) AS y2 FROM vertices WINDOW o AS (PARTITION BY shape_id, ring ORDER BY i))"""
+
+
+def nation_shapes(spark, sf):
+    """Areas of two parts, one with a hole, around a place of each nation."""
+    at = V.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("shape_id"), (F.lit(87.8137) + F.col("n_nationkey") * F.lit(0.0301)).alias("mx"), (F.lit(21.4519) + (F.col("n_nationkey") % 5) * F.lit(0.0207)).alias("my"))
+    ring = lambda n: F.array(*[F.array(F.col("mx") + F.lit(x), F.col("my") + F.lit(y)) for r, x, y in CORNERS if r == n])
+    body = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(ring(0), ring(1)), F.array(ring(2))).alias("coordinates")))
+    return shapes.parsed(at.select("shape_id", body.alias("geometry")))
+
+
+INSIDE = "sum(CASE WHEN y1 <> y2 AND lat >= least(y1, y2) AND lat < greatest(y1, y2) AND lon < (lat - y1) * (x2 - x1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1"
+
+
+@query(f"WITH {V.TILES}, {SHAPES_SQL} SELECT tile_id, shape_id FROM tiles, edges GROUP BY tile_id, shape_id HAVING {INSIDE}")
+def tiles_in_shapes(spark, sf):
+    return shapes.joined(V.tiles(spark, sf).select("tile_id", "lon", "lat"), nation_shapes(spark, sf), "shape_id").select("tile_id", "shape_id")
+
+
+@query(f"""WITH {V.TILES}, {SHAPES_SQL}, far AS (SELECT tile_id, shape_id, CASE WHEN {INSIDE} THEN 0e0 ELSE 107e0 * min(sqrt(power(lon - x1 - t * (x2 - x1), 2) + power(lat - y1 - t * (y2 - y1), 2))) END AS km
+  FROM (SELECT *, least(greatest(((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0e0), 1e0) AS t FROM tiles, edges) GROUP BY tile_id, shape_id)
+SELECT tile_id, shape_id, round(km, 6) AS distance_km FROM far WHERE km <= 25e-1""")
+def tiles_near_shapes(spark, sf):
+    return shapes.joined(V.tiles(spark, sf).select("tile_id", "lon", "lat"), nation_shapes(spark, sf), "shape_id", km=2.5).select("tile_id", "shape_id", r6("distance_km").alias("distance_km"))
+
+
 @query(f"WITH {V.TILES} SELECT tile_id FROM tiles ORDER BY (lon - 88e0) * (lon - 88e0) + (lat - 215e-1) * (lat - 215e-1), tile_id LIMIT 1")
 def nearest_seed(spark, sf):
     return spatial.nearest_to(V.tiles(spark, sf), 88.0, 21.5, "tile_id").select("tile_id")
@@ -518,17 +564,64 @@ def temporal_intent(spark, sf):
     return V.table(spark, sf, "events").select("event_id", F.array_join(F.array_sort(S.change_words(text)), ",").alias("words"))
 
 
-@query(r"""WITH q AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'new roads cloud < ' || CAST(event_id % 50 AS VARCHAR) || '% sentinel-2' WHEN 1 THEN 'ponds excluding cloudy imagery from SAR' WHEN 2 THEN 'clear sky only fields landsat 8' WHEN 3 THEN 'river near port' WHEN 4 THEN 'S1 ships' ELSE 'cloud under 20 farms' END AS text FROM events)
-SELECT event_id, CASE WHEN regexp_matches(lower(text), 'cloud(?:y| cover)?\s*(?:<|less than|under|below|max)\s*(\d+)%?') THEN CAST(regexp_extract(lower(text), 'cloud(?:y| cover)?\s*(?:<|less than|under|below|max)\s*(\d+)%?', 1) AS DOUBLE) / 100e0 WHEN regexp_matches(lower(text), '(?:excluding|without|no)\s+cloudy') THEN 15e-2 WHEN regexp_matches(lower(text), 'clear\s+sky') THEN 1e-1 END AS max_cloud,
-  CASE WHEN regexp_matches(lower(text), '\b(sentinel[\s-]?2|s2)\b') THEN 'Sentinel-2' WHEN regexp_matches(lower(text), '\b(sentinel[\s-]?1|s1|sar)\b') THEN 'Sentinel-1' WHEN regexp_matches(lower(text), '\b(landsat[\s-]?8|landsat|l8)\b') THEN 'Landsat-8' END AS sensor FROM q""")
+#: What is asked of the first words of each turn, by turn and conversation.
+ASKS = (" cloud < 20% sentinel-2", " excluding cloudy imagery from SAR after 2023", " clear sky only landsat 8 until March 2024", " within 5km of rivers after January 2024, excluding cloudy imagery", " near hooghly river", " S1 in the last 2 months", " from 2022-05-06 before 2023 liss 4", "")
+_ASKED = "substr(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g'), 1, 40) || (" + repr(list(ASKS)) + ")[CAST((conv_id + turn) % 8 AS INTEGER) + 1]"
+
+
+def _named(column: str) -> str:
+    return " ".join(f"WHEN regexp_matches({column}, '\\b({p})\\b', 'i') THEN '{n}'" for n, p in X.SENSORS)
+
+
+def _day_sql(pattern: str, first: str, in_month: str) -> str:
+    part = lambda n: f"regexp_extract(l, '{pattern}', {n}, 'i')"
+    months = " ".join(f"WHEN '{m}' THEN '{i:02d}'" for m, i in X.MONTHS.items())
+    return f"CASE WHEN {part(3)} <> '' THEN {part(2)} || '-' || {part(3)} || '-' || {part(4)} WHEN CASE lower({part(1)}) {months} END IS NOT NULL THEN {part(2)} || '-' || CASE lower({part(1)}) {months} END || '-{in_month}' WHEN {part(2)} <> '' THEN {part(2)} || '-{first}' END"
+
+
+@query(rf"""WITH q AS (SELECT conv_id, turn, {_ASKED} AS text FROM conversations),
+a AS (SELECT *, trim(text) AS l FROM q),
+b AS (SELECT conv_id, turn, text, CASE WHEN regexp_matches(l, '{X.CLOUD}', 'i') THEN CAST(regexp_extract(l, '{X.CLOUD}', 1, 'i') AS DOUBLE) / 100e0 WHEN regexp_matches(l, '{X.NO_CLOUD}', 'i') THEN 15e-2 WHEN regexp_matches(l, '{X.CLEAR}', 'i') THEN 1e-1 END AS max_cloud,
+  CASE WHEN regexp_matches(l, '{X.CLOUD}', 'i') THEN regexp_replace(l, '{X.CLOUD}', '', 'i') WHEN regexp_matches(l, '{X.NO_CLOUD}', 'i') THEN regexp_replace(l, '{X.NO_CLOUD}', '', 'i') WHEN regexp_matches(l, '{X.CLEAR}', 'i') THEN regexp_replace(l, '{X.CLEAR}', '', 'i') ELSE l END AS l FROM a),
+c AS (SELECT *, CASE {_named("l")} END AS sensor FROM b),
+d AS (SELECT * REPLACE (CASE sensor {" ".join(f"WHEN '{n}' THEN regexp_replace(l, '(from\s+|on\s+)?({p})', '', 'gi')" for n, p in X.SENSORS)} ELSE l END AS l) FROM c),
+e AS (SELECT * EXCLUDE (l), CASE WHEN regexp_matches(l, '{X.LAST}', 'i') THEN '2024-01-01' END AS since, CASE WHEN regexp_matches(l, '{X.LAST}', 'i') THEN regexp_replace(l, '{X.LAST}', '', 'i') ELSE l END AS l FROM d),
+f AS (SELECT * EXCLUDE (l, since), coalesce(since, {_day_sql(X.SINCE, "01-01", "01")}) AS date_from, regexp_replace(l, '{X.SINCE}', '', 'i') AS l FROM e),
+g AS (SELECT * EXCLUDE (l), {_day_sql(X.UNTIL, "12-31", "28")} AS date_to, regexp_replace(l, '{X.UNTIL}', '', 'i') AS l FROM f),
+h AS (SELECT * EXCLUDE (l), CASE WHEN regexp_matches(l, '{X.WITHIN}', 'i') THEN 'within' WHEN regexp_matches(l, '{X.NEAR}', 'i') THEN 'near' END AS relation, CASE WHEN regexp_matches(l, '{X.WITHIN}', 'i') THEN CAST(regexp_extract(l, '{X.WITHIN}', 1, 'i') AS DOUBLE) WHEN regexp_matches(l, '{X.NEAR}', 'i') THEN 3e0 END AS distance_km,
+  CASE WHEN regexp_matches(l, '{X.WITHIN}', 'i') THEN rtrim(lower(trim(regexp_extract(l, '{X.WITHIN}', 3, 'i'))), 's') WHEN regexp_matches(l, '{X.NEAR}', 'i') THEN rtrim(lower(trim(regexp_extract(l, '{X.NEAR}', 1, 'i'))), 's') END AS target,
+  CASE WHEN regexp_matches(l, '{X.WITHIN}', 'i') THEN regexp_replace(l, '{X.WITHIN}', '', 'i') WHEN regexp_matches(l, '{X.NEAR}', 'i') THEN regexp_replace(l, '{X.NEAR}', '', 'i') ELSE l END AS l FROM g)
+SELECT conv_id, turn, max_cloud, sensor, date_from, date_to, relation, distance_km, target, coalesce(nullif(regexp_replace(regexp_replace(l, '\s+', ' ', 'g'), '^[ ,.;:\-]+|[ ,.;:\-]+$', '', 'g'), ''), trim(text)) AS rest FROM h""")
 def nl_parse(spark, sf):
-    k = F.col("event_id") % 6
-    text = (
-        F.when(k == 0, F.concat(F.lit("new roads cloud < "), (F.col("event_id") % 50).cast("string"), F.lit("% sentinel-2"))).when(k == 1, "ponds excluding cloudy imagery from SAR").when(k == 2, "clear sky only fields landsat 8")
-        .when(k == 3, "river near port").when(k == 4, "S1 ships").otherwise("cloud under 20 farms")
-    )
-    q = V.table(spark, sf, "events").select("event_id", text.alias("text"))
-    return q.select("event_id", X.max_cloud(F.col("text")).alias("max_cloud"), X.sensor_of(F.col("text")).alias("sensor"))
+    """The turns of all conversations as queries, each with something asked of it."""
+    return X.parsed(asked_texts(spark, sf), as_of=F.lit("2024-03-10").cast("date")).drop("text", "query_id")
+
+
+def asked_texts(spark, sf):
+    c = V.table(spark, sf, "conversations")
+    words = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", ""), 1, 40)
+    ask = F.element_at(F.array(*[F.lit(a) for a in ASKS]), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int"))
+    return c.select("conv_id", "turn", F.concat(words, ask).alias("text"), F.concat_ws("-", "conv_id", "turn").alias("query_id"))
+
+
+@query()
+def vector_index(spark, sf):
+    """The 20 nearest of every vector whose id is divisible by 100, by an index of all vectors."""
+    rows = V.vectors(spark, sf).select("tile_id", "embedding", "sensor")
+    built = index.build(rows, "embedding", "tile_id", index.scratch(spark), ["sensor"])
+    asked = rows.where("tile_id % 100 = 0").select(F.col("tile_id").alias("query_id"), "embedding")
+    return index.search_many(built, asked, "query_id", "embedding", 20).select("query_id", "tile_id", "place", r6("similarity").alias("similarity"))
+
+
+@query()
+def text_search(spark, sf):
+    """The turns of all conversations, as queries over the documents: parsed, placed, embedded, searched and filtered."""
+    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("tile_id"), "text")
+    tiles = V.tiles(spark, sf).join(docs.select("tile_id"), "tile_id")
+    near = index.build(vector.with_text_embedding(docs, "text"), "embedding", "tile_id", index.scratch(spark))
+    marks = V.gazetteer(spark).withColumn("keywords", F.array(F.lower(F.split("name", " ")[0])))
+    rows = search.search_texts(asked_texts(spark, sf).select("query_id", "text"), near, tiles, marks, 5, as_of=F.lit("2024-03-10").cast("date"))
+    return rows.select("query_id", "rank", "tile_id", r6("similarity").alias("similarity"), r6("distance_km").alias("distance_km"))
 
 
 @query("WITH t AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS tok FROM conversations) SELECT CAST(('0x' || right(sha256(tok), 2))::INTEGER % 64 AS INTEGER) AS bucket, count(*) AS n FROM t GROUP BY 1")
