@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,22 @@ from skyquilt.llm.queries import tokenizer_file
 from skyquilt.ship import ship
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Let Spark drop the shuffle files of what is checkpointed or counted inside as soon as that is done.
+
+    A stage takes dozens of shuffles, each of which leaves files for every pair of tasks; once a
+    result is in the checkpoint folder nothing reads them again, and what is lost is computed anew.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines.
 
@@ -29,7 +46,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     document here and all stay; null texts stay null; an empty table stays empty.
     """
     ship(spark)
-    return linededup.deduplicated(docs)
+    with brief_shuffles(spark):
+        return linededup.deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +57,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     documents of their own; null ids and texts without words stay; an empty table stays empty.
     """
     ship(spark)
-    return neardup.deduplicated(docs)
+    with brief_shuffles(spark):
+        return neardup.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +67,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are never taken; a null source is one of its own; rows that share
     an id are documents of their own; an empty table stays empty.
     """
-    return mixing.training_rows(docs)
+    with brief_shuffles(spark):
+        return mixing.training_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +78,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     id, as turns of one document do, are documents of their own; an empty table stays empty.
     """
     ship(spark)
-    return packing.pack(docs, tokenizer_file(), window=packing.WINDOW, with_ids=True)
+    with brief_shuffles(spark):
+        return packing.pack(docs, tokenizer_file(), window=packing.WINDOW, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
