@@ -210,9 +210,9 @@ def nearest_of_many(spark, sf):
 
 #: Corners of the shapes of a nation: an outline, a hole in it, and a second part; offsets from its middle.
 CORNERS = ((0, -0.06, -0.05), (0, 0.07, -0.04), (0, 0.05, 0.06), (0, -0.01, 0.02), (0, -0.05, 0.05), (1, -0.02, -0.02), (1, 0.02, -0.021), (1, 0.019, 0.005), (2, 0.10, 0.01), (2, 0.13, 0.02), (2, 0.11, 0.05))
-SHAPES_SQL = f"""at AS (SELECT CAST(n_nationkey AS BIGINT) AS shape_id, 878137e-4 + n_nationkey * 301e-4 AS mx, 214519e-4 + (n_nationkey % 5) * 207e-4 AS my FROM nation),
+SHAPES_SQL = f"""middles AS (SELECT CAST(n_nationkey AS BIGINT) AS shape_id, 878137e-4 + n_nationkey * 301e-4 AS mx, 214519e-4 + (n_nationkey % 5) * 207e-4 AS my FROM nation),
 corners(ring, i, dx, dy) AS (VALUES {", ".join(f"({r}, {i}, CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))" for i, (r, x, y) in enumerate(CORNERS))}),
-vertices AS (SELECT shape_id, ring, i, mx + dx AS x, my + dy AS y FROM at, corners),
+vertices AS (SELECT shape_id, ring, i, mx + dx AS x, my + dy AS y FROM middles, corners),
 edges AS (SELECT shape_id, x AS x1, y AS y1, coalesce(lead(x) OVER o, first_value(x) OVER o) AS x2, coalesce(lead(y) OVER o, first_value(y) OVER o) AS y2 FROM vertices WINDOW o AS (PARTITION BY shape_id, ring ORDER BY i))"""
 
 
@@ -565,14 +565,18 @@ def temporal_intent(spark, sf):
 
 
 #: What is asked of the first words of each turn, by turn and conversation.
-ASKS = (" cloud < 20% sentinel-2", " excluding cloudy imagery from SAR after 2023", " clear sky only landsat 8 until March 2024", " within 5km of rivers after January 2024, excluding cloudy imagery", " near hooghly river", " S1 in the last 2 months", " from 2022-05-06 before 2023 liss 4", "")
-_ASKED = "substr(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g'), 1, 40) || (" + repr(list(ASKS)) + ")[CAST((conv_id + turn) % 8 AS INTEGER) + 1]"
+REQUESTS = (" cloud < 20% sentinel-2", " excluding cloudy imagery from SAR after 2023", " clear sky only landsat 8 until March 2024", " within 5km of rivers after January 2024, excluding cloudy imagery", " near hooghly river", " S1 in the last 2 months", " from 2022-05-06 before 2023 liss 4", "")
+_ASKED = "substr(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g'), 1, 40) || (" + repr(list(REQUESTS)) + ")[CAST((conv_id + turn) % 8 AS INTEGER) + 1]"
 
 
 def _named(column: str) -> str:
     return " ".join(f"WHEN regexp_matches({column}, '\\b({p})\\b', 'i') THEN '{n}'" for n, p in X.SENSORS)
 
 
+def _taken_out(column: str) -> str:
+    return " ".join(f"WHEN '{n}' THEN regexp_replace({column}, '\\b(from\\s+|on\\s+)?({p})\\b', '', 'gi')" for n, p in X.SENSORS)
+
+
 def _day_sql(pattern: str, first: str, in_month: str) -> str:
     part = lambda n: f"regexp_extract(l, '{pattern}', {n}, 'i')"
     months = " ".join(f"WHEN '{m}' THEN '{i:02d}'" for m, i in X.MONTHS.items())
@@ -584,7 +588,7 @@ a AS (SELECT *, trim(text) AS l FROM q),
 b AS (SELECT conv_id, turn, text, CASE WHEN regexp_matches(l, '{X.CLOUD}', 'i') THEN CAST(regexp_extract(l, '{X.CLOUD}', 1, 'i') AS DOUBLE) / 100e0 WHEN regexp_matches(l, '{X.NO_CLOUD}', 'i') THEN 15e-2 WHEN regexp_matches(l, '{X.CLEAR}', 'i') THEN 1e-1 END AS max_cloud,
   CASE WHEN regexp_matches(l, '{X.CLOUD}', 'i') THEN regexp_replace(l, '{X.CLOUD}', '', 'i') WHEN regexp_matches(l, '{X.NO_CLOUD}', 'i') THEN regexp_replace(l, '{X.NO_CLOUD}', '', 'i') WHEN regexp_matches(l, '{X.CLEAR}', 'i') THEN regexp_replace(l, '{X.CLEAR}', '', 'i') ELSE l END AS l FROM a),
 c AS (SELECT *, CASE {_named("l")} END AS sensor FROM b),
-d AS (SELECT * REPLACE (CASE sensor {" ".join(f"WHEN '{n}' THEN regexp_replace(l, '(from\s+|on\s+)?({p})', '', 'gi')" for n, p in X.SENSORS)} ELSE l END AS l) FROM c),
+d AS (SELECT * REPLACE (CASE sensor {_taken_out("l")} ELSE l END AS l) FROM c),
 e AS (SELECT * EXCLUDE (l), CASE WHEN regexp_matches(l, '{X.LAST}', 'i') THEN '2024-01-01' END AS since, CASE WHEN regexp_matches(l, '{X.LAST}', 'i') THEN regexp_replace(l, '{X.LAST}', '', 'i') ELSE l END AS l FROM d),
 f AS (SELECT * EXCLUDE (l, since), coalesce(since, {_day_sql(X.SINCE, "01-01", "01")}) AS date_from, regexp_replace(l, '{X.SINCE}', '', 'i') AS l FROM e),
 g AS (SELECT * EXCLUDE (l), {_day_sql(X.UNTIL, "12-31", "28")} AS date_to, regexp_replace(l, '{X.UNTIL}', '', 'i') AS l FROM f),
@@ -600,7 +604,7 @@ def nl_parse(spark, sf):
 def asked_texts(spark, sf):
     c = V.table(spark, sf, "conversations")
     words = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", ""), 1, 40)
-    ask = F.element_at(F.array(*[F.lit(a) for a in ASKS]), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int"))
+    ask = F.element_at(F.array(*[F.lit(a) for a in REQUESTS]), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int"))
     return c.select("conv_id", "turn", F.concat(words, ask).alias("text"), F.concat_ws("-", "conv_id", "turn").alias("query_id"))
 
 
