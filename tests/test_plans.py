@@ -79,13 +79,38 @@ def test_bitemporal_finds_a_built_block(spark):
     rows, regions = change.bitemporal(pairs, pixels, tiles, map_threshold=0.05)
     got = {r["area_id"]: r for r in rows.collect()}
     assert got[10]["change_score"] > got[11]["change_score"] and got[10]["area_ha"] > got[11]["area_ha"]
-    assert (got[11]["dy"], got[11]["dx"]) == (3, 0) and got[11]["correlation"] > 0.9
+    # the map back to the before image
+    assert abs(got[11]["dy"] + 3) < 0.5 and abs(got[11]["dx"]) < 0.5 and got[11]["correlation"] > 0.9 and got[11]["compared"] > 0.9
     # built in one corner, and green again in the other
     assert sorted(r["change_type"] for r in regions.where("area_id = 10").collect()) == ["clearance", "construction"]
     status = {c["item"]: c["status"] for c in got[11]["checks"]}
     assert status["registration"] == "pass" and status["clouds"] == "pass" and status["persistence"] == "info"
 
 
+def test_earliest_change_of_a_stack(spark):
+    ddl = "tile_id long, row int, col int, band string, value double"
+    pixels = spark.createDataFrame([p for i in range(1, 7) for p in image(i, i >= 4)], ddl)
+    tiles = spark.createDataFrame([(i, 10, dt.datetime(2024, i, 1), 0.9) for i in range(1, 7)], "tile_id long, area_id long, ts timestamp_ntz, quality double")
+    pairs = spark.createDataFrame([(10, 1, 6)], "area_id long, before_tile_id long, after_tile_id long")
+    seen = {r["tile_id"]: r["distance"] for r in change.observation_distances(pairs, tiles, pixels).collect()}
+    # the first pass is what the others are dated from
+    assert set(seen) == {2, 3, 4, 5, 6} and max(seen[2], seen[3]) < min(seen[4], seen[5], seen[6])
+    threshold = (max(seen[2], seen[3]) + min(seen[4], seen[5], seen[6])) / 2
+    row = change.bitemporal(pairs, pixels, tiles, tiles, prob_threshold=threshold)[0].collect()[0]
+    assert row["earliest"] == dt.datetime(2024, 4, 1) and row["compared"] == 1.0
+    none = change.bitemporal(pairs, pixels, tiles, tiles, prob_threshold=0.99)[0].collect()[0]
+    assert none["earliest"] == dt.datetime(2024, 6, 1)
+
+
+def test_few_pixels_in_common_give_no_score(spark):
+    ddl = "tile_id long, row int, col int, band string, value double"
+    other = [(2, r, c, b, v) for _, r, c, b, v in image(2, True) if r >= 60]
+    pixels = spark.createDataFrame(image(1, False) + other, ddl)
+    tiles = spark.createDataFrame([(i, dt.datetime(2024, i, 1), 0.9) for i in (1, 2)], "tile_id long, ts timestamp_ntz, quality double")
+    row = change.bitemporal(spark.createDataFrame([(10, 1, 2)], "area_id long, before_tile_id long, after_tile_id long"), pixels, tiles)[0].collect()[0]
+    assert row["compared"] < 0.1 and row["change_score"] is None
+
+
 def test_histogram_match_against_all_pairs(spark):
     import numpy as np
 
