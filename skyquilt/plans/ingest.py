@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquilt.functions import scalar as S
-from skyquilt.operators import filters, merge, raster, series, spatial
+from skyquilt.lineage import cut
+from skyquilt.operators import filters, merge, raster, series
+from skyquilt.sources import files, rasters
 
 #: The area of ingestion, the least raster side and the least clear share of a tile.
 AREA: filters.Box = (88.05, 22.20, 88.65, 22.95)
@@ -14,12 +16,31 @@ LEAST_SIDE, LEAST_CLEAR = 64, 0.20
 
 
 def tiles_of(scenes: DataFrame, known: DataFrame, size: int = 256, area: filters.Box | None = AREA) -> DataFrame:
-    """New tiles of valid scenes: windows, bounds, area test and ids, less the tiles that are known."""
+    """New tiles of readable scenes (`rasters.scenes` with source_hash and ts): windows, bounds in degrees, area test and ids, less the tiles that are known."""
     valid = scenes.where((F.col("width") >= LEAST_SIDE) & (F.col("height") >= LEAST_SIDE))
-    rows = spatial.window_bounds(spatial.tile_grid(valid, size))
+    rows = rasters.placed(valid, size)
     if area:
         rows = rows.where(filters.overlaps(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), area))
-    return merge.inserted(known, merge.tile_ids(rows), ["tile_uuid"])
+    return merge.inserted(known, merge.tile_ids(rows, "path"), ["tile_uuid"])
+
+
+def ingested(paths: DataFrame, scenes: DataFrame, tiles: DataFrame, vectors: DataFrame, size: int = 256, area: filters.Box | None = AREA) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """New scenes, their tiles, the pixels of these tiles, and the scenes to be repaired.
+
+    paths: path and content of scene files; scenes: source_hash, scene_id, status; tiles: tile_uuid;
+    vectors: scene_id. A file whose content an ingested scene has is not read again. Scenes have sensor
+    and date by their file name (the TIFF's date first), and status `failed` with the error where
+    they cannot be read. Tiles come from the tables, so a run that is repeated adds nothing.
+    """
+    fresh, repair = merge.scenes_to_ingest(paths.select("path", "content"), scenes, vectors)
+    fresh = cut(fresh)
+    read = rasters.scenes(fresh).join(fresh.select("path", "source_hash"), "path")
+    sensor, day = files.name_parts(F.element_at(F.split("path", "/"), -1))
+    stamp = F.try_to_timestamp("datetime", F.lit("yyyy:MM:dd HH:mm:ss")).cast("timestamp_ntz")
+    new = cut(read.withColumns({"sensor": sensor, "ts": F.coalesce(stamp, day), "status": F.when(F.col("error").isNull(), "ingested").otherwise("failed")}))
+    own = cut(tiles_of(new.where("status = 'ingested'"), tiles, size, area))
+    pixels = rasters.windows(fresh, size).join(own.select("path", "row_off", "col_off", "tile_uuid"), ["path", "row_off", "col_off"])
+    return new, own, pixels, repair
 
 
 def tile_quality(pixels: DataFrame) -> DataFrame:

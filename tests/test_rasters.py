@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyquilt.functions import projection as P
 from skyquilt.operators import index, vector
-from skyquilt.plans import search
+from skyquilt.plans import ingest, search
 from skyquilt.sources import rasters as R
 
 
@@ -200,6 +200,32 @@ def test_scenes_and_windows(spark, tmp_path):
     assert 87.9 < a["minx"] < a["maxx"] < 88.1 and 22.5 < a["miny"] < a["maxy"] < 22.7
 
 
+def test_ingestion_counts_a_file_once(spark, tmp_path):
+    bands = np.random.default_rng(11).integers(0, 3000, (4, 96, 160)).astype(np.uint16)
+    inside, outside = ([0.001, 0.001, 0], [0, 0, 0, 88.1, 22.5, 0], 4326), ([0.001, 0.001, 0], [0, 0, 0, 10.0, 10.0, 0], 4326)
+    (tmp_path / "S2A_20240102_a.tif").write_bytes(tiff(bands, compression=8, geo=inside))
+    (tmp_path / "S2A_20240102_copy.tif").write_bytes(tiff(bands, compression=8, geo=inside))
+    (tmp_path / "L8_x.tif").write_bytes(tiff(bands + 1, geo=outside, stamp="2023:05:06 07:08:09"))
+    (tmp_path / "bad_20240101.tif").write_bytes(b"broken")
+    paths = spark.read.format("binaryFile").load(str(tmp_path))
+    none = spark.createDataFrame([], "source_hash string, scene_id string, status string"), spark.createDataFrame([], "tile_uuid string"), spark.createDataFrame([], "scene_id string")
+    scenes, tiles, pixels, repair = ingest.ingested(paths, *none, size=64)
+    rows = scenes.collect()
+    assert len(rows) == 3 and {(r["sensor"], str(r["ts"])[:10], r["status"]) for r in rows} == {("S2A", "2024-01-02", "ingested"), ("L8", "2023-05-06", "ingested"), ("bad", "2024-01-01", "failed")}
+    # windows of 64 x 64 and halves, of the scene in the area only
+    assert {(r["row_off"], r["col_off"], r["h"], r["w"]) for r in tiles.collect()} == {(r, c, min(64, 96 - r), min(64, 160 - c)) for r in (0, 64) for c in (0, 64, 128)}
+    got = pixels.collect()
+    assert len(got) == 24 and all(r["pixels"] == bands[r["band"] - 1, r["row_off"] : r["row_off"] + r["h"], r["col_off"] : r["col_off"] + r["w"]].ravel().astype(float).tolist() for r in got)
+    assert repair.count() == 0
+    known = scenes.select("source_hash", F.col("source_hash").alias("scene_id"), "status")
+    again, more, _, repair = ingest.ingested(paths, known, tiles.select("tile_uuid"), tiles.select(F.col("source_hash").alias("scene_id")), size=64)
+    # the broken file is tried again, and the scene without tiles has no vectors
+    assert [r["status"] for r in again.collect()] == ["failed"] and more.count() == 0 and repair.count() == 1
+    # tiles that are known are not made twice, even if the scene is
+    _, rest, _, _ = ingest.ingested(paths, none[0], tiles.select("tile_uuid"), none[2], size=64)
+    assert rest.count() == 0
+
+
 def test_utm(spark):
     known = [(-79.387139, 43.642567, 17, 630084, 4833438, 1.0), (2.2945, 48.8582, 31, 448252, 5411933, 1.5), (3.0, 0.0, 31, 500000, 0, 1e-6), (0.0, 0.0, 31, 166021.443, 0, 1e-3), (6.0, 0.0, 31, 833978.557, 0, 1e-3)]
     df = spark.createDataFrame([(a, b, z, float(x), float(y), d) for a, b, z, x, y, d in known], "lon double, lat double, zone int, x double, y double, off double")
