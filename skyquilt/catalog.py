@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skyquilt import lineage
 from skyquilt import views as V
 from skyquilt.functions import scalar as S
 from skyquilt.functions import text as X
@@ -14,6 +16,7 @@ from skyquilt.operators import cluster, filters, gazetteer, index, merge, raster
 from skyquilt.operators import registration as R
 from skyquilt.plans import change, chat, ingest, review, search, status
 from skyquilt.sources import files
+from skyquilt.streaming import points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -309,6 +312,16 @@ def change_point(spark, sf):
     return series.change_points(V.passes(spark, sf), ["series_id"], "ts", 3, 2, 160)
 
 
+@query(CP)
+def change_point_stream(spark, sf):
+    """The same rule over the events as a stream: what it says of each series in the end."""
+    # as a pattern, since a stream takes files of a folder only
+    events = spark.readStream.schema(V.table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
+    stream = V.of_events(events).withColumn("ts", F.col("ts").cast("timestamp")).withColumnRenamed("event_id", "pass_id")
+    out = points.run(points.change_point_stream(stream, "30 days", 3, 2, 160), f"{lineage.folder(spark)}/points-{uuid.uuid4().hex}")
+    return points.latest(out).drop("tail", "passes", "settled").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("onset", "confirmed")})
+
+
 @query(f"WITH {V.PASSES}, m AS (SELECT *, sum(CASE WHEN valid THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM passes) SELECT CASE WHEN NOT valid THEN 'invalid_pass_skipped' WHEN c <= 3 THEN 'baseline' WHEN score >= 160 THEN 'over_threshold' ELSE 'below_threshold' END AS event, count(*) AS n FROM m GROUP BY 1")
 def pass_events(spark, sf):
     return series.pass_log(V.passes(spark, sf), ["series_id"], "ts", 3, 160).groupBy("event").agg(F.count("*").alias("n"))

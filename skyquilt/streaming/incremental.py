@@ -1,14 +1,12 @@
-"""Streams: idempotent incremental ingestion, fixed windows, and the change-point rule as a stateful operator."""
+"""Streams: idempotent incremental ingestion and fixed windows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def ingest_files(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df):
@@ -37,40 +35,6 @@ def tumbling(stream: DataFrame, ts: str, width: str, late: str, key: list[str],
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width), *key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
-STATE = "baseline int, run array<double>, status string"
-OUT = "series_id long, status string, onset double, confirmed double"
-
-
-def change_point_stream(stream: DataFrame, baseline: int = 3, persistence: int = 2, threshold: float = 0.5) -> DataFrame:
-    """Confirmed change points (series_id, status, onset, confirmed as epoch seconds), each series once.
-
-    stream: series_id long, t double (epoch seconds), score double, valid boolean; rows of a
-    series come in order between batches, and are sorted within one. The state of a series is
-    its baseline count and the open run; a confirmed series is done and ignores what follows.
-    """
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, run, status = state.get if state.exists else (0, [], "open")
-        rows = pd.concat(list(frames)).sort_values("t")
-        out = None
-        for t, score in rows.loc[rows["valid"], ["t", "score"]].itertuples(index=False):
-            if status == "confirmed":
-                break
-            if seen < baseline:
-                seen += 1
-            elif score >= threshold:
-                run = [*run, float(t)]
-                if len(run) == persistence:
-                    status, out = "confirmed", (run[0], run[-1])
-            else:
-                run = []
-        state.update((seen, list(run), status))
-        if out:
-            yield pd.DataFrame({"series_id": [key[0]], "status": ["confirmed"], "onset": [out[0]], "confirmed": [out[1]]})
-
-    return stream.groupBy("series_id").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 class Progress(StreamingQueryListener):
     """Rows per batch of each query."""
 
@@ -90,4 +54,4 @@ class Progress(StreamingQueryListener):
         pass
 
 
-__all__ = ["Progress", "change_point_stream", "ingest_files", "tumbling"]
+__all__ = ["Progress", "ingest_files", "tumbling"]

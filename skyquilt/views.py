@@ -100,7 +100,11 @@ RESULTS = """results AS (SELECT o_orderkey AS change_id, o_orderkey AS before_ti
 
 
 def passes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(F.col("user_id").alias("series_id"), "ts", F.col("value").alias("score"), (F.col("event_type") != "error").alias("valid"), "event_id")
+    return of_events(table(spark, sf, "events"))
+
+
+def of_events(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("series_id"), "ts", F.col("value").alias("score"), (F.col("event_type") != "error").alias("valid"), "event_id")
 
 
 PASSES = "passes AS (SELECT user_id AS series_id, ts, value AS score, event_type <> 'error' AS valid, event_id FROM events)"
