@@ -303,7 +303,7 @@ clear AS (SELECT s.series_id, max(s.ts) AS clear FROM s JOIN hit USING (series_i
 base AS (SELECT series_id, ts AS base_end FROM v WHERE rn = 3), cnt AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1),
 tr AS (SELECT r.series_id, CAST(sum(r.len) AS BIGINT) AS transients FROM runs r LEFT JOIN hit h ON h.series_id = r.series_id WHERE h.series_id IS NULL OR r.isl < h.isl GROUP BY 1)
 SELECT e.series_id, CASE WHEN base_end IS NULL OR n IS NULL THEN 'insufficient_data' WHEN onset IS NOT NULL THEN 'confirmed' WHEN transients > 0 THEN 'transient_only' ELSE 'no_change' END AS status, onset, confirmed,
-  CASE WHEN onset IS NOT NULL THEN round(date_diff('second', coalesce(clear, base_end), onset) / 86400e0, 3) END AS uncertainty_days, CASE WHEN onset IS NOT NULL THEN round(date_diff('second', onset, confirmed) / 86400e0, 3) END AS lag_days, coalesce(transients, 0) AS transients
+  CASE WHEN onset IS NOT NULL THEN round(date_diff('microsecond', coalesce(clear, base_end), onset) / 86400e6, 3) END AS uncertainty_days, CASE WHEN onset IS NOT NULL THEN round(date_diff('microsecond', onset, confirmed) / 86400e6, 3) END AS lag_days, coalesce(transients, 0) AS transients
 FROM (SELECT DISTINCT series_id FROM passes) e LEFT JOIN base USING (series_id) LEFT JOIN cnt USING (series_id) LEFT JOIN (SELECT series_id, onset, confirmed FROM hit) USING (series_id) LEFT JOIN clear USING (series_id) LEFT JOIN tr USING (series_id)"""
 
 
@@ -811,6 +811,30 @@ def tile_quality(spark, sf):
     return ingest.tile_quality(w.where("true")).select("tile_id", r6("valid_share").alias("valid_share"), r6("cloud").alias("cloud"))
 
 
+@query(f"""WITH {V.PIXELS}, p AS (SELECT tile_id, "row" AS r, col AS c, CASE WHEN tile_id % 3 = 1 AND band = 'nir' THEN 'scl' ELSE band END AS band,
+  CAST(CASE WHEN tile_id % 3 = 1 AND band = 'nir' THEN "value" % 12 WHEN "value" < 60 THEN 0 ELSE "value" END AS DOUBLE) AS v, CASE WHEN tile_id % 3 = 0 THEN 'SAR-C' ELSE 'MSI' END AS sensor FROM pixels),
+t AS (SELECT tile_id, max(v) FILTER (band <> 'scl') AS top, min(band) FILTER (band <> 'scl') AS echo_band, CASE WHEN max(sensor) = 'SAR-C' THEN 'speckle' WHEN bool_or(band = 'scl') THEN 'scl' ELSE 'brightness_saturation' END AS method FROM p GROUP BY 1),
+x AS (SELECT tile_id, r, c, any_value(method) AS method, bool_or(v <> 0) AS valid, max(v) FILTER (band = 'red') / any_value(CASE WHEN top <= 1 THEN 1e0 WHEN top <= 255 THEN 255e0 ELSE 1e4 END) AS red, max(v) FILTER (band = 'green') / any_value(CASE WHEN top <= 1 THEN 1e0 WHEN top <= 255 THEN 255e0 ELSE 1e4 END) AS green,
+  max(v) FILTER (band = 'blue') / any_value(CASE WHEN top <= 1 THEN 1e0 WHEN top <= 255 THEN 255e0 ELSE 1e4 END) AS blue, CAST(max(v) FILTER (band = 'scl') AS INTEGER) AS cls, nullif(max(abs(v)) FILTER (band = echo_band), 0) AS echo FROM p JOIN t USING (tile_id) GROUP BY 1, 2, 3),
+u AS (SELECT *, coalesce((red + green + blue) / 3 > 75e-2 AND (greatest(red, green, blue) - least(red, green, blue)) / (greatest(red, green, blue) + 1e-6) < 15e-2, false) AND red IS NOT NULL AND green IS NOT NULL AND blue IS NOT NULL AS cloudy FROM x),
+m AS (SELECT tile_id, any_value(method) AS method, avg(CASE WHEN valid AND CASE method WHEN 'speckle' THEN echo IS NOT NULL WHEN 'scl' THEN coalesce(cls IN (4, 5, 6, 7), false) ELSE NOT cloudy END THEN 1e0 ELSE 0e0 END) AS clear, avg(CASE WHEN valid THEN 1e0 ELSE 0e0 END) AS valid_share, bool_or(cloudy) AS hazy,
+  list_sort(list(DISTINCT CASE cls WHEN 0 THEN 'nodata' WHEN 1 THEN 'saturated' WHEN 2 THEN 'dark' WHEN 3 THEN 'cloud_shadow' WHEN 8 THEN 'cloud_medium' WHEN 9 THEN 'cloud_high' WHEN 10 THEN 'cirrus' WHEN 11 THEN 'snow' END) FILTER (cls IN (0, 1, 2, 3, 8, 9, 10, 11))) AS classes, coalesce(stddev_pop(echo), 0) / (coalesce(avg(echo), 0) + 1e-6) AS speckle FROM u GROUP BY 1),
+g AS (SELECT tile_id, r, c, sum(v) / any_value(CASE WHEN m1 <= 1 THEN 1e0 WHEN m1 <= 255 THEN 255e0 ELSE 1e4 END) / 3 AS v FROM p JOIN (SELECT tile_id, max(v) AS m1 FROM p WHERE band IN ('red', 'green', 'blue') GROUP BY 1) USING (tile_id) WHERE band IN ('red', 'green', 'blue') GROUP BY 1, 2, 3),
+whole AS (SELECT s.tile_id, a.r, b.c, coalesce(g.v, 0) AS v FROM (SELECT tile_id, max(r) AS h, max(c) AS w FROM g GROUP BY 1) s JOIN generate_series(0, 31) AS a(r) ON a.r <= h JOIN generate_series(0, 31) AS b(c) ON b.c <= w LEFT JOIN g ON g.tile_id = s.tile_id AND g.r = a.r AND g.c = b.c),
+g1 AS (SELECT *, CASE WHEN lag(v) OVER y IS NULL THEN lead(v) OVER y - v WHEN lead(v) OVER y IS NULL THEN v - lag(v) OVER y ELSE (lead(v) OVER y - lag(v) OVER y) / 2 END AS gy, CASE WHEN lag(v) OVER x IS NULL THEN lead(v) OVER x - v WHEN lead(v) OVER x IS NULL THEN v - lag(v) OVER x ELSE (lead(v) OVER x - lag(v) OVER x) / 2 END AS gx FROM whole WINDOW y AS (PARTITION BY tile_id, c ORDER BY r), x AS (PARTITION BY tile_id, r ORDER BY c)),
+g2 AS (SELECT tile_id, CASE WHEN lag(gy) OVER y IS NULL THEN lead(gy) OVER y - gy WHEN lead(gy) OVER y IS NULL THEN gy - lag(gy) OVER y ELSE (lead(gy) OVER y - lag(gy) OVER y) / 2 END + CASE WHEN lag(gx) OVER x IS NULL THEN lead(gx) OVER x - gx WHEN lead(gx) OVER x IS NULL THEN gx - lag(gx) OVER x ELSE (lead(gx) OVER x - lag(gx) OVER x) / 2 END AS s FROM g1 WINDOW y AS (PARTITION BY tile_id, c ORDER BY r), x AS (PARTITION BY tile_id, r ORDER BY c)),
+sharp AS (SELECT tile_id, least(1e0, var_pop(s) / 2e-2) AS sharpness FROM g2 GROUP BY 1), o AS (SELECT *, CASE method WHEN 'speckle' THEN CASE WHEN 1 - speckle / 2 < 25e-2 THEN 'speckle' ELSE '' END WHEN 'scl' THEN coalesce(array_to_string(classes, ','), '') ELSE CASE WHEN hazy THEN 'cloud_haze' ELSE '' END END AS confounds FROM m LEFT JOIN sharp USING (tile_id))
+SELECT tile_id, method, round(clear, 6) AS clear, round(valid_share, 6) AS valid_share, confounds, CASE WHEN method = 'speckle' THEN round(speckle, 5) END AS speckle, CASE WHEN method = 'speckle' THEN round(greatest(0e0, least(1e0, 1 - speckle / 2)), 5) END AS speckle_quality, round(sharpness, 4) AS sharpness,
+  round(greatest(0e0, least(1e0, 45e-2 * clear + 35e-2 * valid_share + 2e-1 * coalesce(sharpness, 0))), 4) AS quality, CASE WHEN clear < 2e-1 THEN CASE WHEN confounds = '' THEN 'low_clear_fraction' ELSE confounds END END AS discard_reasons FROM o""")
+def quality_masks(spark, sf):
+    """Radar tiles by speckle, tiles with a class band by their classes, the others by clouds, with the sharpness of all."""
+    k, v, classed = F.col("tile_id"), F.col("value"), (F.col("tile_id") % 3 == 1) & (F.col("band") == "nir")
+    rows = V.pixels(spark, sf).withColumn("value", F.when(classed, v % 12).when(v < 60, 0).otherwise(v).cast("double"))
+    rows = rows.withColumns({"band": F.when(classed, "scl").otherwise(F.col("band")), "sensor": F.when(k % 3 == 0, "SAR-C").otherwise("MSI")})
+    return ingest.judged(rows).select("tile_id", "method", r6("clear").alias("clear"), r6("valid_share").alias("valid_share"), F.array_join("confounds", ",").alias("confounds"), "speckle", "speckle_quality",
+        F.round("sharpness", 4).alias("sharpness"), F.round("quality", 4).alias("quality"), F.array_join("discard_reasons", ",").alias("discard_reasons"))
+
+
 AREAS = f"{V.TILES}, areas AS (SELECT scene_id AS area_id, min(lon) AS lon, min(lat) AS lat FROM tiles GROUP BY 1), near AS (SELECT a.area_id, t.tile_id, t.ts, t.sensor, t.cloud, t.quality, sqrt(power(a.lon - t.lon, 2) + power(a.lat - t.lat, 2)) AS d FROM areas a JOIN tiles t ON abs(a.lon - t.lon) <= 4e-3 AND abs(a.lat - t.lat) <= 4e-3)"
 
 

@@ -195,6 +195,58 @@ def components(pixels: DataFrame) -> DataFrame:
     return pixels.select("tile_id", "row", "col", "value").groupBy("tile_id").applyInPandas(run, f"tile_id {kind}, row int, col int, label int")
 
 
+#: What a scene class is called where it spoils a pixel, the width of the speckle scale and the least quality of a radar tile.
+SCENE_CONFOUNDS = {0: "nodata", 1: "saturated", 2: "dark", 3: "cloud_shadow", 8: "cloud_medium", 9: "cloud_high", 10: "cirrus", 11: "snow"}
+SPECKLE_SCALE, LEAST_SPECKLE_QUALITY = 2.0, 0.25
+
+
+def quality_masks(pixels: DataFrame, nodata: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Which pixels of each tile are usable, and what the tile's mask says.
+
+    pixels: tile_id, row, col, band, value, sensor (one a tile). A pixel is valid if all of its
+    bands are finite and they are not all `nodata`. Radar tiles (by sensor) are judged by the speckle of
+    their first band (by name), optical ones by the band `scl` where they have one, else by clouds, from
+    red, green and blue scaled to 0..1. A band that a pixel lacks has no say.
+    Returns (tile_id, row, col, valid, usable) and (tile_id, modality, method, clear, valid_share,
+    confounds, speckle, speckle_quality); the last two are null for optical tiles. All of it is three
+    aggregates: by pixel, by tile, and the tile's largest value.
+    """
+    fine = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    top = F.when(fine & (F.col("band") != "scl"), F.col("value"))
+    bands = F.min(F.when(F.col("band") != "scl", F.col("band")))
+    tile = pixels.groupBy("tile_id").agg(F.max(top).alias("_top"), bands.alias("_first"), F.max("sensor").alias("sensor"), F.max((F.col("band") == "scl").cast("int")).alias("_scl"))
+    by = F.when(F.col("_top") <= 1, num(1)).when(F.col("_top") <= 255, num(255)).otherwise(num(10000))
+    name = F.lower(F.coalesce("sensor", F.lit("")))
+    radar = name.contains("sar") | name.contains("sentinel-1") | name.contains("sentinel1")
+    tile = tile.select("tile_id", by.alias("_by"), "_first", F.when(radar, "speckle").when(F.col("_scl") == 1, "scl").otherwise("brightness_saturation").alias("method"))
+    of = lambda b: F.max(F.when(F.col("band") == b, F.col("value")))
+    rows = pixels.select("tile_id", "row", "col", "band", F.when(fine, F.col("value")).alias("value")).join(tile, "tile_id")
+    rows = rows.groupBy("tile_id", "row", "col").agg(
+        (F.bool_and(F.col("value").isNotNull()) & ~F.bool_and(F.coalesce(F.col("value") == nodata, F.lit(False)))).alias("valid"),
+        F.max("method").alias("method"), *[(of(b) / F.max("_by")).alias(b) for b in ("red", "green", "blue")], of("scl").cast("int").alias("_class"),
+        F.max(F.when(F.col("band") == F.col("_first"), F.abs("value"))).alias("_echo"),
+    )
+    cloud = F.coalesce(cloud_like(F.col("red"), F.col("green"), F.col("blue")), F.lit(False))
+    method = F.col("method")
+    echo = F.coalesce(F.col("_echo") > 0, F.lit(False))
+    clear = F.when(method == "speckle", echo).when(method == "scl", F.coalesce(F.col("_class").isin(*CLEAR_CLASSES), F.lit(False))).otherwise(~cloud)
+    rows = rows.withColumns({"usable": F.col("valid") & clear, "_cloud": cloud})
+    named = F.create_map(*[F.lit(x) for pair in SCENE_CONFOUNDS.items() for x in pair])
+    spread, mean = F.stddev_pop(F.when(echo, F.col("_echo"))), F.avg(F.when(echo, F.col("_echo")))
+    said = rows.groupBy("tile_id").agg(
+        F.max("method").alias("method"), fraction(F.col("usable")).alias("clear"), fraction(F.col("valid")).alias("valid_share"), F.max("_cloud").alias("_cloudy"),
+        F.array_sort(F.collect_set(F.element_at(named, F.col("_class")))).alias("_classes"), (F.coalesce(spread, num(0)) / (F.coalesce(mean, num(0)) + 1e-6)).alias("_speckle"),
+    )
+    radar, quality = method == "speckle", clip(num(1) - F.col("_speckle") / SPECKLE_SCALE)
+    none = F.array().cast("array<string>")
+    confounds = F.when(radar, F.when(quality < LEAST_SPECKLE_QUALITY, F.array(F.lit("speckle"))).otherwise(none)).when(method == "scl", F.col("_classes")).when(F.col("_cloudy"), F.array(F.lit("cloud_haze"))).otherwise(none)
+    said = said.select(
+        "tile_id", F.when(radar, "sar").otherwise("optical").alias("modality"), "method", "clear", "valid_share", confounds.alias("confounds"),
+        F.when(radar, F.round("_speckle", 5)).alias("speckle"), F.when(radar, F.round(quality, 5)).alias("speckle_quality"),
+    )
+    return rows.select("tile_id", "row", "col", "valid", "usable"), said
+
+
 def sharpness(pixels: DataFrame) -> DataFrame:
     """tile_id, sharpness: variance of the second gradient over 0.02, at most 1."""
 

@@ -93,7 +93,7 @@ def change_points(rows: DataFrame, key: list[str], ts: str, baseline: int = 3, p
     status = (
         F.when(F.col("_base_end").isNull() | F.col("_scanned").isNull(), "insufficient_data").when(confirmed, "confirmed").when(F.col("_transients") > 0, "transient_only").otherwise("no_change")
     )
-    days = lambda a, b: F.timestamp_diff("SECOND", a, b) / F.lit(86400.0)
+    days = lambda a, b: F.timestamp_diff("MICROSECOND", a, b) / F.lit(86400e6)
     last_clear = F.coalesce("_clear", "_base_end")
     return out.select(
         *key,

@@ -52,6 +52,20 @@ def tile_quality(pixels: DataFrame) -> DataFrame:
     return out.withColumn("discard_reason", F.when(F.col("clear") < LEAST_CLEAR, "low_clear_fraction"))
 
 
+def judged(pixels: DataFrame, nodata: float = 0.0) -> DataFrame:
+    """The tiles' masks (`raster.quality_masks`) with cloud, sharpness, quality, and discard_reasons where the tile is gated out.
+
+    A tile under the least clear share is gated out for its confounds, or for its low clear share if it has none.
+    Sharpness is of the mean of red, green and blue scaled to 0..1, missing ones as 0; a tile without them has none and counts as 0.
+    """
+    _, masks = raster.quality_masks(pixels, nodata)
+    rgb = raster.scaled(pixels.where(F.col("band").isin("red", "green", "blue") & F.col("value").isNotNull()).select("tile_id", "row", "col", "band", "value"))
+    grey = rgb.groupBy("tile_id", "row", "col").agg((F.sum("value") / 3).alias("value"))
+    out = masks.join(raster.sharpness(grey), "tile_id", "left").withColumn("cloud", S.num(1) - F.col("clear"))
+    out = out.withColumn("quality", S.quality_score(F.col("cloud"), F.col("valid_share"), F.coalesce("sharpness", S.num(0))))
+    return out.withColumn("discard_reasons", F.when(F.col("clear") < LEAST_CLEAR, F.when(F.size("confounds") > 0, F.col("confounds")).otherwise(F.array(F.lit("low_clear_fraction")))))
+
+
 def scene_rollup(tiles: DataFrame) -> DataFrame:
     n = F.greatest(F.count("*"), F.lit(1))
     return tiles.groupBy("scene_id").agg(F.count("*").alias("tile_count"), (F.sum(F.coalesce("cloud", S.num(0))) / n).alias("cloud"), (F.sum(F.coalesce("quality", S.num(0))) / n).alias("quality"))

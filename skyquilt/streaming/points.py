@@ -109,7 +109,7 @@ def change_point_stream(stream: DataFrame, late: str = "30 days", baseline: int
     out = f"series_id {kind}, status string, onset long, confirmed long, clear long, transients long, tail long, passes long, settled boolean"
     said = rows.groupBy("series_id").transformWithStateInPandas(ChangePoints(baseline, persistence, threshold), out, "Update", "eventTime")
     at = {c: F.timestamp_micros(c) for c in ("onset", "confirmed", "clear")}
-    days = lambda a, b: F.when(F.col("confirmed").isNotNull(), F.round(F.timestamp_diff("SECOND", F.col(a), F.col(b)) / F.lit(86400.0), 3))
+    days = lambda a, b: F.when(F.col("confirmed").isNotNull(), F.round(F.timestamp_diff("MICROSECOND", F.col(a), F.col(b)) / F.lit(86400e6), 3))
     return said.withColumns(at).select("series_id", "status", "onset", "confirmed", days("clear", "onset").alias("uncertainty_days"), days("onset", "confirmed").alias("lag_days"), "transients", "tail", "passes", "settled")
 
 
