@@ -15,10 +15,17 @@ MODEL_BANDS = ("blue", "green", "red", "nir", "swir1", "swir2")
 CLEAR_CLASSES = (4, 5, 6, 7)
 
 
-def to_long(tiles: DataFrame, array: str = "pixels", width: str = "width", band: str = "band") -> DataFrame:
-    """tile_id, row, col, band, value from one array a band, row by row."""
-    rows = tiles.select("tile_id", band, width, F.posexplode(array).alias("_i", "value"))
-    return rows.select("tile_id", F.floor(F.col("_i") / F.col(width)).cast("int").alias("row"), (F.col("_i") % F.col(width)).cast("int").alias("col"), F.col(band).alias("band"), F.col("value").cast("double").alias("value"))
+def to_long(tiles: DataFrame, array: str = "pixels", width: str = "width", band: str = "band", keep: tuple[str, ...] = ()) -> DataFrame:
+    """tile_id, what is to be kept, row, col, band, value from one array a band, row by row."""
+    rows = tiles.select("tile_id", *keep, band, width, F.posexplode(array).alias("_i", "value"))
+    return rows.select("tile_id", *keep, F.floor(F.col("_i") / F.col(width)).cast("int").alias("row"), (F.col("_i") % F.col(width)).cast("int").alias("col"), F.col(band).alias("band"), F.col("value").cast("double").alias("value"))
+
+
+def to_images(pixels: DataFrame) -> DataFrame:
+    """tile_id, image (red, green and blue in turn, row by row, missing values as 0) and width, of full grids of pixels."""
+    rgb = wide(pixels, ["red", "green", "blue"])
+    listed = F.array_sort(F.collect_list(F.struct("row", "col", *[F.coalesce(b, num(0)).alias(b) for b in ("red", "green", "blue")])))
+    return rgb.groupBy("tile_id").agg(F.flatten(F.transform(listed, lambda x: F.array(x["red"], x["green"], x["blue"]))).alias("image"), (F.max("col") + 1).alias("width"))
 
 
 def to_arrays(pixels: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from skyquilt.functions import scalar as S
 from skyquilt.lineage import cut
-from skyquilt.operators import filters, merge, raster, series
-from skyquilt.sources import files, rasters
+from skyquilt.operators import filters, merge, raster, series, vector
+from skyquilt.sources import files, rasters, stored
 
 #: The area of ingestion, the least raster side and the least clear share of a tile.
 AREA: filters.Box = (88.05, 22.20, 88.65, 22.95)
@@ -43,6 +43,67 @@ def ingested(paths: DataFrame, scenes: DataFrame, tiles: DataFrame, vectors: Dat
     return new, own, pixels, repair
 
 
+#: The tables of a catalogue folder.
+SCENES = "source_hash string, path string, sensor string, ts timestamp_ntz, status string, error string, height int, width int, bands int, epsg int"
+TILES = (
+    "tile_uuid string, source_hash string, path string, row_off int, col_off int, h int, w int, lon double, lat double, minx double, miny double, maxx double, maxy double, ts timestamp_ntz, sensor string, bands int, "
+    "modality string, method string, clear double, valid_share double, confounds array<string>, sharpness double, cloud double, quality double"
+)
+VECTORS = "tile_uuid string, source_hash string, embedding array<float>"
+
+
+def named_pixels(windows: DataFrame, tiles: DataFrame) -> DataFrame:
+    """tile_id, sensor, row, col, band (by name, of those that the scene's sensor or number of bands tells), value of tiles' windows."""
+    known = files.band_map(F.lit(None).cast("string"), F.col("sensor"), F.col("bands"))
+    rows = windows.join(tiles.select("tile_uuid", "sensor", "bands"), "tile_uuid").withColumn("_names", F.map_entries(known))
+    name = F.get(F.filter("_names", lambda e: e["value"] == F.col("band")), F.lit(0))["key"]
+    rows = rows.withColumn("band", F.coalesce(name, F.concat(F.lit("band "), F.col("band").cast("string"))))
+    return raster.to_long(rows.withColumnRenamed("tile_uuid", "tile_id"), width="w", keep=("sensor",))
+
+
+def embedded(pixels: DataFrame) -> DataFrame:
+    """tile_uuid and embedding of the tiles that have light bands, by the placeholder embedding of images."""
+    light = raster.scaled(pixels.where(F.col("band").isin("red", "green", "blue")).select("tile_id", "row", "col", "band", "value"))
+    return vector.with_image_embedding(raster.to_images(light), "image", "width").select(F.col("tile_id").alias("tile_uuid"), "embedding")
+
+
+def run(paths: DataFrame, folder: str, batch: str, size: int = 256, area: filters.Box | None = AREA) -> DataFrame:
+    """Take scene files (path, content) into the catalogue of a folder; returns the tiles made, with discard_reasons of those that were not kept.
+
+    Its tables `scenes`, `tiles` and `vectors` are `stored` ones. Scenes of known content are not read again, tiles under the
+    least clear share are not kept, and tiles that lack a vector get it again from their scene's file, if it is among the paths.
+    Tiles are committed before scenes: a run that is lost in between is made up for by running the
+    batch again, or any later one with these files; a batch that is run twice counts once.
+    """
+    spark = paths.sparkSession
+    scenes = stored.current(spark, f"{folder}/scenes", ["source_hash"], SCENES)
+    tiles = stored.current(spark, f"{folder}/tiles", ["tile_uuid"], TILES)
+    vectors = stored.current(spark, f"{folder}/vectors", ["tile_uuid"], VECTORS)
+    scene_ids = lambda df: df.withColumn("scene_id", F.col("source_hash"))
+    new, own, windows, _ = ingested(paths, scene_ids(scenes), tiles, scene_ids(vectors), size, area)
+    pixels = cut(named_pixels(windows, own))
+    said = judged(pixels).drop("speckle", "speckle_quality")
+    made = cut(own.join(said.withColumnRenamed("tile_id", "tile_uuid"), "tile_uuid"))
+    kept = made.where("discard_reasons is null")
+    stored.commit(kept.select(*_names(TILES)), f"{folder}/tiles", batch, ["tile_uuid"])
+    # vectors of new tiles, and of those that lack one
+    lacking = cut(stored.current(spark, f"{folder}/tiles", ["tile_uuid"], TILES).join(vectors.select("tile_uuid"), "tile_uuid", "left_anti"))
+    again = lacking.join(kept.select("tile_uuid"), "tile_uuid", "left_anti")
+    hashed = paths.select("path", "content", F.sha2("content", 256).alias("source_hash")).dropDuplicates(["source_hash"])
+    hashed = hashed.join(again.select("source_hash").distinct(), "source_hash", "left_semi")
+    read = rasters.windows(hashed.select("path", "content"), size).join(hashed.select("path", "source_hash"), "path").drop("path")
+    old = read.join(again.select("source_hash", "row_off", "col_off", "tile_uuid"), ["source_hash", "row_off", "col_off"])
+    every = pixels.join(lacking.select(F.col("tile_uuid").alias("tile_id")), "tile_id", "left_semi").unionByName(named_pixels(old, again))
+    found = embedded(every).join(lacking.select("tile_uuid", "source_hash"), "tile_uuid")
+    stored.commit(found.select(*_names(VECTORS)), f"{folder}/vectors", batch, ["tile_uuid"])
+    stored.commit(new.select(*_names(SCENES)), f"{folder}/scenes", batch, ["source_hash"])
+    return made
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 def tile_quality(pixels: DataFrame) -> DataFrame:
     """Per tile: clear, cloud and valid shares, the quality score and whether it is gated out, with the reason. pixels: a row per pixel with red, green, blue."""
     valid = F.col("red").isNotNull() & F.col("green").isNotNull() & F.col("blue").isNotNull() & ((F.col("red") + F.col("green") + F.col("blue")) > 0)
