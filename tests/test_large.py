@@ -19,6 +19,11 @@ def test_band_join_broadcasts_no_table(spark):
     assert met.count() == sum(abs(a * 0.001 - b * 0.001) <= 0.006 for a in range(50) for b in range(50))
 
 
+def test_change_evidence_broadcasts_no_table(spark):
+    met = catalog.QUERIES["change_evidence"](spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in physical(met) and met.count() == 1500
+
+
 def test_slippy_tiles_over_the_pole_as_in_sql(spark, tmp_path):
     import duckdb
 
