@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyquilt import lineage
 from skyquilt.functions import scalar as S
-from skyquilt.lineage import cut
 from skyquilt.operators import filters, raster, registration, series, spatial
 
 #: Reach of the candidate search in degrees and of its second try, and the slack of the nearest cell.
 REACH, SECOND_REACH, CELL_SLACK = 0.08, 0.15, 0.005
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """`lineage.cut` for pixels and what grows with them: files are far smaller than their rows, so no side is broadcast for its files' size."""
+    return lineage.cut(df).hint("merge")
+
+
 def candidates(areas: DataFrame, tiles: DataFrame, reach: float = REACH, least_quality: float = 0.4, start: str | None = None, end: str | None = None) -> DataFrame:
     """The observation stack of each area (area_id, lon, lat): area_id, the tile's columns and index.
 
