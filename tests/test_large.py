@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from skyquilt import catalog
-from skyquilt.operators import spatial
+from skyquilt.operators import cluster, spatial
 
 
 def physical(df):
@@ -39,3 +39,19 @@ def test_slippy_tiles_over_the_pole_as_in_sql(spark, tmp_path):
     # asinh(tan(90.0001 degrees)) to 12 digits, where a plain logarithm has four
     y = spark.range(1).select(spatial.slippy_y(F.lit(90.0001), F.lit(22))).collect()[0][0]
     assert y == math.floor((1 - math.asinh(math.tan(math.radians(90.0001))) / math.pi) / 2 * 2**22)
+
+
+def test_average_linkage_in_parts_as_in_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    made = (rng.standard_normal((12, 8))[rng.integers(0, 12, 400)] + 0.4 * rng.standard_normal((400, 8))).astype(float)
+    made[50:60] = made[0]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "key long, v array<double>")
+    one, parts = (sorted(map(tuple, cluster.average_linkage(rows, "key", "v", 10, size, last).collect())) for size, last in ((1000, 1000), (40, 150)))
+    assert one == parts and len({label for _, label in one}) == 10
+    # both ways to merge what lies in one task give the same heights
+    total, n = made[:100].copy() / np.linalg.norm(made[:100], axis=1)[:, None], np.ones(100)
+    chain = cluster.chained(total, n)
+    rounds = cluster.merged_within(total, n, np.full(100, np.inf), np.zeros((0, 2), int))
+    assert len(chain) == 99 and np.allclose(sorted(h for *_, h in chain), sorted(h for *_, h in rounds))
