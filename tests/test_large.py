@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from skyquilt import catalog
+from skyquilt import catalog, views
 from skyquilt.operators import cluster, spatial
 
 
@@ -55,3 +55,11 @@ def test_average_linkage_in_parts_as_in_one(spark):
     chain = cluster.chained(total, n)
     rounds = cluster.merged_within(total, n, np.full(100, np.inf), np.zeros((0, 2), int))
     assert len(chain) == 99 and np.allclose(sorted(h for *_, h in chain), sorted(h for *_, h in rounds))
+
+
+def test_pixels_are_dealt_over_more_tasks_as_items_grow(spark, monkeypatch):
+    monkeypatch.setattr(views, "ITEMS_OF_A_TASK", 500)
+    assert views.pixels(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 12
+    monkeypatch.setattr(views, "TILES_OF_A_TASK", 1)
+    tiles = views.scene_tiles(spark, "/root/testdata/sf0.001").count()
+    assert views.scene_pixels(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == max(4, tiles)
