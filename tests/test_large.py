@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from skyquilt import catalog, views
-from skyquilt.operators import cluster, spatial
+from skyquilt.operators import cluster, nearest, spatial
 
 
 def physical(df):
@@ -63,3 +63,25 @@ def test_pixels_are_dealt_over_more_tasks_as_items_grow(spark, monkeypatch):
     monkeypatch.setattr(views, "TILES_OF_A_TASK", 1)
     tiles = views.scene_tiles(spark, "/root/testdata/sf0.001").count()
     assert views.scene_pixels(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == max(4, tiles)
+
+
+def test_far_points_meet_few_landmarks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    marks = np.stack([rng.uniform(87.75, 88.62, 40_000), rng.uniform(21.4, 21.6, 40_000)], 1)
+    # among the landmarks, far to the north, over the pole and on the other side of the globe
+    points = np.stack([rng.uniform(87.75, 88.65, 400), np.concatenate([rng.uniform(21.4, 21.6, 50), rng.uniform(22, 89, 250), rng.uniform(90.5, 150, 80), rng.uniform(-60, -20, 20)])], 1)
+    made = spark.createDataFrame([(i, f"m{i}", "z", float(x), float(y), "k") for i, (x, y) in enumerate(marks)], "ord int, name string, zone string, lon double, lat double, feature_type string").cache()
+    rows = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "tile_id int, lon double, lat double").cache()
+    (x, y), (u, v) = np.radians(points.T)[:, :, None], np.radians(marks.T)[:, None, :]
+    h = np.sin((v - y) / 2) ** 2 + np.cos(y) * np.cos(v) * np.sin((u - x) / 2) ** 2
+    km = 6371 * 2 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+    got = {r["tile_id"]: (int(r["name"][1:]), r["distance_km"]) for r in spatial.nearest_landmark(rows, made).select("tile_id", "name", "distance_km").collect()}
+    assert len(got) == len(points) and all(abs(km[i].min() - d) < 1e-9 * max(1, d) and km[i, n] - km[i].min() < 1e-9 for i, (n, d) in got.items())
+    # of 40 blocks and more, a point meets few; a far one met all landmarks before
+    blocks = nearest.blocks_of(made).cache()
+    boxes = nearest.boxes_of(blocks)
+    first = nearest.answered(nearest.first_asked(rows, boxes), blocks, 2).cache()
+    asked = lambda asks: asks.selectExpr("sum(size(lon))").collect()[0][0]
+    assert len(boxes.block) >= 40 and asked(first) == len(points) and asked(nearest.further_asked(first, boxes)) < len(boxes.block) * len(points) / 5
