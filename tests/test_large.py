@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from skyquilt import catalog, views
-from skyquilt.operators import cluster, nearest, spatial
+from skyquilt.operators import cluster, index, nearest, spatial
 
 
 def physical(df):
@@ -85,3 +85,33 @@ def test_far_points_meet_few_landmarks(spark):
     first = nearest.answered(nearest.first_asked(rows, boxes), blocks, 2).cache()
     asked = lambda asks: asks.selectExpr("sum(size(lon))").collect()[0][0]
     assert len(boxes.block) >= 40 and asked(first) == len(points) and asked(nearest.further_asked(first, boxes)) < len(boxes.block) * len(points) / 5
+
+
+def test_queries_of_an_index_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(600, 16))
+    v[300:340], v[400] = v[5], 0.0
+    rows = spark.createDataFrame([(i, x.tolist(), "ab"[i % 2]) for i, x in enumerate(v)], "tile_id int, embedding array<double>, kind string")
+    built = index.build(rows, "embedding", "tile_id", str(tmp_path / "i"), ["kind"])
+    # two queries share an id; queries are not collected, whatever their number
+    asked = rows.where("tile_id % 4 = 0").select((F.col("tile_id") - F.when(F.col("tile_id") == 8, 4).otherwise(0)).alias("query_id"), "embedding", "tile_id")
+
+    def refused(*_):
+        raise AssertionError("queries come to the driver")
+
+    monkeypatch.setattr(type(asked), "toLocalIterator", refused)
+    monkeypatch.setattr(index, "HELD", 50 * 16 * 4)
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    unit = unit.astype(np.float32).astype(float)
+    for keep, may in ((None, np.arange(600) != 400), (F.col("kind") == "a", (np.arange(600) % 2 == 0) & (np.arange(600) != 400))):
+        found = index.search_many(built, asked, "query_id", "embedding", 7, keep, probes=len(built.centroids))
+        got = {}
+        for r in found.collect():
+            got.setdefault(r["query_id"], []).append((r["place"], r["tile_id"], r["similarity"]))
+        assert sorted(got) == [i for i in range(0, 600, 4) if i not in (8, 400)] and len(got[4]) == 14
+        for q in set(got) - {4}:
+            score = (unit * unit[q]).sum(1)
+            want = sorted(np.flatnonzero(may).tolist(), key=lambda i: (-score[i], i))[:7]
+            assert [i for _, i, _ in sorted(got[q])] == want and all(abs(s - score[i]) < 1e-12 for _, i, s in got[q])
