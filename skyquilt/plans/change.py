@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyquilt import lineage
 from skyquilt.functions import scalar as S
-from skyquilt.operators import filters, raster, registration, series, spatial
+from skyquilt.operators import filters, images, raster, series, spatial
 
 #: Reach of the candidate search in degrees and of its second try, and the slack of the nearest cell.
 REACH, SECOND_REACH, CELL_SLACK = 0.08, 0.15, 0.005
@@ -83,44 +83,18 @@ def dominant(regions: DataFrame, key: list[str], kind: str, default: str = "uncl
 
 def regions(deltas: DataFrame, mask: DataFrame, least: int = 9) -> DataFrame:
     """Typed regions of each tile: mask (tile_id, row, col, value) labelled, measured on deltas (indices before, after and their difference)."""
-    labels = raster.components(mask)
-    pixels = labels.join(deltas, ["tile_id", "row", "col"])
+    return labelled_regions(raster.components(mask).join(deltas, ["tile_id", "row", "col"]), least)
+
+
+def labelled_regions(pixels: DataFrame, least: int = 9) -> DataFrame:
+    """Typed regions of each tile, of labelled pixels (tile_id, label, row, col and the indices before, after and their difference)."""
     stats = raster.region_stats(pixels, ["tile_id", "label"], least)
     means = pixels.groupBy("tile_id", "label").agg(*[F.avg(c).alias(f"m_{c}") for c in ("before_ndbi", "after_ndbi", "after_ndwi", "after_ndvi")])
-    rows = stats.join(means, ["tile_id", "label"])
+    rows = stats.join(means.hint("merge"), ["tile_id", "label"])
     kind = S.region_type(F.col("elongation"), F.col("aspect"), F.col("solidity"), F.col("d_ndvi"), F.col("d_ndwi"), F.col("d_ndbi"), F.col("m_before_ndbi"), F.col("m_after_ndbi"), F.col("m_after_ndwi"), F.col("m_after_ndvi"))
     return rows.withColumn("_k", kind).select("tile_id", "label", "area", "elongation", "aspect", "d_ndvi", "d_ndwi", "d_ndbi", "_k.change_type", "_k.dynamics", "_k.confidence")
 
 
-def patch_vectors(pixels: DataFrame, key: str, name: str) -> DataFrame:
-    """key, pi, pj, `name` (mean, spread and edge of each band, bands in order) and `name`_bands of each patch."""
-    one = raster.patch_features(pixels.withColumnRenamed(key, "tile_id") if key != "tile_id" else pixels)
-    listed = F.array_sort(F.collect_list(F.struct("band", "mean", "std", "edge")))
-    return one.groupBy(F.col("tile_id").alias(key), "pi", "pj").agg(F.flatten(F.transform(listed, lambda x: F.array(x["mean"], x["std"], x["edge"]))).alias(name), F.transform(listed, lambda x: x["band"]).alias(f"{name}_bands"))
-
-
-def compared(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Registration, patch distances and aligned pixels of many image pairs in one plan.
-
-    before, after: pair_id, row, col, band, value in 0..1. The after image is moved by what
-    registers it with the before one, if anything does, and its bands are matched to the before ones' histograms.
-    Returns (pair_id, matrix, inliers, correlation_before, correlation, is_aligned, dy, dx),
-    (pair_id, pi, pj, d) and (pair_id, row, col, band, before, after).
-    """
-    grey = lambda df, name: df.groupBy("pair_id", "row", "col").agg(F.avg("value").alias(name))
-    both = grey(before, "before").join(grey(after, "after"), ["pair_id", "row", "col"], "full")
-    shifts = cut(registration.register(both))
-    moved = cut(registration.moved(after, shifts))
-    level = F.least(F.greatest(F.round(F.col("value") * 255), F.lit(0)), F.lit(255)).cast("int")
-    levels = raster.histogram_match(moved, before, ("pair_id",)).withColumnRenamed("value", "_level")
-    normal = cut(moved.withColumn("_level", level).join(levels, ["pair_id", "band", "_level"], "left").select("pair_id", "row", "col", "band", F.coalesce(F.col("matched") / 255.0, F.col("value")).alias("value")))
-    # a patch whose bands are not the same in both images has no distance
-    met = patch_vectors(before, "pair_id", "_x").join(patch_vectors(normal, "pair_id", "_y"), ["pair_id", "pi", "pj"]).where(F.col("_x_bands") == F.col("_y_bands"))
-    distances = cut(met.select("pair_id", "pi", "pj", raster.feature_difference(F.col("_x"), F.col("_y")).alias("d")))
-    aligned = before.withColumnRenamed("value", "before").join(normal.withColumnRenamed("value", "after"), ["pair_id", "row", "col", "band"])
-    return shifts, distances, aligned
-
-
 def observation_distances(pair_rows: DataFrame, stack: DataFrame, pixels: DataFrame) -> DataFrame:
     """area_id, ts, tile_id, distance: how far each later pass of a stack (area_id, tile_id, ts) is from the area's before image, patch by patch.
 
@@ -130,21 +104,19 @@ def observation_distances(pair_rows: DataFrame, stack: DataFrame, pixels: DataFr
     first = numbered.groupBy("area_id").agg(F.min("index").alias("_first"))
     later = numbered.join(first, "area_id").where("index > _first").select("area_id", "tile_id", "ts")
     wanted = later.select("tile_id").unionByName(pair_rows.select(F.col("before_tile_id").alias("tile_id"))).distinct()
-    vectors = cut(patch_vectors(pixels.join(wanted, "tile_id", "left_semi"), "tile_id", "_x"))
+    vectors = cut(images.patch_vectors(images.packed(pixels.join(wanted, "tile_id", "left_semi"))))
     base = pair_rows.select("area_id", F.col("before_tile_id").alias("tile_id")).join(vectors, "tile_id").select("area_id", "pi", "pj", F.col("_x").alias("_y"), F.col("_x_bands").alias("_y_bands"))
     met = later.join(vectors, "tile_id").join(base, ["area_id", "pi", "pj"]).where(F.col("_x_bands") == F.col("_y_bands"))
     return met.groupBy("area_id", "ts", "tile_id").agg(F.avg(raster.feature_difference(F.col("_y"), F.col("_x"))).alias("distance"))
 
 
-def index_deltas(aligned: DataFrame) -> DataFrame:
-    """A row per pixel of `compared`: the indices before and after, and their differences."""
-    bands = [b for b in raster.MODEL_BANDS]
-    grid = aligned.groupBy("pair_id", "row", "col").agg(*[F.max(F.when(F.col("band") == b, F.col(side))).alias(f"{side}_{b}") for b in bands for side in ("before", "after")])
-    grid = grid.where(F.col("before_red").isNotNull() & F.col("before_green").isNotNull() & F.col("before_nir").isNotNull())
+def known_indices(grid: DataFrame) -> DataFrame:
+    """Pixels of `images.pixels_of` with known, whether red, green and nir are there, and then the indices before and after, and their differences; else null."""
+    grid = grid.withColumn("known", F.col("before_red").isNotNull() & F.col("before_green").isNotNull() & F.col("before_nir").isNotNull())
     for side in ("before", "after"):
         with_swir = raster.indices({b: F.col(f"{side}_{b}") for b in ("green", "red", "nir", "swir1")})
         without = raster.indices({b: F.col(f"{side}_{b}") for b in ("green", "red", "nir")})
-        grid = grid.withColumns({f"{side}_{n}": F.coalesce(with_swir[n], without[n]) for n in with_swir})
+        grid = grid.withColumns({f"{side}_{n}": F.when(F.col("known"), F.coalesce(with_swir[n], without[n])) for n in with_swir})
     return grid.withColumns({f"d_{n}": F.col(f"after_{n}") - F.col(f"before_{n}") for n in ("ndvi", "ndwi", "ndbi")})
 
 
@@ -164,30 +136,26 @@ def bitemporal(pair_rows: DataFrame, pixels: DataFrame, tiles: DataFrame, stack:
     """
     pair_rows = cut(pair_rows)
     observed = cut(observation_distances(pair_rows, stack, pixels)) if stack is not None else None
-    of = lambda column: pair_rows.select(F.col("area_id").alias("pair_id"), F.col(column).alias("tile_id")).join(pixels, "tile_id").drop("tile_id")
-    before = cut(of("before_tile_id"))
-    shifts, distances, aligned = compared(before, of("after_tile_id"))
-    aligned = cut(aligned)
-    deltas = cut(index_deltas(aligned))
-    # the patch map at the size of the image, and what is over the threshold
-    size = aligned.groupBy("pair_id").agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
-    whole = raster.upsampled(distances.join(size, "pair_id"))
-    mask = cut(whole.select(F.col("pair_id").alias("tile_id"), "row", "col", (F.col("value") > map_threshold).cast("double").alias("value")))
-
-    def quality(side: str, tag: str) -> DataFrame:
-        rgb = aligned.groupBy("pair_id", "row", "col").agg(*[F.max(F.when(F.col("band") == b, F.col(side))).alias(b) for b in ("red", "green", "blue")])
-        known = F.col("red").isNotNull() & F.col("green").isNotNull() & F.col("blue").isNotNull()
-        cloud = F.coalesce(raster.cloud_like(F.col("red"), F.col("green"), F.col("blue")), F.lit(False))
-        return rgb.groupBy("pair_id").agg(raster.fraction(known & (F.col("red") + F.col("green") + F.col("blue") > 0)).alias(f"valid_{tag}"), raster.fraction(cloud).alias(f"cloud_{tag}"), F.avg((F.col("red") + F.col("green") + F.col("blue")) / 3).alias(f"mean_{tag}"))
-
-    score = distances.groupBy("pair_id").agg(F.avg("d").alias("raw"))
-    shares = mask.groupBy(F.col("tile_id").alias("pair_id")).agg(F.sum("value").alias("changed"))
-    means = deltas.groupBy("pair_id").agg(*[F.round(F.avg(f"d_{n}"), 4).alias(f"d_{n}") for n in ("ndvi", "ndwi", "ndbi")])
+    ends = images.packed(pixels.join(pair_rows.select(F.explode(F.array("before_tile_id", "after_tile_id")).alias("tile_id")).distinct(), "tile_id", "left_semi"))
+    of = lambda column: pair_rows.select(F.col("area_id").alias("pair_id"), F.col(column).alias("tile_id")).join(ends, "tile_id").drop("tile_id")
+    pairs_met = cut(images.compared(of("before_tile_id"), of("after_tile_id"), ["pair_id"], map_threshold))
+    grid = known_indices(images.pixels_of(pairs_met, ["pair_id"]))
+
+    def quality(side: str, tag: str) -> list[Column]:
+        red, green, blue = (F.when(F.col("met") > 0, F.col(f"{side}_{b}")) for b in ("red", "green", "blue"))
+        known = red.isNotNull() & green.isNotNull() & blue.isNotNull()
+        seen = lambda c: F.when(F.col("met") > 0, c)
+        cloud = F.coalesce(raster.cloud_like(red, green, blue), F.lit(False))
+        return [raster.fraction(seen(known & (red + green + blue > 0))).alias(f"valid_{tag}"), raster.fraction(seen(cloud)).alias(f"cloud_{tag}"), F.avg((red + green + blue) / 3).alias(f"mean_{tag}")]
+
+    means = grid.groupBy("pair_id").agg(*[F.round(F.avg(f"d_{n}"), 4).alias(f"d_{n}") for n in ("ndvi", "ndwi", "ndbi")], *quality("before", "b"), *quality("after", "a"), F.sum("met").alias("_met"))
+    # without the pixels
+    said = pairs_met.select("pair_id", "raw", "changed", "inliers", "correlation_before", "correlation", "is_aligned", "dy", "dx", "_all")
     out = pair_rows.withColumnRenamed("area_id", "pair_id")
     for side, column in (("b", "before_tile_id"), ("a", "after_tile_id")):
         out = out.join(tiles.select(F.col("tile_id").alias(column), F.col("ts").alias(f"_ts_{side}"), S.or_default(F.col("quality"), 0.5).alias(f"_q_{side}"), (F.col("resolution_m") if "resolution_m" in tiles.columns else S.num(10)).alias(f"_res_{side}")), column, "left")
-    for part in (score, shares, means, shifts, quality("before", "b"), quality("after", "a")):
-        out = out.join(part, "pair_id", "left")
+    for part in (said, means):
+        out = out.join(part.hint("merge"), "pair_id", "left")
     if observed is not None:
         listed = F.transform(F.array_sort(F.collect_list(F.struct("ts", "tile_id", "distance"))), lambda x: x["distance"])
         out = out.join(observed.groupBy(F.col("area_id").alias("pair_id")).agg(listed.alias("scores")), "pair_id", "left")
@@ -196,12 +164,11 @@ def bitemporal(pair_rows: DataFrame, pixels: DataFrame, tiles: DataFrame, stack:
         out = out.withColumn("earliest", F.least(F.coalesce("earliest", "_ts_a"), "_ts_a"))
     else:
         out = out.withColumn("scores", F.lit(None).cast("array<double>")).withColumn("earliest", F.col("_ts_a"))
-    counted = before.groupBy("pair_id").agg(F.count("*").alias("_all")).join(aligned.groupBy("pair_id").agg(F.count("*").alias("_met")), "pair_id", "left")
-    out = out.join(counted.select("pair_id", F.round(F.coalesce("_met", F.lit(0)) / F.col("_all"), 4).alias("compared")), "pair_id", "left").withColumn("compared", F.coalesce("compared", S.num(0)))
+    out = out.withColumn("compared", F.coalesce(F.round(F.coalesce("_met", F.lit(0)) / F.col("_all"), 4), S.num(0)))
     radiometric = F.abs(F.col("mean_b") - F.col("mean_a"))
     judged = S.suppressed(F.coalesce("raw", S.num(0)), F.col("cloud_b"), F.col("cloud_a"), F.col("valid_b"), F.col("valid_a"), F.col("_q_b"), F.col("_q_a"), F.col("correlation"), radiometric, F.col("scores"), threshold=prob_threshold)
     out = out.withColumn("_s", judged).withColumn("radiometric", radiometric)
-    found = cut(regions(deltas.withColumnRenamed("pair_id", "tile_id"), mask.where("value > 0"), least).withColumnsRenamed({"tile_id": "pair_id", "label": "region_id"}))
+    found = cut(labelled_regions(grid.where("label > 0 and known").withColumnRenamed("pair_id", "tile_id"), least).withColumnsRenamed({"tile_id": "pair_id", "label": "region_id"}))
     for kind, none in (("change_type", "no_significant_change"), ("dynamics", "stable")):
         out = out.join(dominant(found, ["pair_id"], kind), "pair_id", "left").withColumn(f"dominant_{kind}", F.coalesce(f"dominant_{kind}", F.lit(none)))
     over = F.size(F.filter(F.coalesce("scores", F.array().cast("array<double>")), lambda v: v > prob_threshold))
@@ -227,19 +194,16 @@ def signals(stack: DataFrame, pixels: DataFrame, baseline: int = 3) -> DataFrame
     first = F.col("usable") & (F.col("_n") <= baseline)
     some = F.max(first.cast("int")).over(Window.partitionBy("area_id", "mode")) == 1
     ranks = cut(ranks.withColumn("is_baseline", first | (F.col("usable") & ~some & (F.col("_m") == 1))).drop("_n", "_m"))
-    series_of = lambda part: part.select("tile_id", F.struct("area_id", "mode").alias("series_id")).join(pixels, "tile_id")
-    base = cut(raster.median_baseline(series_of(ranks.where("is_baseline"))).where("value is not null"))
-    later = ranks.where("not is_baseline").select(F.col("tile_id").alias("pair_id"), F.struct("area_id", "mode").alias("series_id"))
-    before = cut(later.join(base, "series_id").select("pair_id", "row", "col", "band", "value"))
-    after = later.select("pair_id").join(pixels.withColumnRenamed("tile_id", "pair_id"), "pair_id")
-    shifts, distances, aligned = compared(before, after)
-    feature = distances.groupBy("pair_id").agg(F.avg("d").alias("feature"))
-    p = F.percentile("before", F.array(F.lit(0.05), F.lit(0.95)))
-    pixel = aligned.groupBy("pair_id").agg(F.least(S.num(1), F.median(F.abs(F.col("after") - F.col("before"))) / F.greatest(p[1] - p[0], S.num(1e-6))).alias("pixel"))
-    deltas = index_deltas(aligned).groupBy("pair_id").agg(*[F.avg(f"d_{n}").alias(f"d_{n}") for n in ("ndvi", "ndwi", "ndbi")])
-    out = ranks.join(shifts.select(F.col("pair_id").alias("tile_id"), "is_aligned"), "tile_id", "left")
-    for part in (feature, pixel, deltas):
-        out = out.join(part.withColumnRenamed("pair_id", "tile_id"), "tile_id", "left")
+    key = ["area_id", "mode"]
+    of = lambda part: images.packed(pixels.join(part.select("tile_id").distinct(), "tile_id", "left_semi")).join(part, "tile_id")
+    base = images.medians(of(ranks.where("is_baseline").select("tile_id", *key)), key)
+    later = of(ranks.where("not is_baseline").select("tile_id", *key)).withColumnRenamed("tile_id", "pair_id")
+    grid = known_indices(images.pixels_of(images.compared(base, later, key), ["pair_id", "is_aligned", "raw", "step", "spread"]))
+    deltas = grid.groupBy("pair_id").agg(
+        F.first("is_aligned").alias("is_aligned"), F.first("raw").alias("feature"), F.least(S.num(1), F.first("step") / F.greatest(F.first("spread"), S.num(1e-6))).alias("pixel"),
+        *[F.avg(f"d_{n}").alias(f"d_{n}") for n in ("ndvi", "ndwi", "ndbi")],
+    )
+    out = ranks.join(deltas.withColumnRenamed("pair_id", "tile_id").hint("merge"), "tile_id", "left")
     zero = lambda c: F.coalesce(F.col(c), S.num(0))
     spectral = F.least(S.num(1), (F.abs(zero("d_ndvi")) + F.abs(zero("d_ndwi")) + F.abs(zero("d_ndbi"))) * S.num(2 / 3))
     score = F.when(F.col("is_baseline"), S.num(0)).otherwise(S.dense_signal(F.col("mode"), zero("feature"), spectral, zero("pixel")))
