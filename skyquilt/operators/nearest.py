@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,16 @@ SLACK = 1e-14
 COPIES, ROWS_OF_A_TASK, HELD = 8, 250_000, 1_000_000
 
 
+#: Rows of arrays that a task sends at once: a batch of them is held by Python and, once more, by Spark.
+SENT = 32
+
+
+def sent(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows as tables of SENT rows at most."""
+    while part := list(islice(rows, SENT)):
+        yield pd.DataFrame(part, columns=columns)
+
+
 @dataclass
 class Boxes:
     """Of each block: its number, the axes of its box (3 x 3), the box's bounds along them, a landmark near its middle, and how far from that one the others lie."""
@@ -105,21 +116,20 @@ def in_order(places: DataFrame) -> DataFrame:
 def blocks_of(marks: DataFrame) -> DataFrame:
     """block, lon, lat (arrays), box: the distinct places of landmarks in blocks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         number = (TaskContext.get().partitionId()) << 32
         for batch in batches:
             lon, lat = batch["lon"].to_numpy(), batch["lat"].to_numpy()
-            v, out = unit_vectors(lon, lat), []
+            v = unit_vectors(lon, lat)
             for rows in groups(v) if len(v) else []:
                 axes = axes_of(v[rows])
                 turned = v[rows] @ axes
                 mark = v[rows][turned[:, 2].argmax()]
                 reach = np.linalg.norm(v[rows] - mark, axis=1).max()
-                out.append((number, lon[rows], lat[rows], np.concatenate([axes.ravel(), turned.min(0), turned.max(0), mark, [reach]])))
+                yield number, lon[rows], lat[rows], np.concatenate([axes.ravel(), turned.min(0), turned.max(0), mark, [reach]])
                 number += 1
-            yield pd.DataFrame(out, columns=["block", "lon", "lat", "box"])
 
-    return in_order(marks).mapInPandas(run, "block long, lon array<double>, lat array<double>, box array<double>")
+    return in_order(marks).mapInPandas(lambda batches: sent(made(batches), ["block", "lon", "lat", "box"]), "block long, lon array<double>, lat array<double>, box array<double>")
 
 
 def boxes_of(blocks: DataFrame) -> Boxes:
@@ -128,34 +138,33 @@ def boxes_of(blocks: DataFrame) -> Boxes:
     return Boxes(np.array([r["block"] for r in rows], np.int64), b[:, :9].reshape(-1, 3, 3), b[:, 9:12], b[:, 12:15], b[:, 15:18], b[:, 18])
 
 
+COLUMNS = ["block", "lon", "lat", "best"]
 ASKS = "block long, lon array<double>, lat array<double>, best array<double>"
 
 
 def first_asked(points: DataFrame, boxes: Boxes) -> DataFrame:
     """Groups of points, each with the block whose box comes nearest to them; nothing is known of their distances yet (best: -2)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             lon, lat = batch["lon"].to_numpy(), batch["lat"].to_numpy()
-            v, out = unit_vectors(lon, lat), []
+            v = unit_vectors(lon, lat)
             for rows in groups(v) if len(v) and len(boxes.block) else []:
                 near = boxes.near(v[rows])
                 step = max(1, HELD // len(near.block))
                 pick = np.concatenate([near.most(v[rows[i : i + step]]).argmax(1) for i in range(0, len(rows), step)])
                 for n in np.unique(pick):
                     at = rows[pick == n]
-                    out.append((near.block[n], lon[at], lat[at], np.full(len(at), -2.0)))
-            yield pd.DataFrame(out, columns=["block", "lon", "lat", "best"])
+                    yield near.block[n], lon[at], lat[at], np.full(len(at), -2.0)
 
-    return in_order(points).mapInPandas(run, ASKS)
+    return in_order(points).mapInPandas(lambda batches: sent(made(batches), COLUMNS), ASKS)
 
 
 def further_asked(answers: DataFrame, boxes: Boxes) -> DataFrame:
     """The points of answers, with each other block that may hold a landmark as near as their best one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
-            out = []
             for asked, lon, lat, best in zip(batch["block"], batch["lon"], batch["lat"], batch["best"]):
                 v = unit_vectors(lon, lat)
                 near = boxes.near(v)
@@ -165,10 +174,9 @@ def further_asked(answers: DataFrame, boxes: Boxes) -> DataFrame:
                     able = near.most(v[i : i + step]) >= best[i : i + step, None] - SLACK
                     for n in np.flatnonzero(able.any(0)):
                         at = i + np.flatnonzero(able[:, n])
-                        out.append((near.block[n], lon[at], lat[at], best[at]))
-            yield pd.DataFrame(out, columns=["block", "lon", "lat", "best"])
+                        yield near.block[n], lon[at], lat[at], best[at]
 
-    return answers.select("block", "lon", "lat", "best").mapInPandas(run, ASKS)
+    return answers.select("block", "lon", "lat", "best").mapInPandas(lambda batches: sent(made(batches), COLUMNS), ASKS)
 
 
 def answered(asks: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
@@ -180,10 +188,9 @@ def answered(asks: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
     both = both.unionByName(asks.select("block", F.pmod(F.hash("lon", "lat"), F.lit(COPIES)).alias("copy"), "lon", "lat", "best", F.lit(1).alias("kind")))
     both = both.repartition(parts, "block", "copy").sortWithinPartitions("block", "copy", "kind")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         marks = None
         for batch in batches:
-            out = []
             for block, kind, lon, lat, best in zip(batch["block"], batch["kind"], batch["lon"], batch["lat"], batch["best"]):
                 if kind == 0:
                     marks = lon, lat, unit_vectors(lon, lat)
@@ -191,10 +198,9 @@ def answered(asks: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
                 product = unit_vectors(lon, lat) @ marks[2].T
                 best = np.maximum(best, product.max(1))
                 who, which = np.nonzero(product >= best[:, None] - SLACK)
-                out.append((block, lon, lat, best, lon[who], lat[who], marks[0][which], marks[1][which]))
-            yield pd.DataFrame(out, columns=["block", "lon", "lat", "best", "met_lon", "met_lat", "lon2", "lat2"])
+                yield block, lon, lat, best, lon[who], lat[who], marks[0][which], marks[1][which]
 
-    return both.mapInPandas(run, ASKS + ", met_lon array<double>, met_lat array<double>, lon2 array<double>, lat2 array<double>")
+    return both.mapInPandas(lambda batches: sent(made(batches), [*COLUMNS, "met_lon", "met_lat", "lon2", "lat2"]), ASKS + ", met_lon array<double>, met_lat array<double>, lon2 array<double>, lat2 array<double>")
 
 
 def nearest(points: DataFrame, marks: DataFrame) -> DataFrame:
